@@ -18,10 +18,17 @@ from .common import fold
 #: Rows learned from, stratified by language; words and n-grams kept, by count.
 SAMPLE, WORDS, GRAMS, LONGEST = 8_000, 120_000, 120_000, 5
 #: Rows of the table of words that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 UNKNOWN = "und"
 
-_words = re.compile(r"[^\W\d_]+").findall
+_latin = re.compile("[a-zªµºß-öø-ɏ]+").findall  # the lower-case letters and others under U+0250
+_any = re.compile(r"[^\W\d_]+").findall
+_beyond = re.compile("[\u0250-\U0010ffff]").search
+
+
+def _words(low: str) -> list[str]:
+    """Runs of letters of a lower-cased text."""
+    return _any(low) if _beyond(low) else _latin(low)
 
 
 def learning_rows(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
@@ -61,6 +68,8 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict, grams: dict):
         self.langs, self.grams = langs, grams
+        self.gram = {g: i for i, g in enumerate(grams)}
+        self.gram_rows = np.array(list(grams.values()), np.float32).reshape(len(grams), max(1, len(langs)))
         self.rows, self.row = np.zeros((len(words) + REMEMBERED, max(1, len(langs))), np.float32), {}
         for w, v in words.items():
             self.rows[len(self.row)] = v
@@ -69,31 +78,27 @@ class Model:
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the known n-grams of the greatest length at which any is known."""
         for n in range(LONGEST, 0, -1):
-            found = [v for g in _grams(word, (n,)) if (v := self.grams.get(g)) is not None]
+            found = [i for g in _grams(word, (n,)) if (i := self.gram.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_rows[found].sum(0) / len(found)
         return np.zeros(len(self.langs), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(_words((text or "").lower()))
         if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
             return UNKNOWN, 0.0
+        found, times = list(map(self.row.get, words)), np.fromiter(words.values(), np.float64, len(words))
         total = np.zeros(len(self.langs))
-        rows, times = [], []
-        for w, n in words.items():
-            r = self.row.get(w)
-            if r is None:
-                v = self.unseen(w)
-                if len(self.row) < len(self.rows) and len(w) <= 40:
-                    r = self.row[w] = len(self.row)
-                    self.rows[r] = v
-                else:
-                    total += n * v
-                    continue
-            rows.append(r)
-            times.append(n)
-        if rows:
-            total += np.asarray(times, np.float64) @ self.rows[rows]
+        if None in found:
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    v = self.unseen(w)
+                    if len(self.row) < len(self.rows) and len(w) <= 40:
+                        found[i] = self.row[w] = len(self.row)
+                        self.rows[found[i]] = v
+                    else:
+                        found[i], times[i], total = 0, 0.0, total + times[i] * v
+        total += times @ self.rows[found]
         p = np.exp(total - total.max())
         return self.langs[int(total.argmax())], float(p.max() / p.sum())
 

@@ -2,8 +2,8 @@
 
 A word is compared with a landmark by the gapped subsequences of three characters they
 share, each weighed down by the gap it spans, so that inserted or missing characters
-cost little. A sentence is the best match of its words for every landmark; a document
-is its worst sentence.
+cost little. A sentence is as bad as its worst word, a document as its worst sentence, so
+the machine is trained on the words of labelled sentences and decides on words.
 """
 
 from __future__ import annotations
@@ -19,33 +19,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, fold
+from .quality import fit_scale
 
-#: Labelled rows learned from, of each label; landmarks; words considered for landmarks.
+#: Labelled rows learned from, of each label; landmarks; words learned from, of each kind.
 TOXIC, CLEAN, LANDMARKS, CONSIDERED = 3_000, 6_000, 48, 4_000
-#: Longest span of a subsequence, weight of each step, longest unit and sentence.
-SPAN, DECAY, UNIT, SENTENCE = 7, 0.8, 24, 32
-REMEMBERED = 250_000
+#: Longest span of a subsequence, weight of each step, longest word taken in one piece.
+SPAN, DECAY, UNIT = 7, 0.8, 24
+#: The kernel's power, a kernel itself: many slight matches don't add up to one good match.
+POWER = 3
+REMEMBERED = 600_000
 
-_sentences = re.compile(r"(?<=[.!?])\s+|\n+").split
 _edge = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
-_single = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+_spelled = re.compile(r"(?<!\S)(?:\S[^\S\n]+){2,}\S(?!\S)").findall
 
 
-def units(sentence: str) -> list[str]:
-    """Words without outer punctuation; runs of single characters are joined as well."""
-    words = [w.strip(_edge) for w in sentence.split()]
-    if len(words) > 2 and (m := _single.findall(sentence)):
-        words += ["".join(x.split()) for x in m]
-    return words
-
-
-def chunks(text: str | None) -> list[list[str]]:
-    """Sentences of a lower-cased text as lists of units, long sentences cut into pieces."""
-    out = []
-    for s in _sentences((text or "").lower()):
-        w = units(s)
-        out += [w[i : i + SENTENCE] for i in range(0, len(w), SENTENCE)]
-    return out
+def units(text: str | None) -> set[str]:
+    """Words of a lower-cased text; single characters in a row on a line count as a word as well."""
+    low = (text or "").lower()
+    return {*low.split(), *("".join(x.split()) for x in _spelled(low))}
 
 
 def _codes(words: list[str], n: int) -> np.ndarray:
@@ -107,48 +98,32 @@ class Kernel:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         for group in by.values():
             np.maximum.at(out, [i for i, _ in group], self.same_length([p for _, p in group]))
-        return out
+        return out**POWER
 
 
 class Model:
-    def __init__(self, landmarks: list[str], half: np.ndarray, w: np.ndarray, bias: float, scale: tuple[float, float]):
-        self.parts = (landmarks, half, w, bias, scale)
-        self.kernel, self.scale, self.bias = Kernel(landmarks), scale, bias
-        self.w = (half @ w).astype(np.float32)
-        self.row: dict[str, int] = {}
-        self.rows = np.zeros((REMEMBERED + 1, len(landmarks)), np.float32)
-
-    def sentences(self, texts: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Best match for each landmark by sentence, and each sentence's text."""
-        flat = [s for t in texts for s in t]
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        new = list({w for s in flat for w in s if w not in self.row})
-        if len(self.row) + len(new) > REMEMBERED:
-            self.row, new = {}, list({w for s in flat for w in s})
-        if len(new) > REMEMBERED:
-            rows, row = self.kernel(new), {w: i for i, w in enumerate(new)}
-        else:
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                self.rows[len(self.row) : len(self.row) + len(part)] = self.kernel(part)
-                self.row.update(zip(part, range(len(self.row), len(self.row) + len(part))))
-            rows, row = self.rows, self.row
-        at = [row[w] for s in flat for w in s]
-        if not at:
-            return np.zeros((0, self.rows.shape[1]), np.float32), owner[:0]
-        starts = np.r_[0, np.cumsum([len(s) for s in flat])[:-1]]
-        return np.maximum.reduceat(rows[at], starts, axis=0), owner
-
-    def decide(self, texts: list[list[list[str]]]) -> np.ndarray:
-        """Greatest decision value of each text's sentences; that of nothing if it has none."""
-        x, owner = self.sentences(texts)
-        out = np.full(len(texts), self.bias)
-        if len(owner):
-            np.maximum.at(out, owner, x @ self.w + self.bias)
-        return out
+    """Decision value of words, remembered, and the scale that makes it a probability."""
+
+    def __init__(self, landmarks: list[str], v: np.ndarray, bias: float, scale: tuple[float, float]):
+        self.parts = (landmarks, v, bias, scale)
+        self.kernel, self.v, self.bias, self.scale = Kernel(landmarks), v.astype(np.float32), bias, scale
+        self.known: dict[str, float] = {}
+
+    def decide(self, texts: list[str | None]) -> np.ndarray:
+        """Greatest decision value of each text's words; that of nothing if it has none."""
+        words = [units(t) for t in texts]
+        known = self.known
+        new = [w for w in set().union(*words) if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(set().union(*words))
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            known.update(zip(part, (self.kernel([w.strip(_edge) for w in part]) @ self.v + self.bias).tolist()))
+        return np.array([max(map(known.__getitem__, w), default=self.bias) for w in words])
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        out = [self.decide([chunks(t) for t in texts[i : i + 64]]) for i in range(0, len(texts), 64)]
+        out = [self.decide(texts[i : i + 64]) for i in range(0, len(texts), 64)]
         z = self.scale[0] * np.concatenate(out) + self.scale[1] if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -159,7 +134,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n: dict[str, list] = {}
         for y, t in zip(b.column("y").to_pylist(), b.column("text").to_pylist()):
-            for w in {w for s in chunks(t) for w in s if 3 <= len(w) <= UNIT}:
+            for w in {x for w in units(t) if 3 <= len(x := w.strip(_edge)) <= UNIT}:
                 n.setdefault(w, [0, 0])[0 if y == 1 else 1] += 1
         yield pa.RecordBatch.from_pydict({"word": list(n), "bad": [x for x, _ in n.values()], "fine": [x for _, x in n.values()]}, pa.schema([("word", pa.string()), ("bad", pa.int64()), ("fine", pa.int64())]))
 
@@ -178,17 +153,26 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 400, decay:
     return w[:-1], float(w[-1])
 
 
+def _far_apart(words: list[str], most: int, room: float = 0.5) -> list[str]:
+    """The first words such that none is near to one before it."""
+    near, kept = Kernel(words)(words), []
+    for i in range(len(words)):
+        if len(kept) < most and (not kept or near[i, kept].max() < room):
+            kept.append(i)
+    return [words[i] for i in kept]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learns outside the held-out fold (crc32 of the id modulo 5 is 0); None without both labels.
 
-    Landmarks are the words that most tell toxic from clean texts, far from each other,
-    with some common clean words. A toxic text's label goes to its sentences that hold
-    one of the former at first and to those the machine finds worst after that.
+    Landmarks are the words that most tell toxic from clean sentences, far from each
+    other, with some common clean words. The machine learns the former against words of
+    clean texts; the scale is learned on whole texts.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y"))
     known = known.where((fold(F.col("doc_id"), 5) != 0) & F.col("y").isin(0, 1))
     ids = bounded(known.where("y = 1"), "doc_id", TOXIC).unionByName(bounded(known.where("y = 0"), "doc_id", CLEAN))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text").persist()
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select("y", "text").persist()
     try:
         sizes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
         if len(sizes) < 2:
@@ -197,58 +181,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         rate = lambda c, y: (F.col(c) + 0.5) / (sizes[y] + 1)
         gain = (F.col("bad") * F.log(rate("bad", 1) / rate("fine", 0))).alias("gain")
         bad = words.where("bad >= 3").select("word", "bad", "fine", gain).where("gain > 0").orderBy(F.desc("gain"), "word").limit(CONSIDERED).collect()
-        fine = words.orderBy(F.desc("fine"), "word").limit(400).collect()
-        lift = {r["word"]: r["bad"] / sizes[1] / ((r["fine"] + 0.5) / sizes[0]) for r in bad}
-        strong = [r["word"] for r in bad if lift[r["word"]] >= 4]
-        landmarks: list[str] = []
-        for pool, most, room in ((strong, LANDMARKS * 3 // 4, 0.7), ([r["word"] for r in fine], LANDMARKS, 0.3)):
-            for w in pool:
-                if len(landmarks) < most and (not landmarks or Kernel(landmarks)([w]).max() < room):
-                    landmarks.append(w)
-        if not landmarks:
+        common = words.orderBy(F.desc("fine"), "word").limit(CONSIDERED).collect()
+        others = words.where("fine > 0").orderBy(F.xxhash64("word"), "word").limit(4 * CONSIDERED).collect()
+        strong = [r["word"] for r in bad if r["bad"] / sizes[1] >= 8 * (r["fine"] + 0.5) / sizes[0]]
+        if not strong:
             return None
+        landmarks = _far_apart(strong[:600], LANDMARKS * 3 // 4) + [r["word"] for r in common if r["word"] not in strong][: LANDMARKS // 4]
         gram = Kernel(landmarks)(landmarks).astype(float)
         val, vec = np.linalg.eigh((gram + gram.T) / 2)
         half = vec @ np.diag(1 / np.sqrt(np.maximum(val, 0.05))) @ vec.T
-        probe = Model(landmarks, half, np.zeros(len(landmarks)), 0.0, (1.0, 0.0))
-        key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((probe.parts, set(strong)))
+        fine = sorted({r["word"] for r in [*common, *others]} - set(strong))
+        weight = np.array([r["bad"] for r in bad if r["word"] in set(strong)], float)
+        phi = Kernel(landmarks)([*strong, *fine]) @ half
+        y = np.r_[np.ones(len(strong)), np.zeros(len(fine))]
+        w, bias = svm(phi, y, np.r_[0.3 * weight / weight.sum(), np.full(len(fine), 0.7 / max(1, len(fine)))])
+        probe = Model(landmarks, half @ w, bias, (1.0, 0.0))
+        key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(probe.parts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts, marked = shared.value
-            own = _kept(key, parts)
+            own = _kept(key, shared.value)
             for b in batches:
-                texts = [chunks(t) for t in b.column("text").to_pylist()]
-                x, owner = own.sentences(texts)
-                hit = np.array([any(w in marked for w in s) for t in texts for s in t], bool)
-                y = np.array(b.column("y").to_pylist())[owner] if len(owner) else owner
-                # of a text the sentences nearest to any landmark of the strong words, four at most
-                near = np.lexsort((-x.max(1) if len(x) else [], owner))
-                rank = np.arange(len(near)) - np.r_[0, np.flatnonzero(np.diff(owner[near])) + 1][np.cumsum(np.r_[0, np.diff(owner[near]) != 0])] if len(near) else near
-                keep = near[rank < 4]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.array(b.column("doc_id").to_pylist())[owner[keep]].tolist(), pa.int64()), "y": pa.array(y[keep].tolist(), pa.int64()), "hit": pa.array(hit[keep].tolist(), pa.bool_()), "x": pa.array(x[keep].astype(float).tolist(), pa.list_(pa.float64()))})
-
-        got = rows.mapInArrow(run, "doc_id long, y long, hit boolean, x array<double>").toPandas()
+                z = own.decide(b.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int64()), pa.array(z, pa.float64())], ["y", "z"])
+
+        got = rows.mapInArrow(run, "y long, z double").toPandas()
     finally:
         rows.unpersist()
-    x, y, hit = np.array(got["x"].tolist()).reshape(len(got), -1), got["y"].to_numpy(), got["hit"].to_numpy()
-    text = np.unique(got["doc_id"], return_inverse=True)[1]
-    phi, positive = x @ half, (y == 1) & hit
-    if not positive.any():
-        positive = y == 1
-    for _ in range(3):
-        use = positive | (y == 0)
-        t = positive[use]
-        w, bias = svm(phi[use], t.astype(float), np.where(t, 0.5 / max(1, t.sum()), 0.5 / max(1, (~t).sum())))
-        z = phi @ w + bias
-        worst = np.full(text.max() + 1, -np.inf)
-        np.maximum.at(worst, text, z)
-        positive = (y == 1) & ((z >= worst[text]) | (z > 0.5))
-    label = np.zeros(len(worst))
-    label[text] = y
-    from .quality import fit_scale
-
-    a, b = fit_scale(worst * 4, label)
-    return Model(landmarks, half, w, bias, (4 * a, b))
+    a, b = fit_scale(got["z"].to_numpy() * 4, got["y"].to_numpy())
+    return Model(landmarks, half @ w, bias, (4 * a, b))
 
 
 _models: dict[str, Model] = {}
