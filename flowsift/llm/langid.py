@@ -37,7 +37,11 @@ def learning_rows(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
 
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"))
     known = known.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # only the lowest places of each language go to its window, so a very common one costs no more
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    known = known.join(sizes, "lang").withColumn("place", place).where(F.col("place") * F.col("rows") < 1.5 * rows)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     return known.withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("turn", "lang").limit(rows).select("doc_id", "lang").distinct()
 
 
