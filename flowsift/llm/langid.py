@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import fold
 
 #: Rows learned from, stratified by language; words and n-grams kept, by count.
-SAMPLE, WORDS, GRAMS, LONGEST = 8_000, 120_000, 120_000, 5
+SAMPLE, WORDS, GRAMS, LONGEST = 8_000, 100_000, 100_000, 5
 #: Rows of the table of words that a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 UNKNOWN = "und"
 
 _latin = re.compile("[a-zªµºß-öø-ɏ]+").findall  # the lower-case letters and others under U+0250
@@ -70,14 +70,16 @@ def _grams(word: str, sizes=range(1, LONGEST + 1)) -> list[str]:
 class Model:
     """Log frequencies by language of words and of n-grams; scores words it never saw by backoff."""
 
-    def __init__(self, langs: list[str], words: dict, grams: dict):
-        self.langs, self.grams = langs, grams
-        self.gram = {g: i for i, g in enumerate(grams)}
-        self.gram_rows = np.array(list(grams.values()), np.float32).reshape(len(grams), max(1, len(langs)))
-        self.rows, self.row = np.zeros((len(words) + REMEMBERED, max(1, len(langs))), np.float32), {}
-        for w, v in words.items():
-            self.rows[len(self.row)] = v
-            self.row[w] = len(self.row)
+    def __init__(self, langs: list[str], words: list[str], word_rows: np.ndarray, grams: list[str], gram_rows: np.ndarray):
+        self.parts = (langs, words, word_rows, grams, gram_rows)  # flat, so that it travels in little memory
+        self.langs, self.gram, self.gram_rows = langs, {g: i for i, g in enumerate(grams)}, gram_rows
+        self.row, self.rows = {w: i for i, w in enumerate(words)}, np.zeros((0, max(1, len(langs))), np.float32)
+
+    def _room(self) -> None:
+        """Room for words not met before; only where texts are scored."""
+        if not len(self.rows):
+            self.rows = np.zeros((len(self.row) + REMEMBERED, max(1, len(self.langs))), np.float32)
+            self.rows[: len(self.row)] = self.parts[2]
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the known n-grams of the greatest length at which any is known."""
@@ -91,6 +93,7 @@ class Model:
         words = Counter(_words((text or "").lower()))
         if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
             return UNKNOWN, 0.0
+        self._room()
         found, times = list(map(self.row.get, words)), np.fromiter(words.values(), np.float64, len(words))
         total = np.zeros(len(self.langs))
         if None in found:
@@ -107,13 +110,13 @@ class Model:
         return self.langs[int(total.argmax())], float(p.max() / p.sum())
 
 
-def _table(top: pd.DataFrame, totals: dict, langs: list[str], smooth: float) -> dict:
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    for lang, token, n in zip(top["lang"], top["token"], top["n"]):
-        counts.setdefault(token, np.zeros(len(langs)))[at[lang]] = n
-    size = np.array([totals.get(lang, 0) for lang in langs], float)
-    return {t: np.log((c + smooth) / (size + smooth * (len(counts) + 1))).astype(np.float32) for t, c in counts.items()}
+def _table(top: pd.DataFrame, totals: dict, langs: list[str], smooth: float) -> tuple[list[str], np.ndarray]:
+    """Tokens and their smoothed log frequencies by language."""
+    code, tokens = pd.factorize(top["token"])
+    counts = np.zeros((len(tokens), max(1, len(langs))))
+    counts[code, top["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(int)] = top["n"]
+    size = np.array([totals.get(lang, 0) for lang in langs] or [0], float)
+    return list(tokens), np.log((counts + smooth) / (size + smooth * (len(tokens) + 1))).astype(np.float32)
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
@@ -122,15 +125,13 @@ def fit(docs: DataFrame, rows: int = SAMPLE, words: int = WORDS, grams: int = GR
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select("lang", "text")
     counts = texts.mapInArrow(_count, "size long, lang string, token string, n long").groupBy("size", "lang", "token").agg(F.sum("n").alias("n")).persist()
     totals = {(r[0] > 0, r[1], r[0]): r[2] for r in counts.groupBy("size", "lang").agg(F.sum("n")).collect()}
-    by_count = lambda c, n: counts.where(c).orderBy(F.desc("n"), "token", "lang").limit(n).toPandas()
+    by_count = lambda c, n: counts.where(c).orderBy(F.desc("n"), "token", "lang").limit(n).toArrow().to_pandas()
     top_words, top_grams = by_count((F.col("size") == 0) & (F.col("n") > 1), words), by_count(F.col("size") > 0, grams)
     counts.unpersist()
     langs = sorted({lang for _, lang, _ in totals})
     known = _table(top_words, {lang: totals.get((False, lang, 0), 0) for lang in langs}, langs, 0.1)
-    parts: dict = {}
-    for n in range(1, LONGEST + 1):
-        parts |= _table(top_grams[top_grams["size"] == n], {lang: totals.get((True, lang, n), 0) for lang in langs}, langs, 0.1)
-    return Model(langs, known, parts)
+    parts = [_table(top_grams[top_grams["size"] == n], {lang: totals.get((True, lang, n), 0) for lang in langs}, langs, 0.1) for n in range(1, LONGEST + 1)]
+    return Model(langs, *known, [g for p in parts for g in p[0]], np.concatenate([p[1] for p in parts]))
 
 
 _models: dict[str, Model] = {}
@@ -168,8 +169,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def _shared(docs: DataFrame, model: Model):
-    words = {w: model.rows[r] for w, r in model.row.items()}
-    shared, key = docs.sparkSession.sparkContext.broadcast((model.langs, words, model.grams)), uuid.uuid4().hex
+    shared, key = docs.sparkSession.sparkContext.broadcast(model.parts), uuid.uuid4().hex
 
     def own() -> Model:
         if key not in _models:  # a worker keeps the words it has met from task to task

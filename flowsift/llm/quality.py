@@ -51,7 +51,7 @@ def _rows(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
             x = np.array([features(t) for t in raw(b.column("text"))]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([b.column(c).cast(pa.float64()) for c in keep] + [pa.array(x[:, i]) for i in range(N_FEATURES)], keep + names)
 
-    return got.mapInArrow(run, ", ".join(f"{c} double" for c in keep + names)).toPandas()
+    return got.mapInArrow(run, ", ".join(f"{c} double" for c in keep + names)).toArrow().to_pandas()
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
