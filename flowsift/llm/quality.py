@@ -107,11 +107,18 @@ def fit_scale(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
     """Logistic regression of a label on a raw score, by Newton steps with a light penalty."""
     if not len(z) or y.min() == y.max():
         return 1.0, 0.0
-    x, b = np.c_[z, np.ones(len(z))], np.array([1.0, 0.0])
+    x, b, prior = np.c_[z, np.ones(len(z))], np.array([1.0, 0.0]), np.array([1.0, 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        return float(np.logaddexp(0, -np.where(y > 0, 1, -1) * (x @ b)).sum() + 0.5 * ((b - prior) ** 2).sum())
+
     for _ in range(steps):
         p = _sigmoid(x @ b)
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.05 * np.eye(2)
-        b = b + np.linalg.solve(h, x.T @ (y - p) - 0.05 * (b - [1.0, 0.0]))
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
+        move, t = np.linalg.solve(h, x.T @ (y - p) - (b - prior)), 1.0
+        while t > 1e-4 and loss(b + t * move) > loss(b):  # halve steps that go too far
+            t /= 2
+        b = b + t * move
     return max(1e-3, float(b[0])), float(b[1])
 
 

@@ -25,6 +25,8 @@ from .quality import fit_scale
 TOXIC, CLEAN, LANDMARKS, CONSIDERED = 3_000, 6_000, 48, 4_000
 #: Longest span of a subsequence, weight of each step, longest word taken in one piece.
 SPAN, DECAY, UNIT = 7, 0.8, 24
+#: Least log-likelihood ratio of a word that tells toxic texts: chance gives no such word among millions.
+SURE = 24.0
 #: The kernel's power, a kernel itself: many slight matches don't add up to one good match.
 POWER = 3
 REMEMBERED = 600_000
@@ -178,9 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         if len(sizes) < 2:
             return None
         words = rows.mapInArrow(_words, "word string, bad long, fine long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
-        rate = lambda c, y: (F.col(c) + 0.5) / (sizes[y] + 1)
-        gain = (F.col("bad") * F.log(rate("bad", 1) / rate("fine", 0))).alias("gain")
-        bad = words.where("bad >= 3").select("word", "bad", "fine", gain).where("gain > 0").orderBy(F.desc("gain"), "word").limit(CONSIDERED).collect()
+        both, all_ = F.col("bad") + F.col("fine"), sizes[0] + sizes[1]
+        part = lambda c, y: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * all_ / (both * sizes[y]))).otherwise(0.0)
+        ratio = (2 * (part("bad", 1) + part("fine", 0))).alias("ratio")
+        bad = words.where("bad >= 3").select("word", "bad", "fine", ratio).where(F.col("ratio") >= SURE).orderBy(F.desc("ratio"), "word").limit(CONSIDERED).collect()
         common = words.orderBy(F.desc("fine"), "word").limit(CONSIDERED).collect()
         others = words.where("fine > 0").orderBy(F.xxhash64("word"), "word").limit(4 * CONSIDERED).collect()
         strong = [r["word"] for r in bad if r["bad"] / sizes[1] >= 8 * (r["fine"] + 0.5) / sizes[0]]
