@@ -21,7 +21,7 @@ def backoff(n: Column, delay: float = 1.0, most: float = 60.0, multiplier: float
 
 def as_int(text: Column) -> Column:
     """Whole number of a text, decimals cut off; null for anything else."""
-    return F.coalesce(text.try_cast("bigint"), F.when(text.rlike(r"^[+-]?[0-9]+\\.[0-9]*$"), F.split_part(text, F.lit("."), F.lit(1)).try_cast("bigint")))
+    return F.coalesce(text.try_cast("bigint"), F.when(text.rlike(r"^[+-]?[0-9]+[.][0-9]*$"), F.split_part(text, F.lit("."), F.lit(1)).try_cast("bigint")))
 
 
 def version_string(parts: Column) -> Column:
