@@ -30,13 +30,21 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import flowsift.jobs.records  # noqa: F401  (registers its queries)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    import flowsift.jobs.records  # noqa: F401
+
     return dict(_sql)
 
 
+def oracle_sql_of(name: str) -> str:
+    return _sql[name]
+
+
 def _with(*names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({duck(n)})" for n in names) + " "
 
@@ -438,7 +446,13 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- streams, as batches
-@query("r1_arbitrate_jobs")
+@query("r1_arbitrate_jobs", _with("commands") + """, e AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, seq) AS k FROM commands),
+r AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, FALSE AS there, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS VARCHAR) AS result FROM e
+  UNION ALL SELECT job, k, seq, CASE WHEN result = 'OK' THEN command NOT IN ('consume', 'trash') ELSE there END, CASE WHEN result <> 'OK' THEN owner WHEN command = 'claim' THEN who END, result FROM (
+    SELECT e.job, e.k, e.seq, e.command, e.who, r.there, r.owner, CASE WHEN command = 'post' THEN CASE WHEN there THEN 'ALREADY_POSTED' ELSE 'OK' END WHEN NOT there THEN 'UNKNOWN_JOB'
+      WHEN command = 'claim' THEN CASE WHEN owner IS NULL THEN 'OK' ELSE 'ALREADY_CLAIMED' END WHEN owner IS NULL THEN 'UNKNOWN_OWNER' WHEN owner = who THEN 'OK' ELSE 'WRONG_OWNER' END AS result
+    FROM r JOIN e ON e.job = r.job AND e.k = r.k + 1) q)
+SELECT job, seq, result FROM r WHERE k > 0""")
 def _(spark, d):
     return B.arbitrate_jobs(view(spark, d, "commands"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,7 +55,8 @@ def ancestors(edges: DataFrame, start: DataFrame, forward: bool = False) -> Data
     its own ancestor.
     """
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")) if forward else edges.select(F.col("dst").alias("at"), F.col("src").alias("next"))
-    frontier = start.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()
+    step = cut(step.distinct())  # read once, not in every round
+    frontier = cut(start.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct())
     seen, hops = None, 0
     while True:
         hops += 1
@@ -129,3 +130,23 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def apply_skips(edges: DataFrame, skipped: DataFrame) -> DataFrame:
     """Nodes that become ignored when the skipped nodes take all descendants with them."""
     return ancestors(edges, skipped, forward=True).select("node").unionByName(skipped.select("node")).distinct()
+
+
+def tree_order(tree: DataFrame, how: str = "dfs", flipped: bool = False) -> DataFrame:
+    """(node, depth, at): visiting order of trees (node, parent, child_idx), without a sort of all nodes.
+
+    dfs: `at` is the place from 0, children in the order they were added. bfs: order by depth,
+    then `at`, children in the reverse order. flipped turns the children round. A node comes
+    after its ancestors and after the whole subtrees of earlier siblings of itself and of
+    them, so places are sums over ancestor pairs.
+    """
+    added = (how == "dfs") != flipped
+    pairs = tree_paths(tree).select("node", "ancestor", "distance")
+    sizes = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("below"))
+    index = F.col("child_idx").asc() if added else F.col("child_idx").desc()
+    siblings = Window.partitionBy("parent").orderBy(index, F.col("node").asc() if added else F.col("node").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = tree.join(sizes, "node", "left").withColumn("n", F.coalesce("below", F.lit(0)) + 1)
+    earlier = earlier.select(F.col("node").alias("ancestor"), F.coalesce(F.sum("n").over(siblings), F.lit(0)).alias("earlier"))
+    own = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
+    summed = pairs.unionByName(own).join(earlier, "ancestor").groupBy("node").agg(F.max("distance").alias("depth"), F.sum(F.col("earlier") + 1).alias("steps"))
+    return summed.select("node", "depth", (F.col("steps") - 1).alias("at"))
