@@ -72,14 +72,15 @@ class Model:
 
     def __init__(self, langs: list[str], words: list[str], word_rows: np.ndarray, grams: list[str], gram_rows: np.ndarray):
         self.parts = (langs, words, word_rows, grams, gram_rows)  # flat, so that it travels in little memory
-        self.langs, self.gram, self.gram_rows = langs, {g: i for i, g in enumerate(grams)}, gram_rows
-        self.row, self.rows = {w: i for i, w in enumerate(words)}, np.zeros((0, max(1, len(langs))), np.float32)
+        self.langs, self.gram_rows, self.row = langs, gram_rows, None
 
     def _room(self) -> None:
-        """Room for words not met before; only where texts are scored."""
-        if not len(self.rows):
-            self.rows = np.zeros((len(self.row) + REMEMBERED, max(1, len(self.langs))), np.float32)
-            self.rows[: len(self.row)] = self.parts[2]
+        """The look-ups and room for words not met before; only where texts are scored, never on the driver."""
+        if self.row is None:
+            _, words, word_rows, grams, _ = self.parts
+            self.row, self.gram = {w: i for i, w in enumerate(words)}, {g: i for i, g in enumerate(grams)}
+            self.rows = np.zeros((len(words) + REMEMBERED, max(1, len(self.langs))), np.float32)
+            self.rows[: len(words)] = word_rows
 
     def unseen(self, word: str) -> np.ndarray:
         """Mean over the known n-grams of the greatest length at which any is known."""
