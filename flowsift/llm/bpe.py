@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces remembered by a Python worker; older ones are forgotten by halves.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 
 
 def byte_symbols() -> list[str]:

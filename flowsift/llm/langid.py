@@ -18,7 +18,7 @@ from .common import fold
 #: Rows learned from, stratified by language; words and n-grams kept, by count.
 SAMPLE, WORDS, GRAMS, LONGEST = 8_000, 100_000, 100_000, 5
 #: Rows of the table of words that a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 UNKNOWN = "und"
 
 _latin = re.compile("[a-zªµºß-öø-ɏ]+").findall  # the lower-case letters and others under U+0250
