@@ -11,13 +11,13 @@ links leaves a bucket, never all pairs of a group.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, raw
@@ -89,15 +89,6 @@ def covering_triples() -> list[tuple[int, ...]]:
     return [t for t in itertools.combinations(range(8), 3) if belongs(t)]
 
 
-def probing_sets(n_bytes: int, size: int, equal: float, miss: float) -> list[tuple[int, ...]]:
-    """So many sets of byte positions that a pair whose bytes agree with probability
-    `equal` meets under none of them with probability `miss`; spread evenly by a fixed seed."""
-    rng, out = np.random.default_rng(7), []
-    for _ in range(math.ceil(math.log(miss) / math.log(1 - equal**size))):
-        out.append(tuple(sorted(int(p) for p in rng.choice(n_bytes, size, replace=False))))
-    return list(dict.fromkeys(out))
-
-
 # ---------------------------------------------------------------- index and links
 def _index(distinct: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
     byte = lambda p: F.substring("fp", p + 1, 1)
@@ -266,30 +257,188 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
 
 
 # ---------------------------------------------------------------- whole-document similarity
-LANES = 4
+#: Texts from which common shingles are counted, and how many of these are told to every task.
+SAMPLE, COMMON = 20_000, 200_000
+#: Shingles of a chunk of a group; two chunks are compared within one block.
+VOLUME = 500_000
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order."""
+    digests = b"".join([xxhash.xxh64_digest(s, 42) for s in set(_shingles(text, words))])
+    return np.unique(np.frombuffer(digests, ">i8").astype(np.int64))
+
 
+def _node(found: np.ndarray) -> int | None:
+    """A number for a set of shingles; null for the empty set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64)) if len(found) else None
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: float = 0.08) -> DataFrame:
-    """(doc_id, fp, component_id) by shingle similarity as the fingerprint measures it.
 
-    A similarity of 0.8 is some 15 % of differing bits, beyond what 64 bits can index, so
-    this takes four lanes (256 bits), indexes pairs or triples of byte positions (more
-    positions the more fingerprints there are, for buckets of a steady size; so many sets
-    that a pair at the threshold is missed with probability `miss`, closer ones far less)
-    and links fingerprints whose distance is that of the similarity or less. Null and
-    wordless texts form no group: each stays alone.
+def _prefix(n: int, p: int, q: int) -> int:
+    """So many shingles of a set of n can't all be missing from a set of similarity p / q."""
+    return n - -(-n * p // q) + 1
+
+
+def similar_sets(sets: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
+    """Spanning forest of all pairs of sets whose Jaccard similarity is p / q or more.
+
+    Breadth-first search; an inverted index counts what one set shares with all that are
+    not reached yet, and is built anew when half of them are gone.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    apart = math.acos(cosine) / math.pi
-    rows = cut(fingerprints(docs, words, LANES))
-    empty = bytes(8 * LANES)
-    nodes = rows.where(F.col("fp") != F.lit(empty)).groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = cut(nodes.withColumn("node", F.xxhash64("fp")))
-    size = 2 if nodes.count() <= 1 << 24 else 3
-    sets = probing_sets(8 * LANES, size, (1 - apart) ** 8, miss)
-    found = connected_components(links(nodes, sets, round(64 * LANES * apart), size))
-    grouped = nodes.join(found, "node")
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "component_id")
-    named = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    m, size = len(sets), np.array([len(s) for s in sets])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    at = np.r_[0, np.cumsum(size)]
+    owner, kinds = np.repeat(np.arange(m), size), int(token.max(initial=-1)) + 1
+
+    def index(alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        held = np.flatnonzero(alive[owner])
+        order = held[np.argsort(token[held], kind="stable")]
+        return owner[order], np.searchsorted(token[order], np.arange(kinds + 1))
+
+    alive, pairs = np.ones(m, bool), []
+    left = indexed = m
+    rows, start = index(alive)
+    for first in range(m):
+        if not alive[first]:
+            continue
+        alive[first], queue, left = False, [first], left - 1
+        while queue:
+            if not left:
+                return pairs
+            if 2 * left < indexed:
+                indexed, (rows, start) = left, index(alive)
+            x = queue.pop()
+            t = token[at[x] : at[x + 1]]
+            n = start[t + 1] - start[t]
+            spots = np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(rows[spots], minlength=m)
+            near = np.flatnonzero(alive & (common * (p + q) >= p * (size[x] + size)))
+            alive[near], left = False, left - len(near)
+            pairs.extend((x, int(y)) for y in near)
+            queue.extend(int(y) for y in near)
+    return pairs
+
+
+def _common(texts: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles met more than once in a sample of texts, ascending, and how often."""
+    share = min(1.0, SAMPLE / max(total, 1))
+    sample = texts.where(F.pmod(F.xxhash64(F.col("text_hash")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in raw(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words))], ["h"])
+
+    counts = sample.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _chains(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, p: int, q: int) -> DataFrame:
+    """(u, v): links that connect every two sets which can be similar, and some others.
+
+    Similar sets share one of their rarest shingles (prefix filter, exact under any fixed
+    order) and differ little in size, so under each shingle the sets are chained by size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common
+        seen: set[int] = set()
+        for b in batches:
+            keys, nodes, sizes = [], [], []
+            for t in raw(b.column(0)):
+                found = shingle_set(t, words)
+                node = _node(found)
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                often = np.zeros(len(found), np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                    often = np.where(known[place] == found, counts[place], 0)
+                rare = found[np.lexsort((found, often))[: _prefix(len(found), p, q)]]
+                keys.append(rare)
+                nodes.append(np.full(len(rare), node))
+                sizes.append(np.full(len(rare), len(found), np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], ["key", "node", "n"])
+
+    index = texts.select("text").mapInArrow(run, "key long, node long, n int")
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    chained = index.select("node", "n", F.lag("node").over(by_size).alias("before"), F.lag("n").over(by_size).alias("m"))
+    return chained.where(f"node <> before and m * {q}L >= n * {p}L").select(F.col("before").alias("u"), F.col("node").alias("v"))
+
+
+def _similar(texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """(u, v): exact links of the texts (node, root, text, chunks) within a root."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, words).tobytes() for t in raw(b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], ["node", "root", "chunks", "found"])
+
+    rows = texts.select("node", "root", "chunks", "text").mapInArrow(sets, "node long, root long, chunks int, found binary")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    rows = rows.select("node", "root", "found", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    rows = rows.where("chunk <> other or chunk = 0").select("root", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node", "found")
+    rows = rows.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, nodes, held, u, v = None, [], [], [], []
+
+        def done() -> None:
+            for x, y in similar_sets(held, p, q) if len(held) > 1 else ():
+                u.append(nodes[x])
+                v.append(nodes[y])
+
+        for b in batches:
+            for root, i, j, node, found in zip(*(c.to_pylist() for c in b.columns)):
+                if (root, i, j) != block:
+                    done()
+                    block, nodes, held = (root, i, j), [], []
+                nodes.append(node)
+                held.append(np.frombuffer(found, np.int64))
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            u, v = [], []
+        done()
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, component_id, component_text): groups by exact shingle similarity.
+
+    Two texts are linked if the Jaccard similarity of their sets of five-word shingles is
+    0.8 or more; a group is what links connect. A prefix filter gives loose groups that
+    hold every such pair, and within a loose group the sets themselves are compared, so
+    nothing is missed or linked beyond the similarity but for collisions of 64-bit hashes.
+    The order of shingles by their counts in a sample decides how large loose groups get,
+    not what is linked. (component_id, component_text) names the least row of a group that
+    has an id. Null and wordless texts form no group: each stays alone.
+    """
+    exact = Fraction(similarity).limit_denominator(1000)
+    p, q = exact.numerator, exact.denominator
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(t, words) for t in raw(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32())], ["doc_id", "text_hash", "node", "n"])
+
+    rows = cut(texts.select("doc_id", "text_hash", "text").mapInArrow(numbered, "doc_id long, text_hash long, node long, n int"))
+    loose = connected_components(_chains(texts, _common(texts, rows.count(), words), words, p, q))
+    # one text for each set that may be similar to another one
+    met = rows.join(loose, "node").groupBy("node", "root").agg(F.min(F.struct("text_hash", "doc_id")).alias("row"), F.first("n").alias("n"))
+    volume = met.groupBy("root").agg(F.ceil(F.sum("n") / VOLUME).cast("int").alias("chunks"))
+    met = cut(met.join(volume, "root").select("node", "root", "chunks", "row.text_hash", F.col("row.doc_id").alias("id")))
+    read = texts.join(met, (texts["text_hash"] == met["text_hash"]) & texts["doc_id"].eqNullSafe(met["id"]))
+    found = connected_components(_similar(read.select("node", "root", "chunks", "text"), words, p, q))
+    named = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("component_id"), F.col("text_hash").alias("component_text")))
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(named).alias("own"))
+    nodes = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = nodes.join(nodes.groupBy("root").agg(F.min("own").alias("least")), "root").select("node", "least")
+    alone = F.when(F.col("node").isNull(), named)
+    return rows.join(least, "node", "left").withColumn("least", F.coalesce("least", alone)).select("doc_id", "text_hash", "least.component_id", "least.component_text")

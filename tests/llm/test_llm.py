@@ -97,6 +97,30 @@ def test_groups_find_similar_texts_and_leave_others(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
 
 
+def test_groups_equal_brute_force_around_the_similarity(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VOLUME", 300, raising=False)  # so that groups are dealt into chunks
+    rng = random.Random(8)
+    texts = {}
+    for n in (6, 20, 60, 150, 400) * 5:
+        base = words(rng, n, 5000).split()
+        for _ in range(6):  # from well over the similarity to well under it
+            altered = list(base)
+            for _ in range(rng.randrange(1, 2 + n // 50)):
+                altered[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(altered)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    close = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in range(i)]
+    assert sum(0.8 <= x < 0.87 for x in close) > 9 and sum(0.7 < x < 0.8 for x in close) > 9
+    comp = {i: i for i in sets}
+    for _ in range(8):
+        for i in sets:
+            for j in range(i):
+                if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs(spark, texts)).collect()}
+    assert got == comp
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     item, other = words(rng, 40, 9000), words(rng, 30, 9000)
