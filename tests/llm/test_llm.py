@@ -121,6 +121,21 @@ def test_groups_equal_brute_force_around_the_similarity(spark, monkeypatch):
     assert got == comp
 
 
+def test_groups_are_the_same_at_every_size(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = {}
+    for i in range(0, 120, 3):
+        base = words(rng, 60, 5000).split()
+        for j in range(3):
+            texts[i + j] = " ".join(base[:30] + [f"x{i + j}"] * (j > 0) + base[30 + (j > 0) :])
+    few = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs(spark, texts)).collect()}
+    monkeypatch.setattr(simhash, "SAMPLE", 1, raising=False)  # as where a table is far larger than its sample
+    monkeypatch.setattr(simhash, "VOLUME", 60, raising=False)
+    many = {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs(spark, texts)).collect()}
+    assert few == many == {i: i - i % 3 for i in texts}
+    assert not hasattr(simhash, "probing_sets")  # position sets were chosen by the number of fingerprints
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     item, other = words(rng, 40, 9000), words(rng, 30, 9000)
