@@ -145,15 +145,32 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All rows and columns with every confirmed span of the text replaced by its kind in
-    brackets, kind by kind. A null text stays null."""
-    for kind in ("iban", *BASE):  # a column each, so that no expression is written out twice
-        docs = docs.withColumn("text", _redacted(kind, F.col("text")))
-    return docs
-
-
-def _redacted(kind: str, text: Column) -> Column:
-    gaps, found = _pieces(kind, text)
-    told = F.transform(found, lambda m: F.when(valid(kind, m), f"[{kind.upper()}]").otherwise(m))
-    woven = F.array_join(F.flatten(F.zip_with(gaps, F.concat(told, F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
-    return F.when(_possible(kind, text), woven).otherwise(text)
+    """All rows and columns with every span that detect() confirms replaced by its kind in
+    brackets. Spans are those of the unchanged text; overlapping ones are one span, named by
+    the kind that starts first (of one start: as listed). A null text stays null."""
+    names = docs.columns
+    text = F.col("text")
+    found = docs.select("*", *[_spans(k, F.coalesce(text.cast("string"), F.lit(""))).alias(f"__of_{k}") for k in KINDS])
+    found = found.select(*names, _merged(F.array_sort(F.concat(*[f"__of_{k}" for k in KINDS]))).alias("__spans"))
+    return found.select(*[_woven(text.cast("string"), F.col("__spans")).alias(n) if n == "text" else F.col(n) for n in names])
+
+
+def _merged(spans: Column) -> Column:
+    """Spans by start with overlapping ones made one; spans that only touch stay apart."""
+    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+
+    def step(a: Column, s: Column) -> Column:
+        last = F.element_at(a, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        apart = F.array_append(a, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        return F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(longer))).otherwise(apart)
+
+    return F.aggregate(spans, empty, step)
+
+
+def _woven(text: Column, spans: Column) -> Column:
+    """The gaps between the spans and the spans' labels in turn."""
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
+    parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    rest = F.substring(text, F.get(spans, F.size(spans) - 1)["end"] + 1, F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), rest))

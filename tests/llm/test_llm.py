@@ -204,6 +204,18 @@ def test_pii(spark):
     assert "4111 1111 1111 1111 " not in clean and "[CARD]" in clean and "4111 1111 1111 1112" in clean and "[IBAN]" in clean
 
 
+def test_redaction_replaces_the_spans_of_the_unchanged_text(spark):
+    texts = {
+        "tel +33.1.42.68.53.00 now": "tel [PHONE] now",  # holds an ip
+        "+1.2.3.4 5555.66 and 4111 1111 1111 1111": "[PHONE] and [CARD]",
+        "me@1.2.3.4, DE89370400440532013000 é 1.2.3.4": "[EMAIL], [IBAN] é [IP]",
+        "none": "none", "": "", None: None,
+    }
+    d = docs(spark, dict(enumerate(texts)))
+    clean = pii.redact(d)
+    assert clean.columns == d.columns and {r.doc_id: r.text for r in clean.collect()} == dict(enumerate(texts.values()))
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(0, 0.2, (300, 16)).astype(np.float32)
