@@ -273,3 +273,16 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and out["doc_id"].is_unique and corpus_pipeline.ORACLE_SQL is None
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "tokens"]
+
+
+def test_pipeline_tells_rows_with_one_id_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    a, b, c, item = (words(rng, 60, 5000) for _ in range(4))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = lambda d: sorted((r.doc_id or 0, r.text) for r in d.collect())
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, [(1, a), (2, a), (2, b), (3, b), (4, c), (None, c)]), str(tmp_path))
+    assert rows(kept) == sorted([(1, a), (2, b), (4, c), (0, c)])
+    clean = corpus_pipeline.decontamination(spark, docs(spark, [(1, a), (1, item + " " + b), (2, c), (None, item)]), str(tmp_path))
+    assert rows(clean) == sorted([(1, a), (2, c)])
