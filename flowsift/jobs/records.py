@@ -57,7 +57,7 @@ def _(spark, d):
     text = """CASE WHEN part % 11 = 0 THEN '"text"' ELSE concat('{"exception_str":"boom",', CASE WHEN part % 7 = 0 THEN '' ELSE '"traceback_str":"",' END, '"exc_type_names":["', failure, CASE WHEN part % 3 = 0 THEN '"]' ELSE '","Exception"]' END,
       CASE WHEN part % 5 = 0 THEN ',"version":-1' ELSE ',"version":1' END, CASE WHEN pos % 2 = 0 THEN concat(',"causes":[{"exception_str":"a","traceback_str":"","exc_type_names":["', CASE WHEN part % 2 = 0 THEN 'object' ELSE 'BaseException' END, '"]}]') ELSE '' END, '}') END"""
     rows = view(spark, d, "atoms").where("failure IS NOT NULL").select("flow", F.col("pos").cast("bigint").alias("pos"), F.expr(text).alias("record"))
-    return R.validate_failures(rows).select("flow", "pos", "problem")
+    return R.validate_failures(rows, depth=None).select("flow", "pos", "problem")
 
 
 @query("f8_validate_messages", _with("requests") + """SELECT seq, CASE seq % 3 WHEN 0 THEN 'NOTIFY' WHEN 1 THEN 'REQUEST' ELSE 'RESPONSE' END AS kind,

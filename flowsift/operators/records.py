@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import cut
 from .states import PRIORITIES
 
 # Root types of failures; actions and states of messages.
@@ -25,15 +26,15 @@ def kind(value: Column, path: str = "$") -> Column:
     return F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_variant_get(value, path, "variant")), "^[A-Z]+", 0), F.lit("MISSING"))
 
 
-def failure_problem(v: Column, depth: int = 3) -> Column:
-    """The first thing wrong with a failure variant, null if it is valid.
+def _causes(v: Column) -> Column:
+    return F.try_variant_get(v, "$.causes", "array<variant>")
 
-    Nested causes are followed `depth` deep; a failure nested deeper is reported as such.
-    """
-    types, causes = F.try_variant_get(v, "$.exc_type_names", "array<variant>"), F.try_variant_get(v, "$.causes", "array<variant>")
+
+def own_problem(v: Column) -> Column:
+    """The first thing wrong with a failure variant itself, whatever its causes hold."""
+    types = F.try_variant_get(v, "$.exc_type_names", "array<variant>")
     root = F.try_variant_get(F.try_element_at(types, F.lit(-1)), "$", "string")
     version = F.try_variant_get(v, "$.version", "bigint")
-    deeper = F.exists(causes, lambda c: failure_problem(c, depth - 1).isNotNull()) if depth else F.size(causes) > 0
     return (
         F.when(kind(v) != "OBJECT", "not an object")
         .when(kind(v, "$.exception_str") != "STRING", "exception_str")
@@ -44,18 +45,74 @@ def failure_problem(v: Column, depth: int = 3) -> Column:
         .when(~kind(v, "$.exc_args").isin("MISSING", "ARRAY"), "exc_args")
         .when(~kind(v, "$.causes").isin("MISSING", "ARRAY"), "causes")
         .when(~root.isin(ROOTS), "root type")
-        .when(F.coalesce(deeper, F.lit(False)), "causes" if depth else "causes nested too deep")
     )
 
 
-def validate_failures(df: DataFrame, column: str = "record") -> DataFrame:
-    """Adds `problem`: null for a valid failure; text that isn't JSON is 'not an object'."""
+def failure_problem(v: Column, depth: int = 3) -> Column:
+    """The first thing wrong with a failure variant, null if it is valid.
+
+    Nested causes are followed `depth` deep; a failure nested deeper is reported as such.
+    """
+    deeper = F.exists(_causes(v), lambda c: failure_problem(c, depth - 1).isNotNull()) if depth else F.size(_causes(v)) > 0
+    return F.coalesce(own_problem(v), F.when(deeper, "causes" if depth else "causes nested too deep"))
+
+
+def bad_causes(failures: DataFrame) -> DataFrame:
+    """Distinct (key, place) of failures (key, place, v) with something wrong in a cause at any depth.
+
+    One level of causes a round, until no cause is left; lineage is cut each round.
+    """
+    below = lambda df: cut(df.select("key", "place", F.explode(_causes(F.col("v"))).alias("v")))
+    level, bad = below(failures), failures.select("key", "place").where("false")
+    while not level.isEmpty():
+        bad = bad.unionByName(level.where(own_problem(F.col("v")).isNotNull()).select("key", "place"))
+        level = below(level)
+    return bad.distinct()
+
+
+def _key(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def validate_failures(df: DataFrame, column: str = "record", depth: int | None = 3) -> DataFrame:
+    """Adds `problem`: null for a valid failure; text that isn't JSON is 'not an object'.
+
+    Without a depth every cause is followed, which runs a job for each level of causes.
+    """
     v = F.try_parse_json(F.col(column))
-    return df.withColumn("problem", F.when(v.isNull(), "not an object").otherwise(failure_problem(v)))
+    if depth is not None:
+        return df.withColumn("problem", F.when(v.isNull(), "not an object").otherwise(failure_problem(v, depth)))
+    texts = df.select(F.col(column).alias("text")).where(F.col(column).isNotNull()).distinct()
+    bad = bad_causes(texts.select(_key(F.col("text")).alias("key"), F.lit("failure").alias("place"), F.try_parse_json("text").alias("v")))
+    marked = df.withColumn("__key", _key(F.col(column))).join(bad.select(F.col("key").alias("__key"), F.lit(True).alias("__bad")), "__key", "left")
+    problem = F.when(v.isNull(), "not an object").otherwise(F.coalesce(own_problem(v), F.when(F.col("__bad"), "causes")))
+    return marked.withColumn("problem", problem).select(*df.columns, "problem")
+
+
+def _failures(v: Column) -> Column:
+    return F.map_values(F.try_variant_get(v, "$.failures", "map<string,variant>"))
+
+
+def _failed(v: Column) -> Column:
+    return F.try_variant_get(v, "$.result[0]", "string") == "failure"
+
+
+def _result(v: Column) -> Column:
+    return F.try_variant_get(v, "$.result[1]", "variant")
 
 
 def validate_messages(df: DataFrame, column: str = "record", kind_column: str = "kind") -> DataFrame:
-    """Adds `problem` for messages of the kinds NOTIFY, REQUEST and RESPONSE; null for valid ones."""
+    """Adds `problem` for messages of the kinds NOTIFY, REQUEST and RESPONSE; null for valid ones.
+
+    Every cause of an embedded failure is followed, which runs a job for each level of causes.
+    """
+    requests = df.where(F.col(kind_column) == "REQUEST").select(F.col(column).alias("text")).where(F.col(column).isNotNull()).distinct()
+    requests = requests.select(_key(F.col("text")).alias("key"), F.try_parse_json("text").alias("v"))
+    given = requests.select("key", F.lit("failures").alias("place"), F.explode(_failures(F.col("v"))).alias("v"))
+    ended = requests.where(_failed(F.col("v"))).select("key", F.lit("result").alias("place"), _result(F.col("v")).alias("v"))
+    bad = bad_causes(given.unionByName(ended)).groupBy(F.col("key").alias("__key")).agg(F.collect_set("place").alias("__bad"))
+    names, df = df.columns, df.withColumn("__key", _key(F.col(column))).join(bad, "__key", "left")
+    nested = lambda place: F.coalesce(F.array_contains("__bad", place), F.lit(False))
     text, v = F.col(column), F.try_parse_json(F.col(column))
     keys = F.json_object_keys(text)
     others = lambda found, *known: F.size(F.array_except(found, F.array(*map(F.lit, known)))) > 0
@@ -64,15 +121,14 @@ def validate_messages(df: DataFrame, column: str = "record", kind_column: str =
         F.when(others(keys, "topic", "tasks"), "other keys").when(kind(v, "$.topic") != "STRING", "topic")
         .when((kind(v, "$.tasks") != "ARRAY") | F.exists(tasks, lambda t: kind(t) != "STRING"), "tasks")
     )
-    failures = F.map_values(F.try_variant_get(v, "$.failures", "map<string,variant>"))
-    outcome = F.when(F.try_variant_get(v, "$.result[0]", "string") == "failure", failure_problem(F.try_variant_get(v, "$.result[1]", "variant")))
     request = (
         F.when(kind(v, "$.task_cls") != "STRING", "task_cls").when(kind(v, "$.task_name") != "STRING", "task_name")
         .when(~kind(v, "$.task_version").isin("STRING", "ARRAY"), "task_version")
         .when(~F.coalesce(F.try_variant_get(v, "$.action", "string"), F.lit("")).isin(ACTIONS), "action")
         .when(~kind(v, "$.arguments").isin("MISSING", "OBJECT"), "arguments")
         .when(~kind(v, "$.failures").isin("MISSING", "OBJECT"), "failures")
-        .when(F.exists(failures, lambda f: failure_problem(f).isNotNull()), "failures").when(outcome.isNotNull(), "result")
+        .when(F.exists(_failures(v), lambda f: own_problem(f).isNotNull()) | nested("failures"), "failures")
+        .when(_failed(v) & (own_problem(_result(v)).isNotNull() | nested("result")), "result")
     )
     inner = F.json_object_keys(F.get_json_object(text, "$.data"))
     event = ~others(inner, "event_type", "details") & (kind(v, "$.data.event_type") == "STRING") & (kind(v, "$.data.details") == "OBJECT")
@@ -83,7 +139,7 @@ def validate_messages(df: DataFrame, column: str = "record", kind_column: str =
     )
     k = F.col(kind_column)
     by_kind = F.when(k == "NOTIFY", notify).when(k == "REQUEST", request).when(k == "RESPONSE", response).otherwise("kind")
-    return df.withColumn("problem", F.when(v.isNull() | (kind(v) != "OBJECT"), "not an object").otherwise(by_kind))
+    return df.withColumn("problem", F.when(v.isNull() | (kind(v) != "OBJECT"), "not an object").otherwise(by_kind)).select(*names, "problem")
 
 
 def parse_postings(df: DataFrame, column: str = "record") -> DataFrame:

@@ -37,6 +37,16 @@ def test_messages(spark):
     assert problems(spark, R.validate_messages, [{"topic": "t", "tasks": []}, {"topic": "t"}], "OTHER") == ["kind", "kind"]
 
 
+def test_every_cause_is_followed(spark):
+    nested = lambda n, last="BaseException": GOOD | {"causes": [GOOD, nested(n - 1, last)]} if n else GOOD | {"exc_type_names": [last]}
+    check = lambda df: R.validate_failures(df, depth=None)
+    records = [GOOD, nested(3), nested(4), nested(9), nested(9, "object"), nested(9, "object"), nested(1, "object"), nested(2) | {"version": -1}, GOOD | {"causes": 5}, "no json", None]
+    assert problems(spark, check, records) == [None, None, None, None, "causes", "causes", "causes", "version", "causes", "not an object", "not an object"]
+    request = {"task_cls": "c", "task_name": "n", "task_version": "1.0", "action": "execute"}
+    requests = [request | {"failures": {"a": nested(7)}}, request | {"failures": {"a": GOOD, "b": nested(7, "object")}}, request | {"result": ["failure", nested(7)]}, request | {"result": ["failure", nested(7, "object")]}, request | {"result": ["success", nested(7, "object")]}]
+    assert problems(spark, R.validate_messages, requests, "REQUEST") == [None, "failures", None, "result", None]
+
+
 def test_postings_and_envelopes(spark):
     df = spark.createDataFrame([('{"uuid":"u","name":"n"}',), ('{"uuid":"u","name":"n","priority":"vEry_high"}',), ('{"name":"n"}',), ("[]",), (None,)], "record string")
     assert [(r.priority, r.problem) for r in R.parse_postings(df).collect()] == [("NORMAL", None), ("VERY_HIGH", None), (None, "uuid"), (None, "not an object"), (None, "not an object")]
