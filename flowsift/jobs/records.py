@@ -147,8 +147,9 @@ def _(spark, d):
 @query("d1_foreach", _with("transitions") + """, n AS (SELECT item, count(*) FILTER (WHERE state = 'PENDING') AS p, count(*) FILTER (WHERE state = 'RUNNING') AS r, count(*) FILTER (WHERE state = 'SUCCESS') AS s FROM transitions GROUP BY item),
 v AS (SELECT item, CASE WHEN p < 1 THEN 'PENDING' WHEN r < 2 THEN 'RUNNING' WHEN s < 1 THEN 'SUCCESS' END AS value FROM n) SELECT item, CASE WHEN value IS NULL THEN 'REVERT' ELSE 'RETRY' END AS decision, value FROM v""")
 def _(spark, d):
-    tried = view(spark, d, "transitions").groupBy("item").agg(F.collect_list("state").alias("tried"))
-    values = F.array(*map(F.lit, ["PENDING", "RUNNING", "RUNNING", "SUCCESS"]))
+    values = ["PENDING", "RUNNING", "RUNNING", "SUCCESS"]
+    tried = T.tried_values(view(spark, d, "transitions"), "item", "state", len(values))
+    values = F.array(*map(F.lit, values))
     return tried.select("item", T.foreach_decision(values, F.col("tried")).alias("d")).select("item", "d.decision", "d.value")
 
 

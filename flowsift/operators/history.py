@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import cut
 from .states import ALLOWED, FINISHES, FLOW_IGNORED, STARTS
 
 
@@ -106,8 +107,25 @@ def last_transitions(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def duration_stats(timed: DataFrame) -> DataFrame:
-    d = F.col("duration")
-    return timed.groupBy("item_type").agg(F.count("*").alias("n"), F.round(F.avg(d), 4).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"), F.round(F.percentile(d, F.lit(0.5)), 4).alias("median"))
+    """Count, mean, extremes and exact median of durations by item type.
+
+    Durations are counted and the counts dealt into ranges; totals of the ranges tell where
+    the middle places are, and only the ranges that hold one are ranked. So no task or
+    buffer holds all durations of an item type.
+    """
+    d, n = F.col("duration"), F.col("n")
+    counts = timed.groupBy("item_type", "duration").agg(F.count("*").alias("n"))
+    counts = cut(counts.repartitionByRange("item_type", "duration").withColumn("part", F.spark_partition_id()))
+    known = F.sum(F.when(d.isNotNull(), n))
+    stats = counts.groupBy("item_type").agg(F.sum(n).alias("n"), F.round(F.sum(d * n) / known, 4).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"), known.alias("known"))
+    places = stats.select("item_type", F.floor((F.col("known") - 1) / 2).alias("low"), F.ceil((F.col("known") - 1) / 2).alias("high"))
+    given = counts.where(d.isNotNull())
+    parts = given.groupBy("item_type", "part").agg(F.sum(n).alias("held"))
+    parts = parts.withColumn("before", F.sum("held").over(Window.partitionBy("item_type").orderBy("part")) - F.col("held"))
+    parts = parts.join(places, "item_type").where("before <= high and before + held > low")
+    ranked = given.join(parts, ["item_type", "part"]).withColumn("to", F.col("before") + F.sum(n).over(Window.partitionBy("item_type", "part").orderBy("duration")))
+    middle = ranked.where("to > low and to - n <= high").groupBy("item_type").agg(F.round((F.min(d) + F.max(d)) / 2, 4).alias("median"))
+    return stats.join(middle, "item_type", "left").select("item_type", "n", "mean", "least", "most", "median")
 
 
 def seconds_per_state(df: DataFrame, states: list[str]) -> DataFrame:

@@ -49,6 +49,17 @@ def record_retry_failures(attempts: DataFrame, failures: DataFrame) -> DataFrame
     return both.select("item", "attempt", F.coalesce("failures", nothing).alias("failures"), F.when(F.col("attempt").isNull(), "NO_ATTEMPT").alias("problem"))
 
 
+def tried_values(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """(key, tried): each value as often as it was tried, but `most` times at the most.
+
+    Values are counted first, so that a row never holds a key's whole history; for
+    foreach_decision `most` is the number of values to try.
+    """
+    counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
+    times = F.when(F.col(value).isNotNull(), F.array_repeat(F.col(value), F.least("n", F.lit(most)).cast("int"))).otherwise(F.array().cast("array<string>"))
+    return counts.groupBy(key).agg(F.flatten(F.collect_list(times)).alias("tried"))
+
+
 def foreach_decision(values: Column, tried: Column, revert_all: bool = False) -> Column:
     """struct(decision, value): the first value that wasn't tried yet, else the way of giving up."""
     left = array_minus(values, tried)

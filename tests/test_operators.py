@@ -1,5 +1,6 @@
 """Small golden cases of the workflow-history operators."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -109,3 +110,19 @@ def test_functors(spark):
     assert tuple(X.map_columns(df, lambda x: x * 2, ["a", "b"], ["x", "y"]).select("x", "y").first()) == (2, 4)
     with pytest.raises(ValueError):
         X.reduce_columns(df, lambda x, y: x, ["a"], "r")
+
+
+def test_median_is_exact_and_needs_no_buffer_of_a_whole_type(spark, capsys):
+    import statistics
+
+    rng = random.Random(11)
+    rows = [("t", float(rng.randrange(300))) for _ in range(1501)] + [("r", rng.random()) for _ in range(1000)] + [("one", 2.5), ("two", 1.0), ("two", 4.0), ("same", 3.0), ("same", 3.0), ("none", None), ("t", None)]
+    out = H.duration_stats(spark.createDataFrame(rows, "item_type string, duration double").repartition(7))
+    got = {r.item_type: r for r in out.collect()}
+    for kind in {k for k, _ in rows}:
+        d = [x for k, x in rows if k == kind and x is not None]
+        assert got[kind].n == sum(k == kind for k, _ in rows)
+        assert (got[kind].least, got[kind].most) == ((min(d), max(d)) if d else (None, None))
+        assert got[kind].median == (round(statistics.median(d), 4) if d else None) and (not d or abs(got[kind].mean - statistics.mean(d)) < 1e-4)
+    out.explain(True)
+    assert "percentile" not in capsys.readouterr().out.lower()

@@ -121,3 +121,9 @@ def test_lazy_reading(spark):
     S.write_history(books, flows, atoms, folder)
     assert [len(S.read_logbooks(spark, folder, lazy=x)) for x in (False, True)] == [3, 1]
     assert S.read_logbooks(spark, folder)[0].count() == 1
+
+
+def test_tried_values_are_counted_not_gathered(spark):
+    rows = [("a", s) for s in ["x"] * 5000 + ["y"] + [None] * 3] + [("b", None), ("c", "y"), ("c", "y")]
+    got = {r.item: sorted(r.tried) for r in T.tried_values(spark.createDataFrame(rows, "item string, state string"), "item", "state", 3).collect()}
+    assert got == {"a": ["x", "x", "x", "y"], "b": [], "c": ["y", "y"]}
