@@ -346,9 +346,8 @@ def _(spark, d):
 
 @query("t3_dispatch_order", _with("nodes") + "SELECT kind, node, CAST(row_number() OVER (PARTITION BY kind ORDER BY priority DESC, node) AS INT) AS place FROM nodes")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    return view(spark, d, "nodes").select("kind", "node", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("priority"), "node")).alias("place"))
+    nodes = view(spark, d, "nodes").select("kind", "node", "priority")
+    return B.placed(nodes, "kind", [F.desc("priority"), F.asc("node")]).select("kind", "node", "place")
 
 
 @query("u1_sequence_minus", _with("atoms") + ", a AS (SELECT flow, name, pos, row_number() OVER (PARTITION BY flow, name ORDER BY pos) AS nth FROM atoms), b AS (SELECT flow, name, row_number() OVER (PARTITION BY flow, name ORDER BY pos) AS nth FROM atoms WHERE state = 'FAILURE') SELECT flow, name, CAST(pos AS BIGINT) AS pos FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.flow = a.flow AND b.name = a.name AND b.nth = a.nth)")

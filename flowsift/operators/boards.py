@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import cut
 from .history import micros
 from .states import PRIORITIES
 
@@ -14,12 +15,27 @@ def priority_rank(priority: Column) -> Column:
     return F.when(F.upper(priority).isin(PRIORITIES), F.array_position(F.array(*map(F.lit, PRIORITIES)), F.upper(priority)).cast("int") - 1)
 
 
+def placed(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """Adds `place`, from 1 within the group in the given order.
+
+    Rows are dealt into ranges of (group, order); a row's place is its place in the range
+    and the sizes of the group's ranges before it, so a large group is many tasks' work.
+    """
+    ranges = cut(df.repartitionByRange(F.col(group).asc(), *order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranges.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__of")).agg(F.count("*").alias("__held"))
+    before = F.sum("__held").over(Window.partitionBy("__group").orderBy("__of")) - F.col("__held")
+    sizes = F.broadcast(sizes.select("__group", "__of", before.alias("__before")))
+    within = ranges.withColumn("__place", F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)))
+    both = within.join(sizes, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__of")))
+    return both.select(*df.columns, (F.col("__before") + F.col("__place")).cast("int").alias("place"))
+
+
 def board_order(jobs: DataFrame, mode: str = "contract") -> DataFrame:
     """Place of every job on its board. contract: high priority first, then oldest; ascending
     and descending are the orders that boards really give."""
     rank = priority_rank(F.col("priority"))
     order = {"contract": (rank.desc(), F.asc("sequence")), "ascending": (rank.asc(), F.asc("sequence")), "descending": (rank.desc(), F.desc("sequence"))}[mode]
-    return jobs.withColumn("place", F.row_number().over(Window.partitionBy("board").orderBy(*order)))
+    return placed(jobs, "board", list(order))
 
 
 def iter_jobs(jobs: DataFrame, only_unclaimed: bool = False) -> DataFrame:

@@ -142,11 +142,12 @@ def flatten_wrapped(failures: DataFrame) -> DataFrame:
 
 def priority_reorder(df: DataFrame, key: str, order: str) -> DataFrame:
     """Stable order by priority, highest first, per key; unknown priorities have no place and a problem."""
-    from .boards import priority_rank
+    from .boards import placed, priority_rank
 
     rank = priority_rank(F.col("priority"))
-    place = F.row_number().over(Window.partitionBy(key, rank.isNull()).orderBy(rank.desc(), order))
-    return df.withColumns({"place": F.when(rank.isNotNull(), place), "problem": F.when(rank.isNull(), "BAD_PRIORITY")})
+    known = placed(df.where(rank.isNotNull()), key, [rank.desc(), F.asc(order)])
+    unknown = df.where(rank.isNull()).withColumn("place", F.lit(None).cast("int"))
+    return known.withColumn("problem", F.lit(None).cast("string")).unionByName(unknown.withColumn("problem", F.lit("BAD_PRIORITY")))
 
 
 def merge_store(flow_store: Column, job_store: Column) -> Column:

@@ -126,3 +126,19 @@ def test_median_is_exact_and_needs_no_buffer_of_a_whole_type(spark, capsys):
         assert got[kind].median == (round(statistics.median(d), 4) if d else None) and (not d or abs(got[kind].mean - statistics.mean(d)) < 1e-4)
     out.explain(True)
     assert "percentile" not in capsys.readouterr().out.lower()
+
+
+def test_places_on_one_large_board_are_many_tasks_work(spark):
+    rng = random.Random(12)
+    rows = [(j, None if j % 50 == 0 else "b" if j % 9 else "c", rng.choice(["LOW", "NORMAL", "HIGH"]), rng.randrange(10**9)) for j in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = B.board_order(spark.createDataFrame(rows, "job int, board string, priority string, sequence long"))
+        got = {r.job: r.place for r in out.collect()}
+        parts = [r["count"] for r in out.where("board = 'b'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for board in ("b", "c", None):
+        ordered = sorted((r for r in rows if r[1] == board), key=lambda r: (["HIGH", "NORMAL", "LOW"].index(r[2]), r[3]))
+        assert [got[r[0]] for r in ordered] == list(range(1, len(ordered) + 1))
+    assert len(parts) > 1
