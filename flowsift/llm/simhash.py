@@ -202,7 +202,7 @@ def links(distinct: DataFrame, sets: list[tuple[int, ...]], radius: int, least:
             if not t.num_rows:
                 return pa.RecordBatch.from_pydict({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
             key = t.column("key").combine_chunks()
-            ids = pa.compute.dictionary_encode(key)
+            ids = key.dictionary_encode()
             ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
             codes = ids.indices.to_numpy().astype(np.int64)
             a, b, chunk = (t.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "chunk"))
