@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names; a local one only where none is set."""
+    """Reliable checkpoint in the shared folder that spark.checkpoint.dir names; an error if it names none."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -35,3 +37,26 @@ def raw(column) -> list:
     import pyarrow as pa
 
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def fit_scale(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
+    """Logistic regression of a label on a raw score, by Newton steps with a light penalty."""
+    if not len(z) or y.min() == y.max():
+        return 1.0, 0.0
+    x, b, prior = np.c_[z, np.ones(len(z))], np.array([1.0, 0.0]), np.array([1.0, 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        return float(np.logaddexp(0, -np.where(y > 0, 1, -1) * (x @ b)).sum() + 0.5 * ((b - prior) ** 2).sum())
+
+    for _ in range(steps):
+        p = sigmoid(x @ b)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
+        move, t = np.linalg.solve(h, x.T @ (y - p) - (b - prior)), 1.0
+        while t > 1e-4 and loss(b + t * move) > loss(b):  # halve steps that go too far
+            t /= 2
+        b = b + t * move
+    return max(1e-3, float(b[0])), float(b[1])

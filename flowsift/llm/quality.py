@@ -1,4 +1,9 @@
-"""Quality classifier by positive-unlabelled learning with a non-negative risk."""
+"""Quality classifier by positive-unlabelled learning with a non-negative risk.
+
+Labelled negatives are never used: trusted positives and unlabelled web text give the class
+prior (mixture proportion) and, with it, the risk that is minimised. Its loss is logistic,
+so the score is an estimate of the probability itself.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold, raw
+from .common import bounded, fold, raw, sigmoid
 
-#: Rows learned from: trusted positives, unlabelled texts, labelled rows that set the scale.
-POSITIVES, UNLABELLED, SCALE = 6_000, 12_000, 8_000
+#: Rows learned from: trusted positives, unlabelled texts.
+POSITIVES, UNLABELLED = 6_000, 12_000
 
 _MARKS = [b"!", b"#%&*$@^~=+<>", b"|\\/_[]{}", b".,;:?", b"0123456789", bytes(range(65, 91))]
 _KIND = np.zeros(256, np.int64)
@@ -54,99 +59,107 @@ def _rows(docs: DataFrame, ids: DataFrame) -> pd.DataFrame:
     return got.mapInArrow(run, ", ".join(f"{c} double" for c in keep + names)).toArrow().to_pandas()
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-
 def _spread(x: np.ndarray) -> np.ndarray:
     """Features, their squares and products with the amount of repetition."""
     return np.c_[x, x * x, x[:, :-1] * x[:, [8]]]
 
 
 class Model:
-    """Linear score of spread features, fitted to the non-negative risk, then scaled."""
+    """Linear log-odds of spread features."""
 
-    def __init__(self, mean, dev, w, scale=(1.0, 0.0)):
-        self.mean, self.dev, self.w, self.scale = mean, dev, w, scale
+    def __init__(self, mean: np.ndarray, dev: np.ndarray, w: np.ndarray, prior: float):
+        self.mean, self.dev, self.w, self.prior = mean, dev, w, prior
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((_spread(x) - self.mean) / self.dev, -8, 8) @ self.w
+    def rows(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((_spread(x) - self.mean) / self.dev, -8, 8)
+        z[:, N_FEATURES - 1] = 1.0  # the constant
+        return z
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.scale[0] * self.raw(x) + self.scale[1])
+        return sigmoid(self.rows(x) @ self.w)
 
 
-def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.03, decay: float = 1e-4) -> Model:
-    """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the sigmoid loss by Adam.
+def _fresh(both: np.ndarray, prior: float) -> Model:
+    """A model with the features' means and deviations and no weights yet."""
+    spread = _spread(both)
+    dev = spread.std(0)
+    return Model(spread.mean(0), np.where(dev < 1e-9, 1.0, dev), np.zeros(spread.shape[1]), prior)
 
-    If the bracket falls under zero its gradient is followed upwards, as the
-    non-negative estimator does, so that the unlabelled texts aren't overfitted.
-    """
-    both = _spread(np.r_[p, u])
-    mean, dev = both.mean(0), both.std(0) + 1e-6
-    dev[both.std(0) < 1e-9] = 1.0
-    mean[-1] = 0.0
-    z = np.clip((both - mean) / dev, -8, 8)
-    z[:, p.shape[1] - 1] = 1.0  # the constant
-    mean[p.shape[1] - 1], dev[p.shape[1] - 1] = 0.0, 1.0
-    zp, zu = z[: len(p)], z[len(p) :]
-    w, m, v = np.zeros(z.shape[1]), 0.0, 0.0
+
+def _adam(w: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:
+    m = v = np.zeros(len(w))
     for t in range(1, steps + 1):
-        sp, su = _sigmoid(zp @ w), _sigmoid(zu @ w)
-        dp, du = sp * (1 - sp), su * (1 - su)
-        up = -(zp.T @ dp) / len(p)  # gradient of R_p(+); that of R_p(-) is its negative
-        low = zu.T @ du / len(u) + prior * up
-        risk = su.mean() - prior * sp.mean()
-        g = (prior * up + low if risk >= 0 else -low) + decay * w
+        g = gradient(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(mean, dev, w)
+    return w
+
+
+def pu_risk(w: np.ndarray, zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """prior * R_p(+) and R_u(-) - prior * R_p(-) for the logistic loss."""
+    loss = lambda z: np.logaddexp(0, -z).mean()
+    return prior * loss(zp @ w), loss(-(zu @ w)) - prior * loss(-(zp @ w))
+
+
+def pu_gradients(w: np.ndarray, zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of both parts of pu_risk."""
+    sp, su = sigmoid(zp @ w), sigmoid(zu @ w)
+    return -prior * (zp.T @ (1 - sp)) / len(zp), zu.T @ su / len(zu) - prior * (zp.T @ sp) / len(zp)
 
 
-def fit_scale(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Logistic regression of a label on a raw score, by Newton steps with a light penalty."""
-    if not len(z) or y.min() == y.max():
-        return 1.0, 0.0
-    x, b, prior = np.c_[z, np.ones(len(z))], np.array([1.0, 0.0]), np.array([1.0, 0.0])
+def fit_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 800, rate: float = 0.03, decay: float = 1e-3) -> Model:
+    """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) by Adam.
 
-    def loss(b: np.ndarray) -> float:
-        return float(np.logaddexp(0, -np.where(y > 0, 1, -1) * (x @ b)).sum() + 0.5 * ((b - prior) ** 2).sum())
+    If the bracket falls under zero its gradient is followed upwards, as the
+    non-negative estimator does, so that the unlabelled texts aren't overfitted.
+    """
+    model = _fresh(np.r_[p, u], prior)
+    zp, zu = model.rows(p), model.rows(u)
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        plus, minus = pu_gradients(w, zp, zu, prior)
+        return (plus + minus if pu_risk(w, zp, zu, prior)[1] >= 0 else -minus) + decay * w
+
+    model.w = _adam(model.w, gradient, steps, rate)
+    return model
 
-    for _ in range(steps):
-        p = _sigmoid(x @ b)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
-        move, t = np.linalg.solve(h, x.T @ (y - p) - (b - prior)), 1.0
-        while t > 1e-4 and loss(b + t * move) > loss(b):  # halve steps that go too far
-            t /= 2
-        b = b + t * move
-    return max(1e-3, float(b[0])), float(b[1])
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """Share of positives among the unlabelled, from positives and unlabelled texts alone.
+
+    One half of each tells them apart; on the other half the share of unlabelled over that
+    of positives above a cut bounds the prior from above, as purely positive texts are left
+    at the top. The cut with the least upper confidence bound is taken (best-bin estimation).
+    """
+    model = _fresh(np.r_[p, u], 0.5)
+    zp, zu = model.rows(p[::2]), model.rows(u[::2])
+    apart = lambda w: -(zp.T @ (1 - sigmoid(zp @ w))) / len(zp) + zu.T @ sigmoid(zu @ w) / len(zu) + 1e-3 * w
+    w = _adam(model.w, apart, 400, 0.03)
+    sp, su = np.sort(model.rows(p[1::2]) @ w), np.sort(model.rows(u[1::2]) @ w)
+    if not len(sp) or not len(su):
+        return 0.5
+    above = lambda s: 1 - np.searchsorted(s, sp, "left") / len(s)
+    room = np.sqrt(np.log(4 / delta) / 2) * (len(su) ** -0.5 + len(sp) ** -0.5)
+    at = int(np.argmin((above(su) + (1 + gamma) * room) / above(sp)))
+    return float(np.clip(above(su)[at] / above(sp)[at], 0.02, 0.98))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learns outside the held-out fold (crc32 of the id modulo 4 is 2); None without positives.
 
-    Positives are rows labelled 1, the unlabelled texts any documents, the class prior is
-    the share of label 1 over all labelled rows outside that fold. Labels of either kind
-    only set the scale that turns the score into a probability.
+    Positives are rows labelled 1, the unlabelled texts any documents; the class prior is
+    estimated from these two. Rows labelled 0 take no part.
     """
-    known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y"))
-    known = known.where((fold(F.col("doc_id"), 4) != 2) & F.col("y").isin(0.0, 1.0))
-    prior = known.agg(F.avg("y")).first()[0]
-    if not prior:
-        return None
-    free = docs.select(F.col("doc_id").cast("long")).where(fold(F.col("doc_id"), 4) != 2)
-    part = lambda df, rows, kind: bounded(df, "doc_id", rows).select("doc_id", *[c for c in ("y",) if c in df.columns]).withColumn("kind", F.lit(kind))
-    ids = part(known.where("y = 1"), POSITIVES, 0).unionByName(part(known.where("y = 0"), SCALE // 2, 1)).unionByName(part(known, SCALE // 2, 1))
-    ids = ids.unionByName(part(free.withColumn("y", F.lit(None).cast("double")), UNLABELLED, 2))
-    got = _rows(docs, ids)
+    known = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
+    outside = lambda df: df.where(fold(F.col("doc_id"), 4) != 2)
+    ids = bounded(outside(known), "doc_id", POSITIVES).withColumn("positive", F.lit(1))
+    ids = ids.unionByName(bounded(outside(docs.select(F.col("doc_id").cast("long"))), "doc_id", UNLABELLED).distinct().withColumn("positive", F.lit(0)))
+    got = _rows(docs, ids.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id"), 12))).sort_values(["place", "f0"])
     x = got[[c for c in got.columns if c[0] == "f"]].to_numpy()
-    kind = got["kind"].to_numpy()
-    if not (kind == 0).any():
+    positive = got["positive"].to_numpy() == 1
+    if not positive.any() or positive.all():
         return None
-    model = fit_pu(x[kind == 0], x[kind == 2], min(0.98, prior))
-    s = kind == 1
-    model.scale = fit_scale(model.raw(x[s]), got["y"].to_numpy()[s])
-    return model
+    return fit_pu(x[positive], x[~positive], estimate_prior(x[positive], x[~positive]))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Toxicity by a subsequence kernel, Nystroem landmarks and a support vector machine.
-
-A word is compared with a landmark by the gapped subsequences of three characters they
-share, each weighed down by the gap it spans, so that inserted or missing characters
-cost little. A sentence is as bad as its worst word, a document as its worst sentence, so
-the machine is trained on the words of labelled sentences and decides on words.
+"""Toxicity by a subsequence kernel, Nystroem landmarks and a support vector machine on sentences.
+
+Two words are compared by the gapped subsequences of three characters they share, each
+weighed down by the gap it spans, so that inserted or missing characters cost little. A
+sentence is compared with a landmark by its best matching word; the Nystroem map of these
+values is what the machine sees. Labels are of whole texts: every sentence of a clean text
+is a clean one, of a toxic text at least one is toxic, and the machine is fitted anew
+with the sentence that it finds most toxic until these no longer change.
 """
 
 from __future__ import annotations
@@ -18,27 +20,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fold
-from .quality import fit_scale
+from .common import bounded, fit_scale, fold
 
-#: Labelled rows learned from, of each label; landmarks; words learned from, of each kind.
-TOXIC, CLEAN, LANDMARKS, CONSIDERED = 3_000, 6_000, 48, 4_000
-#: Longest span of a subsequence, weight of each step, longest word taken in one piece.
-SPAN, DECAY, UNIT = 7, 0.8, 24
-#: Least log-likelihood ratio of a word that tells toxic texts: chance gives no such word among millions.
-SURE = 24.0
+#: Labelled rows learned from, of each label; sentences of one text among them; landmarks; words considered for these.
+TOXIC, CLEAN, SENTENCES, LANDMARKS, CONSIDERED = 3_000, 6_000, 16, 48, 400
+#: Longest span of a subsequence, weight of each step, longest word taken in one piece, longest sentence in words.
+SPAN, DECAY, UNIT, LONGEST = 7, 0.8, 24, 200
 #: The kernel's power, a kernel itself: many slight matches don't add up to one good match.
 POWER = 3
-REMEMBERED = 600_000
+#: Words that a Python worker remembers; words whose kernel values are worked out at once.
+REMEMBERED, AT_ONCE = 300_000, 20_000
 
 _edge = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_ends = re.compile(r"(?<=[.!?])\s+|\n").split
 _spelled = re.compile(r"(?<!\S)(?:\S[^\S\n]+){2,}\S(?!\S)").findall
 
 
-def units(text: str | None) -> set[str]:
-    """Words of a lower-cased text; single characters in a row on a line count as a word as well."""
+def sentences(text: str | None) -> list[list[str]]:
+    """Words of each sentence of a lower-cased text; a sentence over LONGEST words is taken in pieces.
+
+    Single characters in a row on a line count as a word (and a sentence of its own) as well.
+    """
     low = (text or "").lower()
-    return {*low.split(), *("".join(x.split()) for x in _spelled(low))}
+    found = [words[i : i + LONGEST] for x in _ends(low) if (words := x.split()) for i in range(0, len(words), LONGEST)]
+    return found + [["".join(x.split())] for x in _spelled(low)]
+
+
+def units(text: str | None) -> set[str]:
+    """Distinct words of all sentences."""
+    return {w for s in sentences(text) for w in s}
 
 
 def _codes(words: list[str], n: int) -> np.ndarray:
@@ -103,30 +113,60 @@ class Kernel:
         return out**POWER
 
 
+def _portions(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Sentences with the numbers of their texts, some AT_ONCE words at a time."""
+    owner, groups, words = [], [], 0
+    for i, t in enumerate(texts):
+        for g in sentences(t):
+            owner.append(i)
+            groups.append(g)
+            words += len(g)
+            if words >= AT_ONCE:
+                yield owner, groups
+                owner, groups, words = [], [], 0
+    if groups:
+        yield owner, groups
+
+
 class Model:
-    """Decision value of words, remembered, and the scale that makes it a probability."""
+    """Decision value of texts, and the scale that makes it a probability. Words are remembered."""
 
     def __init__(self, landmarks: list[str], v: np.ndarray, bias: float, scale: tuple[float, float]):
         self.parts = (landmarks, v, bias, scale)
         self.kernel, self.v, self.bias, self.scale = Kernel(landmarks), v.astype(np.float32), bias, scale
-        self.known: dict[str, float] = {}
+        self.row: dict[str, int] = {}
+        self.rows = np.zeros((0, len(landmarks)), np.float32)
+
+    def _learn(self, words: set[str]) -> None:
+        """Kernel values of these words with the landmarks, kept in rows."""
+        new = [w for w in words if w not in self.row]
+        if len(self.row) + len(new) > REMEMBERED:
+            self.row, new = {}, list(words)
+        if (need := len(self.row) + len(new)) > len(self.rows):
+            more = np.zeros((min(max(need, 2 * len(self.rows), AT_ONCE), max(need, REMEMBERED)), len(self.kernel.landmarks)), np.float32)
+            more[: len(self.row)] = self.rows[: len(self.row)]
+            self.rows = more
+        for i in range(0, len(new), AT_ONCE):
+            part, n = new[i : i + AT_ONCE], len(self.row)
+            self.rows[n : n + len(part)] = self.kernel([w.strip(_edge) for w in part])
+            self.row.update(zip(part, range(n, n + len(part))))
+
+    def pooled(self, groups: list[list[str]]) -> np.ndarray:
+        """For each sentence its best match with every landmark."""
+        self._learn({w for g in groups for w in g})
+        at = np.fromiter((self.row[w] for g in groups for w in g), np.int64)
+        first = np.cumsum([0, *map(len, groups[:-1])])
+        return np.maximum.reduceat(self.rows[at], first, axis=0)
 
     def decide(self, texts: list[str | None]) -> np.ndarray:
-        """Greatest decision value of each text's words; that of nothing if it has none."""
-        words = [units(t) for t in texts]
-        known = self.known
-        new = [w for w in set().union(*words) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*words))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, (self.kernel([w.strip(_edge) for w in part]) @ self.v + self.bias).tolist()))
-        return np.array([max(map(known.__getitem__, w), default=self.bias) for w in words])
+        """Greatest decision value of each text's sentences; that of nothing if it has none."""
+        top = np.full(len(texts), -np.inf)
+        for owner, groups in _portions(texts):
+            np.maximum.at(top, owner, self.pooled(groups) @ self.v + self.bias)
+        return np.where(np.isfinite(top), top, self.bias)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        out = [self.decide(texts[i : i + 64]) for i in range(0, len(texts), 64)]
-        z = self.scale[0] * np.concatenate(out) + self.scale[1] if out else np.zeros(0)
+        z = self.scale[0] * self.decide(texts) + self.scale[1]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -164,12 +204,33 @@ def _far_apart(words: list[str], most: int, room: float = 0.5) -> list[str]:
     return [words[i] for i in kept]
 
 
+def witnesses(bags: list[np.ndarray], y: np.ndarray, half: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, float]:
+    """Machine on sentences from labelled texts, each given by rows of its sentences' values.
+
+    All sentences of clean texts against one of each toxic text: at first the one nearest
+    to any landmark, then the one that the machine finds most toxic.
+    """
+    clean = np.concatenate([b for b, t in zip(bags, y) if t == 0])
+    toxic = [b for b, t in zip(bags, y) if t == 1]
+    cost = np.r_[np.full(len(toxic), 0.5 / len(toxic)), np.full(len(clean), 0.5 / len(clean))]
+    label = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
+    at = [int(b.max(1).argmax()) for b in toxic]
+    for _ in range(rounds):
+        x = np.concatenate([np.stack([b[i] for b, i in zip(toxic, at)]), clean])
+        w, bias = svm(x @ half, label, cost)
+        now = [int((b @ (half @ w)).argmax()) for b in toxic]
+        if now == at:
+            break
+        at = now
+    return half @ w, bias
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learns outside the held-out fold (crc32 of the id modulo 5 is 0); None without both labels.
 
-    Landmarks are the words that most tell toxic from clean sentences, far from each
-    other, with some common clean words. The machine learns the former against words of
-    clean texts; the scale is learned on whole texts.
+    Landmarks are the words that most tell toxic from clean texts, far from each other,
+    with some common words. The machine learns on sentences of at most TOXIC and CLEAN
+    labelled texts, of each the SENTENCES nearest to a landmark; the scale on whole texts.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y"))
     known = known.where((fold(F.col("doc_id"), 5) != 0) & F.col("y").isin(0, 1))
@@ -182,36 +243,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         words = rows.mapInArrow(_words, "word string, bad long, fine long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
         both, all_ = F.col("bad") + F.col("fine"), sizes[0] + sizes[1]
         part = lambda c, y: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * all_ / (both * sizes[y]))).otherwise(0.0)
-        ratio = (2 * (part("bad", 1) + part("fine", 0))).alias("ratio")
-        bad = words.where("bad >= 3").select("word", "bad", "fine", ratio).where(F.col("ratio") >= SURE).orderBy(F.desc("ratio"), "word").limit(CONSIDERED).collect()
-        common = words.orderBy(F.desc("fine"), "word").limit(CONSIDERED).collect()
-        others = words.where("fine > 0").orderBy(F.xxhash64("word"), "word").limit(4 * CONSIDERED).collect()
-        strong = [r["word"] for r in bad if r["bad"] / sizes[1] >= 8 * (r["fine"] + 0.5) / sizes[0]]
-        if not strong:
+        telling = words.where(F.col("bad") * sizes[0] > F.col("fine") * sizes[1]).withColumn("ratio", part("bad", 1) + part("fine", 0))
+        telling = [r["word"] for r in telling.orderBy(F.desc("ratio"), "word").limit(CONSIDERED).collect()]
+        common = [r["word"] for r in words.orderBy(F.desc("fine"), "word").limit(LANDMARKS // 4).collect()]
+        landmarks = list(dict.fromkeys(_far_apart(telling, LANDMARKS * 3 // 4) + common))
+        if not landmarks:
             return None
-        landmarks = _far_apart(strong[:600], LANDMARKS * 3 // 4) + [r["word"] for r in common if r["word"] not in strong][: LANDMARKS // 4]
         gram = Kernel(landmarks)(landmarks).astype(float)
         val, vec = np.linalg.eigh((gram + gram.T) / 2)
         half = vec @ np.diag(1 / np.sqrt(np.maximum(val, 0.05))) @ vec.T
-        fine = sorted({r["word"] for r in [*common, *others]} - set(strong))
-        weight = np.array([r["bad"] for r in bad if r["word"] in set(strong)], float)
-        phi = Kernel(landmarks)([*strong, *fine]) @ half
-        y = np.r_[np.ones(len(strong)), np.zeros(len(fine))]
-        w, bias = svm(phi, y, np.r_[0.3 * weight / weight.sum(), np.full(len(fine), 0.7 / max(1, len(fine)))])
-        probe = Model(landmarks, half @ w, bias, (1.0, 0.0))
-        key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(probe.parts)
+        key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((landmarks, np.zeros(len(landmarks)), 0.0, (1.0, 0.0)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _kept(key, shared.value)
             for b in batches:
-                z = own.decide(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int64()), pa.array(z, pa.float64())], ["y", "z"])
-
-        got = rows.mapInArrow(run, "y long, z double").toPandas()
+                bags = []
+                for t in b.column("text"):
+                    found = [own.pooled(groups) for _, groups in _portions([t.as_py()])]
+                    bag = np.concatenate(found) if found else np.zeros((1, len(landmarks)), np.float32)
+                    bags.append(bag[np.argsort(-bag.max(1), kind="stable")[:SENTENCES]].tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("y").cast(pa.int64()), pa.array(bags, pa.binary())], ["y", "bag"])
+
+        got = rows.mapInArrow(run, "y long, bag binary").toArrow()
     finally:
         rows.unpersist()
-    a, b = fit_scale(got["z"].to_numpy() * 4, got["y"].to_numpy())
-    return Model(landmarks, half @ w, bias, (4 * a, b))
+    y = got.column("y").to_numpy()
+    bags = [np.frombuffer(b.as_py(), np.float32).reshape(-1, len(landmarks)) for b in got.column("bag")]
+    v, bias = witnesses(bags, y, half)
+    a, b = fit_scale(np.array([(x @ v).max() + bias for x in bags]) * 4, y)
+    return Model(landmarks, v, bias, (4 * a, b))
 
 
 _models: dict[str, Model] = {}
@@ -237,8 +297,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _kept(key, shared.value) if shared.value else None
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                c = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                c = b.slice(at, 256)
                 s = own.score(c.column(1).to_pylist()) if own else np.zeros(c.num_rows)
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
