@@ -1,20 +1,26 @@
 """Exact top-k search by inner product without random access to single lists.
 
-Per block of candidates and per component there is a list of the candidates sorted by
-that component, read from the top for a positive query component and from the bottom for
-a negative one. Reading all lists to a depth gives every candidate a lower and an upper
-bound; a query stops when no outsider's upper bound reaches its k-th lower bound, and
-the scores of those left are then resolved. Queries of a block read in step.
+Candidates are dealt into blocks that stay where they are. A block has for each component a
+list of its candidates sorted by that component, read from the top by queries whose own
+component is positive and from the bottom by those where it is negative. Reading goes on
+segment by segment: what is read is added to a candidate's lower bound (components not read
+yet count as the list's last value), and lists not read yet count in the upper bound as
+the value reached. A query stops when no other candidate's upper bound reaches the k-th lower
+bound, or with few left; the scores of those are then resolved. Queries stream past
+each block in bounded batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 8192, 1024
+#: Candidates of a block, queries that read its lists in step, parts in which a list is read.
+CANDIDATES, QUERIES, SEGMENTS = 16_384, 256, 8
 
 
 def quantised(rows: DataFrame, scale: int = 64) -> DataFrame:
@@ -36,47 +42,66 @@ def _matrix(column, width: int) -> np.ndarray:
     return out
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list, list, list]:
-    """(query, candidate, score) of the k best candidates of this block for each query."""
-    n, width = x.shape
-    exact = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * max(width, 1)
-    kind = np.float32 if exact < 1 << 22 else np.float64
-    values = np.sort(x, axis=0)
-    up_rank = np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0, kind="stable")  # 0: least
-    positive, negative = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-    own = q_ids[:, None] == ids[None, :] if len(np.intersect1d(q_ids, ids)) else None
-    out: tuple[list, list, list] = ([], [], [])
-    left = np.arange(len(q))
-    for depth in sorted({max(1, n // 4), max(1, n // 2), max(1, 3 * n // 4), n}):
-        if not len(left):
-            break
-        if exact >= 1 << 52 or n <= 4 * k:  # too few to bound, or beyond exact floats: resolve all
-            keep = np.ones((len(left), n), bool)
-        else:
-            top, low = up_rank >= n - depth, up_rank < depth
-            bounds = []
-            for rest_top, rest_low in ((values[n - depth], values[depth - 1]), (values[0], values[-1])):
-                # what was read counts in full, every list not read for a candidate as this value
-                p, m = positive[left], negative[left]
-                base = p @ rest_top.astype(kind) + m @ rest_low.astype(kind)
-                bounds.append(p @ np.where(top, x - rest_top, 0).astype(kind).T + m @ np.where(low, x - rest_low, 0).astype(kind).T + base[:, None])
-            upper, lower = bounds
-            if own is not None:
-                lower[own[left]] = -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k]
-            keep = upper >= kth[:, None]
-        if own is not None:
-            keep &= ~own[left]
-        ready = (keep.sum(1) <= max(8 * k, n // 16)) | (depth == n) | (n <= 4 * k) | (exact >= 1 << 52)
-        for r in np.flatnonzero(ready):
-            at = np.flatnonzero(keep[r])
-            s = x[at] @ q[left[r]]
-            best = np.lexsort((ids[at], -s))[:k]
-            out[0].extend([q_ids[left[r]]] * len(best))
-            out[1].extend(ids[at[best]])
-            out[2].extend(s[best])
-        left = left[~ready]
-    return out
+class Block:
+    """The candidates of a block and their sorted lists."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        self.order = np.argsort(x, axis=0, kind="stable")  # a column is a list from its bottom to its top
+        self.values = np.take_along_axis(x, self.order, axis=0)
+        self.most = int(np.abs(x).max(initial=0))
+
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
+        """(query, candidate, score) of the k best candidates of this block for each query."""
+        out: tuple[list, list, list] = ([], [], [])
+        n, width = self.x.shape
+        exact = max(int(np.abs(q).max(initial=0)), 1) * max(self.most, 1) * max(width, 1)
+        if n <= 4 * k or exact >= 1 << 52:  # too few to bound, or beyond exact floats
+            for r in range(len(q)):
+                self._resolve(q_ids[r], q[r], np.arange(n), k, out)
+            return out
+        kind = np.float32 if exact < 1 << 22 else np.float64
+        plus, minus = np.maximum(q, 0).astype(kind).T, np.minimum(q, 0).astype(kind).T  # a row for each list
+        low = np.empty((n, len(q)), kind)
+        low[:] = self.values[0].astype(kind) @ plus + self.values[-1].astype(kind) @ minus  # nothing read: the worst
+        unread = {"top": np.ones((n, width), kind), "bottom": np.ones((n, width), kind)}
+        left, at = np.arange(len(q)), 0
+        for upto in sorted({-(-n * (s + 1) // SEGMENTS) for s in range(SEGMENTS)}):
+            for j in range(width):
+                for rows, side, worst, weight in ((self.order[n - upto : n - at, j], "top", self.values[0, j], plus[j]), (self.order[at:upto, j], "bottom", self.values[-1, j], minus[j])):
+                    used = np.flatnonzero(weight)
+                    if len(used):
+                        gain = (self.x[rows, j] - worst).astype(kind)[:, None]
+                        if 2 * len(used) > len(weight):
+                            low[rows] += gain * weight
+                        else:
+                            low[rows[:, None], used] += gain * weight[used]
+                    unread[side][rows, j] = 0
+            at = upto
+            # lists that a candidate wasn't met in yet: between the worst value and the one reached
+            top, bottom = (self.values[n - at] - self.values[0]).astype(kind), (self.values[at - 1] - self.values[-1]).astype(kind)
+            upper = low + unread["top"] @ (plus * top[:, None]) + unread["bottom"] @ (minus * bottom[:, None])
+            ready = np.zeros(len(left), bool)
+            for r, number in enumerate(left):
+                lower = low[:, r].copy()
+                lower[self.ids == q_ids[number]] = -np.inf
+                kth = np.partition(lower, n - k)[n - k]
+                keep = np.flatnonzero((upper[:, r] >= kth) & (self.ids != q_ids[number]))
+                if at == n or len(keep) <= max(8 * k, n // 64):
+                    self._resolve(q_ids[number], q[number], keep, k, out)
+                    ready[r] = True
+            left, low, plus, minus = left[~ready], low[:, ~ready], plus[:, ~ready], minus[:, ~ready]
+            if not len(left):
+                break
+        return out
+
+    def _resolve(self, query: int, q: np.ndarray, at: np.ndarray, k: int, out: tuple[list, list, list]) -> None:
+        at = at[self.ids[at] != query]
+        s = self.x[at] @ q
+        best = np.lexsort((self.ids[at], -s))[:k]
+        out[0].extend([query] * len(best))
+        out[1].extend(self.ids[at[best]])
+        out[2].extend(s[best])
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
@@ -85,27 +110,42 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     Ties go to the smaller vec_id. Vectors that are null or hold null or non-finite
     components, and rows without an id, take no part; vectors of unequal length are
     compared as if filled with zeros. Rows with a query's own id are never its results;
-    repeated rows are repeated candidates, a repeated query is answered once. Both sides
-    are dealt into blocks of bounded size and every two blocks meet once; a block gives k
-    rows for a query at most.
+    repeated rows are repeated candidates, a query repeated with the same vector is answered
+    once. Candidates are dealt into blocks of bounded size without copies; each query goes to
+    every block, which gives k rows for it at most.
     """
     vectors = quantised(rows)
-    size = vectors.agg(F.count("*"), F.count_if(is_query), F.max(F.size("x"))).first()
-    n, nq, width = size[0], size[1], size[2] or 0
-    blocks, q_blocks = -(-n // CANDIDATES) or 1, -(-nq // QUERIES) or 1
-    deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    copies = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    salted = F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int")
-    candidates = vectors.withColumn("b", salted).select("vec_id", "x", "b", copies(q_blocks).alias("q"))
-    queries = vectors.where(is_query).dropDuplicates(["vec_id", "x"]).withColumn("q", deal(q_blocks)).select("vec_id", "x", copies(blocks).alias("b"), "q")
-
-    def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        if not q.num_rows or not c.num_rows:
-            got = ([], [], [])
-        else:
-            got = search_block(q.column("vec_id").to_numpy(), _matrix(q.column("x"), width), c.column("vec_id").to_numpy(), _matrix(c.column("x"), width), k)
-        return pa.Table.from_arrays([pa.array(np.asarray(g, np.int64)) for g in got], ["query_id", "vec_id", "score"])
-
-    met = queries.groupBy("b", "q").cogroup(candidates.groupBy("b", "q")).applyInArrow(run, "query_id long, vec_id long, score long")
+    size = vectors.agg(F.count("*"), F.max(F.size("x"))).first()
+    blocks, width = -(-size[0] // CANDIDATES) or 1, size[1] or 0
+    candidates = vectors.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("b"), F.lit(0).alias("side"), "vec_id", "x")
+    queries = vectors.where(is_query).dropDuplicates(["vec_id", "x"])
+    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("side"), "vec_id", "x")
+    met = candidates.unionByName(queries).repartition(blocks, "b").sortWithinPartitions("b", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's candidates come first, then the queries, which stream past."""
+        number, block, held = None, None, []
+
+        def answers(q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+            got = [block.search(q_ids[i : i + QUERIES], q[i : i + QUERIES], k) for i in range(0, len(q), QUERIES)]
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray([v for g in got for v in g[c]], np.int64)) for c in range(3)], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            key = batch.column("b").to_numpy().astype(np.int64) * 2 + batch.column("side").to_numpy()
+            for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+                if not len(part):
+                    continue
+                rows = batch.slice(int(part[0]), len(part))
+                ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("x"), width)
+                if key[part[0]] // 2 != number:
+                    number, block, held = key[part[0]] // 2, None, []
+                if key[part[0]] % 2 == 0:
+                    held.append((ids, x))
+                elif held or block:
+                    if held:
+                        block, held = Block(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])), []
+                    yield answers(ids, x)
+
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
