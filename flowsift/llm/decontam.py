@@ -1,11 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-A window that is similar to an item shares most of the item's shingles. So documents are
-first scanned for shingles of the benchmark (a join that keeps few rows), a document and an
-item go on if enough shingles are there for the similarity asked, and the hits place
-windows of the item's size. Window and item fingerprints meet through blocks of the
-fingerprint with all neighbours of a block within the radius that the blocks guarantee;
-candidates are verified by exact weighted shingle similarity.
+A window that is similar to an item shares most of the item's shingles, so windows of the
+item's size are placed only where a document holds shingles of an item, enough of them for
+the similarity asked (a sound filter). What is a candidate is then decided by fingerprints:
+the blocks of the multi-index hold every pair within RADIUS bits, and pairs within it are
+verified by exact weighted shingle similarity. Windows with the same words are one row
+until the end, however many documents hold them.
 """
 
 from __future__ import annotations
@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Words of a shingle, least similarity, and differing fingerprint bits that are let through.
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 23
-BLOCKS = 8
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 19
+#: Blocks of 16 bits; a pair within RADIUS agrees in one but for RADIUS // BLOCKS bits, of which so many are flipped on the window's side.
+BLOCKS, FLIPPED = 4, 1
 #: Most shingle hashes that are broadcast (some 100 MB).
 BROADCAST = 2_000_000
 SPACE = r"[\x20\x09-\x0D]+"
@@ -58,7 +61,13 @@ def similarity(window: Column, item: Column) -> Column:
 
 
 def _block(fp: Column, b: Column) -> Column:
-    return F.call_function("shiftrightunsigned", fp, b * 8).bitwiseAND(F.lit(255).cast("long")).cast("int")
+    return F.call_function("shiftrightunsigned", fp, b * 16).bitwiseAND(F.lit(65535).cast("long")).cast("int")
+
+
+def _neighbours(fp: Column, bits: int) -> Column:
+    """(block, value): each block's value and all that differ from it in so many bits or fewer."""
+    masks = F.array(*[F.lit(m) for m in range(1 << 16) if m.bit_count() <= bits])
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.transform(masks, lambda m: F.struct(b.alias("block"), _block(fp, b).bitwiseXOR(m).alias("value")))))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -88,11 +97,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = rows.withColumn("row", F.xxhash64("text")).withColumn("w", words_of(F.col("text"))).drop("text")
 
-    hits = None
-    for size in sizes or [WORDS]:
-        at = rows.where(F.size("w") >= size).select("doc_id", "row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("pos"))
-        found = at.select("doc_id", "row", "pos", _hash(F.col("w"), F.col("pos"), size).alias("h")).join(keys, "h", "left_semi").withColumn("size", F.lit(size))
-        hits = found if hits is None else hits.unionByName(found)
+    at = rows.where(F.size("w") >= min(sizes or [WORDS])).select("doc_id", "row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - min(sizes or [WORDS]))).alias("pos"))
+    shingle = lambda n: F.struct(F.lit(n).alias("size"), F.when(F.col("pos") + n <= F.size("w"), _hash(F.col("w"), F.col("pos"), n)).alias("h"))
+    hits = at.select("doc_id", "row", "pos", F.inline(F.array(*[shingle(n) for n in sizes or [WORDS]]))).join(keys, "h", "left_semi")
 
     # count filter: a window as similar as that holds so many of the item's shingles
     placed = hits.join(known, ["h", "size"])
@@ -101,20 +108,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     spots = spots.select("doc_id", "row", "n", "size", (F.col("pos") - F.col("offset")).alias("start")).distinct()
     spots = spots.groupBy("doc_id", "row").agg(F.collect_list(F.struct("n", "size", "start")).alias("spots"))
 
-    windows = rows.join(spots, ["doc_id", "row"]).select("doc_id", "w", F.explode("spots").alias("s"))
+    # windows with the same words are fingerprinted and verified once
+    placed = rows.join(spots, ["doc_id", "row"]).select("doc_id", "w", F.explode("spots").alias("s"))
     begin = F.greatest(F.col("s.start"), F.lit(0))
     length = F.least(F.col("s.start") + F.col("s.n"), F.size("w")) - begin
-    windows = windows.where(length >= F.col("s.size")).select("doc_id", "s.n", "s.size", shingles_of(F.slice("w", begin + 1, length), F.col("s.size")).alias("shingles"))
-    windows = windows.dropDuplicates(["doc_id", "n", "size", "shingles"]).withColumn("fp", fingerprint(F.col("shingles")))
-
-    # every fingerprint within RADIUS agrees with the item's in a block but for RADIUS // BLOCKS bits
-    slack = RADIUS // BLOCKS
-    numbers = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda x: F.bit_count(x) <= slack)
-    blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    probes = windows.select("*", F.posexplode(F.transform(blocks, lambda b: _block(F.col("fp"), b))).alias("block", "value"))
-    index = items.select("item_id", "n", "size", "item_shingles", "item_fp", F.posexplode(F.transform(blocks, lambda b: _block(F.col("item_fp"), b))).alias("block", "center"))
-    index = index.select("*", F.explode(numbers).alias("flip")).withColumn("value", F.col("center").bitwiseXOR(F.col("flip"))).drop("center", "flip")
+    placed = placed.where(length >= F.col("s.size")).select("doc_id", "s.n", "s.size", F.slice("w", begin + 1, length).alias("words"))
+    placed = cut(placed.withColumn("window", F.xxhash64("n", F.array_join("words", " "))).select("doc_id", "window", "n", "size", "words"))
+    windows = placed.groupBy("window", "n", "size").agg(F.first("words").alias("words")).withColumn("shingles", shingles_of(F.col("words"), F.col("size"))).drop("words")
+    windows = windows.withColumn("fp", fingerprint(F.col("shingles")))
+
+    probes = windows.select("window", "n", "size", "fp", F.inline(_neighbours(F.col("fp"), FLIPPED)))
+    index = items.select("item_id", "n", "size", "item_fp", F.inline(_neighbours(F.col("item_fp"), RADIUS // BLOCKS - FLIPPED)))
     pairs = probes.join(index, ["n", "size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = pairs.drop("block", "value").dropDuplicates(["doc_id", "item_id", "shingles"])
-    verified = pairs.withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= least)
-    return verified.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+    pairs = pairs.select("window", "n", "size", "item_id").distinct()
+    both = pairs.join(windows.select("window", "n", "size", "shingles"), ["window", "n", "size"]).join(items.select("item_id", "n", "size", "item_shingles"), ["item_id", "n", "size"])
+    verified = both.select("window", "n", "size", "item_id", similarity(F.col("shingles"), F.col("item_shingles")).alias("similarity")).where(F.col("similarity") >= least)
+    found = verified.groupBy("window", "n", "size", "item_id").agg(F.max("similarity").alias("similarity"))
+    found = placed.select("doc_id", "window", "n", "size").distinct().join(found, ["window", "n", "size"])
+    return found.groupBy("doc_id", "item_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
