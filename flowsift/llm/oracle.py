@@ -19,26 +19,26 @@ FROM d LEFT JOIN b USING (doc_id)
 """
 
 
-def _spans(kind: str, place: int, expression: str, keep: str) -> str:
-    """Rows (doc_id, place, kind, a, b) of one kind; gaps and matches give the offsets."""
+def _spans(kind: str, place: int, expression: str, keep: str, score: str) -> str:
+    """Rows (doc_id, place, kind, a, b, score) of one kind; gaps and matches give the offsets."""
     e = expression.replace("'", "''")
     return f"""
-SELECT doc_id, {place} AS place, '{kind}' AS kind, a, a + length(m) AS b FROM (
-  SELECT doc_id, m, CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS BIGINT) AS a FROM (
-    SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM (
-      SELECT doc_id, regexp_extract_all(text, '{e}') AS ms, regexp_split_to_array(text, '{e}') AS gs FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, {place} AS place, '{kind}' AS kind, a, a + length(m) AS b, {score} AS score FROM (
+  SELECT doc_id, m, text, CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS BIGINT) AS a FROM (
+    SELECT doc_id, text, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT doc_id, text, regexp_extract_all(text, '{e}') AS ms, regexp_split_to_array(text, '{e}') AS gs FROM documents WHERE text IS NOT NULL))
 ) WHERE {keep}"""
 
 
-def _digest(kinds: dict[str, tuple[str, str]], base: list[str]) -> str:
-    rows = " UNION ALL ".join(_spans(k, i, e, keep) for i, (k, (e, keep)) in enumerate(kinds.items()))
+def _digest(kinds: dict[str, tuple], base: list[str], scores: bool = False) -> str:
+    rows = " UNION ALL ".join(_spans(k, i, e, keep, *(score or ("NULL",))) for i, (k, (e, keep, *score)) in enumerate(kinds.items()))
     text = lambda where: f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place){where}, '')"
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in base)
     inside = ", ".join(f"'{k}'" for k in base)
     return f"""
 WITH s AS ({rows}),
-r AS (SELECT doc_id, {counts}, sha256({text(f" FILTER (WHERE kind IN ({inside}))")}) AS base_sha256, {text("")} AS spans FROM s GROUP BY doc_id)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+r AS (SELECT doc_id, {counts}, sha256({text(f" FILTER (WHERE kind IN ({inside}))")}) AS base_sha256, {text("")} AS spans{", string_agg(CAST(score AS VARCHAR), ',' ORDER BY a, place) AS scores" if scores else ""} FROM s GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans{", coalesce(scores, '') AS scores" if scores else ""}
 FROM documents LEFT JOIN r USING (doc_id)"""
 
 
@@ -49,6 +49,14 @@ _IBAN = "regexp_replace(m, ' ', '', 'g')"
 _MOD97 = f"""list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr({_IBAN}, 5) || substr({_IBAN}, 1, 4), ''), lambda c:
   CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT))), lambda x, y: (x * CASE WHEN y < 10 THEN 10 ELSE 100 END + y) % 97) = 1"""
 
+
+
+def _score(plain: float, words: str) -> str:
+    """A kind's score, 0.2 more with one of the words within 48 characters."""
+    around = "lower(substr(text, greatest(a + 1 - 48, 1), least(a, 48)) || ' ' || substr(text, a + length(m) + 1, 48))"
+    return f"CAST(CASE WHEN regexp_matches({around}, '{words}') THEN {plain + 0.2:.1f} ELSE {plain:.1f} END AS DOUBLE)"
+
+
 OP5 = _digest(
     {
         "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", r"""len(regexp_extract(m, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 8"""),
@@ -60,13 +68,15 @@ OP5 = _digest(
 
 OP6 = _digest(
     {
-        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0"),
-        "card": (r"[0-9](?:[\x20-]?[0-9])+", _LUHN),
-        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 9 AND 15"),
-        "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", _MOD97),
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", _score(0.6, "mail|contact|write|correo|courriel")),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0", _score(0.6, "ip|host|server|address|adresse")),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", _LUHN, _score(0.8, "card|visa|credit|payment|karte|carte|tarjeta")),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 9 AND 15", _score(0.6, "phone|call|tel|mobile|telefon|fax")),
+        "iban": (r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", _MOD97, _score(0.8, "iban|account|bank|konto|compte|cuenta")),
+        "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", f"{_score(0.4, 'ssn|social security|taxpayer')} >= 0.6", _score(0.4, "ssn|social security|taxpayer")),
     },
     ["email", "ip", "card", "phone"],
+    scores=True,
 )
 
 OP8 = """

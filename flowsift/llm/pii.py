@@ -13,9 +13,11 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: In the order in which spans with one start are listed; `iban` is what the method adds.
-KINDS = ("email", "ip", "card", "phone", "iban")
+#: In the order in which spans with one start are listed; the last two are what the method adds.
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
+#: Score of a confirmed span, what a context word adds, and the least score of a span of an added kind.
+SCORE, CONTEXT_SCORE, LEAST = {"email": 0.6, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}, 0.2, 0.6
 
 EXPRESSIONS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -28,6 +30,8 @@ EXPRESSIONS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     # country, check digits, then 11 to 30 characters, single blanks between
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # \b[0-9]{3}-[0-9]{2}-[0-9]{4}\b
+    "ssn": r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
 }
 CONTEXT = {
     "email": ("mail", "contact", "write", "correo", "courriel"),
@@ -35,6 +39,7 @@ CONTEXT = {
     "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
     "phone": ("phone", "call", "tel", "mobile", "telefon", "fax"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
+    "ssn": ("ssn", "social security", "taxpayer"),
 }
 #: Characters on either side in which a context word counts.
 NEAR = 48
@@ -62,7 +67,7 @@ def mod97(text: Column) -> Column:
 
 
 def valid(kind: str, s: Column) -> Column:
-    if kind == "email":
+    if kind in ("email", "ssn"):
         return F.lit(True)
     if kind == "ip":
         part = lambda p: (F.length(p) < 4) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= 255)
@@ -76,7 +81,7 @@ def valid(kind: str, s: Column) -> Column:
 
 def _possible(kind: str, text: Column) -> Column:
     """Cheap condition without which the kind's expression can't match."""
-    return {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][0-9 -]{10}"), "phone": text.rlike(r"\+[0-9]"), "iban": text.rlike("[A-Z]{2}[0-9]{2}")}[kind]
+    return {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][0-9 -]{10}"), "phone": text.rlike(r"\+[0-9]"), "iban": text.rlike("[A-Z]{2}[0-9]{2}"), "ssn": text.rlike("[0-9]-[0-9]{2}-[0-9]")}[kind]
 
 
 def _pieces(kind: str, text: Column) -> tuple[Column, Column]:
@@ -88,32 +93,53 @@ def _pieces(kind: str, text: Column) -> tuple[Column, Column]:
 SPAN = "array<struct<start:int,place:int,end:int,kind:string,score:double>>"
 
 
-def _spans(kind: str, text: Column) -> Column:
-    """Confirmed spans of one kind with their score.
+def _let(value: Column, of) -> Column:
+    """of(value) with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
-    The score is 0.6, 0.8 where a checksum confirmed the span, and 0.2 more with a
-    context word of the kind within NEAR characters.
-    """
-    gaps, found = _pieces(kind, text)
-    both = F.arrays_zip(gaps.alias("gap"), F.concat(found, F.array(F.lit(""))).alias("match"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("seen"))
+
+def _placed(gaps: Column, found: Column, block: int = 128) -> Column:
+    """(start, match) of every match; blocks of matches keep the folds short on texts with very many."""
+    length = lambda p: F.length(p["gap"]) + F.length(p["match"])
+    empty = lambda at, kind: F.struct(at.alias("at"), F.array().cast(kind).alias("seen"))
 
     def step(a: Column, p: Column) -> Column:
         start = a["at"] + F.length(p["gap"])
         return F.struct((start + F.length(p["match"])).alias("at"), F.when(p["match"] == "", a["seen"]).otherwise(F.array_append(a["seen"], F.struct(start.alias("start"), p["match"].alias("match")))).alias("seen"))
 
-    placed = F.aggregate(both, empty, step)["seen"]
-    kept = F.filter(placed, lambda m: valid(kind, m["match"]))
-    checked = 0.8 if kind in ("card", "iban") else 0.6
+    def cut(both: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / block).cast("int")), lambda i: F.slice(both, i * block + 1, F.lit(block)))
+
+    def begins(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, p: a + length(p)))
+        return F.aggregate(sizes, empty(F.lit(0), "array<int>"), lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["seen"], a["at"]).alias("seen")))["seen"]
+
+    def each(blocks: Column) -> Column:
+        return _let(begins(blocks), lambda at: F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, empty(F.get(at, i), "array<struct<start:int,match:string>>"), step)["seen"])))
+
+    both = F.arrays_zip(gaps.alias("gap"), F.concat(found, F.array(F.lit(""))).alias("match"))
+    return _let(both, lambda v: _let(cut(v), each))
+
+
+def _spans(kind: str, text: Column) -> Column:
+    """Confirmed spans of one kind with their score; of added kinds only those that reach LEAST.
+
+    A checksum makes the score of a kind higher, a context word of the kind within NEAR
+    characters adds to it.
+    """
+    kept = F.filter(_placed(*_pieces(kind, text)), lambda m: valid(kind, m["match"]))
 
     def span(m: Column) -> Column:
         end = m["start"] + F.length(m["match"])
         around = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(m["start"] + 1 - NEAR, F.lit(1)), F.least(m["start"], F.lit(NEAR))), F.substring(text, end + 1, F.lit(NEAR))))
         named = functools.reduce(operator.or_, [F.contains(around, F.lit(w)) for w in CONTEXT[kind]])
-        score = F.round(F.lit(checked) + F.when(named, 0.2).otherwise(0.0), 1)
+        score = F.round(F.lit(SCORE[kind]) + F.when(named, CONTEXT_SCORE).otherwise(0.0), 1)
         return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("place"), end.alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
-    return F.when(_possible(kind, text), F.transform(kept, span)).otherwise(F.array()).cast(SPAN)
+    scored = F.transform(kept, span)
+    if kind not in BASE:
+        scored = F.filter(scored, lambda s: s["score"] >= LEAST)
+    return F.when(_possible(kind, text), scored).otherwise(F.array()).cast(SPAN)
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -136,12 +162,13 @@ def _count(spans: Column, kind: str) -> Column:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, best_score) from detect()."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores) from detect(); scores
+    are those of the spans in their order, comma-joined."""
     spans = F.col("spans")
-    base = F.filter(spans, lambda s: s["kind"] != "iban")
+    base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
     counts = [_count(spans, k).cast("long").alias(f"n_{k}") for k in BASE]
     found = detect(docs)
-    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"), F.array_max(F.transform(spans, lambda s: s["score"])).alias("best_score"))
+    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(spans).alias("spans"), F.concat_ws(",", F.transform(spans, lambda s: s["score"].cast("string"))).alias("scores"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
