@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,17 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that spark.checkpoint.dir names; an error if it names none."""
-    sc = df.sparkSession.sparkContext
+def checkpoints(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; an error if it names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, seen by the driver and all executors."""
+    return f"{checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
@@ -32,6 +45,25 @@ def bounded(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(key), key).limit(rows)
 
 
+#: Rows of one key that a task may join with the key's row.
+HOT = 100_000
+
+
+def join_hot(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with few (a row for each key), where a key may have a large share of all rows.
+
+    Keys of more than HOT rows are counted, so there is at most a row for every HOT rows to
+    broadcast; their rows are dealt by the hash of column `by`, and only their rows in
+    `few` are repeated, once for each share.
+    """
+    shares = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT)
+    shares = F.broadcast(shares.select(key, F.ceil(F.col("__n") / HOT).cast("int").alias("__shares")))
+    number = F.coalesce(F.col("__shares"), F.lit(1))
+    dealt = rows.join(shares, key, "left").withColumn("__share", F.pmod(F.xxhash64(by), number).cast("int")).drop("__shares")
+    repeated = few.join(shares, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), number - 1))).drop("__shares")
+    return dealt.join(repeated, [key, "__share"], how).drop("__share")
+
+
 def raw(column) -> list:
     """An Arrow string column as UTF-8 bytes; null reads as empty."""
     import pyarrow as pa

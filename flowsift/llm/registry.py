@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, pii, quality, secrets, simhash, substring, topk, toxicity
-from .common import table
+from .common import shared_folder, table
 from .oracle import ORACLES
 
 
@@ -36,7 +36,13 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.findings(table(spark, sf_dir, "documents")).drop("blob")
+    """Two arrivals of versions advance a ledger in the shared folder; the second scans only what the first lacks."""
+    docs = table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark, shared_folder(spark, "ledger"))
+    late = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1, F.lit(True))
+    for arrived in (docs.where(~late), docs.where(late)):
+        ledger.advance(arrived)
+    return secrets.report(docs, ledger.rows()).drop("blob")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

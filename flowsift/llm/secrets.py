@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import join_hot
+
 KINDS = ("assign", "access", "hex")
 #: Goes up with every change of the rules, so that blobs are scanned again.
 RULES = "1"
@@ -57,18 +59,47 @@ def scan(paths: DataFrame, ledger: DataFrame | None = None, rules: str = RULES)
     return found.dropDuplicates(["blob"]).withColumn("rules", F.lit(rules))
 
 
+LEDGER = "blob string, rules string, n_assign long, n_access long, n_hex long, spans string"
+
+
+class Ledger:
+    """A table in a shared folder of all blobs scanned so far, with the rules they were scanned by."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)  # so that it can be read from the start
+
+    def rows(self) -> DataFrame:
+        """(blob, rules, n_assign, n_access, n_hex, spans), one row for each blob and rules."""
+        return self.spark.read.schema(LEDGER).parquet(self.path).dropDuplicates(["blob", "rules"])
+
+    def advance(self, versions: DataFrame, rules: str = RULES) -> None:
+        """Scans the texts of these versions that the ledger lacks under the rules, and adds them.
+
+        A run that is lost leaves the ledger as it was or as it is to be; a blob added
+        twice by two runs at a time is read once.
+        """
+        scan(versions, self.rows(), rules).select("blob", "rules", "n_assign", "n_access", "n_hex", "spans").write.mode("append").parquet(self.path)
+
+
 def findings(paths: DataFrame, ledger: DataFrame | None = None, rules: str = RULES) -> DataFrame:
     """(doc_id, blob, n_assign, n_access, n_hex, base_sha256, spans) of every row of paths.
 
     Blobs in the ledger under the same rules are not scanned again; their findings are
-    read from it. Only blobs with findings travel back to the rows, so that a blob with very
-    many paths meets a small side. Rows are kept as often as they came in, null ids too.
+    read from it. Rows are kept as often as they came in, null ids too; a null text reads
+    as empty.
     """
     new = scan(paths, ledger, rules)
     if ledger is not None:
         new = new.unionByName(ledger.where(F.col("rules") == rules).select(new.columns).dropDuplicates(["blob"]))
-    hits = new.where("spans <> ''").drop("rules")
-    out = versions(paths).join(hits, "blob", "left")
+    return report(paths, new, rules)
+
+
+def report(paths: DataFrame, ledger: DataFrame, rules: str = RULES) -> DataFrame:
+    """findings() of paths whose blobs are all in the ledger; nothing is scanned. Only blobs with
+    findings travel back to the rows, and rows of a very common blob are dealt into shares."""
+    hits = ledger.where((F.col("rules") == rules) & (F.col("spans") != "")).drop("rules")
+    out = join_hot(versions(paths), hits, "blob", "doc_id", "left")
     counts = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in KINDS]
     joined = F.coalesce("spans", F.lit(""))
     return out.select("doc_id", "blob", *counts, F.sha2(joined.cast("binary"), 256).alias("base_sha256"), joined.alias("spans"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, raw
+from .common import cut, join_hot, raw
 from .components import connected_components
 
 #: Rows of a bucket that are compared within one block; larger buckets are dealt into chunks.
@@ -114,10 +114,10 @@ class _Linker:
         return ok
 
     def first(self, k: np.ndarray, fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
-        """Whether the set with number k is the first under which the pair meets."""
+        """Whether the set with number k is the first under which the pair meets; wider sets repeat pairs."""
         same, out = fa.view(np.uint8) == fb.view(np.uint8), np.ones(len(k), bool)
         for j, s in enumerate(self.sets):
-            out &= ~((j < k) & same[:, list(s)].all(1))
+            out &= ~((j < k) & (k < len(self.sets)) & same[:, list(s)].all(1))
         return out
 
     def forest(self, fp: np.ndarray) -> tuple[list, np.ndarray]:
@@ -177,16 +177,35 @@ class _Linker:
         return node[i[once]], node[j[once]]
 
 
+def _index_deeper(rows: DataFrame, sets: list[tuple[int, ...]], least: int) -> DataFrame:
+    """Rows of large buckets under one byte position more; these sets are numbered after the others.
+
+    A pair that is kept shares at least `least` whole bytes, so beside a set of fewer
+    positions it shares one more of the others.
+    """
+    wider = sorted({tuple(sorted({*s, p})) for s in sets for p in range(8) if p not in s})
+    byte = lambda p: F.substring("fp", p + 1, 1)
+    keys = F.array(*[F.when(F.arrays_overlap("numbers", F.array(*[F.lit(k) for k, s in enumerate(sets) if set(s) <= set(t)])), F.concat(F.lit(bytes([(len(sets) + n) >> 8, (len(sets) + n) & 255])), *[byte(p) for p in t])) for n, t in enumerate(wider)])
+    hot = rows.withColumn("number", F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int")).groupBy("fp", "node").agg(F.collect_set("number").alias("numbers"))
+    return hot.select("fp", "node", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+
+
 def links(distinct: DataFrame, sets: list[tuple[int, ...]], radius: int, least: int) -> DataFrame:
     """(u, v): verified links that connect what the index can reach; nodes are longs.
 
-    Buckets of one row go at the count. A bucket of more than CHUNK rows is dealt into
-    chunks by hash, and every two chunks meet in a block of their own, so a task never
-    holds a whole hot bucket.
+    Buckets of one row go at the count. Rows of a bucket of more than CHUNK rows are indexed
+    by one byte more; what is still larger is dealt into chunks by hash, and every two
+    chunks meet in a block of their own, so a task never holds a whole hot bucket.
     """
     index = _index(distinct, sets)
     counts = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = index.join(counts, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    rows = index.join(counts, "key")
+    if len(sets[0]) < least:
+        rows = cut(rows)
+        deeper = _index_deeper(rows.where(F.col("n") > CHUNK), sets, least)
+        again = deeper.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        rows = rows.where(F.col("n") <= CHUNK).unionByName(deeper.join(again, "key"))
+    rows = rows.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     rows = rows.withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("fp"), "chunks")).otherwise(0).cast("int"))
     # a chunk meets itself (no partner) and every other chunk (the pair of numbers)
     partner = F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))
@@ -253,7 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
     named = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return join_hot(rows, named, "fp", "doc_id").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 # ---------------------------------------------------------------- whole-document similarity
@@ -441,4 +460,4 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     nodes = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.join(nodes.groupBy("root").agg(F.min("own").alias("least")), "root").select("node", "least")
     alone = F.when(F.col("node").isNull(), named)
-    return rows.join(least, "node", "left").withColumn("least", F.coalesce("least", alone)).select("doc_id", "text_hash", "least.component_id", "least.component_text")
+    return join_hot(rows, least, "node", "doc_id", "left").withColumn("least", F.coalesce("least", alone)).select("doc_id", "text_hash", "least.component_id", "least.component_text")
