@@ -18,6 +18,23 @@ from pyspark.sql import functions as F
 REMEMBERED = 200_000
 
 
+# Code points that Unicode 16 and 17 assigned; Python's tables may be older.
+#: Ranges of letters and of numbers.
+LATER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+LATER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: First and last upper-case letter, and the lower-case letter of the first.
+LATER_LOWER = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+_later_lower = {c: low + c - a for a, z, low in LATER_LOWER for c in range(a, z + 1)}
+_later_upper = re.compile("[" + "".join(map(chr, _later_lower)) + "]").search
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -35,6 +52,7 @@ def _class(category: str, below: int) -> str:
         elif begin is not None:
             runs.append((begin, c - 1))
             begin = None
+    runs += [(a, z) for a, z in {"L": LATER_LETTERS, "N": LATER_NUMBERS}[category] if z < below]
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
@@ -117,6 +135,8 @@ class Bpe:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # lower case by the character, without the final form
+            if _later_upper(text):
+                text = text.translate(_later_lower)
         text, known = text.lower(), self.fresh.get
         size = next((n for n, search in self.beyond.items() if not search(text)), sys.maxunicode + 1)
         if size not in self.splitters:
