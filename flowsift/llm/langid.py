@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-#: Rows learned from, stratified by language; words and n-grams kept, by count.
-SAMPLE, WORDS, GRAMS, LONGEST = 8_000, 100_000, 100_000, 5
+#: Rows learned from, about so many, shared evenly by the languages; longest n-gram; least count of a word or n-gram that is kept.
+SAMPLE, LONGEST, SEEN = 8_000, 5, 3
 #: Rows of the table of words that a Python worker remembers.
 REMEMBERED = 100_000
 UNKNOWN = "und"
@@ -32,17 +32,13 @@ def _words(low: str) -> list[str]:
 
 
 def learning_rows(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """(doc_id, lang): up to `rows` rows, taken in turn from each language by hash of the id."""
-    from pyspark.sql import Window
-
+    """(doc_id, lang): about `rows` rows, an even share of each language if it has as many, those with the lowest hash of the id."""
     known = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"))
     known = known.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-    # only the lowest places of each language go to its window, so a very common one costs no more
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
-    known = known.join(sizes, "lang").withColumn("place", place).where(F.col("place") * F.col("rows") < 1.5 * rows)
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
-    return known.withColumn("turn", turn).where(F.col("turn") <= rows).orderBy("turn", "lang").limit(rows).select("doc_id", "lang").distinct()
+    share = sizes.crossJoin(sizes.agg(F.count("*").alias("langs"))).select("lang", (F.lit(rows) / F.col("langs") / F.col("rows")).alias("share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    return known.join(share, "lang").where(place < F.col("share")).select("doc_id", "lang").distinct()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +103,7 @@ class Model:
                     else:
                         found[i], times[i], total = 0, 0.0, total + times[i] * v
         total += times @ self.rows[found]
-        p = np.exp(total - total.max())
+        p = np.exp((total - total.max()) / np.sqrt(sum(words.values())))
         return self.langs[int(total.argmax())], float(p.max() / p.sum())
 
 
@@ -120,18 +116,19 @@ def _table(top: pd.DataFrame, totals: dict, langs: list[str], smooth: float) ->
     return list(tokens), np.log((counts + smooth) / (size + smooth * (len(tokens) + 1))).astype(np.float32)
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE, words: int = WORDS, grams: int = GRAMS) -> Model:
-    """Model of at most `words` words and `grams` n-grams from at most `rows` documents."""
+def fit(docs: DataFrame, rows: int = SAMPLE, seen: int = SEEN) -> Model:
+    """Model of the words and n-grams met `seen` times or more in about `rows` documents.
+
+    """
     ids = learning_rows(docs, rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select("lang", "text")
     counts = texts.mapInArrow(_count, "size long, lang string, token string, n long").groupBy("size", "lang", "token").agg(F.sum("n").alias("n")).persist()
     totals = {(r[0] > 0, r[1], r[0]): r[2] for r in counts.groupBy("size", "lang").agg(F.sum("n")).collect()}
-    by_count = lambda c, n: counts.where(c).orderBy(F.desc("n"), "token", "lang").limit(n).toArrow().to_pandas()
-    top_words, top_grams = by_count((F.col("size") == 0) & (F.col("n") > 1), words), by_count(F.col("size") > 0, grams)
+    kept = counts.where(F.col("n") >= seen).orderBy("size", "token", "lang").toArrow().to_pandas()
     counts.unpersist()
     langs = sorted({lang for _, lang, _ in totals})
-    known = _table(top_words, {lang: totals.get((False, lang, 0), 0) for lang in langs}, langs, 0.1)
-    parts = [_table(top_grams[top_grams["size"] == n], {lang: totals.get((True, lang, n), 0) for lang in langs}, langs, 0.1) for n in range(1, LONGEST + 1)]
+    known = _table(kept[kept["size"] == 0], {lang: totals.get((False, lang, 0), 0) for lang in langs}, langs, 0.1)
+    parts = [_table(kept[kept["size"] == n], {lang: totals.get((True, lang, n), 0) for lang in langs}, langs, 0.1) for n in range(1, LONGEST + 1)]
     return Model(langs, *known, [g for p in parts for g in p[0]], np.concatenate([p[1] for p in parts]))
 
 
@@ -143,7 +140,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     `und` with score 0 if the text is null or has no letter, or nothing was learned; else
     the language of the greatest sum of log frequencies, ties to the first by name. The
-    score is its share of the posterior under equal priors. Repeated rows stay.
+    score is its share of the posterior under equal priors, with the evidence of n words
+    taken as that of the root of n, as words of a text aren't independent. Repeated rows stay.
     """
     own = _shared(docs, model)
 

@@ -24,6 +24,8 @@ PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 WINDOW = ANCHOR + PERIOD - 1
 #: Bytes of text in a group, and for each range of hashes.
 GROUP, RANGE = 8 << 20, 16 << 20
+#: Groups or ranges of a task, and most tasks of a stage.
+PER_TASK, MOST = 8, 50_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 NONE = np.iinfo(np.int64).max
@@ -186,19 +188,29 @@ def _removed(docs: pa.Table, found: pa.Table) -> tuple[Group, np.ndarray]:
     return group, np.cumsum(edge)[: len(group.hash)] > 0
 
 
+def _parts(df: DataFrame, count: int) -> int:
+    """Partitions for so many groups or ranges: the session's number, or more if these are many."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(count, max(usual, -(-count // PER_TASK)), MOST))
+
+
 def _grouped(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """Documents dealt into groups once (all passes read this exchange), with the counts of groups and ranges."""
+    """Documents dealt into groups once (all passes read this exchange), with the counts of groups and ranges.
+
+    Groups and ranges are worked on one at a time, some PER_TASK in a task, so neither a
+    task's memory nor, up to MOST tasks, its share grows with the input.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, ranges = max(1, -(-size // GROUP)), max(1, -(-size // RANGE))
-    return rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)).cast("long")).repartition("g"), groups, ranges
+    return rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(groups)).cast("long")).repartition(_parts(docs, groups), "g"), groups, ranges
 
 
-def _found(rows: DataFrame, ranges: int) -> DataFrame:
+def _found(rows: DataFrame, groups: int, ranges: int) -> DataFrame:
     sent = rows.groupBy("g").applyInArrow(_send_anchors(ranges), "part long, g long, h binary")
-    shared = sent.groupBy("part").applyInArrow(_shared_anchors, "g long, part long, h binary")
-    windows = rows.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_send_windows(ranges), "part long, g long, h binary, k binary, d binary")
-    return windows.groupBy("part").applyInArrow(_first_documents, "g long, h binary, k binary, d binary")
+    shared = sent.repartition(_parts(rows, ranges), "part").groupBy("part").applyInArrow(_shared_anchors, "g long, part long, h binary")
+    windows = rows.groupBy("g").cogroup(shared.repartition(_parts(rows, groups), "g").groupBy("g")).applyInArrow(_send_windows(ranges), "part long, g long, h binary, k binary, d binary")
+    return windows.repartition(_parts(rows, ranges), "part").groupBy("part").applyInArrow(_first_documents, "g long, h binary, k binary, d binary")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -221,8 +233,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
             kept.append(b" ".join(w if not n else [x for x, m in zip(w, mask) if not m]).decode("utf-8"))
         return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array(group.n), "n_removed": pa.array(np.asarray(n_gone, np.int64)), "kept": pa.array(kept, pa.string())})
 
-    rows, _, ranges = _grouped(docs)
-    found = _found(rows, ranges)
+    rows, groups, ranges = _grouped(docs)
+    found = _found(rows, groups, ranges).repartition(_parts(rows, groups), "g")
     return rows.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
