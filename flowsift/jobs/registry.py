@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,15 +30,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import flowsift.jobs.records  # noqa: F401  (registers its queries)
+def _load() -> None:
+    """The modules that register further queries."""
+    for module in ("atoms", "links", "records"):
+        importlib.import_module(f"flowsift.jobs.{module}")
+
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    import flowsift.jobs.records  # noqa: F401
-
+    _load()
     return dict(_sql)
 
 
@@ -67,9 +72,7 @@ def _verdict(old: str, new: str, kind: str) -> str:
 
 
 # ---------------------------------------------------------------- filters
-for _kind, _source, _key in (("job", "jobs", None), ("flow", "transitions", "item"), ("task", "transitions", "item"), ("retry", "transitions", "item"), ("request", "requests", "request")):
-    if _key is None:
-        continue
+for _kind, _source, _key in (("flow", "transitions", "item"), ("task", "transitions", "item"), ("retry", "transitions", "item"), ("request", "requests", "request")):
 
     @query(
         f"f1_check_{_kind}",

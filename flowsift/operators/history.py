@@ -70,6 +70,19 @@ def event_timestamps(df: DataFrame) -> DataFrame:
     return df.groupBy("item", "state").agg(F.max("ts").alias("ts")).select("item", F.concat("state", F.lit("-timestamp")).alias("name"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
 
 
+def drop_repeats(df: DataFrame, saving=("SUCCESS", "FAILURE", "REVERTED", "REVERT_FAILURE")) -> DataFrame:
+    """drop_identity() with progress: rows of tasks are repeats only if they carry a progress and it
+    is the one told before; rows of retries if the state is the one before.
+
+    The progress told before is that of the last row with one, 0.0 if there was none.
+    """
+    w = _by("item")
+    told = F.coalesce(F.last("progress", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    same = F.col("state").eqNullSafe(F.lag("state").over(w)) & ~F.col("state").isin(list(saving))
+    still = F.when(F.col("item_type") == "task", F.coalesce(F.col("progress") == told, F.lit(False))).otherwise(True)
+    return df.withColumn("__repeat", same & still).where(~F.col("__repeat")).drop("__repeat")
+
+
 def drop_identity(df: DataFrame, saving=("SUCCESS", "FAILURE", "REVERTED", "REVERT_FAILURE")) -> DataFrame:
     """Without rows that repeat the state before them, but for states that save a result."""
     before = F.lag("state").over(_by("item"))
@@ -182,17 +195,26 @@ def map_reduce_sum(df: DataFrame, value: str, key: str, order: list[str], chunk:
     return (parts if keep_tail else parts.where(F.col("n") == chunk)).groupBy(key).agg(F.round(F.sum("part"), 4).alias("total"), F.count("*").alias("chunks"))
 
 
-def log_level(df: DataFrame) -> DataFrame:
+def log_level(df: DataFrame, failed: Column | None = None) -> DataFrame:
+    """WARNING for the states that tell of trouble, and for a finish row whose result is a failure
+    (`failed`, if given); else DEBUG."""
     flow = F.col("state").isin("FAILURE", "REVERTED")
     task = F.col("state").isin("FAILURE", "REVERTED", "RETRYING", "REVERT_FAILURE")
-    return df.withColumn("level", F.when(F.when(F.col("item_type") == "flow", flow).otherwise(task), "WARNING").otherwise("DEBUG"))
+    bad = F.when(F.col("item_type") == "flow", flow).otherwise(task)
+    if failed is not None:
+        bad = bad | (F.col("state").isin(FINISHES) & F.coalesce(failed, F.lit(False)))
+    return df.withColumn("level", F.when(bad, "WARNING").otherwise("DEBUG"))
+
 
+def capture_transitions(df: DataFrame, listen_for=("*",), capture_flow=True, capture_task=True, skip_items: list | None = None, capture_retry=True, skip: DataFrame | None = None) -> DataFrame:
+    """The rows of the wanted kinds and states, without skipped items. '*' listens for all.
 
-def capture_transitions(df: DataFrame, listen_for=("*",), capture_flow=True, capture_task=True, skip_items: list | None = None) -> DataFrame:
-    """The rows of the wanted kinds and states, without skipped items. '*' listens for all."""
-    kinds = [k for k, on in (("flow", capture_flow), ("task", capture_task)) if on]
+    skip: (item_type, item) of items of one kind that are left out, of any number.
+    """
+    kinds = [k for k, on in (("flow", capture_flow), ("task", capture_task), ("retry", capture_retry)) if on]
     kept = df.where(F.col("item_type").isin(kinds))
     kept = kept if "*" in listen_for else kept.where(F.col("state").isin(list(listen_for)))
+    kept = kept.join(skip, ["item_type", "item"], "left_anti") if skip is not None else kept
     return kept.where(~F.col("item").isin(skip_items)) if skip_items else kept
 
 
@@ -215,3 +237,83 @@ def classify_details(df: DataFrame, task_keys=("k",), retry_keys=("r",)) -> Data
     """Tells rows of tasks from those of retries by the keys that their details have."""
     has = lambda keys: F.forall(F.array(*map(F.lit, keys)), lambda k: F.coalesce(F.array_contains(F.json_object_keys("props"), k), F.lit(False)))
     return df.withColumn("about", F.when(has(task_keys), "task").when(has(retry_keys), "retry").otherwise("neither"))
+
+
+def results_of(atoms: DataFrame, which: str = "execute") -> DataFrame:
+    """(flow, atom, status, value): what a look-up of an atom's result gives. which: execute or revert.
+
+    atoms have state, results, failure, revert_results, revert_failure. A stored failure is the
+    result; else the result is seen in the states that have one, IGNORED atoms have none, and
+    those that aren't there yet are NOT_KNOWN.
+    """
+    result, failure, states = {"execute": ("results", "failure", ["SUCCESS", "FAILURE", "REVERTING"]), "revert": ("revert_results", "revert_failure", ["REVERTED", "REVERT_FAILURE", "REVERTING"])}[which]
+    status = F.when(F.col(failure).isNotNull(), "FAILURE").when(F.col("state").isin(states), "RESULT").when(F.col("state") == "IGNORE", "IGNORED").otherwise("NOT_KNOWN")
+    return atoms.select("flow", "atom", status.alias("status"), F.when(F.col(failure).isNotNull(), F.col(failure)).when(F.col("state").isin(states), F.col(result)).alias("value"))
+
+
+def last_results(results: Column) -> Column:
+    """The value of a retry's last attempt (array of structs with `value`), which look-ups see; null without one."""
+    return F.try_element_at(results, F.lit(-1))["value"]
+
+
+def failure_maps(atoms: DataFrame) -> DataFrame:
+    """(flow, execute map, revert map, has_failures): each flow's failures by atom name.
+
+    A flow without any has empty maps; only atoms with a failure are gathered.
+    """
+    of = lambda c: F.map_from_entries(F.array_sort(F.filter(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("atom", c))), lambda x: x.isNotNull())))
+    return atoms.groupBy("flow").agg(of("failure").alias("execute"), of("revert_failure").alias("revert"), F.bool_or(F.col("failure").isNotNull() | F.col("revert_failure").isNotNull()).alias("has_failures"))
+
+
+def run_statistics(df: DataFrame) -> DataFrame:
+    """(flow, completed, discarded_failures, incomplete, awaiting, active_for) from transitions.
+
+    An item is completed if its last state is a finish, incomplete if it is a start, awaiting
+    otherwise. A failed row is discarded if its item reached another state later, that is
+    if the failure was resolved. active_for: seconds from the first to the last row.
+    """
+    s = F.col("state")
+    item = df.groupBy("flow", "item").agg(F.max_by("state", F.struct("ts", "seq")).alias("last"), F.count_if(s == "FAILURE").alias("failures"), F.min("ts").alias("since"), F.max("ts").alias("until"))
+    resolved = F.col("failures") - F.when(F.col("last") == "FAILURE", 1).otherwise(0)
+    last = F.col("last")
+    return item.groupBy("flow").agg(
+        F.count_if(last.isin(FINISHES)).alias("completed"), F.sum(resolved).alias("discarded_failures"), F.count_if(last.isin(STARTS)).alias("incomplete"),
+        F.count_if(~last.isin([*FINISHES, *STARTS])).alias("awaiting"), seconds(F.max("until"), F.min("since")).alias("active_for"),
+    )
+
+
+def book_state_counts(atoms: DataFrame, flows: DataFrame) -> DataFrame:
+    """(book, flow, state, level, n): counts of atoms by book, flow and state, with all subtotals."""
+    placed = atoms.join(flows.select(F.col("uuid").alias("flow"), F.col("parent_uuid").alias("book")), "flow")
+    return placed.rollup("book", "flow", "state").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
+
+
+def failure_spread(atoms: DataFrame, bucket: str = "month", error: float = 0.02) -> DataFrame:
+    """failure_trends() by type and bucket with the flows counted exactly and approximately, the
+    latter in a sketch of fixed size."""
+    failed = atoms.where("failure IS NOT NULL").withColumn("bucket", F.date_trunc(bucket, "updated_at"))
+    return failed.groupBy("failure", "bucket").agg(F.count("*").alias("n"), F.countDistinct("flow").alias("flows"), F.approx_count_distinct("flow", error).alias("about"))
+
+
+def duration_percentiles(timed: DataFrame, key: str = "name", shares=(0.5, 0.9, 0.99), accuracy: int = 10_000) -> DataFrame:
+    """Count, mean, extremes and percentiles of durations by name, from sketches of bounded size.
+
+    A percentile is a duration at which at least that share of the rows is reached; its rank is off
+    by the share 1 / accuracy at most.
+    """
+    d = F.col("duration")
+    by = timed.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(d), 4).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"), F.percentile_approx(d, list(shares), accuracy).alias("p"))
+    return by.select(key, "n", "mean", "least", "most", *[F.get("p", F.lit(i)).alias(f"p{round(100 * x)}") for i, x in enumerate(shares)])
+
+
+def first_seen(inputs: list[DataFrame], selector: Column, order: list[str]) -> DataFrame:
+    """The first row of each selector value over many inputs, in the order of inputs and within them.
+
+    Inputs have the same columns; the result has these and `source`, the number of the input.
+    """
+    rows = None
+    for number, df in enumerate(inputs):
+        df = df.withColumn("source", F.lit(number))
+        rows = df if rows is None else rows.unionByName(df)
+    first = rows.withColumn("__key", selector).groupBy("__key").agg(F.min_by(F.struct(*rows.columns), F.struct("source", *order)).alias("row"))
+    return first.select("row.*")

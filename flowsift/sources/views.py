@@ -39,6 +39,25 @@ VIEWS = {
     "tree": "SELECT p_partkey AS node, CASE WHEN p_partkey <= 1 THEN NULL ELSE CAST(floor(p_partkey / 2) AS BIGINT) END AS parent, p_partkey % 2 AS child_idx FROM {part} WHERE p_partkey >= 1",
     "provides": "SELECT p_brand AS flow, p_partkey AS atom, concat('s', CAST(p_partkey % 400 AS VARCHAR(9))) AS name FROM {part}",
     "requires": "SELECT p_brand AS flow, p_partkey AS atom, concat('s', CAST((p_partkey * 7 + p_size) % 400 AS VARCHAR(9))) AS name FROM {part}",
+    "job_states": """SELECT event_id AS seq, ts, user_id AS job, CASE event_type WHEN 'signup' THEN 'UNCLAIMED' WHEN 'view' THEN 'CLAIMED'
+        WHEN 'click' THEN 'UNCLAIMED' WHEN 'purchase' THEN 'COMPLETE' ELSE 'CLAIMED' END AS state FROM {events}""",
+    "details": """SELECT event_id AS seq, ts, user_id AS item, event_type, CASE event_id % 5 WHEN 0 THEN concat(chr(123), '"task_name": "t", "task_uuid": "u"', chr(125)) WHEN 1 THEN concat(chr(123), '"retry_name": "r", "retry_uuid": "u"', chr(125))
+        WHEN 2 THEN concat(chr(123), '"task_name": "t"', chr(125)) WHEN 3 THEN concat(chr(123), chr(125)) END AS details FROM {events}""",
+    "results": """SELECT event_id AS seq, CAST(floor(value) AS BIGINT) AS number, event_type AS word, event_id % 4 AS shape, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN '"k"' WHEN 4 THEN '"z"' WHEN 5 THEN '7' ELSE '"0"' END AS idx,
+        CASE event_id % 4 WHEN 0 THEN concat(chr(123), '"k": ', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR(20)), chr(125)) WHEN 1 THEN concat('[', CAST(CAST(floor(value) AS BIGINT) AS VARCHAR(20)), ', "', event_type, '"]')
+        WHEN 2 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR(20)) ELSE '[]' END AS result FROM {events}""",
+    "stored": """SELECT l_orderkey AS flow, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS pos,
+        concat('atom-', CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS VARCHAR(9))) AS atom,
+        concat('s', CAST(l_partkey % 9 AS VARCHAR(9))) AS provided, concat('s', CAST(l_suppkey % 9 AS VARCHAR(9))) AS required, l_suppkey % 4 = 0 AS optional,
+        CASE WHEN l_partkey % 5 < 3 THEN 'SUCCESS' WHEN l_partkey % 5 = 3 THEN 'IGNORE' WHEN l_suppkey % 2 = 0 THEN 'FAILURE' ELSE 'RUNNING' END AS state,
+        CASE WHEN l_partkey % 5 = 4 AND l_suppkey % 2 = 0 THEN 'ValueError' END AS failure, CASE WHEN l_partkey % 8 = 0 THEN 'IOError' END AS revert_failure,
+        CASE WHEN l_partkey % 13 <> 0 THEN CAST(l_partkey AS VARCHAR(20)) END AS value, CASE WHEN l_partkey % 6 = 0 THEN 'REVERTED' WHEN l_partkey % 6 = 1 THEN 'REVERTING' WHEN l_partkey % 6 = 2 THEN 'REVERT_FAILURE' WHEN l_partkey % 6 = 3 THEN 'IGNORE' ELSE 'SUCCESS' END AS revert_state FROM {lineitem}""",
+    "gnodes": """SELECT p_partkey % 7 AS graph, p_partkey AS node, CASE WHEN p_size % 7 = 0 THEN 'retry' WHEN p_size % 5 = 0 THEN 'flow' ELSE 'task' END AS kind, p_size % 6 = 0 AS noop,
+        CASE WHEN p_retailprice - floor(p_retailprice) < 0.05 THEN 'IGNORE' WHEN p_size % 4 = 0 AND p_partkey >= 40 THEN 'PENDING' WHEN p_size % 9 = 1 THEN 'REVERTED' WHEN p_partkey < 90 OR p_size % 3 > 0 THEN 'SUCCESS' ELSE 'PENDING' END AS state,
+        CASE WHEN p_size % 11 = 3 THEN 'REVERT' WHEN p_size % 11 = 4 THEN 'RETRY' WHEN p_size % 11 = 5 THEN 'IGNORE' ELSE 'EXECUTE' END AS intention FROM {part}""",
+    "gedges": """SELECT DISTINCT graph, src, dst FROM (SELECT p_partkey % 7 AS graph, CAST(floor(floor(p_partkey / 7) / 2) AS BIGINT) * 7 + p_partkey % 7 AS src, p_partkey AS dst FROM {part}
+        UNION ALL SELECT p_partkey % 7, CAST(floor(floor(p_partkey / 7) / 3) AS BIGINT) * 7 + p_partkey % 7, p_partkey FROM {part}
+        UNION ALL SELECT p_partkey % 7, p_partkey, CAST(floor(floor(p_partkey / 7) / 4) AS BIGINT) * 7 + p_partkey % 7 FROM {part} WHERE p_partkey % 7 IN (2, 5) AND floor(p_partkey / 7) % 13 = 12) e WHERE src <> dst AND src >= 1 AND dst >= 1""",
     "turns": "SELECT conv_id AS flow, turn AS pos, role AS name, text FROM {conversations}",
 }
 
