@@ -1 +1,292 @@
-"""Registered queries of joins and graphs, each with its DuckDB SQL."""
+"""Registered queries of joins, boards and graphs, each with its DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowsift.jobs.registry import _RANK, _with, query
+from flowsift.operators import boards as B
+from flowsift.operators import books as K
+from flowsift.operators import graphs as G
+from flowsift.operators import history as H
+from flowsift.sources.views import view
+
+
+# ---------------------------------------------------------------- books
+@query("j1_assembled_rows", _with("books", "flows", "atoms") + "SELECT b.uuid AS book, f.uuid AS flow, f.state AS flow_state, CAST(a.pos AS BIGINT) AS pos, a.name, a.state FROM books b LEFT JOIN flows f ON f.parent_uuid = b.uuid LEFT JOIN atoms a ON a.flow = f.uuid")
+def _(spark, d):
+    nested = K.assemble_logbooks(*(view(spark, d, v) for v in ("books", "flows", "atoms")))
+    flows = nested.select(F.col("uuid").alias("book"), F.explode_outer("flows").alias("f"))
+    return flows.select("book", F.col("f.uuid").alias("flow"), F.col("f.state").alias("flow_state"), F.explode_outer("f.atoms").alias("a")).select("book", "flow", "flow_state", F.col("a.pos").cast("bigint").alias("pos"), "a.name", "a.state")
+
+
+@query("j2_merge_flows", _with("flows", "books", "jobs") + """, i AS (SELECT job + 100 AS uuid, CASE WHEN job % 4 = 3 THEN -1 ELSE book END AS parent_uuid, priority AS meta, state, sequence FROM jobs),
+k AS (SELECT * FROM i WHERE parent_uuid IN (SELECT uuid FROM books))
+SELECT coalesce(f.uuid, k.uuid) AS uuid, coalesce(f.parent_uuid, k.parent_uuid) AS parent_uuid, coalesce(k.meta, f.meta) AS meta, CASE WHEN k.uuid IS NOT NULL THEN k.state ELSE f.state END AS state, CAST(NULL AS VARCHAR) AS problem FROM flows f FULL JOIN k ON k.uuid = f.uuid
+UNION ALL SELECT uuid, parent_uuid, meta, state, 'NOT_FOUND' FROM i WHERE parent_uuid NOT IN (SELECT uuid FROM books)""")
+def _(spark, d):
+    parent = F.when(F.col("job") % 4 == 3, F.lit(-1).cast("bigint")).otherwise(F.col("book"))
+    incoming = view(spark, d, "jobs").select((F.col("job") + 100).alias("uuid"), parent.alias("parent_uuid"), F.col("priority").alias("meta"), "state", "sequence")
+    merged, rejected = K.merge_level(view(spark, d, "flows"), incoming, "flow", "sequence", view(spark, d, "books"))
+    columns = ["uuid", "parent_uuid", "meta", "state"]
+    return merged.select(*columns, F.lit(None).cast("string").alias("problem")).unionByName(rejected.select(*columns, "problem"))
+
+
+@query("j3_books_left", _with("books", "flows", "atoms") + """, u AS (SELECT CASE WHEN uuid % 3 = 0 THEN uuid ELSE -uuid - 1 END AS uuid FROM books)
+SELECT 'book' AS what, uuid AS id, CAST(NULL AS BIGINT) AS n FROM books WHERE uuid NOT IN (SELECT uuid FROM u) UNION ALL SELECT 'flow', uuid, CAST(NULL AS BIGINT) FROM flows WHERE parent_uuid NOT IN (SELECT uuid FROM u)
+UNION ALL SELECT 'atoms', flow, count(*) FROM atoms WHERE flow NOT IN (SELECT uuid FROM flows WHERE parent_uuid IN (SELECT uuid FROM u)) GROUP BY flow UNION ALL SELECT 'not found', uuid, CAST(NULL AS BIGINT) FROM u WHERE uuid NOT IN (SELECT uuid FROM books)""")
+def _(spark, d):
+    books, flows, atoms = (view(spark, d, v) for v in ("books", "flows", "atoms"))
+    uuids = books.select(F.when(F.col("uuid") % 3 == 0, F.col("uuid")).otherwise(-F.col("uuid") - 1).alias("uuid"))
+    b, f, a, lost = K.destroy_logbooks(books, flows, atoms, uuids)
+    none = F.lit(None).cast("bigint").alias("n")
+    tell = lambda df, what: df.select(F.lit(what).alias("what"), F.col("uuid").alias("id"), none)
+    return tell(b, "book").unionByName(tell(f, "flow")).unionByName(a.groupBy("flow").agg(F.count("*").alias("n")).select(F.lit("atoms").alias("what"), F.col("flow").alias("id"), "n")).unionByName(tell(lost, "not found"))
+
+
+_GP = "gp AS (SELECT graph AS flow, node AS atom, concat('s', CAST(node % 83 AS VARCHAR)) AS name FROM gnodes WHERE node % 3 > 0), gr AS (SELECT graph AS flow, node AS atom, concat('s', CAST((node * 5 + 3) % 83 AS VARCHAR)) AS name FROM gnodes), gt AS (SELECT DISTINCT graph AS flow, concat('s', CAST(graph * 2 AS VARCHAR)) AS name FROM gnodes)"
+
+
+def _symbols(spark, d):
+    nodes = view(spark, d, "gnodes").select(F.col("graph").alias("flow"), F.col("node").alias("atom"))
+    symbol = lambda n: F.concat(F.lit("s"), (n % 83).cast("string")).alias("name")
+    provides = nodes.where("atom % 3 > 0").select("flow", "atom", symbol(F.col("atom")))
+    return provides, nodes.select("flow", "atom", symbol(F.col("atom") * 5 + 3)), nodes.select("flow").distinct().select("flow", F.concat(F.lit("s"), F.col("flow") * 2).alias("name"))
+
+
+@query("j4_link_atoms", _with("gnodes", "gedges") + f""", {_GP}, o AS (SELECT flow, name, min(atom) AS src FROM gp GROUP BY flow, name HAVING count(DISTINCT atom) = 1),
+l AS (SELECT r.flow, o.src, r.atom AS dst, r.name AS reasons, FALSE AS manual FROM gr r JOIN o ON o.flow = r.flow AND o.name = r.name WHERE o.src <> r.atom AND NOT EXISTS (SELECT 1 FROM gt WHERE gt.flow = r.flow AND gt.name = r.name)),
+m AS (SELECT * FROM l UNION ALL SELECT graph, src, dst, '', TRUE FROM gedges) SELECT flow, src, dst, max(reasons) AS reasons, bool_or(manual) AS manual FROM m GROUP BY flow, src, dst""")
+def _(spark, d):
+    provides, requires, retry = _symbols(spark, d)
+    return K.link_atoms(provides, requires, view(spark, d, "gedges").withColumnRenamed("graph", "flow"), retry)
+
+
+_REACH = "reach AS (SELECT dst AS start, src AS node FROM gedges UNION SELECT reach.start, e.src FROM reach JOIN gedges e ON e.dst = reach.node)"
+
+
+@query("j5_unsatisfied_requires", _with("gnodes", "gedges") + f", {_GP}, {_REACH} SELECT DISTINCT flow, atom, name FROM gr WHERE NOT EXISTS (SELECT 1 FROM gt WHERE gt.flow = gr.flow AND gt.name = gr.name) AND NOT EXISTS (SELECT 1 FROM reach JOIN gp ON gp.atom = reach.node WHERE reach.start = gr.atom AND reach.node <> gr.atom AND gp.name = gr.name)")
+def _(spark, d):
+    provides, requires, retry = _symbols(spark, d)
+    pairs = G.ancestors(view(spark, d, "gedges"), view(spark, d, "gnodes"))
+    return K.unsatisfied_requires(pairs, provides, requires, retry)
+
+
+# scopes of atoms within a flow: level 0 the two before, level 1 all before these
+_ST = "st AS (SELECT flow, pos, atom, provided, required, optional, state, value, failure FROM stored), sc AS (SELECT a.flow, a.atom, CASE WHEN a.pos - b.pos <= 2 THEN 0 ELSE 1 END AS level, a.pos - b.pos AS nth, b.atom AS visible FROM st a JOIN st b ON a.flow = b.flow AND b.pos < a.pos)"
+
+
+def _scopes(stored):
+    a, b = stored.select("flow", "atom", "pos"), stored.select("flow", F.col("atom").alias("visible"), F.col("pos").alias("before"))
+    pairs = a.join(b, "flow").where("before < pos")
+    return pairs.select("flow", "atom", F.when(F.col("pos") - F.col("before") <= 2, 0).otherwise(1).alias("level"), (F.col("pos") - F.col("before")).alias("at"), "visible")
+
+
+@query("j6_missing_in_scopes", _with("stored") + f""", {_ST}, ar AS (SELECT flow, atom, 'execute' AS method, required AS arg, required AS name, optional FROM st UNION ALL SELECT flow, atom, 'revert', provided, concat('s', CAST(pos AS VARCHAR)), FALSE FROM st)
+SELECT flow, method, string_agg(DISTINCT arg, ',' ORDER BY arg) AS missing FROM ar WHERE NOT optional AND NOT (name = 's1' AND flow % 2 = 0) AND NOT (name = 's2' AND atom = 'atom-2') AND NOT EXISTS (SELECT 1 FROM sc JOIN st p ON p.flow = sc.flow AND p.atom = sc.visible WHERE sc.flow = ar.flow AND sc.atom = ar.atom AND p.provided = ar.name) GROUP BY flow, method""")
+def _(spark, d):
+    s = view(spark, d, "stored")
+    execute = s.select("flow", "atom", F.lit("execute").alias("method"), F.col("required").alias("arg"), F.col("required").alias("name"), "optional")
+    revert = s.select("flow", "atom", F.lit("revert").alias("method"), F.col("provided").alias("arg"), F.concat(F.lit("s"), F.col("pos")).alias("name"), F.lit(False).alias("optional"))
+    whole = s.where("flow % 2 = 0").select("flow", F.lit(None).cast("string").alias("atom"), F.lit("s1").alias("name")).distinct()
+    own = s.where("atom = 'atom-2'").select("flow", "atom", F.lit("s2").alias("name"))
+    return K.missing_in_scopes(execute.unionByName(revert), s.select("flow", "atom", F.col("provided").alias("name")), whole.unionByName(own), _scopes(s))
+
+
+_STATUS = "CASE WHEN failure IS NOT NULL THEN 'FAILURE' WHEN state IN ('SUCCESS','FAILURE','REVERTING') THEN 'RESULT' WHEN state = 'IGNORE' THEN 'IGNORED' ELSE 'NOT_KNOWN' END"
+_VAL = "CASE WHEN failure IS NOT NULL THEN failure WHEN state IN ('SUCCESS','FAILURE','REVERTING') THEN value END"
+
+
+def _provided(stored):
+    known = H.results_of(stored.withColumn("results", F.col("value")), "execute")
+    return stored.select("flow", "pos", "atom", F.col("provided").alias("name")).join(known, ["flow", "atom"])
+
+
+@query("j7_look_up_arguments", _with("stored") + f""", {_ST}, pr AS (SELECT flow, atom, provided AS name, {_STATUS} AS status, {_VAL} AS value FROM st),
+c AS (SELECT sc.flow, sc.atom, level, nth, pr.status, pr.value FROM st JOIN sc ON sc.flow = st.flow AND sc.atom = st.atom JOIN pr ON pr.flow = sc.flow AND pr.atom = sc.visible AND pr.name = st.required WHERE pr.status <> 'IGNORED'),
+lv AS (SELECT flow, atom, level, bool_or(status = 'NOT_KNOWN') AS unfinished, arg_min(value, nth) FILTER (WHERE status = 'FAILURE' OR value IS NOT NULL) AS first FROM c GROUP BY flow, atom, level),
+n AS (SELECT flow, atom, arg_min(unfinished, level) AS unfinished, first(first ORDER BY level) AS first FROM lv GROUP BY flow, atom)
+SELECT st.flow, st.atom, 'x' AS arg,
+CASE WHEN transient OR persistent OR input OR (NOT n.unfinished AND n.first IS NOT NULL) THEN 'FOUND' WHEN optional AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.flow = st.flow AND pr.name = st.required) THEN 'OMITTED' ELSE 'NOT_FOUND' END AS status,
+CASE WHEN transient THEN 'TRANSIENT' WHEN persistent THEN 'PERSISTENT' WHEN input THEN 'INPUT' WHEN NOT n.unfinished AND n.first IS NOT NULL THEN 'SCOPE' END AS source,
+CASE WHEN transient THEN 'a' WHEN persistent THEN 'b' WHEN input THEN 'c' WHEN NOT n.unfinished THEN n.first END AS value
+FROM (SELECT *, required = 's4' AND pos % 2 = 0 AS transient, required IN ('s4', 's5') AND pos % 3 = 0 AS persistent, required = 's6' AND flow % 2 = 0 AS input FROM st) st LEFT JOIN n ON n.flow = st.flow AND n.atom = st.atom""")
+def _(spark, d):
+    s = view(spark, d, "stored")
+    args = s.select("flow", "atom", F.lit("x").alias("arg"), F.col("required").alias("name"), "optional")
+    given = lambda c, value, transient: s.where(c).select("flow", "atom", F.col("required").alias("name"), F.lit(value).alias("value"), F.lit(transient).alias("transient"))
+    injected = given("required = 's4' AND pos % 2 = 0", "a", True).unionByName(given("required IN ('s4', 's5') AND pos % 3 = 0", "b", False))
+    inputs = s.where("flow % 2 = 0").select("flow", F.lit("s6").alias("name"), F.lit("c").alias("value")).distinct()
+    return K.look_up_arguments(args, injected, inputs, _provided(s), _scopes(s))
+
+
+for _name, _many, _sql_value in (("j8_fetch_first", None, "vals[1]"), ("j8_fetch_all", lambda vals: F.array_join(vals, "+"), "array_to_string(vals, '+')")):
+
+    @query(_name, _with("stored") + f""", pr AS (SELECT flow, pos, provided AS name, {_STATUS} AS status, {_VAL} AS value FROM stored),
+b AS (SELECT flow, name, bool_or(status <> 'IGNORED' AND (status = 'NOT_KNOWN' OR (status = 'RESULT' AND value IS NULL))) AS bad, count(*) FILTER (WHERE status <> 'IGNORED') AS n, list(value ORDER BY pos) FILTER (WHERE status <> 'IGNORED') AS vals FROM pr GROUP BY flow, name)
+SELECT flow, name, CASE WHEN NOT bad AND n > 0 THEN 'FOUND' ELSE 'NOT_FOUND' END AS status, CASE WHEN NOT bad AND n > 0 THEN {_sql_value} END AS value FROM b""")
+    def _(spark, d, many=_many):
+        return K.fetch_all(_provided(view(spark, d, "stored")), many)
+
+
+# ---------------------------------------------------------------- boards
+@query("j9_match_live_workers", _with("commands", "beats") + """, l AS (SELECT concat('w', CAST(topic AS VARCHAR)) AS worker, max(ts) AS last_seen FROM beats GROUP BY topic), k AS (SELECT worker FROM l WHERE epoch_us(TIMESTAMP '2024-01-30 12:00:00') - epoch_us(last_seen) < 86400000000),
+w AS (SELECT worker, t AS task FROM k, (VALUES ('claim'), ('consume'), ('post')) v(t) WHERE t <> 'post' OR worker < 'w3'), n AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY worker) - 1 AS k, count(*) OVER (PARTITION BY task) AS many FROM w)
+SELECT c.seq AS request, c.command AS task, n.worker, CASE WHEN n.worker IS NULL THEN 'WAITING' ELSE 'PENDING' END AS state FROM commands c LEFT JOIN n ON n.task = c.command AND n.k = c.seq % n.many""")
+def _(spark, d):
+    worker = F.concat(F.lit("w"), "topic")
+    tasks = F.when(worker < "w3", F.array(*map(F.lit, ("claim", "consume", "post")))).otherwise(F.array(F.lit("claim"), F.lit("consume")))
+    workers = view(spark, d, "beats").select(worker.alias("worker"), tasks.alias("tasks"), F.col("ts").alias("last_seen"))
+    requests = view(spark, d, "commands").select(F.col("seq").alias("request"), F.col("command").alias("task"))
+    return B.match_live_workers(requests, workers, F.lit("2024-01-30 12:00:00").cast("timestamp"), 86400.0)
+
+
+@query("j10_notify", "SELECT event_id AS seq, event_type, CASE WHEN event_id % 4 = 0 THEN '{}' ELSE props END AS details, listener, CAST(row_number() OVER (PARTITION BY event_id ORDER BY t <> '*', pos) AS INT) AS place FROM events JOIN (VALUES ('click', 'a', 1), ('*', 'all', 2), ('purchase', 'b', 3), ('*', 'some', 4)) s(t, listener, pos) ON t = event_type OR t = '*' WHERE event_type <> 'error' AND (listener <> 'some' OR event_id % 4 <> 0)")
+def _(spark, d):
+    kind = F.when(F.col("event_type") == "error", "*").otherwise(F.col("event_type"))
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"), kind.alias("event_type"), F.when(F.col("event_id") % 4 != 0, F.col("props")).alias("details"))
+    subscriptions = spark.createDataFrame([("click", "a", 1), ("*", "all", 2), ("purchase", "b", 3), ("*", "some", 4)], "event_type string, listener string, pos int")
+    return B.notify(events, subscriptions, lambda details, listener: (listener != "some") | (details != "{}"))
+
+
+@query("j11_claim_watch", _with("commands") + """, e AS (SELECT job, ts, seq, command, who, CASE WHEN command = 'claim' AND seq % 2 = 0 THEN 43200.0 WHEN command = 'extend' THEN 7200.0 END AS expiry_s FROM (SELECT job, ts, seq, who, CASE WHEN command = 'trash' AND seq % 3 > 0 THEN 'extend' WHEN command = 'abandon' AND seq % 2 = 0 THEN 'post' ELSE command END AS command FROM commands) q),
+t AS (SELECT job, ts, seq, (SELECT arg_max(command, (e.ts, e.seq)) FROM e WHERE e.job = t.job AND e.ts <= t.ts AND command IN ('post', 'consume', 'trash')) AS last_there,
+ (SELECT arg_max(struct_pack(c := command, w := who), (e.ts, e.seq)) FROM e WHERE e.job = t.job AND e.ts <= t.ts AND command IN ('post', 'claim', 'abandon', 'consume', 'trash')) AS held,
+ (SELECT arg_max(struct_pack(u := CASE WHEN expiry_s IS NOT NULL THEN epoch_us(e.ts) + CAST(expiry_s * 1000000 AS BIGINT) END), (e.ts, e.seq)) FROM e WHERE e.job = t.job AND e.ts <= t.ts AND command IN ('post', 'claim', 'abandon', 'consume', 'trash', 'extend')) AS ends FROM commands t),
+o AS (SELECT job, seq, coalesce(last_there = 'post', FALSE) AS here, CASE WHEN last_there = 'post' AND held.c = 'claim' AND (ends.u IS NULL OR epoch_us(ts) < ends.u) THEN held.w END AS owner FROM t)
+SELECT job, seq, owner, NOT here OR owner IS NULL OR owner <> 'w1' AS lost, CASE WHEN NOT here THEN 'MISSING' WHEN owner IS NULL THEN 'UNCLAIMED' WHEN owner <> 'w1' THEN 'OTHER' END AS why FROM o""")
+def _(spark, d):
+    c = view(spark, d, "commands")
+    command = F.when((F.col("command") == "trash") & (F.col("seq") % 3 > 0), "extend").when((F.col("command") == "abandon") & (F.col("seq") % 2 == 0), "post").otherwise(F.col("command"))
+    board = c.withColumn("command", command).withColumn("expiry_s", F.when((F.col("command") == "claim") & (F.col("seq") % 2 == 0), 43200.0).when(F.col("command") == "extend", 7200.0))
+    return B.claim_watch(c.select("job", "ts", "seq"), board, F.lit("w1"))
+
+
+@query("j12_pick_flow", _with("jobs", "flows") + """, j AS (SELECT job, CASE WHEN job % 10 = 0 THEN NULL ELSE book END AS book, CASE WHEN job % 3 = 0 THEN job WHEN job % 3 = 1 THEN job + 1 END AS flow_uuid FROM jobs), p AS (SELECT parent_uuid, count(*) AS n, min(uuid) AS u FROM flows GROUP BY parent_uuid)
+SELECT job, CASE WHEN j.book IS NULL THEN 'NO_BOOK' WHEN flow_uuid IS NOT NULL THEN CASE WHEN f.uuid IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'MULTIPLE_CHOICES' ELSE 'FOUND' END AS status,
+CASE WHEN flow_uuid IS NOT NULL THEN f.uuid WHEN n = 1 THEN u END AS flow FROM j LEFT JOIN flows f ON f.uuid = j.flow_uuid AND f.parent_uuid = j.book LEFT JOIN p ON p.parent_uuid = j.book""")
+def _(spark, d):
+    n = F.col("job")
+    jobs = view(spark, d, "jobs").select("job", F.when(n % 10 != 0, F.col("book")).alias("book"), F.when(n % 3 == 0, n).when(n % 3 == 1, n + 1).alias("flow_uuid"))
+    return B.pick_flow(jobs, view(spark, d, "flows"))
+
+
+@query("t2_claimable_limited", _with("jobs") + f"SELECT job, board, place FROM (SELECT job, board, CAST(row_number() OVER (PARTITION BY board ORDER BY {_RANK} DESC, sequence) AS INT) AS place FROM jobs WHERE state = 'UNCLAIMED') q WHERE place <= 4")
+def _(spark, d):
+    return B.claimable(view(spark, d, "jobs"), 10, 3, max_dispatches=4).select("job", "board", "place")
+
+
+@query("t3_dispatch_by_graph", _with("nodes", "gnodes") + "SELECT g.graph, g.node, CAST(row_number() OVER (PARTITION BY g.graph ORDER BY n.priority DESC, g.node) AS INT) AS place FROM gnodes g JOIN nodes n ON n.node = g.node WHERE g.state = 'PENDING'")
+def _(spark, d):
+    ready = view(spark, d, "gnodes").where("state = 'PENDING'").select("graph", "node").join(view(spark, d, "nodes").select("node", "priority"), "node")
+    return B.dispatch_order(ready, "graph", "node").select("graph", "node", "place")
+
+
+@query("d6_disposition", _with("jobs", "stored") + """, f AS (SELECT flow, bool_and(CASE WHEN failure IS NULL THEN TRUE ELSE pos % 2 = 0 END) AS all_back, count(failure) AS n FROM stored GROUP BY flow)
+SELECT job, CASE WHEN job % 17 = 0 THEN 'trash' WHEN n > 0 THEN CASE WHEN all_back THEN 'abandon' ELSE 'consume' END WHEN job % 7 = 0 THEN 'abandon' WHEN job % 7 = 1 THEN 'consume' WHEN state = 'CLAIMED' THEN 'abandon' ELSE 'consume' END AS what FROM jobs LEFT JOIN f ON f.flow = job""")
+def _(spark, d):
+    types = F.when(F.col("failure").isNotNull(), F.when(F.col("pos") % 2 == 0, F.array(F.lit("StorageFailure"), F.lit("Exception"))).otherwise(F.array(F.lit("ValueError"), F.lit("Exception"))))
+    failed = view(spark, d, "stored").withColumn("types", types).where("types IS NOT NULL").groupBy(F.col("flow").alias("job")).agg(F.collect_list("types").alias("wrapped"))
+    raised = F.when(F.col("job") % 7 == 0, F.array(F.lit("ExecutionFailure"))).when(F.col("job") % 7 == 1, F.array(F.lit("KeyError")))
+    state = F.when(F.col("state") == "CLAIMED", "SUSPENDED").otherwise("SUCCESS")
+    return view(spark, d, "jobs").join(failed, "job", "left").select("job", B.disposition(state, F.col("wrapped"), raised, F.col("job") % 17 != 0).alias("what"))
+
+
+# ---------------------------------------------------------------- graphs
+_STUCK = f"{_REACH}, cyc AS (SELECT start AS node FROM reach WHERE start = node), stuck AS (SELECT node FROM cyc UNION SELECT r.start FROM reach r JOIN cyc c ON c.node = r.node)"
+
+
+@query("g2_acyclic_graphs", _with("gnodes", "gedges") + f", {_STUCK} SELECT graph, count(s.node) = 0 AS acyclic, count(s.node) AS left_over FROM gnodes g LEFT JOIN stuck s ON s.node = g.node GROUP BY graph")
+def _(spark, d):
+    return G.acyclic_graphs(view(spark, d, "gnodes"), view(spark, d, "gedges"))
+
+
+@query("g2_left_over", _with("gnodes", "gedges") + f", {_STUCK} SELECT graph, node FROM gnodes WHERE node IN (SELECT node FROM stuck)")
+def _(spark, d):
+    return G.left_over(view(spark, d, "gnodes"), view(spark, d, "gedges")).select("graph", "node")
+
+
+@query("a10_graph_summaries", _with("gnodes", "gedges") + f", {_STUCK}, m AS (SELECT graph, count(*) AS m FROM gedges GROUP BY graph), n AS (SELECT graph, count(*) AS n, bool_and(node NOT IN (SELECT node FROM stuck)) AS acyclic FROM gnodes GROUP BY graph) SELECT n.graph, n, coalesce(m, 0) AS m, round(CASE WHEN n > 1 THEN coalesce(m, 0) / (n * (n - 1.0)) ELSE 0.0 END, 8) AS density, acyclic FROM n LEFT JOIN m ON m.graph = n.graph")
+def _(spark, d):
+    return G.graph_summaries(view(spark, d, "gnodes"), view(spark, d, "gedges"))
+
+
+# all nodes are starts; a task is passed, other kinds only found
+for _name, _kinds in (("all", "('flow', 'retry', 'task')"), ("tasks", "('task')")):
+
+    @query(f"g4_connected_{_name}", _with("gnodes", "gedges") + f""", c AS (SELECT e.dst AS start, e.src AS node, 1 AS hops FROM gedges e UNION SELECT c.start, e.src, c.hops + 1 FROM c JOIN gnodes n ON n.node = c.node AND n.kind IN {_kinds} JOIN gedges e ON e.dst = c.node WHERE c.hops < 40)
+SELECT c.start, c.node, min(hops) AS hops FROM c JOIN gnodes n ON n.node = c.node WHERE c.start <> c.node AND NOT n.noop GROUP BY c.start, c.node""")
+    def _(spark, d, through=("task",) if _name == "tasks" else G.KINDS):
+        nodes = view(spark, d, "gnodes")
+        return G.connected(nodes, view(spark, d, "gedges"), nodes, through=through)
+
+
+@query("g4_all_ancestors", _with("nodes", "edges") + ", a AS (SELECT dst AS start, src AS node, 1 AS hops FROM edges UNION SELECT a.start, e.src, a.hops + 1 FROM a JOIN edges e ON e.dst = a.node) SELECT start, node, min(hops) AS hops FROM a GROUP BY start, node")
+def _(spark, d):
+    return G.ancestors(view(spark, d, "edges"), view(spark, d, "edges").select(F.col("dst").alias("node")).distinct())
+
+
+@query("g5_subgraph_of_kind", _with("nodes", "edges") + ", i AS (SELECT node FROM nodes WHERE kind = 'retry' UNION SELECT e.src FROM i JOIN edges e ON e.dst = i.node) SELECT src, dst FROM edges WHERE src IN (SELECT node FROM i) AND dst IN (SELECT node FROM i)")
+def _(spark, d):
+    return G.target_subgraph(view(spark, d, "edges"), view(spark, d, "nodes").where("kind = 'retry'")).select("src", "dst")
+
+
+_FWD = "fwd AS (SELECT src AS start, dst AS node FROM gedges UNION SELECT fwd.start, e.dst FROM fwd JOIN gedges e ON e.src = fwd.node)"
+
+
+@query("g6_ready_execute", _with("gnodes", "gedges") + f", {_REACH}, bad AS (SELECT node FROM gnodes WHERE NOT noop AND NOT (state IN ('SUCCESS', 'IGNORE') AND intention IN ('EXECUTE', 'IGNORE'))) SELECT node FROM gnodes WHERE NOT noop AND state = 'PENDING' AND intention = 'EXECUTE' AND node NOT IN (SELECT r.start FROM reach r JOIN bad b ON b.node = r.node)")
+def _(spark, d):
+    return G.ready_for(view(spark, d, "gnodes"), view(spark, d, "gedges"))
+
+
+@query("g6_ready_revert", _with("gnodes", "gedges") + f", {_FWD}, bad AS (SELECT node FROM gnodes WHERE NOT noop AND state NOT IN ('PENDING', 'REVERTED', 'IGNORE')) SELECT node FROM gnodes WHERE NOT noop AND state IN ('SUCCESS', 'FAILURE') AND intention IN ('REVERT', 'RETRY') AND node NOT IN (SELECT f.start FROM fwd f JOIN bad b ON b.node = f.node)")
+def _(spark, d):
+    return G.ready_for(view(spark, d, "gnodes"), view(spark, d, "gedges"), "revert")
+
+
+_VOTE = "CASE WHEN (src + dst) % 6 = 0 THEN FALSE WHEN (src + dst) % 6 = 1 THEN TRUE END"
+_DEPTH = "CASE WHEN dst % 9 = 0 AND src % 2 = 0 THEN 'ALL' WHEN dst % 9 < 3 THEN 'FLOW' WHEN dst % 9 < 6 THEN 'NEIGHBORS' ELSE 'ATOM' END"
+
+
+@query("g7_apply_deciders", _with("gnodes", "gedges") + f""", v AS (SELECT e.dst AS node, min(CASE {_DEPTH} WHEN 'ALL' THEN 1 WHEN 'FLOW' THEN 2 WHEN 'NEIGHBORS' THEN 3 ELSE 4 END) AS rank FROM gedges e JOIN gnodes n ON n.node = e.src WHERE {_VOTE} = FALSE AND NOT (n.kind IN ('task', 'retry') AND n.state = 'IGNORE') GROUP BY e.dst),
+every AS (SELECT e.dst AS node FROM v JOIN gedges e ON e.src = v.node WHERE rank = 1 UNION SELECT e.dst FROM every a JOIN gedges e ON e.src = a.node),
+flow AS (SELECT e.dst AS node FROM v JOIN gedges e ON e.src = v.node WHERE rank = 2 UNION SELECT e.dst FROM flow a JOIN gnodes n ON n.node = a.node AND n.kind = 'task' JOIN gedges e ON e.src = a.node),
+near AS (SELECT e.dst AS node FROM v JOIN gedges e ON e.src = v.node JOIN gnodes n ON n.node = e.dst WHERE rank = 3 AND n.kind = 'task'),
+hit AS (SELECT node FROM every UNION SELECT node FROM flow UNION SELECT node FROM near UNION SELECT node FROM v)
+SELECT n.node, ['ALL', 'FLOW', 'NEIGHBORS', 'ATOM'][v.rank] AS depth FROM gnodes n JOIN hit ON hit.node = n.node LEFT JOIN v ON v.node = n.node WHERE n.kind IN ('task', 'retry') AND NOT n.noop""")
+def _(spark, d):
+    edges = view(spark, d, "gedges").withColumn("vote", F.expr(_VOTE)).withColumn("depth", F.expr(_DEPTH))
+    return G.apply_deciders(view(spark, d, "gnodes"), edges)
+
+
+@query("g8_reset_from_retries", _with("gnodes", "gedges") + f""", hit AS (SELECT node FROM gnodes WHERE kind = 'retry' UNION SELECT e.dst FROM hit JOIN gedges e ON e.src = hit.node)
+SELECT node, CASE WHEN h THEN 'PENDING' ELSE state END AS state, CASE WHEN h THEN 'RETRY' ELSE intention END AS intention FROM (SELECT *, node IN (SELECT node FROM hit) AND NOT noop AND intention <> 'REVERT' AS h FROM gnodes) q""")
+def _(spark, d):
+    nodes = view(spark, d, "gnodes")
+    return G.reset_from(nodes, view(spark, d, "gedges"), nodes.where("kind = 'retry'"), intention="RETRY", with_start=True)
+
+
+_TREE_KINDS = "tk AS (SELECT node, node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL) AS leaf FROM tree), se AS (SELECT node AS src, node + 1 AS dst FROM tree WHERE node % 16 <> 15 AND node + 1 IN (SELECT node FROM tree))"
+
+
+@query("g13_visible_scopes", _with("tree") + f""", {_TREE_KINDS}, w AS (SELECT node, [node] AS path, [child_idx] AS idxs FROM tree WHERE parent IS NULL UNION ALL SELECT t.node, list_append(w.path, t.node), list_append(w.idxs, t.child_idx) FROM w JOIN tree t ON t.parent = w.node),
+r AS (SELECT dst AS start, src AS node FROM se UNION SELECT r.start, se.src FROM r JOIN se ON se.dst = r.node),
+p AS (SELECT a.node, b.node AS visible, a.path AS ap, a.idxs AS ai, b.idxs AS bi, len(list_filter(list_zip(a.path, b.path), lambda z: z[1] = z[2])) AS common FROM r JOIN w a ON a.node = r.start JOIN w b ON b.node = r.node JOIN tk ka ON ka.node = a.node AND ka.leaf JOIN tk kb ON kb.node = b.node AND kb.leaf),
+s AS (SELECT node, visible, CAST(len(ap) - 1 - common AS INT) AS level, list_transform(bi[common + 1:], lambda i: -i) AS places FROM p WHERE bi[common + 1] < ai[common + 1])
+SELECT node, level, CAST(row_number() OVER (PARTITION BY node, level ORDER BY places, visible) AS INT) AS at, visible FROM s""")
+def _(spark, d):
+    tree = view(spark, d, "tree")
+    inner = tree.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    nodes = tree.join(inner, "node", "left").select("node", F.when(F.col("inner"), "flow").otherwise("task").alias("kind"), F.coalesce("inner", F.lit(False)).alias("noop"))
+    follow = tree.where("node % 16 <> 15").select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")).join(tree.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return G.visible_scopes(tree, nodes, follow)
+
+
+@query("u3_merge_graph_list", _with("gnodes", "gedges", "edges") + "SELECT 'node' AS what, node AS a, CAST(NULL AS BIGINT) AS b, CASE WHEN node % 3 = 0 THEN 'third' WHEN node % 2 = 0 THEN 'second' ELSE 'first' END AS tag FROM gnodes UNION ALL SELECT 'edge', coalesce(g.src, e.src), coalesce(g.dst, e.dst), CASE WHEN g.src IS NULL THEN 'first' ELSE 'second' END FROM gedges g FULL JOIN edges e ON e.src = g.src AND e.dst = g.dst")
+def _(spark, d):
+    nodes = view(spark, d, "gnodes").select("node")
+    tagged = lambda df, tag: df.withColumn("tag", F.lit(tag))
+    none = spark.createDataFrame([], "src long, dst long, tag string")
+    graphs = [(tagged(nodes, "first"), tagged(view(spark, d, "edges"), "first")), (tagged(nodes.where("node % 2 = 0"), "second"), tagged(view(spark, d, "gedges").select("src", "dst"), "second")), (tagged(nodes.where("node % 3 = 0"), "third"), none)]
+    n, e = G.merge_graph_list(graphs, allow_overlaps=True)
+    return n.select(F.lit("node").alias("what"), F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "tag").unionByName(e.select(F.lit("edge").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), "tag"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,10 +45,19 @@ def iter_jobs(jobs: DataFrame, only_unclaimed: bool = False) -> DataFrame:
     return board_order(jobs.where(F.col("state").isin(states)))
 
 
-def claimable(jobs: DataFrame, most: int, in_flight: int = 0) -> DataFrame:
-    """The next unclaimed jobs of every board, `most - in_flight` of them; most <= 0 means no limit."""
+def claimable(jobs: DataFrame, most: int, in_flight: int = 0, max_dispatches: int | None = None) -> DataFrame:
+    """The next unclaimed jobs of every board, `most - in_flight` of them; most <= 0 means no limit.
+
+    max_dispatches is a further limit: none or a negative one means no limit, 0 no job.
+    """
     ordered = iter_jobs(jobs, only_unclaimed=True)
-    return ordered.where(F.col("place") <= max(0, most - in_flight)) if most > 0 else ordered
+    limits = ([max(0, most - in_flight)] if most > 0 else []) + ([max_dispatches] if max_dispatches is not None and max_dispatches >= 0 else [])
+    return ordered.where(F.col("place") <= min(limits)) if limits else ordered
+
+
+def dispatch_order(ready: DataFrame, group: str, pos: str) -> DataFrame:
+    """Place of ready atoms within their group by numeric priority, the highest first, ties in the order of `pos`."""
+    return placed(ready, group, [F.desc("priority"), F.asc(pos)])
 
 
 def job_state(postings: DataFrame, claims: DataFrame, as_of: Column) -> DataFrame:
@@ -137,12 +148,68 @@ def match_workers(requests: DataFrame, workers: DataFrame) -> DataFrame:
     return picked.join(numbered, ["task", "n"], "left").select("request", "task", "worker", F.when(F.col("worker").isNull(), "WAITING").otherwise("PENDING").alias("state"))
 
 
+def match_live_workers(requests: DataFrame, workers: DataFrame, as_of: Column, expiry_s: float | None = 60.0) -> DataFrame:
+    """match_workers() with the workers (worker, tasks array, last_seen) that are alive at as_of.
+
+    A worker is alive while it was seen less than expiry_s ago; none or <= 0: for ever. A worker
+    with several rows counts by its last one.
+    """
+    last = workers.groupBy("worker").agg(F.max_by("tasks", "last_seen").alias("tasks"), F.max("last_seen").alias("last_seen"))
+    if expiry_s and expiry_s > 0:
+        last = last.where(micros(as_of) - micros(F.col("last_seen")) < round(expiry_s * 1_000_000))
+    return match_workers(requests, last.select("worker", F.explode("tasks").alias("task")))
+
+
+#: Listeners of '*' that are held in one row.
+LISTENERS = 1_000
+
+
 def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Each event to the listeners of its type and of '*'; an event of type '*' goes to nobody."""
-    real = events.where("event_type <> '*'")
-    own = real.join(subscriptions.where("event_type <> '*'"), "event_type").select("seq", "event_type", "listener")
-    every = subscriptions.where("event_type = '*'").select(F.lit(1).alias("one"), "listener")
-    return own.unionByName(real.withColumn("one", F.lit(1)).join(every, "one").select("seq", "event_type", "listener"))
+    told = notify(events.select("seq", "event_type", F.lit(None).cast("string").alias("details")), subscriptions.select("event_type", "listener", F.monotonically_increasing_id().alias("pos")))
+    return told.select("seq", "event_type", "listener")
+
+
+def notify(events: DataFrame, subscriptions: DataFrame, wanted: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(seq, event_type, details, listener, place): who is told of each event, in order.
+
+    events: (seq, event_type, details), null details read as `{}`; subscriptions: (event_type,
+    listener, pos). Listeners of '*' come first, each group in the order of pos. wanted: a
+    predicate of details and listener. Listeners of '*' meet the events as arrays of up to
+    LISTENERS, which are broadcast: as many bytes as these listeners have.
+    """
+    real = events.where("event_type <> '*'").withColumn("details", F.coalesce("details", F.lit("{}")))
+    own = real.join(subscriptions.where("event_type <> '*'"), "event_type").select("seq", "event_type", "details", F.lit(1).alias("turn"), "pos", "listener")
+    every = subscriptions.where("event_type = '*'").groupBy(F.pmod(F.xxhash64("listener"), F.lit(1 << 20)).alias("__h")).agg(F.collect_list(F.struct("pos", "listener")).alias("__of"))
+    every = every.groupBy(F.floor(F.col("__h") / LISTENERS)).agg(F.flatten(F.collect_list("__of")).alias("__all")).select("__all")
+    stars = real.crossJoin(F.broadcast(every)).select("seq", "event_type", "details", F.lit(0).alias("turn"), F.inline("__all"))
+    told = stars.unionByName(own)
+    told = told.where(F.coalesce(wanted(F.col("details"), F.col("listener")), F.lit(False))) if wanted else told
+    order = Window.partitionBy("seq").orderBy("turn", "pos", "listener")
+    return told.withColumn("place", F.row_number().over(order)).select("seq", "event_type", "details", "listener", "place")
+
+
+def claim_watch(transitions: DataFrame, board: DataFrame, expected: Column) -> DataFrame:
+    """(job, seq, owner, lost, why): claim_lost() against all that happened on the board.
+
+    transitions: (job, ts, seq); board: the commands that were done (job, ts, seq, command,
+    who, expiry_s), as post, claim, extend, abandon, consume and trash. A claim is lost if the
+    job is MISSING, UNCLAIMED (never claimed, given back or expired) or owned by OTHERs. One
+    sorted stream per job; a command at the time of a transition comes before it.
+    """
+    c = F.col("command")
+    until = F.when(F.col("expiry_s").isNotNull(), micros(F.col("ts")) + F.round(F.col("expiry_s") * 1_000_000).cast("bigint"))
+    there = F.when(c == "post", True).when(c.isin("consume", "trash"), False)
+    held = F.when(c == "claim", F.struct(F.col("who").alias("owner"))).when(c.isin("post", "abandon", "consume", "trash"), F.struct(F.lit(None).cast("string").alias("owner")))
+    ends = F.when(c.isin("post", "claim", "abandon", "consume", "trash") | ((c == "extend") & until.isNotNull()), F.struct(until.alias("until")))
+    told = board.select("job", "ts", "seq", F.lit(0).alias("side"), there.alias("there"), held.alias("held"), ends.alias("ends"))
+    asked = transitions.select("job", "ts", "seq", F.lit(1).alias("side")).withColumns({k: F.lit(None).cast(told.schema[k].dataType) for k in ("there", "held", "ends")})
+    w = Window.partitionBy("job").orderBy("ts", "side", "seq")
+    both = told.unionByName(asked).withColumns({k: F.last(k, ignorenulls=True).over(w) for k in ("there", "held", "ends")}).where("side = 1")
+    here = F.coalesce("there", F.lit(False))
+    owner = F.when(here & (F.col("ends.until").isNull() | (micros(F.col("ts")) < F.col("ends.until"))), F.col("held.owner"))
+    why = F.when(~here, "MISSING").when(owner.isNull(), "UNCLAIMED").when(owner != expected, "OTHER")
+    return both.select("job", "seq", owner.alias("owner"), why.isNotNull().alias("lost"), why.alias("why"))
 
 
 def flow_for_job(jobs: DataFrame, flows: DataFrame) -> DataFrame:
@@ -153,6 +220,14 @@ def flow_for_job(jobs: DataFrame, flows: DataFrame) -> DataFrame:
     return found.select("job", status.alias("status"), F.when(F.col("n") == 1, F.col("only")).alias("flow"))
 
 
+def pick_flow(jobs: DataFrame, flows: DataFrame) -> DataFrame:
+    """(job, status, flow): flow_for_job() of jobs (job, book, flow_uuid): the flow that the job's details
+    name counts if it is in the job's book, else it is NOT_FOUND."""
+    named = jobs.where("flow_uuid IS NOT NULL").join(flows.select(F.col("uuid").alias("flow_uuid"), F.col("parent_uuid").alias("book"), F.col("uuid").alias("flow")).distinct(), ["flow_uuid", "book"], "left")
+    status = F.when(F.col("book").isNull(), "NO_BOOK").when(F.col("flow").isNull(), "NOT_FOUND").otherwise("FOUND")
+    return named.select("job", status.alias("status"), "flow").unionByName(flow_for_job(jobs.where("flow_uuid IS NULL"), flows))
+
+
 def transition_rates(transitions: DataFrame, width: str = "1 day", watermark: str | None = None) -> DataFrame:
     """Counts by state in tumbling windows; with a watermark it runs on streams as well."""
     rows = transitions.withWatermark("ts", watermark) if watermark else transitions
@@ -163,3 +238,24 @@ def job_disposition(state: Column, failure: Column) -> Column:
     """consume, abandon or trash for a finished job."""
     lost = failure.isin("ExecutionFailure", "StorageFailure")
     return F.when(failure == "DispatchFailure", "trash").when((state == "SUSPENDED") | lost, "abandon").otherwise("consume")
+
+
+# Exceptions after which a job is given back.
+GIVEN_BACK = ["ExecutionFailure", "StorageFailure"]
+
+
+def disposition(state: Column, wrapped: Column, raised: Column, dispatched: Column) -> Column:
+    """consume, abandon or trash for a finished job.
+
+    dispatched false: the dispatch itself blew up, trash. wrapped: the failures of the run, an array of
+    arrays of type names, null without; all of them of the kind that gives jobs back: abandon.
+    raised: type names of another exception, null without; of that kind: abandon. Without
+    either, SUSPENDED is abandoned. Everything else is consumed.
+    """
+    back = lambda types: F.arrays_overlap(types, F.array(*map(F.lit, GIVEN_BACK)))
+    return (
+        F.when(~dispatched, "trash")
+        .when(wrapped.isNotNull(), F.when(F.forall(wrapped, back), "abandon").otherwise("consume"))
+        .when(raised.isNotNull(), F.when(back(raised), "abandon").otherwise("consume"))
+        .when(state == "SUSPENDED", "abandon").otherwise("consume")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +79,117 @@ def missing_arguments(requires: DataFrame, provides: DataFrame, injected: DataFr
     return requires.join(known, ["flow", "name"], "left_anti").groupBy("flow").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("missing"))
 
 
+# The columns that an update replaces, by level.
+REPLACED = {
+    "book": ["meta", "created_at", "updated_at"],
+    "flow": ["meta", "state"],
+    "atom": ["state", "intention", "failure", "revert_failure", "meta", "version", "results", "revert_results"],
+}
+
+
+def merge_level(base: DataFrame, incoming: DataFrame, level: str, order: str, parents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merged, rejected) of one level of the history, by uuid: merge_history() with the level's own columns.
+
+    parents: (uuid) of the level above; incoming rows whose parent_uuid isn't among them are
+    rejected with the problem NOT_FOUND and change nothing.
+    """
+    rejected = incoming.where("false").withColumn("problem", F.lit("NOT_FOUND"))
+    if parents is not None:
+        known = parents.select(F.col("uuid").alias("parent_uuid")).distinct()
+        rejected = incoming.join(known, "parent_uuid", "left_anti").withColumn("problem", F.lit("NOT_FOUND")).select(*incoming.columns, "problem")
+        incoming = incoming.join(known, "parent_uuid", "left_semi").select(*incoming.columns)
+    return merge_history(base, incoming, order, [c for c in REPLACED[level] if c in incoming.columns]), rejected
+
+
+def link_atoms(provides: DataFrame, requires: DataFrame, manual: DataFrame | None = None, retry_provides: DataFrame | None = None) -> DataFrame:
+    """(flow, src, dst, reasons, manual): resolve_dependencies() with links made by hand (flow, src, dst).
+
+    What a flow's retry provides (flow, name) needs no link. A link by hand that is also one by
+    symbols keeps its reasons.
+    """
+    if retry_provides is not None:
+        requires = requires.join(retry_provides.select("flow", "name"), ["flow", "name"], "left_anti")
+    found = resolve_dependencies(provides, requires).withColumn("manual", F.lit(False))
+    if manual is not None:
+        found = found.unionByName(manual.select("flow", "src", "dst", F.lit("").alias("reasons"), F.lit(True).alias("manual")))
+    return found.groupBy("flow", "src", "dst").agg(F.max("reasons").alias("reasons"), F.max("manual").alias("manual"))
+
+
+def unsatisfied_requires(pairs: DataFrame, provides: DataFrame, requires: DataFrame, retry_provides: DataFrame) -> DataFrame:
+    """(flow, atom, name): required symbols that neither the flow's retry nor any ancestor provides.
+
+    pairs: (start, node) from ancestors(). The distinct names by flow are what it needs from outside.
+    """
+    open_ = requires.join(retry_provides.select("flow", "name"), ["flow", "name"], "left_anti")
+    given = pairs.join(provides.select(F.col("atom").alias("node"), "name"), "node").select(F.col("start").alias("atom"), "name").distinct()
+    return open_.join(given, ["atom", "name"], "left_anti").select("flow", "atom", "name").distinct()
+
+
+def missing_in_scopes(args: DataFrame, provides: DataFrame, injected: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(flow, method, missing): sorted names of bound arguments without any potential provider.
+
+    args: (flow, atom, method, arg, name, optional); optional ones are never missing. provides:
+    (flow, atom, name); injected: (flow, atom, name), a null atom for the whole flow;
+    scopes: (flow, atom, visible). A provider counts if the atom sees it, whatever its state.
+    """
+    need = args.where(~F.coalesce("optional", F.lit(False)))
+    need = need.join(injected.where("atom IS NULL").select("flow", "name"), ["flow", "name"], "left_anti")
+    need = need.join(injected.where("atom IS NOT NULL").select("flow", "atom", "name"), ["flow", "atom", "name"], "left_anti")
+    seen = scopes.select("flow", "atom", "visible").join(provides.select("flow", F.col("atom").alias("visible"), "name"), ["flow", "visible"]).select("flow", "atom", "name").distinct()
+    left = need.join(seen, ["flow", "atom", "name"], "left_anti")
+    return left.groupBy("flow", "method").agg(F.array_join(F.array_sort(F.collect_set("arg")), ",").alias("missing"))
+
+
+def look_up_arguments(args: DataFrame, injected: DataFrame, inputs: DataFrame, provided: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(flow, atom, arg, status, source, value) of every bound argument (flow, atom, arg, name, optional).
+
+    injected: (flow, atom, name, value, transient); inputs: (flow, name, value) of whole flows;
+    provided: (flow, atom, name, status, value) with status IGNORED, NOT_KNOWN, RESULT or FAILURE
+    of results_of(), a null value of a RESULT being one that hasn't the named part; scopes:
+    (flow, atom, level, at, visible). What counts is, in this order: the atom's transient values,
+    its persistent ones, the flow's inputs, and the nearest level of the scope that has a
+    provider which isn't ignored. If one there hasn't finished the argument is NOT_FOUND, else
+    the first that has the part gives it. An optional argument is OMITTED only if its name has
+    no provider at all.
+    """
+    key = ["flow", "atom", "arg"]
+    own = injected.groupBy("flow", "atom", "name").agg(F.min_by(F.struct("value", "transient"), ~F.col("transient")).alias("own"))
+    inputs = inputs.groupBy("flow", "name").agg(F.first(F.struct("value")).alias("input"))
+    registered = provided.select("flow", "name").distinct().withColumn("registered", F.lit(True))
+    seen = args.select(*key, "name").join(provided.select("flow", F.col("atom").alias("visible"), "name", "status", "value"), ["flow", "name"]).join(scopes, ["flow", "atom", "visible"])
+    seen = seen.where("status <> 'IGNORED'")
+    usable = F.when((F.col("status") == "FAILURE") | F.col("value").isNotNull(), F.struct("at", "value"))
+    levels = seen.groupBy(*key, "level").agg(F.max(F.col("status") == "NOT_KNOWN").alias("unfinished"), F.min(usable).alias("first"))
+    nearest = levels.groupBy(*key).agg(F.min_by(F.struct("unfinished", "first"), "level").alias("scope"))
+    all_ = args.join(own, ["flow", "atom", "name"], "left").join(inputs, ["flow", "name"], "left").join(registered, ["flow", "name"], "left").join(nearest, key, "left")
+    found = F.coalesce(~F.col("scope.unfinished") & F.col("scope.first").isNotNull(), F.lit(False))
+    source = (
+        F.when(F.col("own").isNotNull(), F.when(F.col("own.transient"), "TRANSIENT").otherwise("PERSISTENT"))
+        .when(F.col("input").isNotNull(), "INPUT").when(found, "SCOPE")
+    )
+    value = F.when(F.col("own").isNotNull(), F.col("own.value")).when(F.col("input").isNotNull(), F.col("input.value")).when(found, F.col("scope.first.value"))
+    omitted = F.coalesce("optional", F.lit(False)) & F.col("registered").isNull()
+    status = F.when(source.isNotNull(), "FOUND").when(omitted, "OMITTED").otherwise("NOT_FOUND")
+    return all_.select(*key, status.alias("status"), source.alias("source"), value.alias("value"))
+
+
+def fetch_all(provided: DataFrame, many: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(flow, name, status, value): the value of every provided name over all its providers.
+
+    provided: (flow, pos, name, status, value) as for look_up_arguments(). Ignored providers are
+    skipped; if one hasn't finished, one hasn't the part, or none is left, the name is NOT_FOUND.
+    many: makes one value of the array of values, in the order of providers; the first by default.
+    """
+    status = F.col("status")
+    useful = status != "IGNORED"
+    bad = useful & ((status == "NOT_KNOWN") | ((status == "RESULT") & F.col("value").isNull()))
+    values = F.transform(F.array_sort(F.filter(F.collect_list(F.when(useful, F.struct("pos", "value"))), lambda s: s.isNotNull())), lambda s: s["value"])
+    by = provided.groupBy("flow", "name").agg(F.max(bad).alias("bad"), F.count_if(useful).alias("n"), values.alias("vals"))
+    ok = ~F.col("bad") & (F.col("n") > 0)
+    one = many or (lambda vals: F.get(vals, F.lit(0)))
+    return by.select("flow", "name", F.when(ok, "FOUND").otherwise("NOT_FOUND").alias("status"), F.when(ok, one(F.col("vals"))).alias("value"))
+
+
 # ---------------------------------------------------------------- sets
 def sequence_minus(a: DataFrame, b: DataFrame, key: str, value: str, pos: str) -> DataFrame:
     """Multiset difference in order: each item of b removes the earliest equal item of a."""

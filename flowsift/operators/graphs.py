@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names; a local one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder for intermediate data that spark.checkpoint.dir names; an error if it names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
@@ -150,3 +157,170 @@ def tree_order(tree: DataFrame, how: str = "dfs", flipped: bool = False) -> Data
     own = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
     summed = pairs.unionByName(own).join(earlier, "ancestor").groupBy("node").agg(F.max("distance").alias("depth"), F.sum(F.col("earlier") + 1).alias("steps"))
     return summed.select("node", "depth", (F.col("steps") - 1).alias("at"))
+
+
+# ---------------------------------------------------------------- many graphs, kinds of nodes
+def left_over(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes on or behind a cycle, with their columns."""
+    return nodes.join(topological_levels(nodes, edges).select("node"), "node", "left_anti")
+
+
+def acyclic_graphs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, acyclic, left_over): for each graph whether it has no cycle, and how many nodes are on or behind one."""
+    stuck = left_over(nodes, edges).groupBy("graph").agg(F.count("*").alias("left_over"))
+    all_ = nodes.select("graph").distinct().join(stuck, "graph", "left")
+    return all_.select("graph", F.col("left_over").isNull().alias("acyclic"), F.coalesce("left_over", F.lit(0).cast("bigint")).alias("left_over"))
+
+
+def graph_summaries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, n, m, density, acyclic) for each graph; density m / (n (n - 1)), 0 for one node."""
+    n = nodes.groupBy("graph").agg(F.count("*").alias("n"))
+    m = edges.groupBy("graph").agg(F.count("*").alias("m"))
+    both = n.join(m, "graph", "left").withColumn("m", F.coalesce("m", F.lit(0).cast("bigint"))).join(acyclic_graphs(nodes, edges), "graph")
+    density = F.when(F.col("n") > 1, F.col("m") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
+    return both.select("graph", "n", "m", F.round(density, 8).alias("density"), "acyclic")
+
+
+KINDS = ("flow", "retry", "task")
+
+
+def connected(nodes: DataFrame, edges: DataFrame, start: DataFrame, forward: bool = False, through: tuple[str, ...] = KINDS) -> DataFrame:
+    """(start, node, hops): ancestors() that goes on only through nodes of some kinds.
+
+    nodes: (node, kind, noop). A node of another kind is found and not passed; a noop node is
+    passed and not returned.
+    """
+    ways = edges.select(F.col("src").alias("at"), F.col("dst").alias("node")) if forward else edges.select(F.col("dst").alias("at"), F.col("src").alias("node"))
+    ways = cut(ways.distinct().join(nodes.select("node", F.col("kind").isin(list(through)).alias("open"), F.coalesce("noop", F.lit(False)).alias("noop")), "node"))
+    frontier, seen, hops = cut(start.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct()), None, 0
+    while True:
+        hops += 1
+        found = frontier.join(ways, "at").select("start", "node", "open", "noop").where(F.col("node") != F.col("start")).distinct()
+        found = found if seen is None else found.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        found = cut(found.withColumn("hops", F.lit(hops)))
+        if found.isEmpty():
+            return (seen if seen is not None else found).where(~F.col("noop")).select("start", "node", "hops")
+        seen = found if seen is None else seen.unionByName(found)
+        frontier = found.where("open").select("start", F.col("node").alias("at"))
+
+
+def reached(nodes: DataFrame, edges: DataFrame, start: DataFrame, forward: bool = True, through: tuple[str, ...] = KINDS) -> DataFrame:
+    """(node): what connected() finds from any of the start nodes, noop nodes too; a row for a node, not for a pair."""
+    ways = edges.select(F.col("src").alias("at"), F.col("dst").alias("node")) if forward else edges.select(F.col("dst").alias("at"), F.col("src").alias("node"))
+    ways = cut(ways.distinct().join(nodes.select("node", F.col("kind").isin(list(through)).alias("open")), "node"))
+    frontier, seen = cut(start.select(F.col("node").alias("at")).distinct()), None
+    while True:
+        found = frontier.join(ways, "at").select("node", "open").distinct()
+        found = cut(found if seen is None else found.join(seen.select("node"), "node", "left_anti"))
+        if found.isEmpty():
+            return (seen if seen is not None else found).select("node")
+        seen = found if seen is None else seen.unionByName(found)
+        frontier = found.where("open").select(F.col("node").alias("at"))
+
+
+def ready_for(nodes: DataFrame, edges: DataFrame, action: str = "execute") -> DataFrame:
+    """(node): atoms that may be executed or reverted now. nodes: (node, kind, noop, state, intention).
+
+    execute: PENDING with intention EXECUTE, and every ancestor is SUCCESS or IGNORE with
+    intention EXECUTE or IGNORE. revert: SUCCESS or FAILURE with intention REVERT or RETRY, and
+    every descendant is PENDING, REVERTED or IGNORE. Nodes that stand in the way block all
+    that they reach, so sets of nodes are walked, not pairs.
+    """
+    state, intention = F.col("state"), F.col("intention")
+    if action == "execute":
+        may, fine = state.isin("PENDING") & (intention == "EXECUTE"), state.isin("SUCCESS", "IGNORE") & intention.isin("EXECUTE", "IGNORE")
+    else:
+        may, fine = state.isin("SUCCESS", "FAILURE") & intention.isin("REVERT", "RETRY"), state.isin("PENDING", "REVERTED", "IGNORE")
+    real = ~F.coalesce("noop", F.lit(False))
+    blocked = reached(nodes, edges, nodes.where(real & ~F.coalesce(fine, F.lit(False))), forward=action == "execute")
+    return nodes.where(real & may).join(blocked, "node", "left_anti").select("node")
+
+
+# Depths of deciders, the widest first.
+DEPTHS = ["ALL", "FLOW", "NEIGHBORS", "ATOM"]
+
+
+def apply_deciders(nodes: DataFrame, edges: DataFrame, vote: Column | None = None) -> DataFrame:
+    """(node, depth): atoms that become IGNORE because of votes on the edges to them.
+
+    nodes: (node, kind, noop, state); edges: (src, dst, vote, depth), vote null where an edge
+    has no decider, or the votes are given by a Column over edges and `src_state`. An atom
+    that is IGNOREd itself doesn't vote. Of the false votes for a node the one with the widest
+    depth counts: ALL takes all descendants along, FLOW those reached through tasks only,
+    NEIGHBORS the tasks directly behind, ATOM none. depth is that of the node's own votes,
+    null if it goes with another node.
+    """
+    sources = nodes.select(F.col("node").alias("src"), F.col("kind").alias("src_kind"), F.col("state").alias("src_state"))
+    cast = edges.join(sources, "src").withColumn("vote", vote if vote is not None else F.col("vote"))
+    silent = F.col("src_kind").isin("task", "retry") & (F.col("src_state") == "IGNORE")
+    rank = F.array_position(F.array(*map(F.lit, DEPTHS)), F.col("depth"))
+    nays = cast.where(~F.coalesce(silent, F.lit(False)) & (F.col("vote") == F.lit(False))).groupBy(F.col("dst").alias("node")).agg(F.min(rank).alias("rank"))
+    nays = cut(nays.select("node", F.get(F.array(*map(F.lit, DEPTHS)), (F.col("rank") - 1).cast("int")).alias("depth")))
+    of = lambda depth: nays.where(F.col("depth") == depth).select("node")
+    near = edges.join(of("NEIGHBORS").withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
+    near = near.join(nodes.where("kind = 'task'").select("node"), "node", "left_semi")
+    along = reached(nodes, edges, of("ALL")).unionByName(reached(nodes, edges, of("FLOW"), through=("task",))).unionByName(near)
+    atoms = nodes.where(F.col("kind").isin("task", "retry") & ~F.coalesce("noop", F.lit(False))).select("node")
+    return atoms.join(along.unionByName(nays.select("node")).distinct(), "node", "left_semi").join(nays, "node", "left")
+
+
+def reset_from(nodes: DataFrame, edges: DataFrame, starts: DataFrame, state: str | None = "PENDING", intention: str | None = "EXECUTE", with_start: bool = False) -> DataFrame:
+    """nodes (node, kind, noop, state, intention) with the descendants of the starts set, and the starts if asked.
+
+    A state or intention of None stays. Intention REVERT isn't changed to RETRY.
+    """
+    hit = reached(nodes, edges, starts)
+    hit = (hit.unionByName(starts.select("node")) if with_start else hit).distinct().withColumn("__hit", F.lit(True))
+    kept = F.lit(intention == "RETRY") & F.coalesce(F.col("intention") == "REVERT", F.lit(False))
+    change = F.col("__hit").isNotNull() & ~F.coalesce("noop", F.lit(False)) & ~kept
+    own = lambda c, v: F.col(c) if v is None else F.when(change, v).otherwise(F.col(c)).alias(c)
+    return nodes.join(hit, "node", "left").select("node", own("state", state), own("intention", intention))
+
+
+def lineages(tree: DataFrame) -> DataFrame:
+    """(node, path array<struct<node, idx>>): each node's way from the root, itself at the end."""
+    steps = tree_paths(tree).select("node", F.col("ancestor").alias("at"), "distance").unionByName(tree.select("node", F.col("node").alias("at"), F.lit(0).alias("distance")))
+    steps = steps.join(tree.select(F.col("node").alias("at"), F.col("child_idx").alias("idx")), "at")
+    path = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "at", "idx"))), lambda s: F.struct(s["at"].alias("node"), s["idx"].alias("idx")))
+    return steps.groupBy("node").agg(path.alias("path"))
+
+
+def visible_scopes(tree: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, level, at, visible): the atoms that each atom can see, by level outward, nearest first.
+
+    tree: (node, parent, child_idx); nodes: (node, kind, noop), atoms are tasks and retries. Seen
+    are ancestors in the graph that stand before the atom, or before the flow that holds it,
+    under a common parent; level 0 is the atom's own flow, and each is seen at the innermost
+    level only. Within a level the last added come first.
+    """
+    atoms = nodes.where(F.col("kind").isin("task", "retry")).select("node")
+    pairs = connected(nodes, edges, atoms).join(atoms, "node", "left_semi").select(F.col("start").alias("node"), F.col("node").alias("visible"))
+    way = lineages(tree)
+    both = pairs.join(way, "node").join(way.select(F.col("node").alias("visible"), F.col("path").alias("other")), "visible")
+    common = F.size(F.filter(F.zip_with("path", "other", lambda x, y: F.coalesce(x["node"] == y["node"], F.lit(False))), lambda same: same))
+    both = both.withColumn("common", common)
+    before = F.get("other", F.col("common"))["idx"] < F.get("path", F.col("common"))["idx"]
+    places = F.transform(F.slice("other", F.col("common") + 1, F.size("other")), lambda s: -s["idx"])
+    seen = both.where(before).select("node", (F.size("path") - 1 - F.col("common")).alias("level"), "visible", places.alias("places"))
+    order = Window.partitionBy("node", "level").orderBy("places", "visible")
+    return seen.select("node", "level", F.row_number().over(order).alias("at"), "visible")
+
+
+def merge_graph_list(graphs: list[tuple[DataFrame, DataFrame]], allow_overlaps: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (by `node`) and edges (by `src`, `dst`) of many graphs; of overlapping ones the attributes of the last graph count.
+
+    Without permission to overlap, nodes in more than one graph are an error that tells their number.
+    """
+
+    def merged(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+        rows = None
+        for number, df in enumerate(frames):
+            df = df.withColumn("__graph", F.lit(number))
+            rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+        names = [c for c in rows.columns if c != "__graph"]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "__graph").alias("row"), F.countDistinct("__graph").alias("__graphs"))
+
+    nodes = merged([n for n, _ in graphs], ["node"])
+    if not allow_overlaps and (n := nodes.where(F.col("__graphs") > 1).count()):
+        raise ValueError(f"{n} nodes are in more than one graph")
+    return nodes.select("row.*"), merged([e for _, e in graphs], ["src", "dst"]).select("row.*")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsift.operators.graphs import shared
+
 SCHEMAS = {
     "books": "uuid long, name string, meta string",
     "flows": "uuid long, parent_uuid long, meta string, state string",
@@ -16,9 +17,8 @@ SCHEMAS = {
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster names; a local one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shared-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder in the shared one that the cluster names."""
+    return f"{shared(spark)}/{uuid.uuid4().hex}"
 
 
 def write_history(books: DataFrame, flows: DataFrame, atoms: DataFrame, path: str, buckets: int = 16, spread: int = 4) -> None:

@@ -53,8 +53,8 @@ VIEWS = {
         CASE WHEN l_partkey % 5 = 4 AND l_suppkey % 2 = 0 THEN 'ValueError' END AS failure, CASE WHEN l_partkey % 8 = 0 THEN 'IOError' END AS revert_failure,
         CASE WHEN l_partkey % 13 <> 0 THEN CAST(l_partkey AS VARCHAR(20)) END AS value, CASE WHEN l_partkey % 6 = 0 THEN 'REVERTED' WHEN l_partkey % 6 = 1 THEN 'REVERTING' WHEN l_partkey % 6 = 2 THEN 'REVERT_FAILURE' WHEN l_partkey % 6 = 3 THEN 'IGNORE' ELSE 'SUCCESS' END AS revert_state FROM {lineitem}""",
     "gnodes": """SELECT p_partkey % 7 AS graph, p_partkey AS node, CASE WHEN p_size % 7 = 0 THEN 'retry' WHEN p_size % 5 = 0 THEN 'flow' ELSE 'task' END AS kind, p_size % 6 = 0 AS noop,
-        CASE WHEN p_retailprice - floor(p_retailprice) < 0.05 THEN 'IGNORE' WHEN p_size % 4 = 0 AND p_partkey >= 40 THEN 'PENDING' WHEN p_size % 9 = 1 THEN 'REVERTED' WHEN p_partkey < 90 OR p_size % 3 > 0 THEN 'SUCCESS' ELSE 'PENDING' END AS state,
-        CASE WHEN p_size % 11 = 3 THEN 'REVERT' WHEN p_size % 11 = 4 THEN 'RETRY' WHEN p_size % 11 = 5 THEN 'IGNORE' ELSE 'EXECUTE' END AS intention FROM {part}""",
+        CASE WHEN p_retailprice - floor(p_retailprice) < 0.05 THEN 'IGNORE' WHEN p_size % 4 = 0 AND p_partkey >= 70 THEN 'PENDING' WHEN p_size % 9 = 1 AND p_partkey >= 56 THEN 'REVERTED' WHEN p_partkey < 90 OR p_size % 3 > 0 THEN 'SUCCESS' ELSE 'PENDING' END AS state,
+        CASE WHEN p_partkey < 56 THEN 'EXECUTE' WHEN p_size % 11 = 3 THEN 'REVERT' WHEN p_size % 11 = 4 THEN 'RETRY' WHEN p_size % 11 = 5 THEN 'IGNORE' ELSE 'EXECUTE' END AS intention FROM {part}""",
     "gedges": """SELECT DISTINCT graph, src, dst FROM (SELECT p_partkey % 7 AS graph, CAST(floor(floor(p_partkey / 7) / 2) AS BIGINT) * 7 + p_partkey % 7 AS src, p_partkey AS dst FROM {part}
         UNION ALL SELECT p_partkey % 7, CAST(floor(floor(p_partkey / 7) / 3) AS BIGINT) * 7 + p_partkey % 7, p_partkey FROM {part}
         UNION ALL SELECT p_partkey % 7, p_partkey, CAST(floor(floor(p_partkey / 7) / 4) AS BIGINT) * 7 + p_partkey % 7 FROM {part} WHERE p_partkey % 7 IN (2, 5) AND floor(p_partkey / 7) % 13 = 12) e WHERE src <> dst AND src >= 1 AND dst >= 1""",
