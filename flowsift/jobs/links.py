@@ -9,6 +9,7 @@ from flowsift.operators import boards as B
 from flowsift.operators import books as K
 from flowsift.operators import graphs as G
 from flowsift.operators import history as H
+from flowsift.operators import retries as T
 from flowsift.sources.views import view
 
 
@@ -192,6 +193,62 @@ def _(spark, d):
     return view(spark, d, "jobs").join(failed, "job", "left").select("job", B.disposition(state, F.col("wrapped"), raised, F.col("job") % 17 != 0).alias("what"))
 
 
+_COMMANDS = """SELECT job, ts, seq, CASE WHEN seq % 23 = 0 THEN '  ' ELSE who END AS who, command, CASE WHEN command = 'claim' AND seq % 14 = 0 THEN -1.0 WHEN command = 'claim' AND seq % 2 = 0 THEN 43200.0 WHEN command = 'extend' AND seq % 5 > 0 THEN 7200.0 END AS expiry_s
+  FROM (SELECT job, ts, seq, who, CASE WHEN command = 'trash' AND seq % 3 > 0 THEN 'extend' WHEN command = 'abandon' AND seq % 2 = 0 THEN 'post' ELSE command END AS command FROM {commands}) q"""
+_ARBITRATED = f"""c AS ({_COMMANDS.format(commands="commands")}), e AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY job ORDER BY ts, seq) AS k FROM c),
+r AS (SELECT DISTINCT job, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, FALSE AS there, FALSE AS trashed, CAST(NULL AS VARCHAR) AS owner, CAST(NULL AS BIGINT) AS until, CAST(NULL AS BIGINT) AS modified, CAST(NULL AS VARCHAR) AS result FROM e
+  UNION ALL SELECT job, k, seq, CASE WHEN result = 'OK' AND command = 'post' THEN TRUE WHEN result = 'OK' AND command IN ('consume', 'trash') THEN FALSE ELSE there END,
+    CASE WHEN result = 'OK' AND command = 'trash' THEN TRUE WHEN result = 'OK' AND command = 'post' THEN FALSE ELSE trashed END,
+    CASE WHEN result = 'OK' AND command = 'claim' THEN who WHEN result = 'OK' AND command IN ('post', 'consume', 'trash', 'abandon') THEN NULL ELSE o END,
+    CASE WHEN result = 'OK' AND command IN ('claim', 'extend') THEN lapse WHEN result = 'ALREADY_CLAIMED' AND o = who AND lapse IS NOT NULL THEN lapse WHEN result = 'OK' OR o IS NULL THEN NULL ELSE until END,
+    CASE WHEN result = 'OK' AND command IN ('claim', 'abandon', 'trash') OR result = 'ALREADY_CLAIMED' AND o = who THEN t WHEN result = 'OK' AND command IN ('consume', 'post') THEN NULL ELSE modified END, result
+  FROM (SELECT *, CASE WHEN command IN ('claim', 'consume', 'abandon', 'trash') AND trim(who) = '' THEN 'BAD_OWNER' WHEN command = 'claim' AND expiry_s < 0.001 OR command = 'extend' AND expiry_s IS NULL THEN 'BAD_EXPIRY'
+      WHEN command = 'post' THEN CASE WHEN there THEN 'ALREADY_POSTED' ELSE 'OK' END WHEN command = 'extend' THEN CASE WHEN there AND o IS NOT NULL THEN 'OK' ELSE 'NOT_EXTENDED' END WHEN NOT there THEN 'UNKNOWN_JOB'
+      WHEN command = 'claim' THEN CASE WHEN o IS NULL THEN 'OK' ELSE 'ALREADY_CLAIMED' END WHEN o IS NULL THEN 'UNKNOWN_OWNER' WHEN o = who THEN 'OK' ELSE 'WRONG_OWNER' END AS result
+    FROM (SELECT e.job, e.k, e.seq, e.t, e.command, e.who, e.t + CAST(e.expiry_s * 1000000 AS BIGINT) AS lapse, e.expiry_s, r.there, r.trashed, r.until, r.modified, CASE WHEN r.until IS NOT NULL AND e.t >= r.until THEN NULL ELSE r.owner END AS o FROM r JOIN e ON e.job = r.job AND e.k = r.k + 1) q) p)"""
+
+
+def _commands(spark, d):
+    return spark.sql(_COMMANDS, commands=view(spark, d, "commands"))
+
+
+@query("r1_board_results", _with("commands") + f", {_ARBITRATED} SELECT job, seq, result FROM r WHERE k > 0")
+def _(spark, d):
+    return B.arbitrate_jobs(_commands(spark, d))
+
+
+@query("r1_final_board", _with("commands") + f""", {_ARBITRATED}, l AS (SELECT *, owner IS NOT NULL AND (until IS NULL OR epoch_us(TIMESTAMP '2024-01-30 12:00:00') < until) AS live FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY k DESC) AS back FROM r) q WHERE back = 1)
+SELECT job, CASE WHEN there THEN CASE WHEN live THEN 'CLAIMED' ELSE 'UNCLAIMED' END WHEN trashed THEN 'TRASHED' ELSE 'GONE' END AS state, CASE WHEN live THEN owner END AS owner, CASE WHEN live THEN until END AS until, modified FROM l""")
+def _(spark, d):
+    return B.final_board(_commands(spark, d), F.lit("2024-01-30 12:00:00").cast("timestamp"))
+
+
+_UPDATES = "u AS (SELECT item, ts, seq, CASE WHEN state = 'RUNNING' AND seq % 3 = 0 THEN 'REVERTED' WHEN state = 'RUNNING' AND seq % 3 = 1 THEN 'REVERT_FAILURE' ELSE state END AS state, CASE WHEN seq % 4 > 0 THEN seq % 3 END AS result FROM transitions)"
+
+
+def _updates(spark, d):
+    state = F.expr("CASE WHEN state = 'RUNNING' AND seq % 3 = 0 THEN 'REVERTED' WHEN state = 'RUNNING' AND seq % 3 = 1 THEN 'REVERT_FAILURE' ELSE state END")
+    return view(spark, d, "transitions").select("item", "ts", "seq", state.alias("state"), F.when(F.col("seq") % 4 > 0, F.col("seq") % 3).alias("result"))
+
+
+@query("d4_altered", _with("transitions") + f""", {_UPDATES}, o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY ts, seq) AS k FROM u),
+r AS (SELECT DISTINCT item, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, 'PENDING' AS state, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS b, CAST(NULL AS BIGINT) AS x, FALSE AS altered FROM o
+  UNION ALL SELECT o.item, o.k, o.seq, o.state, CASE WHEN o.state = 'SUCCESS' THEN result WHEN o.state IN ('FAILURE', 'REVERT_FAILURE') THEN NULL ELSE a END, CASE WHEN o.state = 'FAILURE' THEN result WHEN o.state = 'SUCCESS' THEN NULL ELSE f END,
+    CASE WHEN o.state = 'REVERTED' THEN result WHEN o.state IN ('SUCCESS', 'FAILURE', 'REVERT_FAILURE') THEN NULL ELSE b END, CASE WHEN o.state = 'REVERT_FAILURE' THEN result WHEN o.state IN ('SUCCESS', 'FAILURE', 'REVERTED') THEN NULL ELSE x END,
+    o.state <> r.state OR CASE o.state WHEN 'SUCCESS' THEN result IS DISTINCT FROM a OR coalesce(f, b, x) IS NOT NULL WHEN 'FAILURE' THEN result IS DISTINCT FROM f OR coalesce(a, b, x) IS NOT NULL
+      WHEN 'REVERTED' THEN result IS DISTINCT FROM b OR x IS NOT NULL WHEN 'REVERT_FAILURE' THEN result IS DISTINCT FROM x OR coalesce(a, b) IS NOT NULL ELSE FALSE END FROM r JOIN o ON o.item = r.item AND o.k = r.k + 1)
+SELECT item, seq, altered FROM r WHERE k > 0""")
+def _(spark, d):
+    return T.altered(_updates(spark, d))
+
+
+@query("d4_put_retry_results", _with("transitions") + f""", {_UPDATES}, v AS (SELECT * FROM u WHERE state IN ('SUCCESS', 'FAILURE', 'REVERTED', 'REVERT_FAILURE')), o AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY ts, seq) AS k FROM v),
+l AS (SELECT item, max(k) AS n, count(*) FILTER (WHERE state = 'SUCCESS') AS attempts, coalesce(max(k) FILTER (WHERE state = 'SUCCESS'), 0) AS s, coalesce(max(k) FILTER (WHERE state = 'FAILURE'), 0) AS f, coalesce(max(k) FILTER (WHERE state = 'REVERTED'), 0) AS r, coalesce(max(k) FILTER (WHERE state = 'REVERT_FAILURE'), 0) AS x FROM o GROUP BY item)
+SELECT l.item, max(o.state) FILTER (WHERE k = n) AS state, attempts, max(result) FILTER (WHERE k = s) AS last, max(result) FILTER (WHERE k = f AND f > s) AS failure, max(result) FILTER (WHERE k = r AND r > s AND r > f AND r > x) AS revert_results, max(result) FILTER (WHERE k = x AND x > s AND x > f AND x > r) AS revert_failure FROM l JOIN o ON o.item = l.item GROUP BY l.item, attempts""")
+def _(spark, d):
+    return T.put_retry_results(_updates(spark, d).where("state IN ('SUCCESS', 'FAILURE', 'REVERTED', 'REVERT_FAILURE')"))
+
+
 # ---------------------------------------------------------------- graphs
 _STUCK = f"{_REACH}, cyc AS (SELECT start AS node FROM reach WHERE start = node), stuck AS (SELECT node FROM cyc UNION SELECT r.start FROM reach r JOIN cyc c ON c.node = r.node)"
 

@@ -158,7 +158,7 @@ _DECIDED = "CASE priority % 3 WHEN 0 THEN 'RETRY' WHEN 1 THEN 'REVERT' ELSE 'REV
 
 @query("j14_find_retry", _with("tree", "nodes") + f", {_PATHS} SELECT p.node, arg_min(p.ancestor, p.distance) AS retry, min(p.distance) AS distance FROM p JOIN nodes n ON n.node = p.ancestor WHERE n.kind = 'retry' GROUP BY p.node")
 def _(spark, d):
-    return T.find_retry(G.tree_paths(view(spark, d, "tree")), view(spark, d, "nodes").where("kind = 'retry'"))
+    return T.nearest_retry(view(spark, d, "tree"), view(spark, d, "nodes").where("kind = 'retry'"))
 
 
 @query("d3_resolution", _with("tree", "nodes") + f""", {_PATHS}, c AS (SELECT p.node, p.ancestor, p.distance, {_DECIDED} AS decision FROM p JOIN nodes n ON n.node = p.ancestor WHERE n.kind = 'retry'),
@@ -167,7 +167,8 @@ SELECT n.node, coalesce(firm, CASE WHEN inner_at IS NOT NULL THEN 'REVERT' ELSE
 def _(spark, d):
     nodes = view(spark, d, "nodes")
     decisions = nodes.where("kind = 'retry'").select("node", F.expr(_DECIDED).alias("decision"))
-    chains = T.retry_chains(nodes, G.tree_paths(view(spark, d, "tree")), decisions)
+    chains = T.enclosing_retries(view(spark, d, "tree"), decisions)
+    chains = nodes.select("node").join(chains, "node", "left").withColumn("chain", F.coalesce("chain", F.array().cast(chains.schema["chain"].dataType)))
     return chains.select("node", T.resolution(F.col("chain")).alias("r")).select("node", "r.action", "r.at")
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,35 +81,112 @@ def claim_lost(transitions: DataFrame, claims: DataFrame, expected: Column) -> D
     return held.select("job", "seq", "owner", (~F.col("owner").eqNullSafe(expected)).alias("lost"))
 
 
+OWNED = ("claim", "consume", "abandon", "trash")
+
+
+class Board:
+    """One job's place on a board: whether it is there, who owns it until when, whether it was trashed."""
+
+    def __init__(self) -> None:
+        self.there, self.trashed, self.owner, self.until, self.modified = False, False, None, None, None
+
+    def owner_at(self, at: int) -> str | None:
+        """The owner, unless the claim has lapsed by itself."""
+        return None if self.until is not None and at >= self.until else self.owner
+
+    def take(self, command: str, who: str | None, at: int, expiry_s: float | None) -> str:
+        """The result of a command at a time in microseconds; the errors leave the board as it is, but that
+        claiming again what one owns is noted and applies a new expiry."""
+        self.owner = self.owner_at(at)
+        self.until = self.until if self.owner is not None else None
+        given = expiry_s is not None and expiry_s == expiry_s  # not NaN
+        if command in OWNED and not (isinstance(who, str) and who.strip()):
+            return "BAD_OWNER"
+        if (command == "claim" and given or command == "extend") and not (given and expiry_s * 1000 >= 1):
+            return "BAD_EXPIRY"
+        until = at + round(expiry_s * 1_000_000) if given else None
+        if command == "post":
+            if self.there:
+                return "ALREADY_POSTED"
+            self.__init__()
+            self.there = True
+            return "OK"
+        if command == "extend":
+            if not self.there or self.owner is None:
+                return "NOT_EXTENDED"
+            self.until = until
+            return "OK"
+        if not self.there:
+            return "UNKNOWN_JOB"
+        if command == "claim":
+            if self.owner is not None:
+                if self.owner == who:
+                    self.modified, self.until = at, until if given else self.until
+                return "ALREADY_CLAIMED"
+            self.owner, self.until, self.modified = who, until, at
+            return "OK"
+        if self.owner is None:
+            return "UNKNOWN_OWNER"
+        if self.owner != who:
+            return "WRONG_OWNER"
+        self.owner = self.until = None
+        self.modified = None if command == "consume" else at
+        self.there, self.trashed = command == "abandon", command == "trash"
+        return "OK"
+
+
+def _each_job(commands: DataFrame, told: str) -> DataFrame:
+    """One sorted stream of commands for each job; a task holds one job's Board at a time, however many commands it has.
+
+    told: `results` for a row for each command, `board` for a row for each job.
+    """
+    columns = [F.col("expiry_s").cast("double") if "expiry_s" in commands.columns else F.lit(None).cast("double").alias("expiry_s")]
+    rows = commands.select("job", F.col("seq").cast("bigint").alias("seq"), micros(F.col("ts")).alias("at"), "who", "command", *columns)
+    rows = rows.repartition("job").sortWithinPartitions("job", "at", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, board = None, None
+        for b in batches:
+            results, boards = [], []
+            for j, seq, at, who, command, expiry in zip(b["job"], b["seq"], b["at"], b["who"], b["command"], b["expiry_s"]):
+                if board is None or j != job:
+                    if board is not None:
+                        boards.append((job, board.there, board.trashed, board.owner, board.until, board.modified))
+                    job, board = j, Board()
+                results.append((j, seq, board.take(command, who, at, expiry)))
+            yield pd.DataFrame(results, columns=["job", "seq", "result"]) if told == "results" else final(boards)
+        if told == "board" and board is not None:
+            yield final([(job, board.there, board.trashed, board.owner, board.until, board.modified)])
+
+    def final(boards: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(boards, columns=["job", "there", "trashed", "owner", "until", "modified"])
+        return out.astype({"until": "Int64", "modified": "Int64"})
+
+    kind = commands.schema["job"].dataType.simpleString()
+    return rows.mapInPandas(run, f"job {kind}, seq bigint, result string" if told == "results" else f"job {kind}, there boolean, trashed boolean, owner string, until bigint, modified bigint")
+
+
 def arbitrate_jobs(commands: DataFrame) -> DataFrame:
-    """Fold of post, claim, abandon, consume and trash per job in time order; a result for each command.
+    """(job, seq, result) of the commands (job, ts, seq, who, command, and expiry_s if there is one) in time order.
+
+    post, claim, extend, abandon, consume and trash. Claiming what isn't there or is owned, and
+    acting on another's job, are errors and change nothing; a claim with an expiry lapses by
+    itself, and extend gives a claim in force a new one. A job's commands are read as one
+    sorted stream, by one task that holds nothing but the board's state.
+    """
+    return _each_job(commands, "results")
+
+
+def final_board(commands: DataFrame, as_of: Column) -> DataFrame:
+    """(job, state, owner, until, modified) after all commands, as seen at as_of: CLAIMED, UNCLAIMED, TRASHED or GONE.
 
-    Claiming what isn't there, is owned, or acting on another's job is an error and changes
-    nothing. An ordered fold: one job's commands have to fit in a row.
+    until and modified are microseconds since 1970: when the claim lapses, and the last claim,
+    abandon or trash.
     """
-    gathered = commands.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "who", "command"))).alias("c"))
-    rows = "array<struct<seq:bigint,result:string>>"
-    text = lambda v: F.lit(v).cast("string")
-    start = F.struct(F.lit(False).alias("there"), text(None).alias("owner"), F.array().cast(rows).alias("rows"))
-
-    def step(a: Column, c: Column) -> Column:
-        post, claim = c["command"] == "post", c["command"] == "claim"
-        result = (
-            F.when(post, F.when(a["there"], "ALREADY_POSTED").otherwise("OK"))
-            .when(~a["there"], "UNKNOWN_JOB")
-            .when(claim, F.when(a["owner"].isNotNull(), "ALREADY_CLAIMED").otherwise("OK"))
-            .when(a["owner"].isNull(), "UNKNOWN_OWNER")
-            .when(a["owner"] != c["who"], "WRONG_OWNER")
-            .otherwise("OK")
-        )
-        ok = result == "OK"
-        gone = ok & c["command"].isin("consume", "trash")
-        there = F.when(ok & post, True).when(gone, False).otherwise(a["there"])
-        owner = F.when(ok & claim, c["who"]).when(ok & (post | gone | (c["command"] == "abandon")), text(None)).otherwise(a["owner"])
-        told = F.struct(c["seq"].cast("bigint").alias("seq"), result.alias("result"))
-        return F.struct(there.alias("there"), owner.alias("owner"), F.array_append(a["rows"], told).cast(rows).alias("rows"))
-
-    return gathered.select("job", F.explode(F.aggregate("c", start, step)["rows"]).alias("r")).select("job", "r.seq", "r.result")
+    last = _each_job(commands, "board")
+    live = F.col("owner").isNotNull() & (F.col("until").isNull() | (micros(as_of) < F.col("until")))
+    state = F.when(F.col("there"), F.when(live, "CLAIMED").otherwise("UNCLAIMED")).when(F.col("trashed"), "TRASHED").otherwise("GONE")
+    return last.select("job", state.alias("state"), F.when(live, F.col("owner")).alias("owner"), F.when(live, F.col("until")).alias("until"), "modified")
 
 
 def worker_sessions(beats: DataFrame, expiry_s: float) -> DataFrame:

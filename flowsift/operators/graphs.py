@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +36,23 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): longest way from a root; nodes on or behind a cycle have no row.
 
-    Every round peels the nodes whose predecessors are all peeled. Only the edges left
-    go on to the next round.
+    A node is free once all its predecessors are. Each round counts, of the nodes that some
+    predecessor was freed for, how many were so far; only these nodes are touched, so all
+    rounds together read each edge once.
     """
-    left, rest = cut(edges.select("src", "dst").distinct()), nodes.select("node").distinct()
-    level, done = 0, None
+    ways = cut(edges.select("src", "dst").distinct())
+    wanted = cut(ways.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("wanted")))
+    free = cut(nodes.select("node").distinct().join(wanted.select("node"), "node", "left_anti").withColumn("level", F.lit(0)))
+    done, waiting, level = free, None, 0
     while True:
-        free = cut(rest.join(left.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            return done if done is not None else free
-        done = free if done is None else done.unionByName(free)
-        rest = cut(rest.join(free, "node", "left_anti"))
-        left = cut(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
         level += 1
+        told = free.join(ways, free["node"] == ways["src"]).groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+        told = told if waiting is None else told.unionByName(waiting).groupBy("node").agg(F.sum("n").alias("n"))
+        touched = cut(told.join(wanted, "node"))
+        free = touched.where("n = wanted").select("node", F.lit(level).alias("level"))
+        if free.isEmpty():
+            return done.join(nodes.select("node"), "node", "left_semi")
+        done, waiting = done.unionByName(free), touched.where("n < wanted").select("node", "n")
 
 
 def is_acyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -85,18 +91,12 @@ def target_subgraph(edges: DataFrame, targets: DataFrame) -> DataFrame:
 def ready_atoms(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
     """PENDING nodes whose direct and farther predecessors are all SUCCESS.
 
-    A node's ancestors are fine if its predecessors are SUCCESS and ready themselves, so
-    that flag is carried along the levels: one pass over the edges, no closure.
+    What isn't SUCCESS blocks all that it reaches: a walk over sets of nodes, no closure.
     """
-    levels = topological_levels(nodes, edges).join(states, "node")
-    deepest = levels.agg(F.max("level")).first()[0] or 0
-    known = cut(levels.where("level = 0").select("node", "state", F.lit(True).alias("ok")))
-    for level in range(1, deepest + 1):
-        at = levels.where(F.col("level") == level).select("node", "state")
-        before = edges.withColumnRenamed("dst", "node").join(at.select("node"), "node").join(known.select(F.col("node").alias("src"), (F.col("ok") & (F.col("state") == "SUCCESS")).alias("fine")), "src")
-        flags = before.groupBy("node").agg(F.bool_and("fine").alias("ok"))
-        known = cut(known.unionByName(at.join(flags, "node").select("node", "state", "ok")))
-    return known.where((F.col("state") == "PENDING") & F.col("ok")).select("node")
+    known = nodes.select("node").join(states.select("node", "state"), "node")
+    kinds = nodes.select("node", F.lit("task").alias("kind"))
+    blocked = reached(kinds, edges, known.where(~F.coalesce(F.col("state") == "SUCCESS", F.lit(False))))
+    return known.where("state = 'PENDING'").join(blocked, "node", "left_anti").select("node")
 
 
 def reset_subgraph(edges: DataFrame, states: DataFrame, starts: DataFrame, state: str = "PENDING", intention: str = "EXECUTE") -> DataFrame:
@@ -120,11 +120,53 @@ def tree_paths(tree: DataFrame) -> DataFrame:
         pairs, reach = pairs.unionByName(more), 2 * reach
 
 
+def climb(tree: DataFrame, own: Column, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """(node, c): `own` of a node combined with that of its ancestors, the nearest first.
+
+    Each round a node takes what the node it points to has gathered and points to where that
+    one points, so rounds go with the log of the depth and a round has a row for each node.
+    combine(near, far) has to be associative and keep the type of `own`.
+    """
+    state = cut(tree.select("node", F.col("parent").alias("ptr"), own.alias("c")))
+    while not state.where("ptr IS NOT NULL").isEmpty():
+        far = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("c").alias("far"))
+        met = state.join(far, "ptr", "left")
+        state = cut(met.select("node", F.col("next").alias("ptr"), F.when(F.col("far").isNull(), F.col("c")).otherwise(combine(F.col("c"), F.col("far"))).alias("c")))
+    return state.select("node", "c")
+
+
+def descendant_counts(tree: DataFrame) -> DataFrame:
+    """(node, total): how many nodes are below each node.
+
+    After k rounds a node has counted those nearer than 2^k; those at 2^k below it point to it,
+    each node to one, and add what they have counted.
+    """
+    state = cut(tree.select("node", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("n")))
+    while not state.where("ptr IS NOT NULL").isEmpty():
+        below = state.where("ptr IS NOT NULL").groupBy(F.col("ptr").alias("node")).agg(F.sum("n").alias("more"))
+        far = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
+        state = cut(state.join(below, "node", "left").join(far, "ptr", "left").select("node", F.col("next").alias("ptr"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+    return state.select("node", (F.col("n") - 1).alias("total"))
+
+
 def child_counts(tree: DataFrame) -> DataFrame:
-    pairs = tree_paths(tree)
-    counted = pairs.groupBy("ancestor").agg(F.count_if(F.col("distance") == 1).alias("direct"), F.count("*").alias("total"))
-    zero = F.lit(0).cast("bigint")
-    return tree.select("node").join(counted, F.col("node") == F.col("ancestor"), "left").select("node", F.coalesce("direct", zero).alias("direct"), F.coalesce("total", zero).alias("total"))
+    direct = tree.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("direct"))
+    return descendant_counts(tree).join(direct, "node", "left").select("node", F.coalesce("direct", F.lit(0).cast("bigint")).alias("direct"), "total")
+
+
+def running_sums(df: DataFrame, group: str, order: list[Column], value: str) -> DataFrame:
+    """Adds `before`: the sum of `value` over the rows before a row within its group, 0 for the first.
+
+    Rows are dealt into ranges of (group, order); sums within a range and of the ranges
+    before it make one, so a large group is many tasks' work.
+    """
+    ranges = cut(df.repartitionByRange(F.col(group).asc(), *order).withColumn("__part", F.spark_partition_id()))
+    sums = ranges.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__of")).agg(F.sum(value).alias("__held"))
+    before = F.sum("__held").over(Window.partitionBy("__group").orderBy("__of")) - F.col("__held")
+    sums = F.broadcast(sums.select("__group", "__of", before.alias("__before")))
+    within = ranges.withColumn("__within", F.sum(value).over(Window.partitionBy(group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
+    both = within.join(sums, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__of")))
+    return both.select(*df.columns, (F.col("__before") + F.col("__within")).alias("before"))
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -145,18 +187,15 @@ def tree_order(tree: DataFrame, how: str = "dfs", flipped: bool = False) -> Data
     dfs: `at` is the place from 0, children in the order they were added. bfs: order by depth,
     then `at`, children in the reverse order. flipped turns the children round. A node comes
     after its ancestors and after the whole subtrees of earlier siblings of itself and of
-    them, so places are sums over ancestor pairs.
+    them, so places are sums on the way to the root.
     """
     added = (how == "dfs") != flipped
-    pairs = tree_paths(tree).select("node", "ancestor", "distance")
-    sizes = pairs.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("below"))
-    index = F.col("child_idx").asc() if added else F.col("child_idx").desc()
-    siblings = Window.partitionBy("parent").orderBy(index, F.col("node").asc() if added else F.col("node").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = tree.join(sizes, "node", "left").withColumn("n", F.coalesce("below", F.lit(0)) + 1)
-    earlier = earlier.select(F.col("node").alias("ancestor"), F.coalesce(F.sum("n").over(siblings), F.lit(0)).alias("earlier"))
-    own = tree.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"))
-    summed = pairs.unionByName(own).join(earlier, "ancestor").groupBy("node").agg(F.max("distance").alias("depth"), F.sum(F.col("earlier") + 1).alias("steps"))
-    return summed.select("node", "depth", (F.col("steps") - 1).alias("at"))
+    sized = tree.select("node", "parent", "child_idx").join(descendant_counts(tree).select("node", (F.col("total") + 1).alias("n")), "node")
+    order = [F.col("child_idx").asc(), F.col("node").asc()] if added else [F.col("child_idx").desc(), F.col("node").desc()]
+    earlier = running_sums(sized, "parent", order, "n")
+    own = F.struct(F.lit(1).alias("depth"), (F.col("before") + 1).alias("steps"))
+    summed = climb(earlier, own, lambda x, y: F.struct((x["depth"] + y["depth"]).alias("depth"), (x["steps"] + y["steps"]).alias("steps")))
+    return summed.select("node", (F.col("c.depth") - 1).alias("depth"), (F.col("c.steps") - 1).alias("at"))
 
 
 # ---------------------------------------------------------------- many graphs, kinds of nodes

@@ -7,6 +7,10 @@ once per function; watched rows and columns are selected before the shuffle.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,23 +94,56 @@ def drop_identity(df: DataFrame, saving=("SUCCESS", "FAILURE", "REVERTED", "REVE
 
 
 def replay_states(df: DataFrame, kind: str, initial: str) -> DataFrame:
-    """Run the state machine per item: refused events leave the state as it is.
-
-    An ordered fold: the events of one item are gathered, so an item's own history has to
-    fit in a row; items are spread by hash.
+    """(item, seq, old_state, state, verdict, after): run the state machine per item; refused events
+    leave the state as it is.
+
+    Events are dealt into ranges of (item, ts, seq), so an item with a large share of all events
+    is many tasks' work. Only the first and last item of a range can go on in another one;
+    for these a first pass gives the state at the range's end for every state at its begin.
+    These few maps, two at most for a range, tell each range's first state, and a second
+    pass replays every range in order, holding one state.
     """
-    events = F.array_sort(F.collect_list(F.struct("ts", "seq", "state")))
-    gathered = df.select("item", "ts", "seq", "state").groupBy("item").agg(events.alias("events"))
-    row = "array<struct<seq:bigint,old_state:string,state:string,verdict:string,after:string>>"
-    start = F.struct(F.lit(initial).alias("now"), F.array().cast(row).alias("rows"))
-
-    def step(a: Column, e: Column) -> Column:
-        v = verdict(a["now"], e["state"], kind)
-        after = F.when(v == "ALLOWED", e["state"]).otherwise(a["now"])
-        told = F.struct(e["seq"].cast("bigint").alias("seq"), a["now"].alias("old_state"), e["state"].alias("state"), v.alias("verdict"), after.alias("after"))
-        return F.struct(after.alias("now"), F.array_append(a["rows"], told).cast(row).alias("rows"))
-
-    return gathered.select("item", F.explode(F.aggregate("events", start, step)["rows"]).alias("r")).select("item", "r.*")
+    states = sorted({s for pair in ALLOWED[kind] for s in pair} | {initial})
+    moves, ignored = set(ALLOWED[kind]), set(FLOW_IGNORED) if kind == "flow" else set()
+    lenient = kind in ("task", "retry")
+    dealt = df.select("item", "ts", "seq", "state").repartitionByRange("item", "ts", "seq").sortWithinPartitions("item", "ts", "seq")
+    dealt = cut(dealt.select("item", F.col("seq").cast("bigint").alias("seq"), "state", F.spark_partition_id().alias("part")))
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, runs = None, []  # [item, state at the end for each state at the begin] of the first and the last item
+        for b in batches:
+            for item, state, part in zip(b["item"], b["state"], b["part"]):
+                if not runs or runs[-1][0] != item:
+                    runs = [*runs[:1], [item, {s: s for s in states}]]
+                ends = runs[-1][1]
+                for s, now in ends.items():
+                    if (now, state) in moves:
+                        ends[s] = state
+        yield pd.DataFrame([(part, n, str(item), json.dumps(ends)) for n, (item, ends) in enumerate(runs)], columns=["part", "run", "item", "ends"])
+
+    first, at, held = {}, initial, None
+    found = dealt.select("item", "state", "part").mapInPandas(edges, "part int, run int, item string, ends string").collect()
+    for part, _, item, ends in sorted(map(tuple, found)):  # two short rows for a range, in the order of ranges
+        at = at if item == held else initial
+        first.setdefault(part, (item, at))
+        at, held = json.loads(ends)[at], item
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, now = None, initial
+        for b in batches:
+            out = []
+            for item, seq, state, part in zip(b["item"], b["seq"], b["state"], b["part"]):
+                if current is None or item != current[0]:
+                    now = first[part][1] if current is None else initial
+                    current = (item,)
+                allowed = (now, state) in moves
+                v = "ALLOWED" if allowed else "IGNORED" if lenient or now == state or (now, state) in ignored else "INVALID"
+                out.append((item, seq, now, state, v, state if allowed else now))
+                now = state if allowed else now
+            yield pd.DataFrame(out, columns=["item", "seq", "old_state", "state", "verdict", "after"])
+
+    schema = f"item {df.schema['item'].dataType.simpleString()}, seq bigint, old_state string, state string, verdict string, after string"
+    return dealt.mapInPandas(replay, schema)
 
 
 def unique_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:

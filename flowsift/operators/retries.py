@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .books import array_minus
+from .graphs import climb
 
 
 def task_progress(updates: DataFrame) -> DataFrame:
@@ -79,6 +80,15 @@ def find_retry(pairs: DataFrame, retries: DataFrame) -> DataFrame:
     return near.select("node", F.col("r.ancestor").alias("retry"), "r.distance")
 
 
+def nearest_retry(tree: DataFrame, retries: DataFrame) -> DataFrame:
+    """find_retry() of a tree (node, parent): pointers climb until a retry is met, no pairs of nodes arise."""
+    above = tree.join(retries.select(F.col("node").alias("parent"), F.lit(True).alias("is_retry")), "parent", "left")
+    found = F.when(F.col("is_retry"), F.struct(F.col("parent").alias("retry"), F.lit(1).alias("distance")))
+    farther = lambda near, far: F.when(far["found"].isNotNull(), F.struct(far["found"]["retry"].alias("retry"), (far["found"]["distance"] + near["steps"]).alias("distance")))
+    both = climb(above, F.struct(F.lit(1).alias("steps"), found.alias("found")), lambda x, y: F.struct((x["steps"] + y["steps"]).alias("steps"), F.coalesce(x["found"], farther(x, y)).alias("found")))
+    return both.where("c.found IS NOT NULL").select("node", "c.found.retry", "c.found.distance")
+
+
 def resolution(chain: Column, defer_reverts: bool = False) -> Column:
     """struct(action, at) for a failed atom's enclosing retries, an array<struct<retry, decision>>, innermost first.
 
@@ -106,6 +116,13 @@ def retry_chains(nodes: DataFrame, pairs: DataFrame, decisions: DataFrame) -> Da
     return nodes.select("node").join(by, "node", "left").select("node", F.coalesce("chain", F.array().cast(by.schema["chain"].dataType)).alias("chain"))
 
 
+def enclosing_retries(tree: DataFrame, decisions: DataFrame) -> DataFrame:
+    """retry_chains() of a tree (node, parent): a row holds the retries around a node, not its ancestors."""
+    above = tree.join(decisions.select(F.col("node").alias("parent"), "decision"), "parent", "left")
+    one = F.when(F.col("decision").isNotNull(), F.array(F.struct(F.col("parent").alias("retry"), "decision"))).otherwise(F.array())
+    return climb(above, one, lambda near, far: F.concat(near, far)).select("node", F.col("c").alias("chain"))
+
+
 def put_results(updates: DataFrame) -> DataFrame:
     """A task's stored fields after all its updates (item, ts, seq, state, result) in order.
 
@@ -173,3 +190,52 @@ def match_responses(messages: DataFrame) -> DataFrame:
         .when(F.col("state") == "PENDING", "PASSED").when(F.col("state") == "RUNNING", "MOVED").otherwise("CLOSED")
     )
     return rows.select("seq", "request", verdict.alias("verdict"))
+
+
+def put_retry_results(updates: DataFrame) -> DataFrame:
+    """A retry's stored fields after all its updates (item, ts, seq, state, result) in order.
+
+    As put_results(), but SUCCESS appends to the results, which nothing clears; FAILURE,
+    SUCCESS and REVERTED clear the revert failure, and REVERT_FAILURE the revert result.
+    attempts: how many results there are; last: the last of them.
+    """
+    states = {"s": "SUCCESS", "f": "FAILURE", "r": "REVERTED", "x": "REVERT_FAILURE"}
+    last = [F.max(F.when(F.col("state") == v, F.struct("ts", "seq", "result"))).alias(k) for k, v in states.items()]
+    by = updates.groupBy("item").agg(F.max(F.struct("ts", "seq", "state")).alias("last"), F.count_if(F.col("state") == "SUCCESS").alias("attempts"), *last)
+
+    def field(own: str, cleared: str) -> Column:
+        later = lambda c: F.col(c).isNull() | (F.struct(f"{own}.ts", f"{own}.seq") > F.struct(f"{c}.ts", f"{c}.seq"))
+        kept = F.col(own).isNotNull()
+        for c in cleared:
+            kept = kept & later(c)
+        return F.when(kept, F.col(f"{own}.result"))
+
+    return by.select("item", F.col("last.state").alias("state"), "attempts", F.col("s.result").alias("last"), field("f", "s").alias("failure"), field("r", "sfx").alias("revert_results"), field("x", "sfr").alias("revert_failure"))
+
+
+def altered(updates: DataFrame) -> DataFrame:
+    """(item, seq, altered): whether each update of a task (item, ts, seq, state, result) changed what is stored.
+
+    The state changes, or a result that is kept is another one than before. A task's fields
+    before an update are those after the one before it, so the last update of each state and
+    the last that cleared it decide; all are running maxima over one sorted stream.
+    """
+    w = Window.partitionBy("item").orderBy("ts", "seq")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    states = {"s": "SUCCESS", "f": "FAILURE", "r": "REVERTED", "x": "REVERT_FAILURE"}
+    rows = updates.withColumn("n", F.row_number().over(w)).withColumn("old", F.lag("state").over(w))
+    for k, v in states.items():
+        rows = rows.withColumn(k, F.max(F.when(F.col("state") == v, F.struct("n", "result"))).over(before))
+    n = lambda k: F.coalesce(F.col(f"{k}.n"), F.lit(0))
+    held = lambda own, *cleared: F.when(n(own) > F.greatest(F.lit(0), *map(n, cleared)), F.col(f"{own}.result"))
+    results, failure, reverted, broken = held("s", "f", "x"), held("f", "s"), held("r", "s", "f", "x"), held("x", "s", "f", "r")
+    some = lambda *fields: F.coalesce(*fields).isNotNull()
+    differs = lambda field: ~F.col("result").eqNullSafe(field)
+    state = F.col("state")
+    changed = (
+        F.when(state == "SUCCESS", differs(results) | some(failure, reverted, broken))
+        .when(state == "FAILURE", differs(failure) | some(results, reverted, broken))
+        .when(state == "REVERTED", differs(reverted) | some(broken))
+        .when(state == "REVERT_FAILURE", differs(broken) | some(results, reverted)).otherwise(False)
+    )
+    return rows.select("item", "seq", (~state.eqNullSafe(F.coalesce("old", F.lit("PENDING"))) | changed).alias("altered"))
