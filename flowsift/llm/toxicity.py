@@ -1,8 +1,8 @@
 """Toxicity by a subsequence kernel, Nystroem landmarks and a support vector machine on sentences.
 
 Two words are compared by the gapped subsequences of three characters they share, each
-weighed down by the gap it spans, so that inserted or missing characters cost little. A
-sentence is compared with a landmark by its best matching word; the Nystroem map of these
+weighed down by the gap it spans, so that inserted or missing characters cost little; marks inside a word
+may also be left out. A sentence is compared with a landmark by its best matching word; the Nystroem map of these
 values is what the machine sees. Labels are of whole texts: every sentence of a clean text
 is a clean one, of a toxic text at least one is toxic, and the machine is fitted anew
 with the sentence that it finds most toxic until these no longer change.
@@ -97,8 +97,10 @@ class Kernel:
             code, weight = self._of(words[i : i + 500])
             r = self.at[code]
             w, c = np.nonzero(r)  # most subsequences belong to no landmark
-            if len(w):
-                np.add.at(out, w + i, self.table[r[w, c]] * (weight[c] / np.sqrt((weight**2).sum())).astype(np.float32)[:, None])
+            if len(w):  # w ascends
+                first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                values = self.table[r[w, c]] * (weight[c] / np.sqrt((weight**2).sum())).astype(np.float32)[:, None]
+                out[w[first] + i] = np.add.reduceat(values, first, axis=0)
         return out
 
     def __call__(self, words: list[str]) -> np.ndarray:
@@ -108,8 +110,12 @@ class Kernel:
             for piece in [w] if len(w) <= UNIT else [w[j : j + UNIT] for j in range(0, len(w), UNIT // 2)]:
                 by.setdefault(len(piece), []).append((i, piece))
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        for group in by.values():
-            np.maximum.at(out, [i for i, _ in group], self.same_length([p for _, p in group]))
+        for n, group in by.items():
+            at, values = [i for i, _ in group], self.same_length([p for _, p in group])
+            if n < UNIT:  # a word has one piece of such a length at most
+                out[at] = np.maximum(out[at], values)
+            else:
+                np.maximum.at(out, at, values)
         return out**POWER
 
 
@@ -148,7 +154,11 @@ class Model:
             self.rows = more
         for i in range(0, len(new), AT_ONCE):
             part, n = new[i : i + AT_ONCE], len(self.row)
-            self.rows[n : n + len(part)] = self.kernel([w.strip(_edge) for w in part])
+            whole = [w.strip(_edge) for w in part]
+            values = self.kernel(whole)
+            if marked := [k for k, w in enumerate(whole) if not w.isalnum()]:  # also without the marks inside
+                values[marked] = np.maximum(values[marked], self.kernel(["".join(filter(str.isalnum, whole[k])) for k in marked]))
+            self.rows[n : n + len(part)] = values
             self.row.update(zip(part, range(n, n + len(part))))
 
     def pooled(self, groups: list[list[str]]) -> np.ndarray:
