@@ -243,3 +243,29 @@ def _(spark, d):
 @query("r6_stream_states", oracle_sql_of("w6_replay_flow"))
 def _(spark, d):
     return J.drain(J.stream_states(J.stream_view(spark, d, "transitions"), "flow"))
+
+
+@query("r2_stream_expiry", _with("requests") + """, q AS (SELECT request, min(ts) FILTER (WHERE state IN ('WAITING', 'PENDING')) AS created, min(ts) FILTER (WHERE state IN ('RUNNING', 'SUCCESS', 'FAILURE')) AS stopped FROM requests GROUP BY request)
+SELECT request, stopped IS NULL OR epoch_us(stopped) - epoch_us(created) > 7200000000 AS expired FROM q WHERE created IS NOT NULL AND (stopped IS NULL OR stopped > created)""")
+def _(spark, d):
+    return J.drain(J.stream_expiry(J.stream_view(spark, d, "requests"), 7200.0))
+
+
+@query("r3_stream_sessions", _with("beats") + """, g AS (SELECT topic, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 21600000000 THEN 1 ELSE 0 END AS fresh FROM beats WINDOW w AS (PARTITION BY topic ORDER BY ts)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY topic ORDER BY ts) AS k FROM g), s AS (SELECT topic, min(ts) AS since, max(ts) AS last_seen, count(*) AS beats FROM n GROUP BY topic, k)
+SELECT * FROM s WHERE epoch_us(last_seen) + 21600000000 - 1 <= (SELECT epoch_us(max(ts)) FROM beats)""")
+def _(spark, d):
+    return J.drain(J.stream_sessions(J.stream_view(spark, d, "beats"), 21600.0))
+
+
+@query("r4_stream_registry", _with("beats") + """, b AS (SELECT *, CASE WHEN task IN ('view', 'click') THEN 'both' ELSE task END AS t FROM beats), m AS (SELECT *, CASE WHEN t <> lag(t) OVER w THEN 1 ELSE 0 END AS fresh FROM b WINDOW w AS (PARTITION BY topic ORDER BY ts, seq))
+SELECT seq, topic, CAST(sum(fresh) OVER (PARTITION BY topic ORDER BY ts, seq) AS BIGINT) AS identity FROM m""")
+def _(spark, d):
+    task = F.col("task")
+    tasks = F.when(task == "view", F.array(F.lit("view"), F.lit("click"))).when(task == "click", F.array(F.lit("click"), F.lit("view"), F.lit("click"))).otherwise(F.array(task))
+    return J.drain(J.stream_registry(J.stream_view(spark, d, "beats").withColumn("tasks", tasks)))
+
+
+@query("r7_stream_responses", oracle_sql_of("r7_match_responses"))
+def _(spark, d):
+    return J.drain(J.stream_responses(J.stream_view(spark, d, "requests")))

@@ -175,7 +175,8 @@ def merge_store(flow_store: Column, job_store: Column) -> Column:
 
 
 def match_responses(messages: DataFrame) -> DataFrame:
-    """Verdict on each of a request's rows (request, ts, seq, state): OPENED, PASSED, MOVED, CLOSED or DROPPED.
+    """Verdict on each of a request's rows (request, ts, seq, state): OPENED, PASSED (also an EVENT), MOVED, CLOSED,
+    DROPPED or, for a state that there isn't, UNKNOWN.
 
     What comes for a request that isn't open yet, or was closed, is dropped.
     """
@@ -187,7 +188,8 @@ def match_responses(messages: DataFrame) -> DataFrame:
     waiting = F.col("state") == "WAITING"
     verdict = (
         F.when(waiting & ~F.col("known"), "OPENED").when(waiting | ~F.col("known") | F.col("closed"), "DROPPED")
-        .when(F.col("state") == "PENDING", "PASSED").when(F.col("state") == "RUNNING", "MOVED").otherwise("CLOSED")
+        .when(F.col("state").isin("PENDING", "EVENT"), "PASSED").when(F.col("state") == "RUNNING", "MOVED")
+        .when(F.col("state").isin("SUCCESS", "FAILURE"), "CLOSED").otherwise("UNKNOWN")
     )
     return rows.select("seq", "request", verdict.alias("verdict"))
 

@@ -48,7 +48,10 @@ def stream_durations(transitions: DataFrame) -> DataFrame:
             if r.state in FINISHES and since is not None:
                 out.append((r.seq, key[1], key[0], key[2], r.state, (r.at - since) / 1e6))
             since = r.at if r.state in STARTS else None
-        state.update((since,))
+        if since is None:  # nothing runs: the key needs no state
+            state.remove()
+        else:
+            state.update((since,))
         yield pd.DataFrame(out, columns=["seq", "item_type", "flow", "item", "state", "duration"])
 
     watched = transitions.where(F.col("state").isin([*STARTS, *FINISHES, "PENDING"])).select("flow", "item_type", "item", "seq", micros(F.col("ts")).alias("at"), "state")
@@ -96,8 +99,108 @@ def stream_arbitration(commands: DataFrame) -> DataFrame:
                 there = r.command not in ("consume", "trash")
                 owner = r.who if r.command == "claim" else None
             out.append((key[0], r.seq, result))
-        state.update((there, owner))
+        if there:
+            state.update((there, owner))
+        else:  # a job that is gone needs no state
+            state.remove()
         yield pd.DataFrame(out, columns=["job", "seq", "result"])
 
     rows = commands.select("job", "seq", micros(F.col("ts")).alias("at"), "who", "command")
     return rows.groupBy("job").applyInPandasWithState(run, "job long, seq long, result string", "there boolean, owner string", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_expiry(states: DataFrame, timeout_s: float = 60.0, delay: str = "0 seconds") -> DataFrame:
+    """(request, expired) once for each request that was waiting, when it is decided.
+
+    A request that isn't running or ended timeout_s after its first WAITING or PENDING row has
+    expired; a timer in event time tells so without further rows of the request. State goes
+    when the request is decided, but for a mark that keeps it from being opened again, which
+    another timer removes after as long a time.
+    """
+    wait = round(timeout_s * 1000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        created, done = state.get if state.exists else (None, False)
+        out = []
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([] if done else [(key[0], True)], columns=["request", "expired"])
+            return
+        last = 0
+        for r in _ordered(batches):
+            last = r.at
+            if done:
+                continue
+            if r.state in ("WAITING", "PENDING"):
+                created = r.at if created is None else created
+            elif r.state in ("RUNNING", "SUCCESS", "FAILURE"):
+                if created is not None:
+                    out.append((key[0], r.at - created > timeout_s * 1e6))
+                done = True
+        state.update((created, done))
+        until = (last if done or created is None else created) // 1000 + wait + 1
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["request", "expired"])
+
+    rows = states.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).select("request", "seq", "ts", micros(F.col("ts")).alias("at"), "state")
+    return rows.groupBy("request").applyInPandasWithState(run, "request long, expired boolean", "created long, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_sessions(beats: DataFrame, expiry_s: float = 60.0, delay: str = "0 seconds") -> DataFrame:
+    """(topic, since, last_seen, beats) of each session that the watermark has passed.
+
+    Spark joins rows that are exactly one gap apart, where silence of expiry_s ends a session,
+    so the gap is a microsecond shorter.
+    """
+    whole = round(expiry_s * 1_000_000) - 1
+    window = F.session_window("ts", f"{whole // 1_000_000} seconds {whole % 1_000_000} microseconds")
+    told = beats.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy("topic", window.alias("session")).agg(F.min("ts").alias("since"), F.max("ts").alias("last_seen"), F.count("*").alias("beats"))
+    return told.select("topic", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("since", "last_seen")], "beats")
+
+
+def stream_registry(beats: DataFrame) -> DataFrame:
+    """(seq, topic, identity) of each beat: another set of tasks than the topic's last one makes a new number.
+
+    beats: (seq, ts, topic, tasks), tasks an array whose order doesn't count. A topic's state is its
+    number and its tasks.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, tasks = state.get if state.exists else (0, None)
+        out = []
+        for r in _ordered(batches):
+            number += tasks is not None and r.tasks != tasks
+            tasks = r.tasks
+            out.append((r.seq, key[0], number))
+        state.update((number, tasks))
+        yield pd.DataFrame(out, columns=["seq", "topic", "identity"])
+
+    tasks = F.to_json(F.array_sort(F.array_distinct("tasks")))
+    rows = beats.select("topic", "seq", micros(F.col("ts")).alias("at"), tasks.alias("tasks"))
+    return rows.groupBy("topic").applyInPandasWithState(run, "seq long, topic long, identity long", "number long, tasks string", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_responses(messages: DataFrame) -> DataFrame:
+    """(seq, request, verdict) of each row (request, ts, seq, state), as match_responses() gives it.
+
+    A request's state is whether it is open or closed, so that what comes late is dropped.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, closed = state.get if state.exists else (False, False)
+        out = []
+        for r in _ordered(batches):
+            if r.state == "WAITING" and not known:
+                known, verdict = True, "OPENED"
+            elif r.state == "WAITING" or not known or closed:
+                verdict = "DROPPED"
+            else:
+                verdict = {"PENDING": "PASSED", "EVENT": "PASSED", "RUNNING": "MOVED"}.get(r.state, "CLOSED" if r.state in ("SUCCESS", "FAILURE") else "UNKNOWN")
+                closed = verdict == "CLOSED"
+            out.append((r.seq, key[0], verdict))
+        if known:
+            state.update((known, closed))
+        yield pd.DataFrame(out, columns=["seq", "request", "verdict"])
+
+    rows = messages.select("request", "seq", micros(F.col("ts")).alias("at"), "state")
+    return rows.groupBy("request").applyInPandasWithState(run, "seq long, request long, verdict string", "known boolean, closed boolean", "append", GroupStateTimeout.NoTimeout)
