@@ -3,9 +3,10 @@
 Candidates are dealt into blocks that stay where they are. A block has for each component a
 list of its candidates sorted by that component, read from the top by queries whose own
 component is positive and from the bottom by those where it is negative. Reading goes on
-segment by segment: what is read is added to a candidate's lower bound (components not read
-yet count as the list's last value), and lists not read yet count in the upper bound as
-the value reached. A query stops when no other candidate's upper bound reaches the k-th lower
+segment by segment: what is read is added to the lower bounds of the candidates met there
+(components not read yet count as the list's last value; the segments of all lists are one
+matrix, zero where a candidate isn't met, so that a product adds them), and lists not read
+yet count in the upper bound as the value reached. A query stops when no other candidate's upper bound reaches the k-th lower
 bound, or with few left; the scores of those are then resolved. Queries stream past
 each block in bounded batches.
 """
@@ -19,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates of a block, queries that read its lists in step, parts in which a list is read.
-CANDIDATES, QUERIES, SEGMENTS = 16_384, 256, 8
+#: Candidates of a block, and of the parts with lists of their own that fit a processor's cache; queries that
+#: read lists in step, segments of a list.
+CANDIDATES, LISTED, QUERIES, SEGMENTS = 16_384, 4_096, 256, 4
 
 
 def quantised(rows: DataFrame, scale: int = 64) -> DataFrame:
@@ -43,12 +45,13 @@ def _matrix(column, width: int) -> np.ndarray:
 
 
 class Block:
-    """The candidates of a block and their sorted lists."""
+    """Candidates and their sorted lists."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable")  # a column is a list from its bottom to its top
-        self.values = np.take_along_axis(x, self.order, axis=0)
+        order = np.argsort(x, axis=0, kind="stable")  # a column is a list from its bottom to its top
+        self.values = np.take_along_axis(x, order, axis=0)
+        self.rank = np.argsort(order, axis=0, kind="stable").astype(np.int32)
         self.most = int(np.abs(x).max(initial=0))
 
     def search(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -64,23 +67,16 @@ class Block:
         plus, minus = np.maximum(q, 0).astype(kind).T, np.minimum(q, 0).astype(kind).T  # a row for each list
         low = np.empty((n, len(q)), kind)
         low[:] = self.values[0].astype(kind) @ plus + self.values[-1].astype(kind) @ minus  # nothing read: the worst
-        unread = {"top": np.ones((n, width), kind), "bottom": np.ones((n, width), kind)}
+        weights = np.concatenate([plus, minus])  # lists from the top, then from the bottom
         left, at = np.arange(len(q)), 0
         for upto in sorted({-(-n * (s + 1) // SEGMENTS) for s in range(SEGMENTS)}):
-            for j in range(width):
-                for rows, side, worst, weight in ((self.order[n - upto : n - at, j], "top", self.values[0, j], plus[j]), (self.order[at:upto, j], "bottom", self.values[-1, j], minus[j])):
-                    used = np.flatnonzero(weight)
-                    if len(used):
-                        gain = (self.x[rows, j] - worst).astype(kind)[:, None]
-                        if 2 * len(used) > len(weight):
-                            low[rows] += gain * weight
-                        else:
-                            low[rows[:, None], used] += gain * weight[used]
-                    unread[side][rows, j] = 0
+            # the segment of every list: what it adds to the candidates met there
+            top, bottom = (self.rank >= n - upto) & (self.rank < n - at), (self.rank >= at) & (self.rank < upto)
+            low += np.concatenate([np.where(top, self.x - self.values[0], 0), np.where(bottom, self.x - self.values[-1], 0)], axis=1).astype(kind) @ weights
             at = upto
             # lists that a candidate wasn't met in yet: between the worst value and the one reached
-            top, bottom = (self.values[n - at] - self.values[0]).astype(kind), (self.values[at - 1] - self.values[-1]).astype(kind)
-            upper = low + unread["top"] @ (plus * top[:, None]) + unread["bottom"] @ (minus * bottom[:, None])
+            room = np.concatenate([np.where(self.rank < n - at, self.values[n - at] - self.values[0], 0), np.where(self.rank >= at, self.values[at - 1] - self.values[-1], 0)], axis=1)
+            upper = low + room.astype(kind) @ weights
             ready = np.zeros(len(left), bool)
             for r, number in enumerate(left):
                 lower = low[:, r].copy()
@@ -90,7 +86,7 @@ class Block:
                 if at == n or len(keep) <= max(8 * k, n // 64):
                     self._resolve(q_ids[number], q[number], keep, k, out)
                     ready[r] = True
-            left, low, plus, minus = left[~ready], low[:, ~ready], plus[:, ~ready], minus[:, ~ready]
+            left, low, weights = left[~ready], low[:, ~ready], weights[:, ~ready]
             if not len(left):
                 break
         return out
@@ -112,7 +108,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     compared as if filled with zeros. Rows with a query's own id are never its results;
     repeated rows are repeated candidates, a query repeated with the same vector is answered
     once. Candidates are dealt into blocks of bounded size without copies; each query goes to
-    every block, which gives k rows for it at most.
+    every block, each part of which gives k rows for it at most.
     """
     vectors = quantised(rows)
     size = vectors.agg(F.count("*"), F.max(F.size("x"))).first()
@@ -124,26 +120,27 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's candidates come first, then the queries, which stream past."""
-        number, block, held = None, None, []
+        number, parts, held = None, [], []
 
         def answers(q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            got = [block.search(q_ids[i : i + QUERIES], q[i : i + QUERIES], k) for i in range(0, len(q), QUERIES)]
+            got = [part.search(q_ids[i : i + QUERIES], q[i : i + QUERIES], k) for i in range(0, len(q), QUERIES) for part in parts]
             return pa.RecordBatch.from_arrays([pa.array(np.asarray([v for g in got for v in g[c]], np.int64)) for c in range(3)], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             key = batch.column("b").to_numpy().astype(np.int64) * 2 + batch.column("side").to_numpy()
-            for part in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
-                if not len(part):
+            for run_ in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
+                if not len(run_):
                     continue
-                rows = batch.slice(int(part[0]), len(part))
+                rows = batch.slice(int(run_[0]), len(run_))
                 ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("x"), width)
-                if key[part[0]] // 2 != number:
-                    number, block, held = key[part[0]] // 2, None, []
-                if key[part[0]] % 2 == 0:
+                if key[run_[0]] // 2 != number:
+                    number, parts, held = key[run_[0]] // 2, [], []
+                if key[run_[0]] % 2 == 0:
                     held.append((ids, x))
-                elif held or block:
+                elif held or parts:
                     if held:
-                        block, held = Block(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])), []
+                        all_ids, all_x, held = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), []
+                        parts = [Block(all_ids[i : i + LISTED], all_x[i : i + LISTED]) for i in range(0, len(all_ids), LISTED)]
                     yield answers(ids, x)
 
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
