@@ -17,6 +17,8 @@ from .common import fold
 
 #: Rows learned from, about so many, shared evenly by the languages; longest n-gram; least count of a word or n-gram that is kept.
 SAMPLE, LONGEST, SEEN = 8_000, 5, 3
+#: Most languages whose shares of the sample are broadcast (some 10 MB); more of them are joined by shuffle.
+LANGUAGES = 100_000
 #: Rows of the table of words that a Python worker remembers.
 REMEMBERED = 100_000
 UNKNOWN = "und"
@@ -37,6 +39,8 @@ def learning_rows(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     known = known.where((fold(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
     share = sizes.crossJoin(sizes.agg(F.count("*").alias("langs"))).select("lang", (F.lit(rows) / F.col("langs") / F.col("rows")).alias("share"))
+    if sizes.count() <= LANGUAGES:
+        share = F.broadcast(share)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     return known.join(share, "lang").where(place < F.col("share")).select("doc_id", "lang").distinct()
 
