@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowsift.functions import scalars as X
 from flowsift.jobs.registry import _DUR, _PATHS, FINISHED, _with, oracle_sql_of, query
+from flowsift.operators import boards as B
 from flowsift.operators import graphs as G
 from flowsift.operators import records as R
 from flowsift.operators import retries as T
@@ -269,3 +270,10 @@ def _(spark, d):
 @query("r7_stream_responses", oracle_sql_of("r7_match_responses"))
 def _(spark, d):
     return J.drain(J.stream_responses(J.stream_view(spark, d, "requests")))
+
+
+# the windows that the watermark has passed
+@query("r8_stream_rates", _with("transitions") + "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS since, state, count(*) AS n FROM transitions WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM transitions) GROUP BY ALL")
+def _(spark, d):
+    rates = B.transition_rates(J.stream_view(spark, d, "transitions"), "1 day", "1 hour")
+    return J.drain(rates).select(F.col("since").cast("timestamp_ntz").alias("since"), "state", "n")

@@ -308,7 +308,7 @@ def pick_flow(jobs: DataFrame, flows: DataFrame) -> DataFrame:
 
 def transition_rates(transitions: DataFrame, width: str = "1 day", watermark: str | None = None) -> DataFrame:
     """Counts by state in tumbling windows; with a watermark it runs on streams as well."""
-    rows = transitions.withWatermark("ts", watermark) if watermark else transitions
+    rows = transitions.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark) if watermark else transitions
     return rows.groupBy(F.window("ts", width), "state").agg(F.count("*").alias("n")).select(F.col("window.start").alias("since"), "state", "n")
 
 

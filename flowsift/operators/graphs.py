@@ -33,6 +33,12 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("src").alias("node")), "node", "left_anti")
 
 
+def _grown(seen: DataFrame | None, found: DataFrame, rounds: int) -> DataFrame:
+    """What was seen so far and what a round found; every so many rounds one table again, so that plans stay small."""
+    both = found if seen is None else seen.unionByName(found)
+    return cut(both) if rounds % 16 == 0 else both
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): longest way from a root; nodes on or behind a cycle have no row.
 
@@ -52,7 +58,7 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         free = touched.where("n = wanted").select("node", F.lit(level).alias("level"))
         if free.isEmpty():
             return done.join(nodes.select("node"), "node", "left_semi")
-        done, waiting = done.unionByName(free), touched.where("n < wanted").select("node", "n")
+        done, waiting = _grown(done, free, level), touched.where("n < wanted").select("node", "n")
 
 
 def is_acyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def ancestors(edges: DataFrame, start: DataFrame, forward: bool = False) -> Data
         found = cut(found.withColumn("hops", F.lit(hops)))
         if found.isEmpty():
             return seen if seen is not None else found
-        seen = found if seen is None else seen.unionByName(found)
+        seen = _grown(seen, found, hops)
         frontier = found.select("start", F.col("node").alias("at"))
 
 
@@ -239,7 +245,7 @@ def connected(nodes: DataFrame, edges: DataFrame, start: DataFrame, forward: boo
         found = cut(found.withColumn("hops", F.lit(hops)))
         if found.isEmpty():
             return (seen if seen is not None else found).where(~F.col("noop")).select("start", "node", "hops")
-        seen = found if seen is None else seen.unionByName(found)
+        seen = _grown(seen, found, hops)
         frontier = found.where("open").select("start", F.col("node").alias("at"))
 
 
@@ -247,13 +253,14 @@ def reached(nodes: DataFrame, edges: DataFrame, start: DataFrame, forward: bool
     """(node): what connected() finds from any of the start nodes, noop nodes too; a row for a node, not for a pair."""
     ways = edges.select(F.col("src").alias("at"), F.col("dst").alias("node")) if forward else edges.select(F.col("dst").alias("at"), F.col("src").alias("node"))
     ways = cut(ways.distinct().join(nodes.select("node", F.col("kind").isin(list(through)).alias("open")), "node"))
-    frontier, seen = cut(start.select(F.col("node").alias("at")).distinct()), None
+    frontier, seen, rounds = cut(start.select(F.col("node").alias("at")).distinct()), None, 0
     while True:
         found = frontier.join(ways, "at").select("node", "open").distinct()
         found = cut(found if seen is None else found.join(seen.select("node"), "node", "left_anti"))
         if found.isEmpty():
             return (seen if seen is not None else found).select("node")
-        seen = found if seen is None else seen.unionByName(found)
+        rounds += 1
+        seen = _grown(seen, found, rounds)
         frontier = found.where("open").select(F.col("node").alias("at"))
 
 
