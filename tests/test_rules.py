@@ -170,3 +170,12 @@ def test_history_is_read_as_json_and_over_jdbc(spark, tmp_path):
     books.write.format("jdbc").options(url=url, dbtable="books", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
     (read,) = S.read_logbooks(spark, url, "jdbc", lazy=True, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert [tuple(r)[:2] for r in read.collect()] == [(1, "b")]
+
+
+def test_long_chains_of_a_graph(spark):
+    nodes = spark.createDataFrame([(i, "task", False) for i in range(36)], "node long, kind string, noop boolean")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(35)] + [(0, 35)], "src long, dst long")
+    assert rows(G.topological_levels(nodes, edges)) == sorted(((i, i) for i in range(36)), key=repr)
+    start = nodes.where("node = 5")
+    assert {r.node for r in G.reached(nodes, edges, start).collect()} == set(range(6, 36))
+    assert {(r.node, r.hops) for r in G.connected(nodes, edges, start, forward=True).collect()} == {(i, i - 5) for i in range(6, 36)}
