@@ -355,18 +355,69 @@ def _common(texts: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.nd
     return h[order], n[order]
 
 
-def _chains(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, p: int, q: int) -> DataFrame:
-    """(u, v): links that connect every two sets which can be similar, and some others.
+def bitmap(found: np.ndarray) -> bytes:
+    """A bit for each shingle, at its hash modulo a power of two that is twice the set's size or more, 64 at least."""
+    size = 1 << max(6, int(2 * len(found) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[found & (size - 1)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _half(bits: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows) of half the length, as their sets would have them."""
+    middle = bits.shape[1] // 2
+    return bits[:, :middle] | bits[:, middle:]
+
+
+def possible_links(sizes: np.ndarray, maps: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
+    """Spanning forest of all pairs of sets that may have a Jaccard similarity of p / q or more, by their bitmaps.
+
+    A bit that one set has and the other hasn't is a shingle that isn't shared, so what is shared is
+    bounded from above and no similar pair is missed. Of sets that differ so little in size the
+    bitmaps' lengths differ by a factor of two at most; the longer one is folded.
+    """
+    width = np.array([len(x) for x in maps])
+    held = {w: np.flatnonzero(width == w) for w in np.unique(width)}
+    place = np.empty(len(maps), np.int64)
+    for at in held.values():
+        place[at] = np.arange(len(at))
+    full = {w: np.stack([maps[i] for i in at]) for w, at in held.items()}
+    folded = {w: _half(x) for w, x in full.items() if w > 1}
+    alive, pairs = np.ones(len(maps), bool), []
+    for first in range(len(maps)):
+        if not alive[first]:
+            continue
+        alive[first], queue = False, [first]
+        while queue:
+            x = queue.pop()
+            w = width[x]
+            for other in (w // 2, w, 2 * w):
+                if other not in held or not len(rest := held[other][alive[held[other]]]):
+                    continue
+                own = full[w][place[x]] if other >= w else folded[w][place[x]]
+                theirs = (folded if other > w else full)[other][place[rest]]
+                own_only, their_only = np.bitwise_count(own & ~theirs).sum(1, dtype=np.int64), np.bitwise_count(theirs & ~own).sum(1, dtype=np.int64)
+                shared = np.minimum(sizes[x] - own_only, sizes[rest] - their_only)
+                near = rest[shared * (p + q) >= p * (sizes[x] + sizes[rest])]
+                alive[near] = False
+                pairs.extend((x, int(y)) for y in near)
+                queue.extend(int(y) for y in near)
+    return pairs
+
+
+def _possible(texts: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, p: int, q: int) -> DataFrame:
+    """(u, v): links that connect every two sets which can be similar, and few others.
 
     Similar sets share one of their rarest shingles (prefix filter, exact under any fixed
-    order) and differ little in size, so under each shingle the sets are chained by size.
+    order). Under each shingle the sets are compared by the bitmaps of nodes (node, n, bits), those of
+    a very common shingle in chunks, every two of which meet in a block of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = common
         seen: set[int] = set()
         for b in batches:
-            keys, nodes, sizes = [], [], []
+            keys, owners = [], []
             for t in raw(b.column(0)):
                 found = shingle_set(t, words)
                 node = _node(found)
@@ -379,15 +430,41 @@ def _chains(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int,
                     often = np.where(known[place] == found, counts[place], 0)
                 rare = found[np.lexsort((found, often))[: _prefix(len(found), p, q)]]
                 keys.append(rare)
-                nodes.append(np.full(len(rare), node))
-                sizes.append(np.full(len(rare), len(found), np.int32))
+                owners.append(np.full(len(rare), node))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], ["key", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners)], ["key", "node"])
+
+    index = texts.select("text").mapInArrow(run, "key long, node long")
+    several = index.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1").select("key", "node").distinct()
+    sizes = several.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("m")).where("m > 1")
+    dealt = several.join(sizes.select("key", "chunks"), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    dealt = dealt.select("key", "node", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "chunks").where("chunk <> other or chunks = 1")
+    dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node")
+    rows = dealt.join(nodes.select("node", "n", "bits"), "node").select("key", "a", "b", "node", "n", "bits")
+    rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, sizes, maps, u, v = None, [], [], [], [], []
+
+        def done() -> None:
+            for x, y in possible_links(np.array(sizes), maps, p, q) if len(ids) > 1 else ():
+                u.append(ids[x])
+                v.append(ids[y])
+
+        for batch in batches:
+            for key, i, j, node, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, i, j) != block:
+                    done()
+                    block, ids, sizes, maps = (key, i, j), [], [], []
+                ids.append(node)
+                sizes.append(n)
+                maps.append(np.frombuffer(bits, np.uint64))
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            u, v = [], []
+        done()
+        yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    index = texts.select("text").mapInArrow(run, "key long, node long, n int")
-    by_size = Window.partitionBy("key").orderBy("n", "node")
-    chained = index.select("node", "n", F.lag("node").over(by_size).alias("before"), F.lag("n").over(by_size).alias("m"))
-    return chained.where(f"node <> before and m * {q}L >= n * {p}L").select(F.col("before").alias("u"), F.col("node").alias("v"))
+    return rows.mapInArrow(compared, "u long, v long")
 
 
 def _similar(texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
@@ -431,11 +508,11 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     """(doc_id, text_hash, component_id, component_text): groups by exact shingle similarity.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is
-    0.8 or more; a group is what links connect. A prefix filter gives loose groups that
-    hold every such pair, and within a loose group the sets themselves are compared, so
-    nothing is missed or linked beyond the similarity but for collisions of 64-bit hashes.
-    The order of shingles by their counts in a sample decides how large loose groups get,
-    not what is linked. (component_id, component_text) names the least row of a group that
+    0.8 or more; a group is what links connect. A prefix filter and a bound from bitmaps give
+    loose groups that hold every such pair, and within a loose group the sets themselves are
+    compared, so nothing is missed or linked beyond the similarity but for collisions of
+    64-bit hashes. The order of shingles by their counts in a sample decides how many sets
+    are compared by their bitmaps, not what is linked. (component_id, component_text) names the least row of a group that
     has an id. Null and wordless texts form no group: each stays alone.
     """
     exact = Fraction(similarity).limit_denominator(1000)
@@ -445,10 +522,12 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t, words) for t in raw(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32())], ["doc_id", "text_hash", "node", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32()), pa.array([bitmap(f) if len(f) else None for f in found], pa.binary())], ["doc_id", "text_hash", "node", "n", "bits"])
 
-    rows = cut(texts.select("doc_id", "text_hash", "text").mapInArrow(numbered, "doc_id long, text_hash long, node long, n int"))
-    loose = connected_components(_chains(texts, _common(texts, rows.count(), words), words, p, q))
+    rows = cut(texts.select("doc_id", "text_hash", "text").mapInArrow(numbered, "doc_id long, text_hash long, node long, n int, bits binary"))
+    sets = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    rows = rows.drop("bits")
+    loose = connected_components(_possible(texts, sets, _common(texts, rows.count(), words), words, p, q))
     # one text for each set that may be similar to another one
     met = rows.join(loose, "node").groupBy("node", "root").agg(F.min(F.struct("text_hash", "doc_id")).alias("row"), F.first("n").alias("n"))
     volume = met.groupBy("root").agg(F.ceil(F.sum("n") / VOLUME).cast("int").alias("chunks"))
