@@ -1,7 +1,7 @@
 """DuckDB SQL with the same rows as the queries, where SQL can express them.
 
-None for op1 (no XXH64 with a seed), the learned op3, op7 and op9, and op10 (merge ranks of a
-vocabulary file): their tests compare with brute force, a library or held-out labels.
+None for op1 (no XXH64 with a seed), the learned op3, op7 and op9, and op10 and op13 (merge ranks
+of vocabulary files): their tests compare with brute force, a library or held-out labels.
 """
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -106,4 +106,26 @@ m AS (SELECT doc_id, h.item_id, h.a, h.hi - h.lo + 2 - h.size AS wn, h.n - h.siz
 SELECT doc_id, item_id, round(max(CAST(common AS DOUBLE) / (wn + inn - common)), 6) AS similarity FROM m GROUP BY 1, 2 HAVING max(CAST(common AS DOUBLE) / (wn + inn - common)) >= 0.8
 """
 
-ORACLES = {"op2_decontamination": OP2, "op4_substring": OP4, "op5_secrets": OP5, "op6_pii": OP6, "op8_topk": OP8}
+OP11 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.y), d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
+"""
+
+OP12 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, CAST(list_sum(list_transform(list_zip(a.x, c.x), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM p WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+neg AS (SELECT pos.*, p.vec_id AS negative_id, p.score AS negative_score, CAST(row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY p.score DESC, p.vec_id) AS INT) AS rank
+  FROM pos JOIN p ON p.anchor_id = pos.anchor_id AND NOT p.alike AND 100 * p.score BETWEEN 30 * positive_score AND 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
+
+ORACLES = {"op11_ngram_join": OP11, "op12_negatives": OP12, "op2_decontamination": OP2, "op4_substring": OP4, "op5_secrets": OP5, "op6_pii": OP6, "op8_topk": OP8}
