@@ -39,9 +39,9 @@ CASE WHEN {_failure} IS NOT NULL THEN {_failure} WHEN {_state} IN {_seen} THEN {
 @query("f9_last_results", _with("transitions") + "SELECT item, arg_max(seq, (ts, seq)) AS value FROM transitions WHERE state <> 'PENDING' GROUP BY item")
 def _(spark, d):
     rows = view(spark, d, "transitions").where("state <> 'PENDING'")
-    # a history's value is the last attempt's: the list is what the rule is asked about
-    lists = rows.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("ts", "seq"))).alias("h"))
-    return lists.select("item", H.last_results(F.transform("h", lambda s: F.struct(s["seq"].alias("value")))).alias("value"))
+    # a history's value is the last attempt's: no more than that is kept of it
+    last = rows.groupBy("item").agg(F.array(F.max_by(F.struct(F.col("seq").alias("value")), F.struct("ts", "seq"))).alias("h"))
+    return last.select("item", H.last_results(F.col("h")).alias("value"))
 
 
 @query("f10_log_levels", _with("transitions") + f"""SELECT item_type, state, value > 150 AS failed, CASE WHEN state IN ('FAILURE', 'REVERTED') OR (item_type = 'task' AND state IN ('RETRYING', 'REVERT_FAILURE')) OR (state IN {FINISHED} AND value > 150) THEN 'WARNING' ELSE 'DEBUG' END AS level, count(*) AS n FROM transitions GROUP BY ALL""")
@@ -95,7 +95,7 @@ def _(spark, d):
     stats = H.duration_percentiles(atoms)
     shares = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
     checks = [F.count_if(c) for p in shares for c in (F.col("duration") <= F.col(p), F.col("duration") < F.col(p))]
-    ranks = atoms.join(F.broadcast(stats.select("name", *shares)), "name").groupBy("name").agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)])
+    ranks = atoms.join(stats.select("name", *shares), "name").groupBy("name").agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)])
     near = [((F.col(f"c{2 * i}") >= (q - 0.001) * F.col("n")) & (F.col(f"c{2 * i + 1}") <= (q + 0.001) * F.col("n"))).alias(f"near{p[1:]}") for i, (p, q) in enumerate(shares.items())]
     return stats.join(ranks, "name").select("name", "n", "mean", "least", "most", *near)
 

@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """The modules that register further queries."""
-    for module in ("atoms", "links", "records"):
+    for module in ("atoms", "links", "records", "recovery"):
         importlib.import_module(f"flowsift.jobs.{module}")
 
 
@@ -459,7 +459,12 @@ def _(spark, d):
     return B.arbitrate_jobs(view(spark, d, "commands"))
 
 
-@query("r2_expire_requests", _with("requests") + "SELECT request, epoch_us(coalesce(stopped, now)) - epoch_us(created) > 172800000000 AS expired FROM (SELECT request, min(ts) FILTER (WHERE state IN ('WAITING', 'PENDING')) AS created, min(ts) FILTER (WHERE state IN ('RUNNING', 'SUCCESS', 'FAILURE')) AS stopped, max(ts) AS now FROM requests GROUP BY request) q WHERE created IS NOT NULL")
+# decided requests: stopped behind their opening, or waiting for too long at the table's last row
+_DECIDED_BY = """o AS (SELECT request, min((ts, seq)) AS created FROM requests WHERE state IN ('WAITING', 'PENDING') GROUP BY request), k AS (SELECT r.request, min(ts) AS stopped FROM requests r JOIN o ON o.request = r.request WHERE state IN ('RUNNING', 'SUCCESS', 'FAILURE') AND (ts, seq) > created GROUP BY r.request),
+q AS (SELECT o.request, stopped, epoch_us(coalesce(stopped, (SELECT max(ts) FROM requests))) - epoch_us(created[1]) > {timeout} AS expired FROM o LEFT JOIN k ON k.request = o.request) SELECT request, expired FROM q WHERE expired OR stopped IS NOT NULL"""
+
+
+@query("r2_expire_requests", _with("requests") + ", " + _DECIDED_BY.format(timeout=172800000000))
 def _(spark, d):
     return B.expire_requests(view(spark, d, "requests"), 172800)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graphs import cut
+from .graphs import cut, earlier_ranges
 from .history import micros
 from .states import PRIORITIES
 
@@ -25,12 +26,9 @@ def placed(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     and the sizes of the group's ranges before it, so a large group is many tasks' work.
     """
     ranges = cut(df.repartitionByRange(F.col(group).asc(), *order).withColumn("__part", F.spark_partition_id()))
-    sizes = ranges.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__of")).agg(F.count("*").alias("__held"))
-    before = F.sum("__held").over(Window.partitionBy("__group").orderBy("__of")) - F.col("__held")
-    sizes = F.broadcast(sizes.select("__group", "__of", before.alias("__before")))
     within = ranges.withColumn("__place", F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order)))
-    both = within.join(sizes, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__of")))
-    return both.select(*df.columns, (F.col("__before") + F.col("__place")).cast("int").alias("place"))
+    both = within.join(earlier_ranges(ranges, group, F.count("*")), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__of")), "left")
+    return both.select(*df.columns, (F.coalesce("__before", F.lit(0)) + F.col("__place")).cast("int").alias("place"))
 
 
 def board_order(jobs: DataFrame, mode: str = "contract") -> DataFrame:
@@ -46,14 +44,24 @@ def iter_jobs(jobs: DataFrame, only_unclaimed: bool = False) -> DataFrame:
     return board_order(jobs.where(F.col("state").isin(states)))
 
 
+#: Jobs of a board up to which the next ones are ranked in one task.
+KEPT = 10_000
+
+
 def claimable(jobs: DataFrame, most: int, in_flight: int = 0, max_dispatches: int | None = None) -> DataFrame:
     """The next unclaimed jobs of every board, `most - in_flight` of them; most <= 0 means no limit.
 
-    max_dispatches is a further limit: none or a negative one means no limit, 0 no job.
+    max_dispatches is a further limit: none or a negative one means no limit, 0 no job. With a limit a
+    task gives as many rows of a board at most before the shuffle (a ranking window with a
+    limit on the rank, which Spark ranks on both sides of it); up to KEPT rows a board are
+    ranked so, more of them are placed in ranges.
     """
-    ordered = iter_jobs(jobs, only_unclaimed=True)
     limits = ([max(0, most - in_flight)] if most > 0 else []) + ([max_dispatches] if max_dispatches is not None and max_dispatches >= 0 else [])
-    return ordered.where(F.col("place") <= min(limits)) if limits else ordered
+    if not limits or min(limits) > KEPT:
+        ordered = iter_jobs(jobs, only_unclaimed=True)
+        return ordered.where(F.col("place") <= min(limits)) if limits else ordered
+    first = Window.partitionBy("board").orderBy(priority_rank(F.col("priority")).desc(), F.asc("sequence"))
+    return jobs.where("state = 'UNCLAIMED'").withColumn("place", F.row_number().over(first)).where(F.col("place") <= min(limits))
 
 
 def dispatch_order(ready: DataFrame, group: str, pos: str) -> DataFrame:
@@ -135,35 +143,162 @@ class Board:
         return "OK"
 
 
-def _each_job(commands: DataFrame, told: str) -> DataFrame:
-    """One sorted stream of commands for each job; a task holds one job's Board at a time, however many commands it has.
+    def dump(self) -> str:
+        return json.dumps((self.there, self.trashed, self.owner, self.until, self.modified))
 
-    told: `results` for a row for each command, `board` for a row for each job.
+    @classmethod
+    def load(cls, text: str | None) -> Board:
+        board = cls()
+        if text is not None:
+            board.there, board.trashed, board.owner, board.until, board.modified = json.loads(text)
+        return board
+
+
+#: An owner that no command names, how a range without an owner is known; owners of a range whose first boards are tried each by itself.
+STRANGER, FREE, NAMED = "\0", "\1", 8
+
+
+def _dealt(commands: DataFrame) -> DataFrame:
+    """Commands in ranges of (job, at, seq), with the number of their range; `key` is the job as text, told apart from null."""
+    expiry = F.col("expiry_s").cast("double") if "expiry_s" in commands.columns else F.lit(None).cast("double")
+    key = F.coalesce(F.concat(F.lit("="), F.col("job").cast("string")), F.lit(""))
+    at = F.coalesce(micros(F.col("ts")), F.lit(0))
+    rows = commands.select(key.alias("key"), F.col("seq").cast("bigint").alias("seq"), at.alias("at"), "who", "command", expiry.alias("expiry_s"))
+    rows = rows.repartitionByRange("key", "at", "seq").sortWithinPartitions("key", "at", "seq")
+    return cut(rows.withColumn("part", F.spark_partition_id()))
+
+
+def _runs(batches: Iterator[pd.DataFrame], start: Callable[[int], str | None]) -> Iterator[tuple]:
+    """(key, board, batch's rows, results) for each stretch of one job in a batch; the first job of a range starts from start(part)."""
+    key, board = None, None
+    for b in batches:
+        part = int(b["part"].iloc[0]) if len(b) else 0
+        for k, rows in b.groupby("key", sort=False):
+            if board is None or k != key:
+                board, key = Board.load(start(part) if board is None else None), k
+            yield k, board, rows, [board.take(*c) for c in zip(rows["command"], rows["who"], rows["at"], rows["expiry_s"])]
+
+
+def _incoming(dealt: DataFrame) -> tuple[dict[int, str], set[int]]:
+    """For each range the board of its first job before it, where that job began in an earlier range; and the
+    ranges whose last job goes on.
+
+    A first pass tells how each range ends. One that holds a single job's commands ends by how it
+    begins, so it is run for a job that isn't there, one without an owner, one that a stranger owns and ones that
+    the first few workers own that it names; what the ranges before it say then predicts its begin. Ranges whose begin is only predicted are
+    run from there, all at once, and where one ends otherwise than predicted, those behind it are
+    predicted and run again. So each begin is one that a run has given, and usually one or two
+    passes are enough. A range gives one row.
     """
-    columns = [F.col("expiry_s").cast("double") if "expiry_s" in commands.columns else F.lit(None).cast("double").alias("expiry_s")]
-    rows = commands.select("job", F.col("seq").cast("bigint").alias("seq"), micros(F.col("ts")).alias("at"), "who", "command", *columns)
-    rows = rows.repartition("job").sortWithinPartitions("job", "at", "seq")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads, until, part = [], 0, None
+        tried = {"": Board(), FREE: Board(), STRANGER: Board()}  # by how the range begins
+        tried[FREE].there = tried[STRANGER].there = True
+        tried[STRANGER].owner = STRANGER
+        for b in batches:
+            part = int(b["part"].iloc[0]) if len(b) else part
+            for key, rows in b.groupby("key", sort=False):
+                if not heads or heads[-1] != key:
+                    tried = tried if not heads else {"": Board()}
+                    heads = [*heads[:1], key]
+                for c in zip(rows["command"], rows["who"], rows["at"], rows["expiry_s"]):
+                    if STRANGER in tried and tried[STRANGER].owner == STRANGER and c[1] not in tried and isinstance(c[1], str) and len(tried) < 3 + NAMED:
+                        tried[c[1]] = Board.load(tried[STRANGER].dump())  # until now the same
+                        tried[c[1]].owner = c[1]
+                    for board in {id(x): x for x in tried.values()}.values():
+                        board.take(*c)
+                same: dict[str, Board] = {}  # boards that have come to the same go on as one
+                tried = {how: same.setdefault(x.dump(), x) for how, x in tried.items()}
+                until = int(rows["at"].iloc[-1])
+        if heads:
+            yield pd.DataFrame([(part, heads[0], heads[-1], until, json.dumps({how: x.dump() for how, x in tried.items()}))], columns=["part", "head", "last", "until", "ends"])
+
+    found = sorted(map(tuple, dealt.mapInPandas(first, "part int, head string, last string, until bigint, ends string").collect()))
+    ran: dict[int, tuple[str, str]] = {}  # begin and end of ranges that were run
+    while True:
+        held, before, at, begins, goes_on, ask = None, None, Board().dump(), {}, set(), {}
+        for part, head, last, until, ends in found:
+            begin = at if head == held else Board().dump()
+            if head == held:
+                begins[part] = begin
+                goes_on.add(before)
+            ends = json.loads(ends)
+            if len(ends) == 1:
+                at = ends[""]
+            elif part in ran and ran[part][0] == begin:
+                at = ran[part][1]
+            elif begin == Board().dump():
+                at = ends[""]
+            else:
+                ask[part] = begin
+                at = _predicted(Board.load(begin), {how: Board.load(x) for how, x in ends.items()}, until)
+            held, before = last, part
+        if not ask:
+            return begins, goes_on
+        ran |= _ran(dealt, ask)
+
+
+def _predicted(begin: Board, ends: dict[str, Board], until: int) -> str:
+    """How a range of one job's commands probably ends."""
+    if begin.there and begin.owner is not None and (begin.until is None or begin.until > until):
+        end = ends.get(begin.owner, ends[STRANGER])
+        same = end.owner in (STRANGER, begin.owner)
+        end.owner, end.until = (begin.owner, begin.until if end.until is None else end.until) if same else (end.owner, end.until)
+    else:
+        end = ends[FREE if begin.there else ""]
+    end.modified = begin.modified if end.modified is None and end.there else end.modified
+    return end.dump()
+
+
+def _ran(dealt: DataFrame, begins: dict[int, str]) -> dict[int, tuple[str, str]]:
+    """(begin, end) of these ranges, which hold one job each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        job, board = None, None
+        part, board = None, None
         for b in batches:
-            results, boards = [], []
-            for j, seq, at, who, command, expiry in zip(b["job"], b["seq"], b["at"], b["who"], b["command"], b["expiry_s"]):
-                if board is None or j != job:
-                    if board is not None:
-                        boards.append((job, board.there, board.trashed, board.owner, board.until, board.modified))
-                    job, board = j, Board()
-                results.append((j, seq, board.take(command, who, at, expiry)))
-            yield pd.DataFrame(results, columns=["job", "seq", "result"]) if told == "results" else final(boards)
-        if told == "board" and board is not None:
-            yield final([(job, board.there, board.trashed, board.owner, board.until, board.modified)])
-
-    def final(boards: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(boards, columns=["job", "there", "trashed", "owner", "until", "modified"])
+            part = int(b["part"].iloc[0]) if len(b) else part
+            if part is not None and part not in begins:
+                return
+            board = board or Board.load(begins[part])
+            for c in zip(b["command"], b["who"], b["at"], b["expiry_s"]):
+                board.take(*c)
+        if board:
+            yield pd.DataFrame([(part, board.dump())], columns=["part", "end"])
+
+    return {part: (begins[part], end) for part, end in dealt.mapInPandas(run, "part int, end string").collect()}
+
+
+def _each_job(commands: DataFrame, told: str) -> DataFrame:
+    """Boards replayed in ranges; a task holds one job's Board at a time, however many commands it has.
+
+    told: `results` for a row for each command, `board` for a row for each job.
+    """
+    dealt = _dealt(commands)
+    begins, goes_on = _incoming(dealt)
+    key = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).cast(commands.schema["job"].dataType).alias("job")
+
+    def results(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, _, rows, out in _runs(batches, begins.get):
+            yield pd.DataFrame({"key": k, "seq": rows["seq"].to_numpy(), "result": out})
+
+    def boards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, part = None, None
+        for k, board, rows, _ in _runs(batches, begins.get):
+            part = int(rows["part"].iloc[0])
+            if held is not None and held[0] != k:
+                yield final(*held)
+            held = k, board
+        if held is not None and part not in goes_on:
+            yield final(*held)
+
+    def final(key: str, b: Board) -> pd.DataFrame:
+        out = pd.DataFrame([(key, b.there, b.trashed, b.owner, b.until, b.modified)], columns=["key", "there", "trashed", "owner", "until", "modified"])
         return out.astype({"until": "Int64", "modified": "Int64"})
 
-    kind = commands.schema["job"].dataType.simpleString()
-    return rows.mapInPandas(run, f"job {kind}, seq bigint, result string" if told == "results" else f"job {kind}, there boolean, trashed boolean, owner string, until bigint, modified bigint")
+    if told == "results":
+        return dealt.mapInPandas(results, "key string, seq bigint, result string").select(key, "seq", "result")
+    return dealt.mapInPandas(boards, "key string, there boolean, trashed boolean, owner string, until bigint, modified bigint").select(key, "there", "trashed", "owner", "until", "modified")
 
 
 def arbitrate_jobs(commands: DataFrame) -> DataFrame:
@@ -171,8 +306,9 @@ def arbitrate_jobs(commands: DataFrame) -> DataFrame:
 
     post, claim, extend, abandon, consume and trash. Claiming what isn't there or is owned, and
     acting on another's job, are errors and change nothing; a claim with an expiry lapses by
-    itself, and extend gives a claim in force a new one. A job's commands are read as one
-    sorted stream, by one task that holds nothing but the board's state.
+    itself, and extend gives a claim in force a new one. Commands are replayed in ranges of
+    (job, ts, seq), so one job with most of them is many tasks' work. A null job is a job, a null
+    ts counts as 1970.
     """
     return _each_job(commands, "results")
 
@@ -198,20 +334,46 @@ def worker_sessions(beats: DataFrame, expiry_s: float) -> DataFrame:
     return numbered.groupBy("topic", "session").agg(F.min("ts").alias("since"), F.max("ts").alias("last_seen"), F.count("*").alias("beats"))
 
 
-def worker_registry(beats: DataFrame) -> DataFrame:
-    """Identity numbers of a topic's workers: another task than before makes a new one."""
+def task_set(beats: DataFrame) -> Column:
+    """A beat's tasks as text in which neither order nor repeats count: those of the array `tasks`, or the one of `task`."""
+    return F.to_json(F.array_sort(F.array_distinct("tasks" if "tasks" in beats.columns else F.array("task"))))
+
+
+def worker_identities(beats: DataFrame) -> DataFrame:
+    """(seq, topic, identity) of each beat: another set of tasks than the topic's last one makes a new number, from 0."""
     w = Window.partitionBy("topic").orderBy("ts", "seq")
-    other = beats.withColumn("new", F.coalesce((F.col("task") != F.lag("task").over(w)).cast("int"), F.lit(0)))
-    numbered = other.withColumn("identity", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-    return numbered.groupBy("topic", "identity").agg(F.min_by("task", F.struct("ts", "seq")).alias("task"), F.max("ts").alias("last_seen"))
+    rows = beats.select("topic", "ts", "seq", task_set(beats).alias("set"))
+    fresh = F.coalesce(~F.col("set").eqNullSafe(F.lag("set").over(w)) & F.lag("seq").over(w).isNotNull(), F.lit(False))
+    rows = rows.withColumn("fresh", fresh.cast("int"))
+    return rows.select("seq", "topic", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias("identity"))
+
+
+def worker_registry(beats: DataFrame) -> DataFrame:
+    """(topic, identity, task or tasks, last_seen) of a topic's workers: another set of tasks than before makes a new one.
+
+    beats: (topic, ts, seq) with `tasks`, an array, or `task`, a set of one.
+    """
+    what = "tasks" if "tasks" in beats.columns else "task"
+    numbered = beats.join(worker_identities(beats), ["seq", "topic"])
+    return numbered.groupBy("topic", "identity").agg(F.min_by(what, F.struct("ts", "seq")).alias(what), F.max("ts").alias("last_seen"))
 
 
-def expire_requests(states: DataFrame, timeout_s: float) -> DataFrame:
-    """Requests that no stop state reached within timeout_s of their creation."""
+def expire_requests(states: DataFrame, timeout_s: float, as_of: Column | None = None) -> DataFrame:
+    """(request, expired) of the requests that are decided at as_of, which is the last ts of all by itself.
+
+    A request is opened by its first WAITING or PENDING row; what comes before that doesn't count. It
+    is decided by the first stop state behind it, or once timeout_s are over without one, and
+    has expired if it waited for longer than timeout_s.
+    """
     waiting, stop = F.col("state").isin("WAITING", "PENDING"), F.col("state").isin("RUNNING", "SUCCESS", "FAILURE")
-    by = states.groupBy("request").agg(F.min(F.when(waiting, F.col("ts"))).alias("created"), F.min(F.when(stop, F.col("ts"))).alias("stopped"), F.max("ts").alias("now"))
-    until = F.coalesce("stopped", "now")
-    return by.where("created IS NOT NULL").select("request", (micros(until) - micros(F.col("created")) > round(timeout_s * 1_000_000)).alias("expired"))
+    at = F.struct("ts", "seq")
+    opened = states.where(waiting).groupBy("request").agg(F.min(at).alias("created"))
+    stopped = states.where(stop).join(opened, "request").where(at > F.col("created")).groupBy("request").agg(F.min("ts").alias("stopped"))
+    by = opened.join(stopped, "request", "left")
+    now = states.agg(F.max("ts").alias("now")) if as_of is None else states.sparkSession.range(1).select(as_of.alias("now"))
+    by = by.join(F.broadcast(now), F.lit(True))  # a single row
+    late = micros(F.coalesce("stopped", "now")) - micros(F.col("created.ts")) > round(timeout_s * 1_000_000)
+    return by.select("request", late.alias("expired"), F.col("stopped").isNotNull().alias("__stopped")).where("expired OR __stopped").drop("__stopped")
 
 
 def match_workers(requests: DataFrame, workers: DataFrame) -> DataFrame:
@@ -238,8 +400,8 @@ def match_live_workers(requests: DataFrame, workers: DataFrame, as_of: Column, e
     return match_workers(requests, last.select("worker", F.explode("tasks").alias("task")))
 
 
-#: Listeners of '*' that are held in one row.
-LISTENERS = 1_000
+#: Listeners of '*' that are held in one row, and of such rows that are broadcast.
+LISTENERS, TOLD = 1_000, 100
 
 
 def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -253,14 +415,16 @@ def notify(events: DataFrame, subscriptions: DataFrame, wanted: Callable[[Column
 
     events: (seq, event_type, details), null details read as `{}`; subscriptions: (event_type,
     listener, pos). Listeners of '*' come first, each group in the order of pos. wanted: a
-    predicate of details and listener. Listeners of '*' meet the events as arrays of up to
-    LISTENERS, which are broadcast: as many bytes as these listeners have.
+    predicate of details and listener. Listeners of '*' meet the events as arrays of some
+    LISTENERS: up to TOLD of these are broadcast, more are joined by their numbers.
     """
     real = events.where("event_type <> '*'").withColumn("details", F.coalesce("details", F.lit("{}")))
     own = real.join(subscriptions.where("event_type <> '*'"), "event_type").select("seq", "event_type", "details", F.lit(1).alias("turn"), "pos", "listener")
-    every = subscriptions.where("event_type = '*'").groupBy(F.pmod(F.xxhash64("listener"), F.lit(1 << 20)).alias("__h")).agg(F.collect_list(F.struct("pos", "listener")).alias("__of"))
-    every = every.groupBy(F.floor(F.col("__h") / LISTENERS)).agg(F.flatten(F.collect_list("__of")).alias("__all")).select("__all")
-    stars = real.crossJoin(F.broadcast(every)).select("seq", "event_type", "details", F.lit(0).alias("turn"), F.inline("__all"))
+    all_ = subscriptions.where("event_type = '*'")
+    blocks = -(-all_.count() // LISTENERS) or 1
+    every = all_.groupBy(F.pmod(F.xxhash64("listener", "pos"), F.lit(blocks)).alias("__b")).agg(F.collect_list(F.struct("pos", "listener")).alias("__all"))
+    met = real.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__b", F.col("__b").cast("bigint"))
+    stars = met.join(F.broadcast(every) if blocks <= TOLD else every, "__b").select("seq", "event_type", "details", F.lit(0).alias("turn"), F.inline("__all"))
     told = stars.unionByName(own)
     told = told.where(F.coalesce(wanted(F.col("details"), F.col("listener")), F.lit(False))) if wanted else told
     order = Window.partitionBy("seq").orderBy("turn", "pos", "listener")

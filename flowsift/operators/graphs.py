@@ -25,6 +25,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one key that a task may join with the key's row.
+HOT = 100_000
+
+
+def join_hot(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with few (a row for each key), where one key may have a large share of all rows.
+
+    Keys of more than HOT rows are counted and broadcast, a row for every HOT rows at most. Their
+    rows are dealt by the hash of the column `by`; their rows in few are repeated for each share.
+    """
+    shares = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT).where(F.col(key).isNotNull())
+    shares = F.broadcast(shares.select(key, F.ceil(F.col("__n") / HOT).cast("int").alias("__shares")))
+    number = F.coalesce("__shares", F.lit(1))
+    dealt = rows.join(shares, key, "left").withColumn("__share", F.pmod(F.xxhash64(by), number).cast("int")).drop("__shares")
+    repeated = few.join(shares, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), number - 1))).drop("__shares")
+    return dealt.join(repeated, [key, "__share"], how).drop("__share")
+
+
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
@@ -88,9 +106,14 @@ def ancestors(edges: DataFrame, start: DataFrame, forward: bool = False) -> Data
         frontier = found.select("start", F.col("node").alias("at"))
 
 
+def _plain(edges: DataFrame) -> DataFrame:
+    """The nodes of edges, all of one kind, for walks over sets."""
+    return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("kind", F.lit("task"))
+
+
 def target_subgraph(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Edges among the targets and all their ancestors."""
-    inside = ancestors(edges, targets).select("node").unionByName(targets.select("node")).distinct()
+    inside = reached(_plain(edges), edges, targets, forward=False).unionByName(targets.select("node")).distinct()
     return edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
@@ -107,17 +130,29 @@ def ready_atoms(nodes: DataFrame, edges: DataFrame, states: DataFrame) -> DataFr
 
 def reset_subgraph(edges: DataFrame, states: DataFrame, starts: DataFrame, state: str = "PENDING", intention: str = "EXECUTE") -> DataFrame:
     """States with all descendants of the starts set; intention REVERT isn't changed to RETRY."""
-    below = ancestors(edges, starts, forward=True).select("node").distinct().withColumn("hit", F.lit(True))
+    below = reached(_plain(edges), edges, starts).join(starts.select("node"), "node", "left_anti").withColumn("hit", F.lit(True))
     kept = F.lit(intention == "RETRY") & (F.col("intention") == "REVERT")
     change = F.col("hit").isNotNull() & ~kept
     return states.join(below, "node", "left").select("node", F.when(change, state).otherwise(F.col("state")).alias("state"), F.when(change, intention).otherwise(F.col("intention")).alias("intention"))
 
 
+def _rounds(tree: DataFrame) -> int:
+    """Doubling rounds that are enough for a tree of so many nodes; after more of them there is a cycle."""
+    return tree.count().bit_length() + 1
+
+
+def _cycle(left: int) -> None:
+    if left < 0:
+        raise ValueError("the parents of some nodes make a cycle")
+
+
 def tree_paths(tree: DataFrame) -> DataFrame:
-    """(node, ancestor, distance): all ancestor pairs, by doubling: rounds go with the log of the depth."""
+    """(node, ancestor, distance): all ancestor pairs, by doubling: rounds go with the log of the depth. A cycle is an error."""
     pairs = cut(tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
-    reach = 1
+    reach, left = 1, _rounds(tree)
     while True:
+        left -= 1
+        _cycle(left)
         far = pairs.where(F.col("distance") == reach)
         more = far.select("node", F.col("ancestor").alias("via")).join(pairs.select(F.col("node").alias("via"), "ancestor", F.col("distance").alias("d")), "via")
         more = cut(more.select("node", "ancestor", (F.col("d") + reach).alias("distance")))
@@ -131,13 +166,19 @@ def climb(tree: DataFrame, own: Column, combine: Callable[[Column, Column], Colu
 
     Each round a node takes what the node it points to has gathered and points to where that
     one points, so rounds go with the log of the depth and a round has a row for each node.
-    combine(near, far) has to be associative and keep the type of `own`.
+    Nodes that are done aren't joined again, and rows that point to one node (in the last
+    rounds most of a tree's point to its root) are joined in shares. combine(near, far) has to
+    be associative and keep the type of `own`. Parents that make a cycle are an error.
     """
     state = cut(tree.select("node", F.col("parent").alias("ptr"), own.alias("c")))
-    while not state.where("ptr IS NOT NULL").isEmpty():
+    left = _rounds(state)
+    while not (open_ := state.where("ptr IS NOT NULL")).isEmpty():
+        left -= 1
+        _cycle(left)
         far = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("c").alias("far"))
-        met = state.join(far, "ptr", "left")
-        state = cut(met.select("node", F.col("next").alias("ptr"), F.when(F.col("far").isNull(), F.col("c")).otherwise(combine(F.col("c"), F.col("far"))).alias("c")))
+        met = join_hot(open_, far, "ptr", "node", "left")
+        met = met.select("node", F.col("next").alias("ptr"), F.when(F.col("far").isNull(), F.col("c")).otherwise(combine(F.col("c"), F.col("far"))).alias("c"))
+        state = cut(state.where("ptr IS NULL").unionByName(met))
     return state.select("node", "c")
 
 
@@ -148,18 +189,45 @@ def descendant_counts(tree: DataFrame) -> DataFrame:
     each node to one, and add what they have counted.
     """
     state = cut(tree.select("node", F.col("parent").alias("ptr"), F.lit(1).cast("bigint").alias("n")))
-    while not state.where("ptr IS NOT NULL").isEmpty():
-        below = state.where("ptr IS NOT NULL").groupBy(F.col("ptr").alias("node")).agg(F.sum("n").alias("more"))
+    left = _rounds(state)
+    while not (open_ := state.where("ptr IS NOT NULL")).isEmpty():
+        left -= 1
+        _cycle(left)
+        below = open_.groupBy(F.col("ptr").alias("node")).agg(F.sum("n").alias("more"))
         far = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
-        state = cut(state.join(below, "node", "left").join(far, "ptr", "left").select("node", F.col("next").alias("ptr"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        moved = join_hot(open_, far, "ptr", "node", "left").select("node", F.col("next").alias("ptr"), "n").unionByName(state.where("ptr IS NULL"))
+        state = cut(moved.join(below, "node", "left").select("node", "ptr", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
     return state.select("node", (F.col("n") - 1).alias("total"))
 
 
+def tree_to_graph(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with all their columns but the place in the tree, and edges (src, dst) from parents to children.
+
+    A parent that has no row of its own gets none: its edges are left out.
+    """
+    nodes = tree.drop("parent", "child_idx")
+    edges = tree.where("parent IS NOT NULL").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
+    return nodes, edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+
+
 def child_counts(tree: DataFrame) -> DataFrame:
     direct = tree.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("direct"))
     return descendant_counts(tree).join(direct, "node", "left").select("node", F.coalesce("direct", F.lit(0).cast("bigint")).alias("direct"), "total")
 
 
+def earlier_ranges(ranges: DataFrame, group: str, held: Column) -> DataFrame:
+    """(__group, __of, __before): what the group holds in the ranges before the range __of, for groups that go on in it.
+
+    ranges has the column __part. Rows are dealt by (group, order), so only its first group goes on in a
+    range: a row for a range at most, whatever the number of groups, which is small enough to broadcast.
+    """
+    first = ranges.groupBy("__part").agg(F.min(F.struct(F.col(group).alias("g"))).alias("f")).select(F.col("f.g").alias("__g")).distinct()
+    met = ranges.join(F.broadcast(first), F.col(group).eqNullSafe(F.col("__g")), "left_semi")
+    going = met.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__of")).agg(held.alias("__held"))
+    before = F.sum("__held").over(Window.partitionBy("__group").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(going.select("__group", "__of", before.alias("__before")).where("__before IS NOT NULL"))
+
+
 def running_sums(df: DataFrame, group: str, order: list[Column], value: str) -> DataFrame:
     """Adds `before`: the sum of `value` over the rows before a row within its group, 0 for the first.
 
@@ -167,12 +235,9 @@ def running_sums(df: DataFrame, group: str, order: list[Column], value: str) ->
     before it make one, so a large group is many tasks' work.
     """
     ranges = cut(df.repartitionByRange(F.col(group).asc(), *order).withColumn("__part", F.spark_partition_id()))
-    sums = ranges.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__of")).agg(F.sum(value).alias("__held"))
-    before = F.sum("__held").over(Window.partitionBy("__group").orderBy("__of")) - F.col("__held")
-    sums = F.broadcast(sums.select("__group", "__of", before.alias("__before")))
     within = ranges.withColumn("__within", F.sum(value).over(Window.partitionBy(group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value))
-    both = within.join(sums, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__of")))
-    return both.select(*df.columns, (F.col("__before") + F.col("__within")).alias("before"))
+    both = within.join(earlier_ranges(ranges, group, F.sum(value)), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__of")), "left")
+    return both.select(*df.columns, (F.coalesce("__before", F.lit(0)) + F.col("__within")).alias("before"))
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -184,7 +249,7 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def apply_skips(edges: DataFrame, skipped: DataFrame) -> DataFrame:
     """Nodes that become ignored when the skipped nodes take all descendants with them."""
-    return ancestors(edges, skipped, forward=True).select("node").unionByName(skipped.select("node")).distinct()
+    return reached(_plain(edges), edges, skipped).unionByName(skipped.select("node")).distinct()
 
 
 def tree_order(tree: DataFrame, how: str = "dfs", flipped: bool = False) -> DataFrame:

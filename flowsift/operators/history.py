@@ -106,7 +106,8 @@ def replay_states(df: DataFrame, kind: str, initial: str) -> DataFrame:
     states = sorted({s for pair in ALLOWED[kind] for s in pair} | {initial})
     moves, ignored = set(ALLOWED[kind]), set(FLOW_IGNORED) if kind == "flow" else set()
     lenient = kind in ("task", "retry")
-    dealt = df.select("item", "ts", "seq", "state").repartitionByRange("item", "ts", "seq").sortWithinPartitions("item", "ts", "seq")
+    key = F.coalesce(F.concat(F.lit("="), F.col("item").cast("string")), F.lit(""))  # text, so that a null item changes no other one
+    dealt = df.select(key.alias("item"), "ts", "seq", "state").repartitionByRange("item", "ts", "seq").sortWithinPartitions("item", "ts", "seq")
     dealt = cut(dealt.select("item", F.col("seq").cast("bigint").alias("seq"), "state", F.spark_partition_id().alias("part")))
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +120,7 @@ def replay_states(df: DataFrame, kind: str, initial: str) -> DataFrame:
                 for s, now in ends.items():
                     if (now, state) in moves:
                         ends[s] = state
-        yield pd.DataFrame([(part, n, str(item), json.dumps(ends)) for n, (item, ends) in enumerate(runs)], columns=["part", "run", "item", "ends"])
+        yield pd.DataFrame([(part, n, item, json.dumps(ends)) for n, (item, ends) in enumerate(runs)], columns=["part", "run", "item", "ends"])
 
     first, at, held = {}, initial, None
     found = dealt.select("item", "state", "part").mapInPandas(edges, "part int, run int, item string, ends string").collect()
@@ -142,8 +143,8 @@ def replay_states(df: DataFrame, kind: str, initial: str) -> DataFrame:
                 now = state if allowed else now
             yield pd.DataFrame(out, columns=["item", "seq", "old_state", "state", "verdict", "after"])
 
-    schema = f"item {df.schema['item'].dataType.simpleString()}, seq bigint, old_state string, state string, verdict string, after string"
-    return dealt.mapInPandas(replay, schema)
+    item = F.when(F.col("item") != "", F.substring("item", 2, 1 << 30)).cast(df.schema["item"].dataType)
+    return dealt.mapInPandas(replay, "item string, seq bigint, old_state string, state string, verdict string, after string").withColumn("item", item)
 
 
 def unique_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:

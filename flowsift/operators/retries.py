@@ -36,6 +36,12 @@ def retry_attempts(histories: DataFrame) -> DataFrame:
     return each.select("flow", (F.col("attempt") + 1).alias("attempt"), F.col("r.value").alias("value"), F.explode_outer("r.failures").alias("atom", "failure"))
 
 
+def outcomes(results: Column, attempt: int | None = None) -> Column:
+    """array<struct<key, value>> of the failed atoms and their failures of one attempt (from 1), or of all in order."""
+    some = results if attempt is None else F.slice(results, attempt, 1)
+    return F.flatten(F.transform(some, lambda r: F.map_entries(r["failures"])))
+
+
 def record_retry_failures(attempts: DataFrame, failures: DataFrame) -> DataFrame:
     """(item, attempt, failures map, problem): the failures of an item go to its last attempt.
 
@@ -67,11 +73,15 @@ def foreach_decision(values: Column, tried: Column, revert_all: bool = False) ->
     return F.struct(F.when(F.size(left) > 0, "RETRY").otherwise("REVERT_ALL" if revert_all else "REVERT").alias("decision"), F.get(left, F.lit(0)).alias("value"))
 
 
-def caused_by(results: Column, name: str, attempt: int | None = None) -> Column:
-    """Whether a failure of one attempt (from 1), or of any, has the type's name; false without failures."""
+def caused_by(results: Column, name: str, attempt: int | None = None, own: Column | None = None) -> Column:
+    """Whether a failure of one attempt (from 1), or of any, has the type's name; false without failures.
+
+    own: the retry's own failure, which counts as well if it is given.
+    """
     hit = lambda r: F.exists(F.map_values(r["failures"]), lambda f: f == name)
     some = F.exists(results, hit) if attempt is None else hit(F.get(results, F.lit(attempt - 1)))
-    return F.coalesce(some, F.lit(False))
+    some = F.coalesce(some, F.lit(False))
+    return some if own is None else some | F.coalesce(own == name, F.lit(False))
 
 
 def find_retry(pairs: DataFrame, retries: DataFrame) -> DataFrame:
@@ -146,9 +156,18 @@ def put_results(updates: DataFrame) -> DataFrame:
 
 
 def reset_atoms(atoms: DataFrame, state: str = "PENDING", injector: str | None = None) -> DataFrame:
-    """Results and failures cleared, state set, intention EXECUTE; the injector and atoms in that state stay as they are."""
+    """Results and failures cleared, state set, intention EXECUTE; the injector and atoms in that state stay as they are.
+
+    Of the columns failure, results, revert_failure and revert_results those that are there are cleared. A retry's
+    results, an array, become an empty one: rows whose `kind` is retry, or all where there is no such column.
+    """
     change = ~F.col("state").eqNullSafe(F.lit(state)) & ~F.col("name").eqNullSafe(F.lit(injector))
-    return atoms.withColumns({"failure": F.when(~change, F.col("failure")), "intention": F.when(change, "EXECUTE").otherwise(F.col("intention")), "state": F.when(change, state).otherwise(F.col("state"))})
+    cleared = {c: F.when(~change, F.col(c)) for c in ("failure", "results", "revert_failure", "revert_results") if c in atoms.columns}
+    if "results" in cleared and atoms.schema["results"].dataType.typeName() == "array":
+        kept = F.when(~change, F.col("results"))
+        retry = change & (F.coalesce(F.col("kind") == "retry", F.lit(False)) if "kind" in atoms.columns else F.lit(True))
+        cleared["results"] = F.when(retry, F.array().cast(atoms.schema["results"].dataType)).otherwise(kept)
+    return atoms.withColumns(cleared | {"intention": F.when(change, "EXECUTE").otherwise(F.col("intention")), "state": F.when(change, state).otherwise(F.col("state"))})
 
 
 def flatten_wrapped(failures: DataFrame) -> DataFrame:
