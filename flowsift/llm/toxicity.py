@@ -2,10 +2,12 @@
 
 Two words are compared by the gapped subsequences of three characters they share, each
 weighed down by the gap it spans, so that inserted or missing characters cost little; marks inside a word
-may also be left out. A sentence is compared with a landmark by its best matching word; the Nystroem map of these
-values is what the machine sees. Labels are of whole texts: every sentence of a clean text
+may also be left out, and a word counts by its beginnings too, since insults take endings. A sentence is compared with a
+landmark by its best matching word; the Nystroem map of these values is what the machine sees. Labels are of whole texts: every sentence of a clean text
 is a clean one, of a toxic text at least one is toxic, and the machine is fitted anew
-with the sentence that it finds most toxic until these no longer change.
+with the sentence that it finds most toxic until these no longer change. A text is judged by
+its most toxic sentence and by its three most toxic ones together: what one sentence has by
+chance, an abusive text has again and again.
 """
 
 from __future__ import annotations
@@ -13,19 +15,24 @@ from __future__ import annotations
 import itertools
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, fit_scale, fold
+from .common import bounded, fold, sigmoid
 
 #: Labelled rows learned from, of each label; sentences of one text among them; landmarks; words considered for these.
 TOXIC, CLEAN, SENTENCES, LANDMARKS, CONSIDERED = 3_000, 6_000, 16, 48, 400
-#: Longest span of a subsequence, weight of each step, longest word taken in one piece, longest sentence in words.
-SPAN, DECAY, UNIT, LONGEST = 7, 0.8, 24, 200
+#: Longest span of a subsequence, weight of each step, longest word taken in one piece, longest sentence in words, lengths of beginnings.
+SPAN, DECAY, UNIT, LONGEST, STEMS = 7, 0.8, 24, 12, (5, 7)
+#: Sentences of a text that are judged together.
+TOGETHER = 3
+#: Log-likelihood ratio from which a word is telling rather than one of very many that seem so by chance, and the share of the best
+#: word's that is enough where labels are few; texts that are off by more than RAMP don't count.
+TELLING, SHARE, RAMP = 10.0, 0.5, 1.8
 #: The kernel's power, a kernel itself: many slight matches don't add up to one good match.
 POWER = 3
 #: Words that a Python worker remembers; words whose kernel values are worked out at once.
@@ -51,6 +58,13 @@ def units(text: str | None) -> set[str]:
     return {w for s in sentences(text) for w in s}
 
 
+def pieces(word: str) -> list[str]:
+    """What a word is compared by: itself, itself without marks, and its beginnings."""
+    whole = word.strip(_edge)
+    plain = whole if whole.isalnum() else "".join(filter(str.isalnum, whole))
+    return list(dict.fromkeys([whole, plain, *(plain[:n] for n in STEMS if len(plain) > n)]))
+
+
 def _codes(words: list[str], n: int) -> np.ndarray:
     """Characters of words of one length as numbers under 64."""
     c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.int64)
@@ -134,50 +148,79 @@ def _portions(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[st
         yield owner, groups
 
 
+class Rows:
+    """Rows of values by name, in a matrix that grows."""
+
+    def __init__(self, width: int):
+        self.at: dict[str, int] = {}
+        self.values = np.zeros((0, width), np.float32)
+
+    def new(self, names: Iterable[str]) -> list[str]:
+        return [x for x in dict.fromkeys(names) if x not in self.at]
+
+    def add(self, names: list[str], values: np.ndarray) -> None:
+        n = len(self.at)
+        if n + len(names) > len(self.values):
+            more = np.zeros((max(n + len(names), 2 * n, 1024), self.values.shape[1]), np.float32)
+            more[:n] = self.values[:n]
+            self.values = more
+        self.values[n : n + len(names)] = values
+        self.at.update(zip(names, range(n, n + len(names))))
+
+    def __call__(self, names: list[str]) -> np.ndarray:
+        return self.values[np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))]
+
+
 class Model:
-    """Decision value of texts, and the scale that makes it a probability. Words are remembered."""
+    """Decision value of texts, and the scale that makes it a probability. Words and their pieces are remembered."""
 
-    def __init__(self, landmarks: list[str], v: np.ndarray, bias: float, scale: tuple[float, float]):
+    def __init__(self, landmarks: list[str], v: np.ndarray, bias: float, scale: tuple[float, float, float]):
         self.parts = (landmarks, v, bias, scale)
         self.kernel, self.v, self.bias, self.scale = Kernel(landmarks), v.astype(np.float32), bias, scale
-        self.row: dict[str, int] = {}
-        self.rows = np.zeros((0, len(landmarks)), np.float32)
-
-    def _learn(self, words: set[str]) -> None:
-        """Kernel values of these words with the landmarks, kept in rows."""
-        new = [w for w in words if w not in self.row]
-        if len(self.row) + len(new) > REMEMBERED:
-            self.row, new = {}, list(words)
-        if (need := len(self.row) + len(new)) > len(self.rows):
-            more = np.zeros((min(max(need, 2 * len(self.rows), AT_ONCE), max(need, REMEMBERED)), len(self.kernel.landmarks)), np.float32)
-            more[: len(self.row)] = self.rows[: len(self.row)]
-            self.rows = more
+        self.words, self.pieces = Rows(len(landmarks)), Rows(len(landmarks))
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """The best kernel values of these words' pieces with the landmarks."""
+        new = self.words.new(words)
+        if len(self.words.at) + len(new) > REMEMBERED:
+            self.words, self.pieces = Rows(len(self.v)), Rows(len(self.v))
+            new = list(dict.fromkeys(words))
         for i in range(0, len(new), AT_ONCE):
-            part, n = new[i : i + AT_ONCE], len(self.row)
-            whole = [w.strip(_edge) for w in part]
-            values = self.kernel(whole)
-            if marked := [k for k, w in enumerate(whole) if not w.isalnum()]:  # also without the marks inside
-                values[marked] = np.maximum(values[marked], self.kernel(["".join(filter(str.isalnum, whole[k])) for k in marked]))
-            self.rows[n : n + len(part)] = values
-            self.row.update(zip(part, range(n, n + len(part))))
+            part = new[i : i + AT_ONCE]
+            of = list(map(pieces, part))
+            flat = list(itertools.chain.from_iterable(of))
+            unknown = self.pieces.new(flat)
+            self.pieces.add(unknown, self.kernel(unknown))
+            self.words.add(part, np.maximum.reduceat(self.pieces(flat), np.cumsum([0, *map(len, of[:-1])]), axis=0))
 
     def pooled(self, groups: list[list[str]]) -> np.ndarray:
         """For each sentence its best match with every landmark."""
-        self._learn({w for g in groups for w in g})
-        at = np.fromiter((self.row[w] for g in groups for w in g), np.int64)
-        first = np.cumsum([0, *map(len, groups[:-1])])
-        return np.maximum.reduceat(self.rows[at], first, axis=0)
+        words = list(itertools.chain.from_iterable(groups))
+        self._learn(words)
+        return np.maximum.reduceat(self.words(words), np.cumsum([0, *map(len, groups[:-1])]), axis=0)
 
     def decide(self, texts: list[str | None]) -> np.ndarray:
-        """Greatest decision value of each text's sentences; that of nothing if it has none."""
-        top = np.full(len(texts), -np.inf)
+        """For each text how far its most toxic sentence, and its TOGETHER most toxic ones in sum, are above a sentence without any match."""
+        top = np.zeros((len(texts), TOGETHER))
         for owner, groups in _portions(texts):
-            np.maximum.at(top, owner, self.pooled(groups) @ self.v + self.bias)
-        return np.where(np.isfinite(top), top, self.bias)
+            raise_top(top, np.array(owner), self.pooled(groups) @ self.v)
+        return np.stack([top[:, -1], top.sum(1)], axis=1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        z = self.scale[0] * self.decide(texts) + self.scale[1]
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        a, b, c = self.scale
+        return sigmoid(self.decide(texts) @ np.array([a, b]) + c)
+
+
+def raise_top(top: np.ndarray, owner: np.ndarray, value: np.ndarray) -> None:
+    """Put values into the rows (ascending) of the greatest values of their owners."""
+    most = top.shape[1]
+    order = np.lexsort((-value, owner))
+    owner, value = owner[order], value[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)  # within the owner, the greatest first
+    keep = place < most
+    fresh = np.zeros_like(top)
+    fresh[owner[keep], place[keep]] = np.maximum(value[keep], 0)
+    top[:] = np.sort(np.concatenate([top, fresh], axis=1), axis=1)[:, -most:]
 
 
 # ---------------------------------------------------------------- learning
@@ -186,11 +229,27 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n: dict[str, list] = {}
         for y, t in zip(b.column("y").to_pylist(), b.column("text").to_pylist()):
-            for w in {x for w in units(t) if 3 <= len(x := w.strip(_edge)) <= UNIT}:
+            for w in {x for w in units(t) for x in pieces(w) if 3 <= len(x) <= UNIT}:
                 n.setdefault(w, [0, 0])[0 if y == 1 else 1] += 1
         yield pa.RecordBatch.from_pydict({"word": list(n), "bad": [x for x, _ in n.values()], "fine": [x for _, x in n.values()]}, pa.schema([("word", pa.string()), ("bad", pa.int64()), ("fine", pa.int64())]))
 
 
+def fit_two(x: np.ndarray, y: np.ndarray, steps: int = 80) -> tuple[float, float, float]:
+    """Logistic regression of a label on two values that speak for it, by Newton steps with a light penalty; neither weight is below zero."""
+    used = [0, 1]
+    while True:
+        z, b = np.c_[x[:, used], np.ones(len(x))], np.zeros(len(used) + 1)
+        for _ in range(steps):
+            p = sigmoid(z @ b)
+            move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(len(b)), z.T @ (y - p) - b)
+            b = b + move * min(1, 4 / max(1e-9, np.abs(move).max()))
+        if (b[:-1] >= 0).all():
+            break
+        used = [u for u, w in zip(used, b) if w >= 0]
+    weight = dict(zip(used, b))
+    return float(weight.get(0, 0)), float(weight.get(1, 0)), float(b[-1])
+
+
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 400, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss by accelerated gradient."""
     z, s = np.c_[x, np.ones(len(x))], np.where(y > 0, 1.0, -1.0)
@@ -218,18 +277,27 @@ def witnesses(bags: list[np.ndarray], y: np.ndarray, half: np.ndarray, rounds: i
     """Machine on sentences from labelled texts, each given by rows of its sentences' values.
 
     All sentences of clean texts against one of each toxic text: at first the one nearest
-    to any landmark, then the one that the machine finds most toxic.
+    to any landmark, then the one that the machine finds most toxic. Some labels are wrong, and
+    the squared hinge would follow the worst of them most, so it is cut off: from the second
+    round on, texts that are wrong by more than RAMP have no say until they are less so.
     """
-    clean = np.concatenate([b for b, t in zip(bags, y) if t == 0])
+    texts = [b for b, t in zip(bags, y) if t == 0]
+    clean, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), list(map(len, texts)))
     toxic = [b for b, t in zip(bags, y) if t == 1]
-    cost = np.r_[np.full(len(toxic), 0.5 / len(toxic)), np.full(len(clean), 0.5 / len(clean))]
     label = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    at = [int(b.max(1).argmax()) for b in toxic]
+    at, bad, fine = [int(b.max(1).argmax()) for b in toxic], np.ones(len(toxic), bool), np.ones(len(texts), bool)
     for _ in range(rounds):
         x = np.concatenate([np.stack([b[i] for b, i in zip(toxic, at)]), clean])
-        w, bias = svm(x @ half, label, cost)
+        kept = np.r_[bad, fine[owner]]
+        cost = np.r_[bad * 0.5 / max(1, bad.sum()), fine[owner] * 0.5 / max(1, fine[owner].sum())]
+        w, bias = svm(x[kept] @ half, label[kept], cost[kept])
         now = [int((b @ (half @ w)).argmax()) for b in toxic]
-        if now == at:
+        top = np.full(len(texts), -np.inf)
+        np.maximum.at(top, owner, clean @ (half @ w) + bias)
+        was, bad, fine = (bad, fine), np.array([b[i] @ (half @ w) + bias for b, i in zip(toxic, now)]) > 1 - RAMP, top < RAMP - 1
+        if not bad.any() or not fine.any():  # nothing is told apart
+            bad, fine = was
+        if now == at and (was[0] == bad).all() and (was[1] == fine).all():
             break
         at = now
     return half @ w, bias
@@ -238,9 +306,9 @@ def witnesses(bags: list[np.ndarray], y: np.ndarray, half: np.ndarray, rounds: i
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Learns outside the held-out fold (crc32 of the id modulo 5 is 0); None without both labels.
 
-    Landmarks are the words that most tell toxic from clean texts, far from each other,
-    with some common words. The machine learns on sentences of at most TOXIC and CLEAN
-    labelled texts, of each the SENTENCES nearest to a landmark; the scale on whole texts.
+    Landmarks are the words and beginnings that tell toxic from clean texts beyond chance, the best first and
+    far from each other. The machine learns on sentences of at most TOXIC and CLEAN
+    labelled texts, of each the SENTENCES nearest to a telling word; the scale on whole texts.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y"))
     known = known.where((fold(F.col("doc_id"), 5) != 0) & F.col("y").isin(0, 1))
@@ -254,15 +322,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         both, all_ = F.col("bad") + F.col("fine"), sizes[0] + sizes[1]
         part = lambda c, y: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * all_ / (both * sizes[y]))).otherwise(0.0)
         telling = words.where(F.col("bad") * sizes[0] > F.col("fine") * sizes[1]).withColumn("ratio", part("bad", 1) + part("fine", 0))
-        telling = [r["word"] for r in telling.orderBy(F.desc("ratio"), "word").limit(CONSIDERED).collect()]
-        common = [r["word"] for r in words.orderBy(F.desc("fine"), "word").limit(LANDMARKS // 4).collect()]
-        landmarks = list(dict.fromkeys(_far_apart(telling, LANDMARKS * 3 // 4) + common))
-        if not landmarks:
+        telling = telling.orderBy(F.desc("ratio"), "word").limit(CONSIDERED).collect()
+        telling = [r["word"] for r in telling if r["ratio"] >= min(TELLING, SHARE * telling[0]["ratio"])]
+        if not telling:
             return None
+        landmarks = _far_apart(telling, LANDMARKS)
         gram = Kernel(landmarks)(landmarks).astype(float)
         val, vec = np.linalg.eigh((gram + gram.T) / 2)
         half = vec @ np.diag(1 / np.sqrt(np.maximum(val, 0.05))) @ vec.T
-        key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((landmarks, np.zeros(len(landmarks)), 0.0, (1.0, 0.0)))
+        key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((landmarks, np.zeros(len(landmarks)), 0.0, (1.0, 0.0, 0.0)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _kept(key, shared.value)
@@ -280,8 +348,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     y = got.column("y").to_numpy()
     bags = [np.frombuffer(b.as_py(), np.float32).reshape(-1, len(landmarks)) for b in got.column("bag")]
     v, bias = witnesses(bags, y, half)
-    a, b = fit_scale(np.array([(x @ v).max() + bias for x in bags]) * 4, y)
-    return Model(landmarks, v, bias, (4 * a, b))
+    top = np.zeros((len(bags), TOGETHER))
+    for i, x in enumerate(bags):
+        raise_top(top, np.full(len(x), i), x @ v)
+    return Model(landmarks, v, bias, fit_two(np.stack([top[:, -1], top.sum(1)], axis=1), y))
 
 
 _models: dict[str, Model] = {}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowsift.llm import alignment, negatives, ngrams
+from flowsift.llm import alignment, negatives, ngrams, toxicity
 from flowsift.llm.registry import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, n long, row long, keys string, root long, band int, groups string"
@@ -234,3 +234,50 @@ def test_a_vocabulary_that_does_not_follow_its_merges(tmp_path):
     path.write_text(json.dumps(spec), encoding="utf-8")
     own = alignment.Aligner(str(path), B)
     assert own.tokens("some text, that is there")[0][0].tolist() and own.a.encode.__qualname__.startswith("ByteLevel")
+
+
+# ---------------------------------------------------------------- subsequence kernel
+def gapped(a, b):
+    """All common subsequences of three characters within SPAN, each weighed by its gaps in either word."""
+    import itertools
+
+    def of(w):
+        out = defaultdict(float)
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i < toxicity.SPAN:
+                out[toxicity._codes([w], len(w))[0][[i, j, k]].tobytes()] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    # a subsequence that occurs twice in a word counts by each occurrence
+    norm = lambda w: sum(toxicity.DECAY ** (2 * (k - i - 2)) for i, j, k in itertools.combinations(range(len(w)), 3) if k - i < toxicity.SPAN) ** 0.5
+    x, y = of(a), of(b)
+    return (sum(v * y[c] for c, v in x.items()) / (norm(a) * norm(b))) ** toxicity.POWER if len(a) > 2 and len(b) > 2 else 0.0
+
+
+def test_kernel_against_all_subsequences():
+    rng = random.Random(4)
+    words_ = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 13))) for _ in range(60)] + ["idiot", "idxiot", "i", "ab"]
+    marks = ["idiot", "stupid", "abcabc", "deé"]
+    got = toxicity.Kernel(marks)(words_)
+    assert np.allclose(got, [[gapped(w, m) for m in marks] for w in words_], atol=1e-4)
+
+
+def test_values_of_a_word_are_those_of_its_best_piece():
+    model = toxicity.Model(["idiot", "stupid"], np.ones(2), 0.0, (1.0, 0.0, 0.0))
+    kernel = toxicity.Kernel(["idiot", "stupid"])
+    for w in ("idiotically", "(idiot!)", "i-d-i-o-t", "stupidity", "house"):
+        assert np.allclose(model.pooled([[w]])[0], np.max([kernel([p])[0] for p in toxicity.pieces(w)], axis=0))
+    texts = ["you idiot. and you stupid one. nothing here at all. idiots all", "", None, "fine"]
+    naive = []
+    for t in texts:
+        values = sorted([max(0.0, float(model.pooled([g])[0].sum())) for g in toxicity.sentences(t)] + [0.0] * 3)[-3:]
+        naive.append((values[-1], sum(values)))
+    assert np.allclose(model.decide(texts), naive, atol=1e-5)
+
+
+def test_greatest_values_by_owner():
+    rng = np.random.default_rng(8)
+    top, owner, value = np.zeros((5, 3)), rng.integers(0, 5, 200), rng.normal(size=200)
+    for part in np.split(np.arange(200), 7 * np.arange(1, 20)):
+        toxicity.raise_top(top, owner[part], value[part])
+    assert np.allclose(top, [np.sort(np.maximum(value[owner == o], 0))[-3:] for o in range(5)])
