@@ -199,16 +199,20 @@ class Model:
         self._learn(words)
         return np.maximum.reduceat(self.words(words), np.cumsum([0, *map(len, groups[:-1])]), axis=0)
 
-    def decide(self, texts: list[str | None]) -> np.ndarray:
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
         """For each text how far its most toxic sentence, and its TOGETHER most toxic ones in sum, are above a sentence without any match."""
         top = np.zeros((len(texts), TOGETHER))
         for owner, groups in _portions(texts):
             raise_top(top, np.array(owner), self.pooled(groups) @ self.v)
         return np.stack([top[:, -1], top.sum(1)], axis=1)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def decide(self, texts: list[str | None]) -> np.ndarray:
+        """Decision value of each text, above zero for toxic ones."""
         a, b, c = self.scale
-        return sigmoid(self.decide(texts) @ np.array([a, b]) + c)
+        return self.evidence(texts) @ np.array([a, b]) + c
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        return sigmoid(self.decide(texts))
 
 
 def raise_top(top: np.ndarray, owner: np.ndarray, value: np.ndarray) -> None:

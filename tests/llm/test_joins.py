@@ -272,7 +272,7 @@ def test_values_of_a_word_are_those_of_its_best_piece():
     for t in texts:
         values = sorted([max(0.0, float(model.pooled([g])[0].sum())) for g in toxicity.sentences(t)] + [0.0] * 3)[-3:]
         naive.append((values[-1], sum(values)))
-    assert np.allclose(model.decide(texts), naive, atol=1e-5)
+    assert np.allclose(model.evidence(texts), naive, atol=1e-5)
 
 
 def test_greatest_values_by_owner():
