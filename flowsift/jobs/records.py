@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from flowsift.functions import scalars as X
-from flowsift.jobs.registry import _DUR, _PATHS, FINISHED, _with, oracle_sql_of, query
+from flowsift.jobs.links import _COMMANDS
+from flowsift.jobs.registry import _DECIDED_BY, _DUR, _PATHS, FINISHED, _with, oracle_sql_of, query
 from flowsift.operators import boards as B
 from flowsift.operators import graphs as G
 from flowsift.operators import records as R
@@ -233,23 +236,39 @@ def _(spark, d):
 # ---------------------------------------------------------------- streams
 @query("r1_stream_arbitration", oracle_sql_of("r1_arbitrate_jobs"))
 def _(spark, d):
-    return J.drain(J.stream_arbitration(J.stream_view(spark, d, "commands")))
+    return J.drain_in_order(J.stream_view(spark, d, "commands"), J.stream_arbitration)
 
 
 @query("r5_stream_durations", _with("transitions") + ", " + _DUR + " SELECT * FROM d")
 def _(spark, d):
-    return J.drain(J.stream_durations(J.stream_view(spark, d, "transitions")))
+    return J.drain_in_order(J.stream_view(spark, d, "transitions"), J.stream_durations)
 
 
 @query("r6_stream_states", oracle_sql_of("w6_replay_flow"))
 def _(spark, d):
-    return J.drain(J.stream_states(J.stream_view(spark, d, "transitions"), "flow"))
+    return J.drain_in_order(J.stream_view(spark, d, "transitions"), lambda rows: J.stream_states(rows, "flow"))
 
 
-@query("r2_stream_expiry", _with("requests") + """, q AS (SELECT request, min(ts) FILTER (WHERE state IN ('WAITING', 'PENDING')) AS created, min(ts) FILTER (WHERE state IN ('RUNNING', 'SUCCESS', 'FAILURE')) AS stopped FROM requests GROUP BY request)
-SELECT request, stopped IS NULL OR epoch_us(stopped) - epoch_us(created) > 7200000000 AS expired FROM q WHERE created IS NOT NULL AND (stopped IS NULL OR stopped > created)""")
+@query("r2_stream_expiry", _with("requests") + ", " + _DECIDED_BY.format(timeout=7200000000))
 def _(spark, d):
-    return J.drain(J.stream_expiry(J.stream_view(spark, d, "requests"), 7200.0))
+    last = view(spark, d, "requests").agg(F.max("ts").cast("timestamp_ntz")).first()[0]
+    until = (last or datetime(2000, 1, 1)) + timedelta(milliseconds=1)  # watermarks are whole milliseconds
+    return J.drain_in_order(J.stream_view(spark, d, "requests"), lambda rows: J.stream_expiry(rows, 7200.0), until)
+
+
+@query("r1_stream_board_results", oracle_sql_of("r1_board_results"))
+def _(spark, d):
+    return _streamed_board(spark, d).where("seq IS NOT NULL").select("job", "seq", "result")
+
+
+@query("r1_stream_final_board", oracle_sql_of("r1_final_board"))
+def _(spark, d):
+    return J.last_board(_streamed_board(spark, d), F.lit("2024-01-30 12:00:00").cast("timestamp"))
+
+
+def _streamed_board(spark, d):
+    commands = spark.sql(_COMMANDS, commands=J.stream_view(spark, d, "commands"))
+    return J.drain_in_order(commands, lambda rows: J.stream_board(rows, "1 hour"))
 
 
 @query("r3_stream_sessions", _with("beats") + """, g AS (SELECT topic, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 21600000000 THEN 1 ELSE 0 END AS fresh FROM beats WINDOW w AS (PARTITION BY topic ORDER BY ts)),
@@ -264,12 +283,12 @@ SELECT seq, topic, CAST(sum(fresh) OVER (PARTITION BY topic ORDER BY ts, seq) AS
 def _(spark, d):
     task = F.col("task")
     tasks = F.when(task == "view", F.array(F.lit("view"), F.lit("click"))).when(task == "click", F.array(F.lit("click"), F.lit("view"), F.lit("click"))).otherwise(F.array(task))
-    return J.drain(J.stream_registry(J.stream_view(spark, d, "beats").withColumn("tasks", tasks)))
+    return J.drain_in_order(J.stream_view(spark, d, "beats"), lambda rows: J.stream_registry(rows.withColumn("tasks", tasks)))
 
 
 @query("r7_stream_responses", oracle_sql_of("r7_match_responses"))
 def _(spark, d):
-    return J.drain(J.stream_responses(J.stream_view(spark, d, "requests")))
+    return J.drain_in_order(J.stream_view(spark, d, "requests"), J.stream_responses)
 
 
 # the windows that the watermark has passed

@@ -21,6 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared(spark)}/{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that isn't needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_history(books: DataFrame, flows: DataFrame, atoms: DataFrame, path: str, buckets: int = 16, spread: int = 4) -> None:
     """Three Parquet tables; atoms by a hash bucket of their flow, a bucket in up to `spread` files by the hash of the atom."""
     books.write.mode("overwrite").parquet(f"{path}/books")
