@@ -35,6 +35,8 @@ TOGETHER = 3
 TELLING, SHARE, RAMP = 10.0, 0.5, 1.8
 #: The kernel's power, a kernel itself: many slight matches don't add up to one good match.
 POWER = 3
+#: Kernel values below this count as none.
+LEAST = 0.005
 #: Words that a Python worker remembers; words whose kernel values are worked out at once.
 REMEMBERED, AT_ONCE = 300_000, 20_000
 
@@ -62,7 +64,8 @@ def pieces(word: str) -> list[str]:
     """What a word is compared by: itself, itself without marks, and its beginnings."""
     whole = word.strip(_edge)
     plain = whole if whole.isalnum() else "".join(filter(str.isalnum, whole))
-    return list(dict.fromkeys([whole, plain, *(plain[:n] for n in STEMS if len(plain) > n)]))
+    found = [plain, *[plain[:n] for n in STEMS if n < len(plain)]]
+    return found if plain == whole else [whole, *found]
 
 
 def _codes(words: list[str], n: int) -> np.ndarray:
@@ -130,7 +133,9 @@ class Kernel:
                 out[at] = np.maximum(out[at], values)
             else:
                 np.maximum.at(out, at, values)
-        return out**POWER
+        out **= POWER
+        out[out < LEAST] = 0
+        return out
 
 
 def _portions(texts: list[str | None]) -> Iterator[tuple[list[int], list[list[str]]]]:
@@ -154,21 +159,27 @@ class Rows:
     def __init__(self, width: int):
         self.at: dict[str, int] = {}
         self.values = np.zeros((0, width), np.float32)
+        self.some = np.zeros(0, bool)  # rows that aren't all zero
 
     def new(self, names: Iterable[str]) -> list[str]:
-        return [x for x in dict.fromkeys(names) if x not in self.at]
+        return list(set(names).difference(self.at))
 
     def add(self, names: list[str], values: np.ndarray) -> None:
         n = len(self.at)
         if n + len(names) > len(self.values):
-            more = np.zeros((max(n + len(names), 2 * n, 1024), self.values.shape[1]), np.float32)
+            more, some = np.zeros((max(n + len(names), 2 * n, 1024), self.values.shape[1]), np.float32), self.some
             more[:n] = self.values[:n]
-            self.values = more
+            self.values, self.some = more, np.zeros(len(more), bool)
+            self.some[:n] = some[:n]
         self.values[n : n + len(names)] = values
+        self.some[n : n + len(names)] = values.any(1)
         self.at.update(zip(names, range(n, n + len(names))))
 
+    def places(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+
     def __call__(self, names: list[str]) -> np.ndarray:
-        return self.values[np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))]
+        return self.values[self.places(names)]
 
 
 class Model:
@@ -184,7 +195,7 @@ class Model:
         new = self.words.new(words)
         if len(self.words.at) + len(new) > REMEMBERED:
             self.words, self.pieces = Rows(len(self.v)), Rows(len(self.v))
-            new = list(dict.fromkeys(words))
+            new = list(set(words))
         for i in range(0, len(new), AT_ONCE):
             part = new[i : i + AT_ONCE]
             of = list(map(pieces, part))
@@ -197,7 +208,13 @@ class Model:
         """For each sentence its best match with every landmark."""
         words = list(itertools.chain.from_iterable(groups))
         self._learn(words)
-        return np.maximum.reduceat(self.words(words), np.cumsum([0, *map(len, groups[:-1])]), axis=0)
+        at, out = self.words.places(words), np.zeros((len(groups), len(self.v)), np.float32)
+        hit = np.flatnonzero(self.words.some[at])  # most words match nothing
+        if len(hit):
+            owner = np.repeat(np.arange(len(groups)), list(map(len, groups)))[hit]
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            out[owner[first]] = np.maximum.reduceat(self.words.values[at[hit]], first, axis=0)
+        return out
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
         """For each text how far its most toxic sentence, and its TOGETHER most toxic ones in sum, are above a sentence without any match."""

@@ -251,7 +251,8 @@ def gapped(a, b):
     # a subsequence that occurs twice in a word counts by each occurrence
     norm = lambda w: sum(toxicity.DECAY ** (2 * (k - i - 2)) for i, j, k in itertools.combinations(range(len(w)), 3) if k - i < toxicity.SPAN) ** 0.5
     x, y = of(a), of(b)
-    return (sum(v * y[c] for c, v in x.items()) / (norm(a) * norm(b))) ** toxicity.POWER if len(a) > 2 and len(b) > 2 else 0.0
+    value = (sum(v * y[c] for c, v in x.items()) / (norm(a) * norm(b))) ** toxicity.POWER if len(a) > 2 and len(b) > 2 else 0.0
+    return value if value >= toxicity.LEAST else 0.0
 
 
 def test_kernel_against_all_subsequences():
