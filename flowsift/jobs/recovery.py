@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsift.jobs.registry import _with, query
+from flowsift.jobs.links import _symbols
+from flowsift.jobs.registry import _with, oracle_sql_of, query
 from flowsift.operators import boards as B
+from flowsift.operators import books as K
+from flowsift.operators import folds as L
 from flowsift.operators import graphs as G
 from flowsift.operators import recovery as R
 from flowsift.operators import retries as T
+from flowsift.sources.history import shared_folder
+from flowsift.sources.store import HistoryStore
 from flowsift.sources.views import view
 
 # a flow's atoms in line; the first and the third may be retries, each around all that follows
@@ -113,3 +118,65 @@ def _(spark, d):
     nodes, edges = G.tree_to_graph(view(spark, d, "tree").join(view(spark, d, "nodes"), "node"))
     children = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("children"))
     return nodes.join(children, "node", "left").select("node", "kind", "priority", F.coalesce("children", F.lit(0).cast("bigint")).alias("children"))
+
+
+@query("j5_unsatisfied_on_demand", oracle_sql_of("j5_unsatisfied_requires"))
+def _(spark, d):
+    provides, requires, retry = _symbols(spark, d)
+    return K.unsatisfied_on_demand(view(spark, d, "gedges"), provides, requires, retry)
+
+
+# ---------------------------------------------------------------- stored tables that are rewritten in parts
+@query("j2_stored_flows", oracle_sql_of("j2_merge_flows"))
+def _(spark, d):
+    """Two arrivals of rows are merged into stored flows; the rejected ones are told."""
+    parent = F.when(F.col("job") % 4 == 3, F.lit(-1).cast("bigint")).otherwise(F.col("book"))
+    incoming = view(spark, d, "jobs").select((F.col("job") + 100).alias("uuid"), parent.alias("parent_uuid"), F.col("priority").alias("meta"), "state", "sequence")
+    store, books = HistoryStore(spark, shared_folder(spark)), view(spark, d, "books")
+    store.create("flows", view(spark, d, "flows"), "uuid")
+    columns, told = ["uuid", "parent_uuid", "meta", "state"], None
+    for late in (False, True):
+        rejected = store.merge("flows", incoming.where((F.col("sequence") % 2 == 1) == late), "flow", "sequence", books).select(*columns, "problem")
+        told = rejected if told is None else told.unionByName(rejected)
+    return store.read("flows").select(*columns, F.lit(None).cast("string").alias("problem")).unionByName(told)
+
+
+# flows that hold a failure start anew: their atoms are reset in the stored table
+@query("d5_stored_resets", _with("atoms") + """, f AS (SELECT DISTINCT flow FROM atoms WHERE failure = 'IOError') SELECT a.flow, CAST(pos AS BIGINT) AS pos, CASE WHEN f.flow IS NULL OR state = 'PENDING' THEN state ELSE 'PENDING' END AS state,
+CASE WHEN f.flow IS NULL OR state = 'PENDING' THEN intention ELSE 'EXECUTE' END AS intention, CASE WHEN f.flow IS NULL OR state = 'PENDING' THEN failure END AS failure FROM atoms a LEFT JOIN f ON f.flow = a.flow""")
+def _(spark, d):
+    store = HistoryStore(spark, shared_folder(spark))
+    store.create("atoms", view(spark, d, "atoms").select("flow", F.col("pos").cast("bigint").alias("pos"), "name", "state", "intention", "failure"), "flow")
+    failed = store.read("atoms").where("failure = 'IOError'").select("flow").distinct()
+    store.rewrite("atoms", failed, lambda rows: T.reset_atoms(rows))
+    return store.read("atoms").select("flow", "pos", "state", "intention", "failure")
+
+
+# ---------------------------------------------------------------- folds and sketches of large groups
+@query("p3_fold_in_order", _with("transitions") + "SELECT item_type, count(*) AS n, string_agg(substr(state, 1, 1), '' ORDER BY ts, seq) AS states, sum(seq) AS total FROM transitions GROUP BY item_type")
+def _(spark, d):
+    rows = view(spark, d, "transitions").select("item_type", "ts", "seq", F.struct(F.lit(1).cast("bigint").alias("n"), F.substring("state", 1, 1).alias("states"), F.col("seq").alias("total")).alias("v"))
+    both = lambda x, y: F.struct((x["n"] + y["n"]).alias("n"), F.concat(x["states"], y["states"]).alias("states"), (x["total"] + y["total"]).alias("total"))
+    return L.fold_in_order(rows, "item_type", ["ts", "seq"], "v", both, 64).select("item_type", "v.n", "v.states", "v.total")
+
+
+# days are summed up to months from their sketches alone; estimates are right if they are within the sketches' error
+@query("a6_rolled_up_months", _with("atoms") + "SELECT failure, CAST(date_trunc('month', updated_at) AS TIMESTAMP) AS bucket, count(*) AS n, count(DISTINCT flow) AS flows, TRUE AS near FROM atoms WHERE failure IS NOT NULL GROUP BY ALL")
+def _(spark, d):
+    atoms = view(spark, d, "atoms").where("failure IS NOT NULL")
+    days = L.sketches(atoms, ["failure"], "day", "updated_at", distinct="flow")
+    months = L.rolled_up(days, ["failure"], "month")
+    exact = atoms.groupBy("failure", F.date_trunc("month", "updated_at").alias("bucket")).agg(F.countDistinct("flow").alias("flows"))
+    near = F.abs(F.col("about") - F.col("flows")) <= F.greatest(F.lit(2), 0.1 * F.col("flows"))
+    return months.join(exact, ["failure", "bucket"]).select("failure", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", "flows", near.alias("near"))
+
+
+@query("a7_rolled_up_percentiles", _with("atoms") + "SELECT name, count(*) AS n, TRUE AS near50, TRUE AS near90 FROM atoms GROUP BY name")
+def _(spark, d):
+    atoms = view(spark, d, "atoms").select("name", "updated_at", "duration")
+    days = L.sketches(atoms, ["name"], "month", "updated_at", values="duration")
+    total = L.rolled_up(days, ["name"], None, shares=(0.5, 0.9))
+    checks = [F.count_if(c) for p in ("p50", "p90") for c in (F.col("duration") <= F.col(p), F.col("duration") < F.col(p))]
+    ranks = atoms.join(total.select("name", "p50", "p90"), "name").groupBy("name").agg(*[c.alias(f"c{i}") for i, c in enumerate(checks)])
+    near = [((F.col(f"c{2 * i}") >= (q - 0.04) * F.col("n")) & (F.col(f"c{2 * i + 1}") <= (q + 0.04) * F.col("n"))).alias(f"near{round(100 * q)}") for i, q in enumerate((0.5, 0.9))]
+    return total.join(ranks, "name").select("name", "n", *near)

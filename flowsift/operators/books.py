@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import _grown, cut
 
 def assemble_logbooks(books: DataFrame, flows: DataFrame, atoms: DataFrame, lazy: bool = False) -> DataFrame:
     """One nested row for each book; books without flows and flows without atoms are kept.
@@ -125,6 +126,46 @@ def unsatisfied_requires(pairs: DataFrame, provides: DataFrame, requires: DataFr
     return open_.join(given, ["atom", "name"], "left_anti").select("flow", "atom", "name").distinct()
 
 
+def unsatisfied_on_demand(edges: DataFrame, provides: DataFrame, requires: DataFrame, retry_provides: DataFrame) -> DataFrame:
+    """unsatisfied_requires() from the edges (src, dst), without pairs of nodes and their ancestors.
+
+    What an atom wants is walked backward as labels (symbol, node), each once however many atoms
+    want it, and no further than to a node that provides it; from there the answer comes back
+    along the labels. Only what an atom both wants and provides keeps the atom in its label, since
+    on a cycle the atom isn't its own provider.
+    """
+    open_ = requires.join(retry_provides.select("flow", "name"), ["flow", "name"], "left_anti").select("flow", "atom", "name").distinct()
+    given = cut(provides.select(F.col("atom").alias("at"), "name").distinct())
+    origin = F.when(F.col("own"), F.col("at"))
+    wanted = open_.withColumnRenamed("atom", "at").join(given.withColumn("own", F.lit(True)), ["at", "name"], "left")
+    wanted = cut(wanted.select("flow", "name", "at", origin.alias("origin"), F.to_json(F.struct("name", origin.alias("origin"))).alias("label")))
+    before = cut(edges.select(F.col("dst").alias("at"), F.col("src").alias("to")).distinct())
+    labels = frontier = wanted.select("label", "name", "origin", "at").distinct()
+    hits, rounds = None, 0
+    while True:
+        rounds += 1
+        step = frontier.join(before, "at").select("label", "name", "origin", F.col("to").alias("at")).distinct().join(given.withColumn("has", F.lit(True)), ["name", "at"], "left")
+        hit = F.coalesce(F.col("has") & ~F.col("at").eqNullSafe(F.col("origin")), F.lit(False))
+        step = cut(step.withColumn("hit", hit))
+        found = step.where("hit").select("label", "at")
+        hits = found if hits is None else hits.unionByName(found)
+        frontier = cut(step.where("NOT hit").select("label", "name", "origin", "at").join(labels.select("label", "at"), ["label", "at"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        labels = _grown(labels, frontier, rounds)
+    after = before.select(F.col("to").alias("at"), F.col("at").alias("to"))
+    labels, frontier, known, rounds = cut(labels.select("label", "at")), cut(hits.distinct()), None, 0
+    while True:
+        rounds += 1
+        step = frontier.join(after, "at").select("label", F.col("to").alias("at")).distinct().join(labels, ["label", "at"], "left_semi")
+        frontier = cut(step if known is None else step.join(known, ["label", "at"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        known = _grown(known, frontier, rounds)
+    satisfied = frontier if known is None else known
+    return wanted.join(satisfied, ["label", "at"], "left_anti").select("flow", F.col("at").alias("atom"), "name")
+
+
 def missing_in_scopes(args: DataFrame, provides: DataFrame, injected: DataFrame, scopes: DataFrame) -> DataFrame:
     """(flow, method, missing): sorted names of bound arguments without any potential provider.
 
