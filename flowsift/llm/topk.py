@@ -8,7 +8,8 @@ segment by segment: what is read is added to the lower bounds of the candidates
 matrix, zero where a candidate isn't met, so that a product adds them), and lists not read
 yet count in the upper bound as the value reached. A query stops when no other candidate's upper bound reaches the k-th lower
 bound, or with few left; the scores of those are then resolved. Queries stream past
-each block in bounded batches.
+each block in bounded batches, from part to part of it with the k-th score reached so far,
+and take k rows along at most.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Candidates of a block, and of the parts with lists of their own that fit a processor's cache; queries that
+#: Candidates of a block, which queries visit once, and of the parts with lists of their own that fit a processor's cache; queries that
 #: read lists in step, segments of a list.
-CANDIDATES, LISTED, QUERIES, SEGMENTS = 16_384, 4_096, 256, 4
+CANDIDATES, LISTED, QUERIES, SEGMENTS = 65_536, 4_096, 256, 4
 
 
 def quantised(rows: DataFrame, scale: int = 64) -> DataFrame:
@@ -54,14 +55,19 @@ class Block:
         self.rank = np.argsort(order, axis=0, kind="stable").astype(np.int32)
         self.most = int(np.abs(x).max(initial=0))
 
-    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list, list, list]:
-        """(query, candidate, score) of the k best candidates of this block for each query."""
+    def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None, read: list | None = None) -> tuple[list, list, list]:
+        """(query's number, candidate, score) of the k best candidates of this part for each query.
+
+        least: a score for each query that k candidates elsewhere reach; lower ones aren't wanted. read: gets
+        the share of the lists that each query read.
+        """
         out: tuple[list, list, list] = ([], [], [])
+        least = np.full(len(q), -np.inf) if least is None else least
         n, width = self.x.shape
         exact = max(int(np.abs(q).max(initial=0)), 1) * max(self.most, 1) * max(width, 1)
         if n <= 4 * k or exact >= 1 << 52:  # too few to bound, or beyond exact floats
             for r in range(len(q)):
-                self._resolve(q_ids[r], q[r], np.arange(n), k, out)
+                self._resolve(r, q_ids[r], q[r], np.arange(n), k, out)
             return out
         kind = np.float32 if exact < 1 << 22 else np.float64
         plus, minus = np.maximum(q, 0).astype(kind).T, np.minimum(q, 0).astype(kind).T  # a row for each list
@@ -81,25 +87,41 @@ class Block:
             for r, number in enumerate(left):
                 lower = low[:, r].copy()
                 lower[self.ids == q_ids[number]] = -np.inf
-                kth = np.partition(lower, n - k)[n - k]
+                kth = max(np.partition(lower, n - k)[n - k], least[number])
                 keep = np.flatnonzero((upper[:, r] >= kth) & (self.ids != q_ids[number]))
                 if at == n or len(keep) <= max(8 * k, n // 64):
-                    self._resolve(q_ids[number], q[number], keep, k, out)
+                    self._resolve(number, q_ids[number], q[number], keep, k, out)
                     ready[r] = True
+                    if read is not None:
+                        read.append(at / n)
             left, low, weights = left[~ready], low[:, ~ready], weights[:, ~ready]
             if not len(left):
                 break
         return out
 
-    def _resolve(self, query: int, q: np.ndarray, at: np.ndarray, k: int, out: tuple[list, list, list]) -> None:
+    def _resolve(self, number: int, query: int, q: np.ndarray, at: np.ndarray, k: int, out: tuple[list, list, list]) -> None:
         at = at[self.ids[at] != query]
         s = self.x[at] @ q
         best = np.lexsort((self.ids[at], -s))[:k]
-        out[0].extend([query] * len(best))
+        out[0].extend([number] * len(best))
         out[1].extend(self.ids[at[best]])
         out[2].extend(s[best])
 
 
+def through(parts: list[Block], q_ids: np.ndarray, q: np.ndarray, k: int, read: list | None = None) -> list[tuple[int, int, int]]:
+    """(query, candidate, score) of the k best candidates of all parts for each query; the k-th score that the parts before gave
+    bounds what is wanted of the next."""
+    best: list[list] = [[] for _ in q_ids]
+    for part in parts:
+        least = np.array([b[-1][0] if len(b) == k else -np.inf for b in best])
+        found: dict[int, list] = {}
+        for number, candidate, score in zip(*part.search(q_ids, q, k, least, read)):
+            found.setdefault(int(number), []).append((int(score), -int(candidate)))
+        for number, new in found.items():
+            best[number] = sorted(best[number] + new, reverse=True)[:k]
+    return [(int(query), -c, s) for query, b in zip(q_ids, best) for s, c in b]
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each query by integer inner product.
 
@@ -108,11 +130,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     compared as if filled with zeros. Rows with a query's own id are never its results;
     repeated rows are repeated candidates, a query repeated with the same vector is answered
     once. Candidates are dealt into blocks of bounded size without copies; each query goes to
-    every block, each part of which gives k rows for it at most.
+    every block, which gives k rows for it at most.
     """
     vectors = quantised(rows)
     size = vectors.agg(F.count("*"), F.max(F.size("x"))).first()
-    blocks, width = -(-size[0] // CANDIDATES) or 1, size[1] or 0
+    few = min(-(-size[0] // LISTED), rows.sparkSession.sparkContext.defaultParallelism)  # work for all cores
+    blocks, width = max(-(-size[0] // CANDIDATES), few, 1), size[1] or 0
     candidates = vectors.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("b"), F.lit(0).alias("side"), "vec_id", "x")
     queries = vectors.where(is_query).dropDuplicates(["vec_id", "x"])
     queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(1).alias("side"), "vec_id", "x")
@@ -123,8 +146,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         number, parts, held = None, [], []
 
         def answers(q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-            got = [part.search(q_ids[i : i + QUERIES], q[i : i + QUERIES], k) for i in range(0, len(q), QUERIES) for part in parts]
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray([v for g in got for v in g[c]], np.int64)) for c in range(3)], ["query_id", "vec_id", "score"])
+            got = [found for i in range(0, len(q), QUERIES) for found in through(parts, q_ids[i : i + QUERIES], q[i : i + QUERIES], k)]
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray([g[c] for g in got], np.int64)) for c in range(3)], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             key = batch.column("b").to_numpy().astype(np.int64) * 2 + batch.column("side").to_numpy()
