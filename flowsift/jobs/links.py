@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsift.jobs.registry import _RANK, _with, query
+from flowsift.jobs.registry import _RANK, _with, oracle_sql_of, query
 from flowsift.operators import boards as B
 from flowsift.operators import books as K
 from flowsift.operators import graphs as G
@@ -339,6 +339,15 @@ def _(spark, d):
     return G.visible_scopes(tree, nodes, follow)
 
 
+@query("g13_scopes_by_numbers", oracle_sql_of("g13_visible_scopes"))
+def _(spark, d):
+    tree = view(spark, d, "tree")
+    inner = tree.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    nodes = tree.join(inner, "node", "left").select("node", F.when(F.col("inner"), "flow").otherwise("task").alias("kind"), F.coalesce("inner", F.lit(False)).alias("noop"))
+    follow = tree.where("node % 16 <> 15").select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst")).join(tree.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return G.scopes_by_numbers(tree, nodes, follow)
+
+
 @query("u3_merge_graph_list", _with("gnodes", "gedges", "edges") + "SELECT 'node' AS what, node AS a, CAST(NULL AS BIGINT) AS b, CASE WHEN node % 3 = 0 THEN 'third' WHEN node % 2 = 0 THEN 'second' ELSE 'first' END AS tag FROM gnodes UNION ALL SELECT 'edge', coalesce(g.src, e.src), coalesce(g.dst, e.dst), CASE WHEN g.src IS NULL THEN 'first' ELSE 'second' END FROM gedges g FULL JOIN edges e ON e.src = g.src AND e.dst = g.dst")
 def _(spark, d):
     nodes = view(spark, d, "gnodes").select("node")

@@ -417,6 +417,43 @@ def visible_scopes(tree: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return seen.select("node", "level", F.row_number().over(order).alias("at"), "visible")
 
 
+def tree_numbers(tree: DataFrame) -> DataFrame:
+    """(node, depth, entry, until, back): the numbers of a walk through the tree (node, parent, child_idx).
+
+    A node's subtree has the entries from its own to before `until`; children in the order they were added, roots as
+    children of one parent. back: the place in the walk that takes the last added child first.
+    """
+    first, last = tree_order(tree), tree_order(tree, flipped=True).select("node", F.col("at").alias("back"))
+    return first.join(last, "node").join(descendant_counts(tree), "node").select("node", "depth", F.col("at").alias("entry"), (F.col("at") + F.col("total") + 1).alias("until"), "back")
+
+
+def scopes_by_numbers(tree: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """visible_scopes() without the ancestors of each node: numbers of a walk tell what is before, inside or around.
+
+    Where the ways of an atom and one that it may see part is found by lifting: the atom's pointer
+    goes up by halving powers of two as long as the other one isn't below, so a pair is a row of
+    a few numbers however deep the tree is.
+    """
+    atoms = nodes.where(F.col("kind").isin("task", "retry")).select("node")
+    numbers = cut(tree_numbers(tree))
+    inside = lambda x, entry, until: (F.col(entry) <= F.col(x)) & (F.col(x) < F.col(until))
+    pairs = connected(nodes, edges, atoms).join(atoms, "node", "left_semi").select(F.col("start").alias("node"), F.col("node").alias("visible"))
+    pairs = pairs.join(numbers.select("node", F.col("depth").alias("d"), "entry"), "node")
+    pairs = pairs.join(numbers.select(F.col("node").alias("visible"), F.col("entry").alias("v"), F.col("until").alias("v_until"), "back"), "visible")
+    pairs = pairs.where((F.col("v") < F.col("entry")) & ~inside("entry", "v", "v_until")).drop("v_until", "entry").withColumn("at", F.col("node"))
+    lifts = [cut(tree.where("parent IS NOT NULL").select(F.col("node").alias("at"), F.col("parent").alias("up")))]
+    for _ in range((numbers.agg(F.max("depth")).first()[0] or 0).bit_length()):
+        lifts.append(cut(lifts[-1].join(lifts[-1].select(F.col("at").alias("up"), F.col("up").alias("far")), "up").select("at", F.col("far").alias("up"))))
+    for lift in reversed(lifts):
+        higher = lift.join(numbers.select(F.col("node").alias("up"), F.col("entry").alias("from"), "until"), "up")
+        pairs = pairs.join(higher, "at", "left")
+        goes = F.col("up").isNotNull() & ~inside("v", "from", "until")
+        pairs = pairs.withColumn("at", F.when(goes, F.col("up")).otherwise(F.col("at"))).drop("up", "from", "until")
+    seen = pairs.join(numbers.select(F.col("node").alias("at"), F.col("depth").alias("parted")), "at")
+    order = Window.partitionBy("node", "level").orderBy("back", "visible")
+    return seen.select("node", (F.col("d") - F.col("parted")).alias("level"), "visible", "back").withColumn("at", F.row_number().over(order)).select("node", "level", "at", "visible")
+
+
 def merge_graph_list(graphs: list[tuple[DataFrame, DataFrame]], allow_overlaps: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes (by `node`) and edges (by `src`, `dst`) of many graphs; of overlapping ones the attributes of the last graph count.
 

@@ -134,3 +134,19 @@ def test_requests_are_opened_before_they_stop(spark):
     df = spark.createDataFrame([(r, T0 + timedelta(seconds=s), i, x) for i, (r, s, x) in enumerate(rows)], "request long, ts timestamp, seq long, state string")
     assert sorted(map(tuple, B.expire_requests(df, 60.0).collect())) == [(1, False), (2, True), (3, True), (6, False)]
     assert sorted(map(tuple, B.expire_requests(df, 60.0, F.lit("2024-01-01 01:00:00").cast("timestamp")).collect())) == [(1, False), (2, True), (3, True), (4, True), (6, False)]
+
+
+def test_scopes_by_numbers_of_random_trees(spark):
+    for seed in range(2):
+        rng = random.Random(seed)
+        parent = {0: None, 50: None} | {i: rng.choice([x for x in (0, 50, *range(1, i)) if x % 3 != 1]) for i in range(1, 45)}
+        order, tree = {}, []
+        for i in sorted(parent):
+            order[parent[i]] = order.get(parent[i], -1) + 1
+            tree.append((i, parent[i], order[parent[i]]))
+        inner = set(parent.values())
+        nodes = spark.createDataFrame([(i, "flow" if i in inner and i % 2 else rng.choice(["task", "retry"]), i % 7 == 0) for i in sorted(parent)], "node long, kind string, noop boolean")
+        edges = spark.createDataFrame(sorted({(rng.randrange(45), rng.randrange(45)) for _ in range(90)} - {(i, i) for i in range(45)}), "src long, dst long")
+        tree = spark.createDataFrame(tree, "node long, parent long, child_idx int")
+        got, want = (sorted(map(tuple, f(tree, nodes, edges).collect())) for f in (G.scopes_by_numbers, G.visible_scopes))
+        assert got == want and len(want) > 20
