@@ -123,6 +123,9 @@ def _table(top: pd.DataFrame, totals: dict, langs: list[str], smooth: float) ->
 def fit(docs: DataFrame, rows: int = SAMPLE, seen: int = SEEN) -> Model:
     """Model of the words and n-grams met `seen` times or more in about `rows` documents.
 
+    Rows without an id or a lang teach nothing; a null text has no words. A row that is there several
+    times counts several times, and of rows with one id and different texts each teaches the
+    langs of all. From an empty table comes a model without languages.
     """
     ids = learning_rows(docs, rows)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").select("lang", "text")
