@@ -215,7 +215,7 @@ class _Claims(Machine):
 
     def dump(self) -> list | None:
         b = self.board
-        return [b.there, b.trashed, b.owner, b.until, b.modified] if b.there else None
+        return [b.there, b.trashed, b.owner, b.until, b.modified] if b.there or b.trashed else None
 
     def load(self, values: list) -> None:
         self.board.there, self.board.trashed, self.board.owner, self.board.until, self.board.modified = values
@@ -225,7 +225,7 @@ def stream_board(commands: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """(job, seq, at, result, state, owner, until, modified): each command's result and the job's place on the board after it.
 
     All rules of arbitrate_jobs(). A claim that lapses by itself has a row of its own, LAPSED and without
-    a seq, when the watermark passes its end. A job that is gone needs no state.
+    a seq, when the watermark passes its end. A trashed job keeps its mark, one that is gone needs no state.
     """
     rows = commands if "expiry_s" in commands.columns else commands.withColumn("expiry_s", F.lit(None))
     rows = rows.withColumn("expiry_s", F.col("expiry_s").cast("double"))

@@ -59,6 +59,18 @@ def test_board_with_lapsing_claims(spark, made):
         assert same(B.final_board(df, when), J.last_board(got, when))
 
 
+def test_a_trashed_job_stays_trashed(spark, tmp_path):
+    schema = "job long, ts timestamp, seq long, who string, command string, expiry_s double"
+    rows = [(1, T0, 0, "a", "post", None), (1, T0 + timedelta(seconds=1), 1, "a", "claim", None), (1, T0 + timedelta(seconds=2), 2, "a", "trash", None), (1, T0 + timedelta(hours=9), 3, "b", "claim", None)]
+    rows.insert(3, (2, T0 + timedelta(hours=8), 9, "b", "post", None))  # moves the watermark beyond the trash
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    when = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    got = J.last_board(J.drain_in_order(source, J.stream_board), when)
+    assert same(B.final_board(spark.createDataFrame(rows, schema), when), got) and {r.state for r in got.where("job = 1").collect()} == {"TRASHED"}
+
+
 def test_states_durations_and_responses(spark, made, tmp_path):
     rng, run, at = made
     states = ["PENDING", "RUNNING", "SUCCESS", "FAILURE", "REVERTING", "REVERTED"]
