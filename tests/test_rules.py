@@ -179,3 +179,17 @@ def test_long_chains_of_a_graph(spark):
     start = nodes.where("node = 5")
     assert {r.node for r in G.reached(nodes, edges, start).collect()} == set(range(6, 36))
     assert {(r.node, r.hops) for r in G.connected(nodes, edges, start, forward=True).collect()} == {(i, i - 5) for i in range(6, 36)}
+
+
+def test_pairs_by_doubling_are_those_of_the_walk(spark):
+    rng = random.Random(5)
+    kinds = [(i, rng.choice(["task", "task", "retry", "flow"]), i % 6 == 0) for i in range(60)]
+    nodes = spark.createDataFrame(kinds, "node long, kind string, noop boolean")
+    ways = {(i, i + 1) for i in range(59)} | {(rng.randrange(60), rng.randrange(60)) for _ in range(6)}
+    edges = spark.createDataFrame(sorted(ways), "src long, dst long")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    for through in (G.KINDS, ("task",)):
+        walked = told(G.connected(nodes, edges, nodes, through=through))
+        assert told(G.connected_pairs(nodes, edges, through)) == walked
+        assert told(G.connected_pairs(nodes, edges, through, 11)) == [r for r in walked if r[2] <= 11]
+    assert max(r[2] for r in told(G.connected_pairs(nodes, edges))) > 11
