@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowsift.operators import boards as B
+from flowsift.operators import books as K
 from flowsift.operators import graphs as G
 from flowsift.operators import history as H
 
@@ -150,3 +151,13 @@ def test_scopes_by_numbers_of_random_trees(spark):
         tree = spark.createDataFrame(tree, "node long, parent long, child_idx int")
         got, want = (sorted(map(tuple, f(tree, nodes, edges).collect())) for f in (G.scopes_by_numbers, G.visible_scopes))
         assert got == want and len(want) > 20
+
+
+def test_rounds_of_graphs_broadcast_nothing(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, "task", False) for i in range(9)], "node long, kind string, noop boolean")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)] + [(7, 6)], "src long, dst long")
+    start, plans, cut = nodes.where("node = 2"), [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    assert {r.node for r in G.left_over(nodes, edges).collect()} == {6, 7, 8}
+    assert G.ancestors(edges, start).count() == 2 and G.reached(nodes, edges, start).count() == 6 and G.connected(nodes, edges, start).count() == 2
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
