@@ -161,3 +161,12 @@ def test_rounds_of_graphs_broadcast_nothing(spark, monkeypatch):
     assert {r.node for r in G.left_over(nodes, edges).collect()} == {6, 7, 8}
     assert G.ancestors(edges, start).count() == 2 and G.reached(nodes, edges, start).count() == 6 and G.connected(nodes, edges, start).count() == 2
     assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_a_round_of_wanted_symbols_is_one_checkpoint(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    provides, requires, retry = (spark.createDataFrame(rows, schema) for rows, schema in (([("f", 0, "x")], "flow string, atom long, name string"), ([("f", 12, "x"), ("f", 12, "y")], "flow string, atom long, name string"), ([], "flow string, name string")))
+    cuts, cut = [], K.cut
+    monkeypatch.setattr(K, "cut", lambda df: cuts.append(1) or cut(df))
+    assert [tuple(r) for r in K.unsatisfied_on_demand(edges, provides, requires, retry).collect()] == [("f", 12, "y")]
+    assert len(cuts) <= 32
