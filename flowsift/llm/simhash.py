@@ -369,12 +369,13 @@ def _half(bits: np.ndarray) -> np.ndarray:
     return bits[:, :middle] | bits[:, middle:]
 
 
-def possible_links(sizes: np.ndarray, maps: list[np.ndarray], p: int, q: int) -> list[tuple[int, int]]:
+def possible_links(sizes: np.ndarray, maps: list[np.ndarray], p: int, q: int, groups: list[int] | None = None) -> list[tuple[int, int]]:
     """Spanning forest of all pairs of sets that may have a Jaccard similarity of p / q or more, by their bitmaps.
 
     A bit that one set has and the other hasn't is a shingle that isn't shared, so what is shared is
     bounded from above and no similar pair is missed. Of sets that differ so little in size the
-    bitmaps' lengths differ by a factor of two at most; the longer one is folded.
+    bitmaps' lengths differ by a factor of two at most; the longer one is folded. Sets of one group
+    are linked already: they are reached together, without a pair.
     """
     width = np.array([len(x) for x in maps])
     held = {w: np.flatnonzero(width == w) for w in np.unique(width)}
@@ -383,6 +384,9 @@ def possible_links(sizes: np.ndarray, maps: list[np.ndarray], p: int, q: int) ->
         place[at] = np.arange(len(at))
     full = {w: np.stack([maps[i] for i in at]) for w, at in held.items()}
     folded = {w: _half(x) for w, x in full.items() if w > 1}
+    mates: dict[int, list[int]] = {}
+    for i, g in enumerate(groups or ()):
+        mates.setdefault(g, []).append(i)
     alive, pairs = np.ones(len(maps), bool), []
     for first in range(len(maps)):
         if not alive[first]:
@@ -390,6 +394,10 @@ def possible_links(sizes: np.ndarray, maps: list[np.ndarray], p: int, q: int) ->
         alive[first], queue = False, [first]
         while queue:
             x = queue.pop()
+            for y in mates.pop(groups[x], ()) if groups else ():
+                if alive[y]:
+                    alive[y] = False
+                    queue.append(y)
             w = width[x]
             for other in (w // 2, w, 2 * w):
                 if other not in held or not len(rest := held[other][alive[held[other]]]):
@@ -409,8 +417,9 @@ def _possible(texts: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.n
     """(u, v): links that connect every two sets which can be similar, and few others.
 
     Similar sets share one of their rarest shingles (prefix filter, exact under any fixed
-    order). Under each shingle the sets are compared by the bitmaps of nodes (node, n, bits), those of
-    a very common shingle in chunks, every two of which meet in a block of their own.
+    order). Under each shingle the sets are compared by the bitmaps of nodes (node, n, bits, near), those of
+    a very common shingle in chunks, every two of which meet in a block of their own. Sets with the same
+    `near` are linked already and aren't compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,23 +449,24 @@ def _possible(texts: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.n
     dealt = several.join(sizes.select("key", "chunks"), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
     dealt = dealt.select("key", "node", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), "chunks").where("chunk <> other or chunks = 1")
     dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "node")
-    rows = dealt.join(nodes.select("node", "n", "bits"), "node").select("key", "a", "b", "node", "n", "bits")
+    rows = dealt.join(nodes.select("node", "n", "bits", "near"), "node").select("key", "a", "b", "node", "n", "bits", "near")
     rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, sizes, maps, u, v = None, [], [], [], [], []
+        block, ids, sizes, maps, near, u, v = None, [], [], [], [], [], []
 
         def done() -> None:
-            for x, y in possible_links(np.array(sizes), maps, p, q) if len(ids) > 1 else ():
+            for x, y in possible_links(np.array(sizes), maps, p, q, near) if len(ids) > 1 else ():
                 u.append(ids[x])
                 v.append(ids[y])
 
         for batch in batches:
-            for key, i, j, node, n, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, i, j, node, n, bits, group in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != block:
                     done()
-                    block, ids, sizes, maps = (key, i, j), [], [], []
+                    block, ids, sizes, maps, near = (key, i, j), [], [], [], []
                 ids.append(node)
+                near.append(group)
                 sizes.append(n)
                 maps.append(np.frombuffer(bits, np.uint64))
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -504,12 +514,27 @@ def _similar(texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def set_fingerprint(found: np.ndarray) -> bytes:
+    """SimHash of a set of shingles: a bit is set if it is set in over half of the hashes."""
+    return np.packbits(2 * _bits(found.astype(">i8").view(np.uint8).reshape(-1, 8)) > len(found)).tobytes()
+
+
+def near_fingerprints(sets: DataFrame, radius: int = 4) -> DataFrame:
+    """(u, v): links that connect all sets (node, fp) whose fingerprints differ in up to `radius` <= 4 bits, by the
+    byte-position index with its count filter."""
+    prints = cut(sets.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = sets.join(prints, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    return equal.unionByName(links(prints.select("fp", F.col("least").alias("node")), covering_triples(), radius, 4))
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, component_id, component_text): groups by exact shingle similarity.
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is
-    0.8 or more; a group is what links connect. A prefix filter and a bound from bitmaps give
-    loose groups that hold every such pair, and within a loose group the sets themselves are
+    0.8 or more; a group is what links connect. SimHash fingerprints of the sets, the byte-position
+    index and the count filter find those within 4 bits. A pair at 0.8 is often farther apart, so
+    for the rest there is an exact way: a prefix filter and a bound from bitmaps link what
+    fingerprints haven't. Both give loose groups that hold every such pair, and within a loose group the sets themselves are
     compared, so nothing is missed or linked beyond the similarity but for collisions of
     64-bit hashes. The order of shingles by their counts in a sample decides how many sets
     are compared by their bitmaps, not what is linked. (component_id, component_text) names the least row of a group that
@@ -522,12 +547,15 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t, words) for t in raw(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32()), pa.array([bitmap(f) if len(f) else None for f in found], pa.binary())], ["doc_id", "text_hash", "node", "n", "bits"])
-
-    rows = cut(texts.select("doc_id", "text_hash", "text").mapInArrow(numbered, "doc_id long, text_hash long, node long, n int, bits binary"))
-    sets = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    rows = rows.drop("bits")
-    loose = connected_components(_possible(texts, sets, _common(texts, rows.count(), words), words, p, q))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32()), pa.array([bitmap(f) if len(f) else None for f in found], pa.binary()), pa.array([set_fingerprint(f) if len(f) else None for f in found], pa.binary())], ["doc_id", "text_hash", "node", "n", "bits", "fp"])
+
+    rows = cut(texts.select("doc_id", "text_hash", "text").mapInArrow(numbered, "doc_id long, text_hash long, node long, n int, bits binary, fp binary"))
+    sets = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp"))
+    near = cut(connected_components(near_fingerprints(sets.select("node", "fp"))))
+    sets = sets.join(near.withColumnRenamed("root", "near"), "node", "left").withColumn("near", F.coalesce("near", "node"))
+    total, rows = rows.count(), rows.drop("bits", "fp")
+    possible = _possible(texts, sets, _common(texts, total, words), words, p, q)
+    loose = connected_components(possible.unionByName(near.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     # one text for each set that may be similar to another one
     met = rows.join(loose, "node").groupBy("node", "root").agg(F.min(F.struct("text_hash", "doc_id")).alias("row"), F.first("n").alias("n"))
     volume = met.groupBy("root").agg(F.ceil(F.sum("n") / VOLUME).cast("int").alias("chunks"))

@@ -286,3 +286,33 @@ def test_pipeline_tells_rows_with_one_id_apart(spark, tmp_path):
     assert rows(kept) == sorted([(1, a), (2, b), (4, c), (0, c)])
     clean = corpus_pipeline.decontamination(spark, docs(spark, [(1, a), (1, item + " " + b), (2, c), (None, item)]), str(tmp_path))
     assert rows(clean) == sorted([(1, a), (2, c)])
+
+
+def test_near_copies_are_found_by_fingerprints_first(spark, monkeypatch):
+    rng = random.Random(14)
+    a = words(rng, 400, 5000)
+    b = " ".join([*a.split()[:-1], "other"])  # one shingle of 396 differs
+    c = words(rng, 400, 5000)
+    sets = [simhash.shingle_set(t.encode(), 5) for t in (a, b, c)]
+    fp = [int.from_bytes(simhash.set_fingerprint(s), "big") for s in sets]
+    assert (fp[0] ^ fp[1]).bit_count() <= 4 < (fp[0] ^ fp[2]).bit_count()
+    node = [simhash._node(s) for s in sets]
+    table = spark.createDataFrame([(n, bytearray(f.to_bytes(8, "big"))) for n, f in zip(node, fp)], "node long, fp binary")
+    assert {frozenset(r) for r in simhash.near_fingerprints(table).collect()} == {frozenset(node[:2])}
+    # what they link isn't compared again, and is still checked exactly
+    monkeypatch.setattr(simhash, "_possible", lambda *args: spark.createDataFrame([], "u long, v long"))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicate_groups(docs(spark, {1: a, 2: b, 3: c})).collect()} == {1: 1, 2: 1, 3: 3}
+    maps = [np.frombuffer(simhash.bitmap(s), np.uint64) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    assert simhash.possible_links(sizes, maps, 4, 5) == [(0, 1)] and simhash.possible_links(sizes, maps, 4, 5, [7, 7, 8]) == []
+
+
+def test_components_of_few_edges_need_no_shuffle(spark, monkeypatch):
+    rng = random.Random(15)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    one = components._small_star(components._large_star(components.cut(edges).coalesce(1), True), True)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    few = sorted(map(tuple, components.connected_components(edges).collect()))
+    monkeypatch.setattr(components, "FEW", 0)
+    assert few == sorted(map(tuple, components.connected_components(edges).collect()))
