@@ -108,6 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     spots = spots.select("doc_id", "row", "n", "size", (F.col("pos") - F.col("offset")).alias("start")).distinct()
     spots = spots.groupBy("doc_id", "row").agg(F.collect_list(F.struct("n", "size", "start")).alias("spots"))
 
+    # an item has thousands of neighbours, which are shuffled and never gathered on the driver;
     # windows with the same words are fingerprinted and verified once
     placed = rows.join(spots, ["doc_id", "row"]).select("doc_id", "w", F.explode("spots").alias("s"))
     begin = F.greatest(F.col("s.start"), F.lit(0))
@@ -119,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
 
     probes = windows.select("window", "n", "size", "fp", F.inline(_neighbours(F.col("fp"), FLIPPED)))
     index = items.select("item_id", "n", "size", "item_fp", F.inline(_neighbours(F.col("item_fp"), RADIUS // BLOCKS - FLIPPED)))
-    pairs = probes.join(index, ["n", "size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    pairs = probes.join(index.hint("merge"), ["n", "size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     pairs = pairs.select("window", "n", "size", "item_id").distinct()
     both = pairs.join(windows.select("window", "n", "size", "shingles"), ["window", "n", "size"]).join(items.select("item_id", "n", "size", "item_shingles"), ["item_id", "n", "size"])
     verified = both.select("window", "n", "size", "item_id", similarity(F.col("shingles"), F.col("item_shingles")).alias("similarity")).where(F.col("similarity") >= least)
