@@ -23,11 +23,14 @@ from flowsift.operators.boards import Board, task_set
 from flowsift.operators.history import micros
 from flowsift.operators.states import ALLOWED, FINISHES, FLOW_IGNORED, STARTS
 from flowsift.sources.history import forget, shared_folder
-from flowsift.sources.views import VIEWS
+from flowsift.sources.views import VIEWS, file_bytes
 
 #: A time that comes after all rows.
 LAST = datetime(9999, 1, 1)
 
+#: Shards of keys; bytes of a table's files for each shard where a stream reads all of a table.
+SHARDS, SHARD = 1024, 256 << 10
+
 
 class Clock:
     """A source of rows that hold nothing but a ts, to move the watermark on."""
@@ -52,6 +55,11 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str, table: str = "event
     return spark.sql(VIEWS[name], **{table: spark.readStream.schema(schema).parquet(pattern)})
 
 
+def shards_of(spark: SparkSession, sf_dir: str, table: str = "events", least: int = 64) -> int:
+    """As many shards as a table is large, so that what a shard holds doesn't grow with the table."""
+    return max(least, -(-file_bytes(spark.read.parquet(f"{sf_dir}/{table}.parquet")) // SHARD))
+
+
 def drain(stream: DataFrame, clock: Clock | None = None, until: datetime = LAST) -> DataFrame:
     """All that the stream has now, written to the shared folder and read back; with a clock also what it has
     once the time is `until`. What the run itself needed is removed."""
@@ -101,48 +109,58 @@ class Machine:
         raise NotImplementedError
 
 
-def in_order(rows: DataFrame, keys: list[str], columns: list[str], machine: Callable[[tuple], Machine], schema: str, delay: str) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], columns: list[str], machine: Callable[[tuple], Machine], schema: str, delay: str, shards: int = SHARDS) -> DataFrame:
     """A machine for each key over rows (the keys, seq, ts and columns) in the order of (ts, seq).
 
-    Rows without a seq move the watermark and are nobody's, rows without a ts have no place. A key's rows of one micro-batch and those that
-    wait are held together, so a stream that begins with a long past reads it in parts
-    (maxFilesPerTrigger of its source).
+    Rows without a seq move the watermark and are nobody's, rows without a ts have no place. Keys are whole numbers or strings; they are
+    dealt into shards by their hash, and Python is called for a shard, since a call costs more than the rows of most keys.
+    A shard's rows of one micro-batch and what it keeps are held together, so more keys want more shards, and a stream that begins
+    with a long past reads it in parts (maxFilesPerTrigger of its source).
     """
     out = [part.split()[0] for part in schema.split(", ")]
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, values = state.get if state.exists else ("[]", None)
-        waiting, own, now = json.loads(held), machine(key), state.getCurrentWatermarkMs() * 1000
-        if values is not None:
-            own.load(json.loads(values))
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, told, times, kept = state.getCurrentWatermarkMs() * 1000, [], [], []
+        held = {tuple(key): (waiting, values) for key, waiting, values in json.loads(state.get[0])} if state.exists else {}
         for b in batches:
-            waiting += [[None if x != x else x for x in row] for row in zip(*(b[c].tolist() for c in ["at", "seq", *columns]))]
-        due = sorted((r for r in waiting if r[0] <= now), key=lambda r: (r[0], r[1]))
-        waiting, told = [r for r in waiting if r[0] > now], []
-
-        def rings(until: int) -> None:
-            while (at := own.alarm()) is not None and at <= until:
-                told.extend(own.ring(at))
-
-        for row in due:
-            rings(row[0])
-            told += own.take(row)
-        rings(now)
-        values = own.dump()
-        times = [*(r[0] for r in waiting), *([own.alarm()] if own.alarm() is not None else [])]
-        if waiting or values is not None:
-            state.update((json.dumps(waiting), None if values is None else json.dumps(values)))
+            plain = {c: b[c].astype(object).where(b[c].notna(), None).tolist() for c in [*keys, "at", "seq", *columns]}
+            for key, row in zip(zip(*(plain[c] for c in keys)), zip(*(plain[c] for c in ["at", "seq", *columns]))):
+                if key not in held:
+                    held[key] = ([], None)
+                held[key][0].append(row)
+
+        for key, (waiting, values) in held.items():
+            own = machine(key)
+            if values is not None:
+                own.load(values)
+
+            def rings(until: int) -> None:
+                while (at := own.alarm()) is not None and at <= until:
+                    told.extend(own.ring(at))
+
+            for row in sorted((r for r in waiting if r[0] <= now), key=lambda r: (r[0], r[1])):
+                rings(row[0])
+                told += own.take(row)
+            rings(now)
+            waiting, values = [r for r in waiting if r[0] > now], own.dump()
+            if waiting or values is not None:
+                kept.append((key, waiting, values))
+                times += [*(r[0] for r in waiting), *([own.alarm()] if own.alarm() is not None else [])]
+        if kept:
+            state.update((json.dumps(kept),))
             if times:  # fires once the watermark is beyond it
                 state.setTimeoutTimestamp(max(-(-min(times) // 1000) - 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
         if told:
-            yield pd.DataFrame(told, columns=out)
+            yield pd.DataFrame(told, columns=out, dtype=object)  # whole numbers beside nulls stay whole
 
     timed = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     timed = timed.where("CASE WHEN ts IS NOT NULL THEN seq IS NOT NULL END")  # asks for ts, so that it stays behind the watermark
-    timed = timed.select(*keys, F.col("seq").cast("bigint").alias("seq"), "ts", micros(F.col("ts")).alias("at"), *columns)
-    return timed.groupBy(*keys).applyInPandasWithState(run, schema, "held string, machine string", "append", GroupStateTimeout.EventTimeTimeout)
+    # Null keys have shards of their own, since pandas makes floats of whole numbers beside nulls.
+    shard = {"shard": F.pmod(F.xxhash64(*keys), F.lit(shards)), **{f"no_{k}": F.col(k).isNull() for k in keys}}
+    timed = timed.select(*keys, F.col("seq").cast("bigint").alias("seq"), "ts", micros(F.col("ts")).alias("at"), *columns, *(c.alias(n) for n, c in shard.items()))
+    return timed.groupBy(*shard).applyInPandasWithState(run, schema, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class _Duration(Machine):
@@ -161,14 +179,14 @@ class _Duration(Machine):
         self.since = values[0]
 
 
-def stream_durations(transitions: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stream_durations(transitions: DataFrame, delay: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """Time from a start row, kept as state, to the finish row that follows it among the watched states."""
     watched = transitions.where(F.col("state").isin([*STARTS, *FINISHES, "PENDING"]) | F.col("seq").isNull())
     schema = "seq long, item_type string, flow long, item long, state string, duration double"
-    return in_order(watched, ["flow", "item_type", "item"], ["state"], _Duration, schema, delay)
+    return in_order(watched, ["flow", "item_type", "item"], ["state"], _Duration, schema, delay, shards)
 
 
-def stream_states(transitions: DataFrame, kind: str, initial: str = "PENDING", delay: str = "0 seconds") -> DataFrame:
+def stream_states(transitions: DataFrame, kind: str, initial: str = "PENDING", delay: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """The state machine per item: the current state is kept, each event gets its verdict."""
     listed, ignored = set(ALLOWED[kind]), set(FLOW_IGNORED) if kind == "flow" else set()
 
@@ -188,7 +206,7 @@ def stream_states(transitions: DataFrame, kind: str, initial: str = "PENDING", d
         def load(self, values: list) -> None:
             self.now = values[0]
 
-    return in_order(transitions, ["item"], ["state"], State, "item long, seq long, old_state string, state string, verdict string, after string", delay)
+    return in_order(transitions, ["item"], ["state"], State, "item long, seq long, old_state string, state string, verdict string, after string", delay, shards)
 
 
 class _Claims(Machine):
@@ -221,7 +239,7 @@ class _Claims(Machine):
         self.board.there, self.board.trashed, self.board.owner, self.board.until, self.board.modified = values
 
 
-def stream_board(commands: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stream_board(commands: DataFrame, delay: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """(job, seq, at, result, state, owner, until, modified): each command's result and the job's place on the board after it.
 
     All rules of arbitrate_jobs(). A claim that lapses by itself has a row of its own, LAPSED and without
@@ -230,12 +248,12 @@ def stream_board(commands: DataFrame, delay: str = "0 seconds") -> DataFrame:
     rows = commands if "expiry_s" in commands.columns else commands.withColumn("expiry_s", F.lit(None))
     rows = rows.withColumn("expiry_s", F.col("expiry_s").cast("double"))
     schema = "job long, seq long, at long, result string, state string, owner string, until long, modified long"
-    return in_order(rows, ["job"], ["who", "command", "expiry_s"], _Claims, schema, delay)
+    return in_order(rows, ["job"], ["who", "command", "expiry_s"], _Claims, schema, delay, shards)
 
 
-def stream_arbitration(commands: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stream_arbitration(commands: DataFrame, delay: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """(job, seq, result) of each job command."""
-    return stream_board(commands, delay).where("seq IS NOT NULL").select("job", "seq", "result")
+    return stream_board(commands, delay, shards).where("seq IS NOT NULL").select("job", "seq", "result")
 
 
 def last_board(board: DataFrame, as_of: Column) -> DataFrame:
@@ -249,7 +267,7 @@ def last_board(board: DataFrame, as_of: Column) -> DataFrame:
     return row.select("job", state.alias("state"), F.when(live, F.col("owner")).alias("owner"), F.when(live, F.col("until")).alias("until"), "modified")
 
 
-def stream_expiry(states: DataFrame, timeout_s: float = 60.0, delay: str = "0 seconds") -> DataFrame:
+def stream_expiry(states: DataFrame, timeout_s: float = 60.0, delay: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """(request, expired) once for each request, when it is decided, by the rules of expire_requests().
 
     A timer in event time decides on a request that nothing stops, without further rows of it. A decided
@@ -284,7 +302,7 @@ def stream_expiry(states: DataFrame, timeout_s: float = 60.0, delay: str = "0 se
         def load(self, values: list) -> None:
             self.created, self.done = values
 
-    return in_order(states, ["request"], ["state"], Request, "request long, expired boolean", delay)
+    return in_order(states, ["request"], ["state"], Request, "request long, expired boolean", delay, shards)
 
 
 def stream_sessions(beats: DataFrame, expiry_s: float = 60.0, delay: str = "0 seconds") -> DataFrame:
@@ -317,10 +335,10 @@ class _Registry(Machine):
         self.number, self.tasks = values
 
 
-def stream_registry(beats: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stream_registry(beats: DataFrame, delay: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """(seq, topic, identity) of each beat, as worker_identities() gives it; a topic's state is its number and its tasks."""
     rows = beats.withColumn("tasks", task_set(beats))
-    return in_order(rows, ["topic"], ["tasks"], _Registry, "seq long, topic long, identity long", delay)
+    return in_order(rows, ["topic"], ["tasks"], _Registry, "seq long, topic long, identity long", delay, shards)
 
 
 class _Response(Machine):
@@ -344,9 +362,9 @@ class _Response(Machine):
         self.known, self.closed = values
 
 
-def stream_responses(messages: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stream_responses(messages: DataFrame, delay: str = "0 seconds", shards: int = SHARDS) -> DataFrame:
     """(seq, request, verdict) of each row (request, ts, seq, state), as match_responses() gives it.
 
     A request's state is whether it is open or closed, so that what comes late is dropped.
     """
-    return in_order(messages, ["request"], ["state"], _Response, "seq long, request long, verdict string", delay)
+    return in_order(messages, ["request"], ["state"], _Response, "seq long, request long, verdict string", delay, shards)

@@ -105,3 +105,37 @@ def test_an_empty_stream(spark, tmp_path):
     assert J.drain_in_order(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), J.stream_arbitration).collect() == []
     with pytest.raises(ValueError):
         J.stream_sessions(spark.readStream.schema("topic long, ts timestamp").parquet(f"{tmp_path}/in"), None)
+
+
+def test_keys_share_shards(spark, tmp_path):
+    """Python is called for shards, not for keys; null keys and whole numbers that no float holds stay what they are."""
+    big = 2**53
+    keys = [None, big, big + 1, *range(300)]
+    states = ["RUNNING", "SUCCESS", "PENDING", "FAILURE"]
+    rows = [(k, T0 + timedelta(seconds=7 * i + j), big + 1 + 1000 * j + i, states[(i + j) % 4]) for i, k in enumerate(keys) for j in range(5)]
+    schema = "item long, ts timestamp, seq long, state string"
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    assert same(H.replay_states(df, "flow", "PENDING"), J.drain_in_order(source, lambda r: J.stream_states(r, "flow", shards=4)))
+    to = J.stream_states(source, "flow", shards=4).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress")
+    query = to.trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 4 + 1  # the null key's besides
+
+
+def test_lapses_beside_large_numbers(spark, tmp_path):
+    schema = "job long, ts timestamp, seq long, who string, command string, expiry_s double"
+    first = 2**53 + 1
+    rows = [(j, T0 + timedelta(seconds=s), first + 10 * j + s, "a", c, e) for j in range(20) for s, c, e in ((0, "post", None), (1, "claim", 5.0), (8, "claim", None))]
+    df = spark.createDataFrame(rows, schema)
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = J.drain_in_order(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), lambda r: J.stream_board(r, shards=2)).persist()
+    assert same(B.arbitrate_jobs(df), got.where("seq IS NOT NULL")) and got.where("result = 'LAPSED'").count() == 20
+
+
+def test_shards_grow_with_the_table(spark, tmp_path):
+    spark.range(200_000).selectExpr("id", "uuid() AS u").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    size = sum(f.stat().st_size for f in (tmp_path / "events.parquet").glob("*.parquet"))
+    assert J.shards_of(spark, str(tmp_path), least=1) == -(-size // J.SHARD) > 10
+    assert J.shards_of(spark, str(tmp_path), least=10_000) == 10_000
