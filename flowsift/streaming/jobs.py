@@ -56,7 +56,7 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str, table: str = "event
 
 
 def shards_of(spark: SparkSession, sf_dir: str, table: str = "events", least: int = 64) -> int:
-    """As many shards as a table is large, so that what a shard holds doesn't grow with the table."""
+    """As many shards as a table is large, so that what a shard holds doesn't grow with the table; for streams that begin anew."""
     return max(least, -(-file_bytes(spark.read.parquet(f"{sf_dir}/{table}.parquet")) // SHARD))
 
 
@@ -115,7 +115,7 @@ def in_order(rows: DataFrame, keys: list[str], columns: list[str], machine: Call
     Rows without a seq move the watermark and are nobody's, rows without a ts have no place. Keys are whole numbers or strings; they are
     dealt into shards by their hash, and Python is called for a shard, since a call costs more than the rows of most keys.
     A shard's rows of one micro-batch and what it keeps are held together, so more keys want more shards, and a stream that begins
-    with a long past reads it in parts (maxFilesPerTrigger of its source).
+    with a long past reads it in parts (maxFilesPerTrigger of its source). One that goes on from a checkpoint needs the number of shards it began with.
     """
     out = [part.split()[0] for part in schema.split(", ")]
 
