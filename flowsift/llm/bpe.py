@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 #: Pieces remembered by a Python worker; older ones are forgotten by halves.
 REMEMBERED = 200_000
 
@@ -149,14 +151,9 @@ class Bpe:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-_loaded: dict[str, Bpe] = {}
-
-
 def load(path: str) -> Bpe:
-    """One tokenizer for each file and Python worker."""
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    """A Python worker's tokenizer, kept until the worker needs another one or another operator's model."""
+    return resident((Bpe, path), lambda: Bpe(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, forget, resident
 
 #: Rows learned from, about so many, shared evenly by the languages; longest n-gram; least count of a word or n-gram that is kept.
 SAMPLE, LONGEST, SEEN = 8_000, 5, 3
@@ -47,6 +47,7 @@ def learning_rows(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind 0 word or n, lang, token, n) of the batch's texts."""
+    forget()
     for b in batches:
         tally: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -139,9 +140,6 @@ def fit(docs: DataFrame, rows: int = SAMPLE, seen: int = SEEN) -> Model:
     return Model(langs, *known, [g for p in parts for g in p[0]], np.concatenate([p[1] for p in parts]))
 
 
-_models: dict[str, Model] = {}
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text.
 
@@ -177,11 +175,8 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 def _shared(docs: DataFrame, model: Model):
     shared, key = docs.sparkSession.sparkContext.broadcast(model.parts), uuid.uuid4().hex
 
-    def own() -> Model:
-        if key not in _models:  # a worker keeps the words it has met from task to task
-            _models.clear()
-            _models[key] = Model(*shared.value)
-        return _models[key]
+    def own() -> Model:  # a worker keeps the words it has met from task to task
+        return resident((Model, key), lambda: Model(*shared.value))
 
     return own
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, raw
+from .common import cut, forget, join_hot, raw, slices
 from .components import connected_components
 
 #: Rows of a bucket that are compared within one block; larger buckets are dealt into chunks.
@@ -344,7 +344,8 @@ def _common(texts: DataFrame, total: int, words: int) -> tuple[np.ndarray, np.nd
     sample = texts.where(F.pmod(F.xxhash64(F.col("text_hash")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        forget()
+        for b in slices(batches):
             for t in raw(b.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, words))], ["h"])
 
@@ -423,9 +424,10 @@ def _possible(texts: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.n
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known, counts = common
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             keys, owners = [], []
             for t in raw(b.column(0)):
                 found = shingle_set(t, words)
@@ -460,7 +462,8 @@ def _possible(texts: DataFrame, nodes: DataFrame, common: tuple[np.ndarray, np.n
                 u.append(ids[x])
                 v.append(ids[y])
 
-        for batch in batches:
+        forget()
+        for batch in slices(batches):
             for key, i, j, node, n, bits, group in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != block:
                     done()
@@ -481,7 +484,8 @@ def _similar(texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """(u, v): exact links of the texts (node, root, text, chunks) within a root."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        forget()
+        for b in slices(batches):
             found = [shingle_set(t, words).tobytes() for t in raw(b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary())], ["node", "root", "chunks", "found"])
 
@@ -499,7 +503,8 @@ def _similar(texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
                 u.append(nodes[x])
                 v.append(nodes[y])
 
-        for b in batches:
+        forget()
+        for b in slices(batches):
             for root, i, j, node, found in zip(*(c.to_pylist() for c in b.columns)):
                 if (root, i, j) != block:
                     done()
@@ -545,7 +550,8 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        forget()
+        for b in slices(batches):
             found = [shingle_set(t, words) for t in raw(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_node(f) for f in found], pa.int64()), pa.array([len(f) for f in found], pa.int32()), pa.array([bitmap(f) if len(f) else None for f in found], pa.binary()), pa.array([set_fingerprint(f) if len(f) else None for f in found], pa.binary())], ["doc_id", "text_hash", "node", "n", "bits", "fp"])
 

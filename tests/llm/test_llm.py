@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import weakref
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowsift.llm import bpe, components, decontam, langid, pii, quality, secrets, simhash, substring, topk, toxicity
+from flowsift.llm import bpe, common, components, decontam, langid, pii, quality, secrets, simhash, substring, topk, toxicity
 from flowsift.llm.registry import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, g long"
@@ -316,3 +318,25 @@ def test_components_of_few_edges_need_no_shuffle(spark, monkeypatch):
     few = sorted(map(tuple, components.connected_components(edges).collect()))
     monkeypatch.setattr(components, "FEW", 0)
     assert few == sorted(map(tuple, components.connected_components(edges).collect()))
+
+
+def test_a_worker_keeps_one_model_at_a_time():
+    kept = weakref.ref(bpe.load(tokenizer_file()))
+    assert bpe.load(tokenizer_file()) is kept()
+    list(langid._count(iter([])))  # the first task of another stage in the same worker
+    assert kept() is None
+    kept = weakref.ref(bpe.load(tokenizer_file()))
+    model = common.resident("other", lambda: "a model")
+    assert kept() is None and common.resident("other", list) is model
+    common.forget()
+    batch = pa.RecordBatch.from_pydict({"n": list(range(2 * common.SLICE + 3))})
+    cuts = list(common.slices(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in cuts] == [common.SLICE, common.SLICE, 3] and pa.Table.from_batches(cuts) == pa.Table.from_batches([batch])
+
+
+def test_groups_across_the_slices_of_a_batch(spark):
+    rng = random.Random(16)
+    first = {i: words(rng, 30, 5000) for i in range(700)}
+    texts = first | {i + 700: t.rsplit(" ", 1)[0] + " other" for i, t in first.items()}
+    got = simhash.near_duplicate_groups(docs(spark, texts).coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 700 for i in texts}
