@@ -1,8 +1,13 @@
 """What a task sorts, and how often a table is computed, at growing sizes."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from flowsift.operators import graphs as G
+from flowsift.operators import subgraphs as S
 from flowsift.sources import views
 
 D = "/root/testdata/sf0.001"
@@ -24,3 +29,25 @@ def test_numbered_views_are_sorted_in_parts_by_the_size_of_the_files(spark, monk
 @pytest.mark.parametrize("name", ["j6_missing_in_scopes", "j7_look_up_arguments"])
 def test_stored_atoms_are_numbered_once_for_a_query(spark, name):
     assert "Window" not in plan(__spark_entry__.queries()[name](spark, D))  # seven and more windows over all rows before
+
+
+def test_pairs_come_from_parts_of_the_starts(spark, monkeypatch):
+    """One part, many parts, and parts that are walked by rounds give the same pairs; none of them is shuffled or stored on the way in tasks."""
+    rng = random.Random(2)
+    kinds = [(i, rng.choice(["task", "task", "retry", "flow"]), i % 6 == 0) for i in range(90)]
+    nodes = spark.createDataFrame(kinds, "node long, kind string, noop boolean")
+    ways = {(i // 2, i) for i in range(1, 90)} | {(rng.randrange(90), rng.randrange(90)) for _ in range(9)}
+    edges = spark.createDataFrame(sorted(ways), "src long, dst long")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    want = {k: told(G.connected(nodes, edges, nodes, through=k)) for k in (G.KINDS, ("task",))}
+    for own, most in ((1 << 20, 1 << 22), (1, 95), (30, 20)):
+        monkeypatch.setattr(S, "OWN", own)
+        monkeypatch.setattr(S, "MOST", most)
+        for through in want:
+            pairs = G.connected_pairs(nodes, edges, through)
+            assert told(pairs) == want[through]
+            assert told(G.connected_pairs(nodes, edges, through, 3)) == [r for r in want[through] if r[2] <= 3]
+        if most > 20:
+            assert "MapInArrow" in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    names = edges.select(*[F.concat(F.lit("n"), F.col(c)).alias(c) for c in edges.columns])
+    assert G.ancestors(names, names.select(F.col("dst").alias("node"))).count() == G.ancestors(edges, edges.select(F.col("dst").alias("node"))).count()
