@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from flowsift.operators import books as K
 from flowsift.operators import graphs as G
 from flowsift.operators import subgraphs as S
 from flowsift.sources import views
@@ -40,14 +41,31 @@ def test_pairs_come_from_parts_of_the_starts(spark, monkeypatch):
     edges = spark.createDataFrame(sorted(ways), "src long, dst long")
     told = lambda df: sorted(map(tuple, df.collect()))
     want = {k: told(G.connected(nodes, edges, nodes, through=k)) for k in (G.KINDS, ("task",))}
-    for own, most in ((1 << 20, 1 << 22), (1, 95), (30, 20)):
+    for own, most, through, hops in ((1 << 20, 1 << 22, ("task",), None), (1, 95, G.KINDS, 3), (30, 20, G.KINDS, 3)):
         monkeypatch.setattr(S, "OWN", own)
         monkeypatch.setattr(S, "MOST", most)
-        for through in want:
-            pairs = G.connected_pairs(nodes, edges, through)
-            assert told(pairs) == want[through]
-            assert told(G.connected_pairs(nodes, edges, through, 3)) == [r for r in want[through] if r[2] <= 3]
+        pairs = G.connected_pairs(nodes, edges, through, hops)
+        assert told(pairs) == [r for r in want[through] if hops is None or r[2] <= hops]
         if most > 20:
             assert "MapInArrow" in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    monkeypatch.undo()
     names = edges.select(*[F.concat(F.lit("n"), F.col(c)).alias(c) for c in edges.columns])
     assert G.ancestors(names, names.select(F.col("dst").alias("node"))).count() == G.ancestors(edges, edges.select(F.col("dst").alias("node"))).count()
+
+
+def test_wanted_symbols_of_parts_and_of_a_long_way(spark, monkeypatch):
+    """A walk of 300 hops needs no rounds in one part; many parts give what one part gives, and parts with too many ways are left for rounds."""
+    chain = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    frame = lambda rows: spark.createDataFrame([(1, *r) for r in rows], "flow long, atom long, name string")
+    none = frame([]).select("flow", "name")
+    cuts, cut = [], K.cut
+    monkeypatch.setattr(K, "cut", lambda df: cuts.append(1) or cut(df))
+    got = K.unsatisfied_on_demand(chain, frame([(0, "a"), (300, "b")]), frame([(300, "a"), (300, "b"), (0, "a")]), none)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "a"), (1, 300, "b")] and not cuts
+    rng = random.Random(4)
+    edges = spark.createDataFrame(sorted({(i // 2, i) for i in range(1, 40)} | {(39, 2), (21, 1)}), "src long, dst long")
+    given, wanted = frame({(i, rng.choice("abc")) for i in range(40) if i % 3}), frame({(i, rng.choice("abcd")) for i in range(40)})
+    want = sorted(map(tuple, K.unsatisfied_on_demand(edges, given, wanted, none).collect()))
+    monkeypatch.setattr(S, "OWN", 20)
+    monkeypatch.setattr(S, "MOST", 35)
+    assert sorted(map(tuple, K.unsatisfied_on_demand(edges, given, wanted, none).collect())) == want and len(want) > 10
