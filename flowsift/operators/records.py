@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import cut
+from .graphs import kept as cut
 from .states import PRIORITIES
 
 # Root types of failures; actions and states of messages.

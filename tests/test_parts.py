@@ -1,6 +1,8 @@
 """What a task sorts, and how often a table is computed, at growing sizes."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +71,17 @@ def test_wanted_symbols_of_parts_and_of_a_long_way(spark, monkeypatch):
     monkeypatch.setattr(S, "OWN", 20)
     monkeypatch.setattr(S, "MOST", 35)
     assert sorted(map(tuple, K.unsatisfied_on_demand(edges, given, wanted, none).collect())) == want and len(want) > 10
+
+
+def test_cut_leaves_a_small_table_and_no_shuffles(spark):
+    local = Path(spark.sparkContext.getConf().get("spark.local.dir"))
+    files = lambda: set(local.rglob("shuffle_*.data"))
+    before, rows = files(), spark.range(100_000).select((F.col("id") * 7 % 100_003).alias("k")).distinct()
+    table = G.cut(rows)
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.5)
+    assert files() <= before and table.count() == 100_000
+    assert all(f.endswith(".parquet") for f in table.inputFiles()) and table.inputFiles()
+    assert G.cut(spark.sql("SELECT 1 AS a, null AS b")).collect() == [(1, None)] and G.cut(spark.sql("SELECT 1 AS a, 2 AS A")).count() == 1
